@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, langid, mixing, topk, toxicity
+from . import chat, decontaminate, html, langid, mixing, neardup, passages, suffixdedup, topk, toxicity
 from .session import table
 
 
@@ -22,10 +22,22 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,8 +47,16 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_trees(chat.chain(conversations)))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_exact_top_k, op6_toxicity, op8_mixing, op9_chat_formatting)
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_language_id, op3_exact_top_k, op4_substring_dedup, op5_suffix_dedup,
+        op6_toxicity, op7_decontamination, op8_mixing, op9_chat_formatting, op10_minhash_near_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat_formatting": chat.ORACLE}

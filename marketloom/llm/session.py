@@ -12,15 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
-    The folder is the one that spark.checkpoint.dir names; only where none is set (tests) a temporary one is made.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
