@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import book_queries, market_queries
+from .plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+REGISTRIES = (market_queries.R, book_queries.R)
+QUERIES: dict[str, Query] = {name: f for r in REGISTRIES for name, f in r.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for r in REGISTRIES for name, sql in r.oracle.items()}
