@@ -24,6 +24,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True when every edge ends at a centre that is no one's neighbour, and no vertex has two centres."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    per = ends.groupBy("v").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return not per.where((F.col("low") > 1) | ((F.col("low") > 0) & (F.col("high") > 0))).limit(1).count()
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(id, component): every vertex of `edges` with the smallest id it is linked to, directly or not.
 
@@ -31,13 +38,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     edges = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
     edges = settle(edges)
-    seen = None
-    while True:
+    while not _stars(edges):
         edges = settle(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

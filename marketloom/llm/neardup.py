@@ -7,10 +7,11 @@ register with their probability Jaccard. Bands of `ROWS` registers make buckets;
 sets (Jaccard of at least `threshold`); linked texts form classes named by their smallest doc_id.
 
 Inside a bucket no list of all pairs is made. First every text meets the smallest id of its buckets, and classes are
-formed. A bucket whose members are then all of one class is done. In any other, drawn members meet all members of other
-classes, twice as many in each round, until one class is left or all members have been drawn: every pair of a bucket is
-verified or already in one class, so no link between different texts is lost, and a bucket of thousands of copies costs
-one comparison each.
+formed. A bucket whose members are then all of one class is done. The others are cut into blocks of about `BLOCK`
+shingles, and for each two blocks the texts of different classes are compared exactly in one task: shingles are ordered
+from rare to frequent, only a text whose rarest fifth meets a text of another class is compared at all (no two others can
+reach the threshold), and a link found joins their classes at once. So every two texts of a bucket are compared or
+already in one class, no link between different texts is lost, and what leaves a task is at most one link for each text.
 
 Defined results: copies of a text are one class whatever its length; a text without words, or null, is a class of its
 own, and so is a row whose doc_id is null; texts of fewer than five words have one shingle of all their words; repeated
@@ -23,16 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .packed import Words, chunks, mix, shingles
-from .session import empty, settle
+from .session import empty, having, settle
 
 BANDS, ROWS = 16, 5
 THRESHOLD = 0.8
+BLOCK = 1 << 19
 _U = np.uint64
 
 
@@ -83,7 +84,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
         digests = [hashlib.md5(t.as_buffer() or b"", usedforsecurity=False).digest() if s else None for t, s in zip(part.column(1), some, strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "bands"])
+        sizes = pa.array(np.bincount(row, minlength=n).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), lists, sizes], ["doc_id", "digest", "bands", "shingles"])
 
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -118,35 +120,88 @@ def pc_filter(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(keep))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle ids of each text."""
+    for part in chunks(batches):
+        row, ids, _ = elements(part.column(1))
+        edges = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.view(np.int64)))], ["id", "set"])
+
+
+def block_links(ids: np.ndarray, classes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different classes that reach the threshold; a forest, not all pairs.
+
+    side: 0 or 1 where two blocks meet, and only texts of different sides are compared; all 0 inside one block.
+    """
+    n = len(ids)
+    sizes = np.array([len(x) for x in sets])
+    tokens = np.concatenate(sets) if n else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, token, df = np.unique(tokens, return_inverse=True, return_counts=True)
+    # of each text its shingles from rare to frequent; of each shingle the texts that hold it
+    order = np.lexsort((token, df[token], owner))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    by_token = np.argsort(token, kind="stable")
+    posting = np.concatenate([[0], np.cumsum(df)])
+    holders = owner[by_token]
+    _, group = np.unique(classes, return_inverse=True)
+    members = {g: np.flatnonzero(group == g).tolist() for g in np.unique(group)}
+    largest = max(members, key=lambda g: len(members[g])) if members else None
+    two = len(np.unique(side)) > 1
+    out = []
+    for x in np.flatnonzero(group != largest):
+        own = token[order[starts[x] : starts[x + 1]]]
+        prefix = own[: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]
+        near = np.concatenate([holders[posting[t] : posting[t + 1]] for t in prefix[df[prefix] > 1]] or [np.zeros(0, np.int64)])
+        near = near[group[near] != group[x]]
+        if two:
+            near = near[side[near] != side[x]]
+        if not len(near):
+            continue
+        near = np.unique(near)
+        shared = np.bincount(np.concatenate([holders[posting[t] : posting[t + 1]] for t in own]), minlength=n)[near]
+        similarity = shared / (sizes[x] + sizes[near] - shared)
+        for y in near[similarity >= threshold]:
+            if group[y] != group[x]:
+                out.append((int(ids[x]), int(ids[y])))
+                keep, gone = (group[y], group[x]) if len(members[group[y]]) >= len(members[group[x]]) else (group[x], group[y])
+                group[members[gone]] = keep
+                members[keep] += members.pop(gone)
+    return out
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for every row of `docs`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = settle(rows.mapInArrow(_sketch, "doc_id long, digest binary, bands array<long>"))
+    sketched = settle(rows.mapInArrow(_sketch, "doc_id long, digest binary, bands array<long>, shingles long"))
     known = sketched.where("doc_id is not null and digest is not null")
     # copies of a text: the smallest id stands for all of them
-    distinct = settle(known.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands")))
-    buckets = distinct.select("id", F.explode("bands").alias("key")).distinct()
+    distinct = settle(known.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "shingles")).alias("m")).select("digest", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands"), F.col("m.shingles").alias("shingles")))
+    buckets = distinct.select("id", "shingles", F.explode(F.array_distinct("bands")).alias("key"))
     # grouped counts combine before the shuffle; joining them back leaves a hot bucket's rows free to be split
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
+    shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").drop("top")
     members = settle(buckets.join(shared, "key"))
-    texts = rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-    links = settle(verified(members.groupBy("id").agg(F.min("lead").alias("a")).where("a < id").select("a", F.col("id").alias("b")), texts, threshold))
-    named = components(links)
-    drawn = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) / float(1 << 30)
-    done, now = 0.0, 2.0
-    while True:
-        named = settle(named.withColumnRenamed("id", "of"))
-        placed = members.join(named, F.col("id") == F.col("of"), "left").select("key", "n", "id", F.coalesce("component", "id").alias("c"))
-        several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        left = settle(placed.join(several, "key").withColumn("drawn", drawn).where(F.col("drawn") * F.col("n") >= done))
-        if empty(left):
-            break
-        asks = left.where(F.col("drawn") * F.col("n") < now).select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-        pairs = left.join(asks, "key").where("c <> cx").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-        links = settle(links.unionByName(verified(pairs, texts, threshold)))
-        named = components(links)
-        done, now = now, now * 4
-        members = left.select("key", "n", "id")
+    texts = settle(having(rows, members.select(F.col("id").alias("doc_id"))))
+    leads = members.groupBy("id").agg(F.min("lead").alias("a")).where("a < id").select("a", F.col("id").alias("b"))
+    links = settle(verified(leads, texts, threshold).select("a", "b"))
+    named = settle(components(links).withColumnRenamed("id", "of"))
+    placed = members.join(named, F.col("id") == F.col("of"), "left").select("key", "id", "shingles", F.coalesce("component", "id").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("shingles").alias("all")).where("low < high")
+    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
+    left = settle(placed.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).drop("shingles"))
+    if not empty(left):
+        other = left.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        meetings = other.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "c")
+        sets = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
+
+        def compare(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            lists = [np.asarray(x.values) for x in table["set"]]
+            found = block_links(table["id"].to_numpy(), table["c"].to_numpy(), table["side"].to_numpy(), lists, threshold)
+            return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+        more = meetings.join(sets, "id").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+        named = settle(components(links.unionByName(settle(more))).withColumnRenamed("id", "of"))
     of = distinct.join(named, F.col("id") == F.col("of"), "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     out = sketched.select("doc_id", "digest").join(of, "digest", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

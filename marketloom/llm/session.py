@@ -39,6 +39,19 @@ def empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+SENT_IDS = 2_000_000
+
+
+def having(rows: DataFrame, ids: DataFrame, column: str = "doc_id", anti: bool = False) -> DataFrame:
+    """`rows` whose `column` is among those of `ids`, or is not.
+
+    Up to `SENT_IDS` ids are sent to all tasks, so that wide rows need no shuffle; more are joined.
+    """
+    ids = settle(ids.select(column).distinct())
+    few = ids.count() <= SENT_IDS
+    return rows.join(F.broadcast(ids) if few else ids, column, "left_anti" if anti else "left_semi")
+
+
 def held_out(doc_id) -> object:
     """True for the quarter of documents whose labels are not learned from."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
