@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SENT_ROWS = 100_000
-WINNING_SHARE = 0.1
+WINNING_SHARE = 0.25
 DENSE = 0.7
 
 # Elements by what becomes of them.
@@ -45,7 +45,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     rf"|<(?P<raw>{_RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)/?>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>|</?[a-zA-Z!][^<>]*\Z",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
