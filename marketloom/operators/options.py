@@ -27,7 +27,7 @@ def price_contracts(contracts: DataFrame) -> DataFrame:
     """Adds price, delta, gamma, theta (a day), vega (a point) to (option_type, spot, strike, days, vol, rate, dividend)."""
     s, k, v, r, q = (F.col(c).cast("double") for c in ("spot", "strike", "vol", "rate", "dividend"))
     t = F.col("days") / 365.0
-    root = v * F.sqrt(t)
+    root = F.nullif(v * F.sqrt(t), F.lit(0.0))
     d1 = (F.log(s / k) + (r - q + v * v / 2) * t) / root
     c = contracts.withColumn("_d1", d1).withColumn("_d2", d1 - root)
     sign = F.when(F.col("option_type") == "call", 1.0).otherwise(-1.0)
@@ -36,7 +36,7 @@ def price_contracts(contracts: DataFrame) -> DataFrame:
     dead = (t <= 0) | (v <= 0)
     intrinsic = F.greatest(sign * (s - k), F.lit(0.0))
     edge = sign * F.when(sign * (s - k) > 0, 1.0).when(s == k, 0.5).otherwise(0.0)
-    theta = (-s * dq * density(F.col("_d1")) * v / (2 * F.sqrt(t)) - sign * r * k * dr * n2 + sign * q * s * dq * n1) / 365
+    theta = (-s * dq * density(F.col("_d1")) * v / (2 * F.nullif(F.sqrt(t), F.lit(0.0))) - sign * r * k * dr * n2 + sign * q * s * dq * n1) / 365
     return c.select(
         *contracts.columns, F.when(dead, intrinsic).otherwise(sign * (s * dq * n1 - k * dr * n2)).alias("price"), F.when(dead, edge).otherwise(sign * dq * n1).alias("delta"),
         F.when(dead, 0.0).otherwise(dq * density(F.col("_d1")) / (s * root)).alias("gamma"), F.when(dead, 0.0).otherwise(theta).alias("theta"), F.when(dead, 0.0).otherwise(s * dq * density(F.col("_d1")) * F.sqrt(t) / 100).alias("vega"))

@@ -78,12 +78,12 @@ def _latest(tx: DataFrame) -> DataFrame:
     return tx.where("price is not null").groupBy("symbol").agg(F.max_by("price", "event_id").alias("price"))
 
 
-@R.query(S(f"""select account_id, symbol, round(quantity, 4) as quantity, round(cost, 4) as cost, round(value, 4) as value, first_purchase, last_purchase, lots, longest_days, round(cost / quantity, 4) as average_price, round(value - cost, 4) as gain, round(value / cost - 1, 4) as "return", value is not null as priced from
+@R.query(S(f"""select account_id, symbol, round(quantity, 8) as quantity, round(cost, 8) as cost, round(value, 8) as value, first_purchase, last_purchase, lots, longest_days, round(cost / quantity, 8) as average_price, round(value - cost, 8) as gain, round(value / cost - 1, 8) as "return", value is not null as priced from
   (select account_id, lt.symbol, sum(quantity) as quantity, sum(quantity * purchase_price) as cost, sum(quantity * price) as value, min(purchase_date) as first_purchase, max(purchase_date) as last_purchase, count(*) as lots, max(date_diff('day', purchase_date, date '{AS_OF}')) as longest_days
    from lt left join (select symbol, case when arg_max(price, event_id) > 0 then arg_max(price, event_id) end as price from tx where price is not null group by 1) q on q.symbol = lt.symbol group by 1, 2)""", "tx", more=FIFO))
 def f7_value_positions(spark, sf_dir):
     tx = domain.tx(spark, sf_dir)
-    return rounded(ledger.value_positions(ledger.open_lots(tx, ledger.fifo_match(tx)), _latest(tx), AS_OF), 4)
+    return rounded(ledger.value_positions(ledger.open_lots(tx, ledger.fifo_match(tx)), _latest(tx), AS_OF), 8)
 
 
 @R.query()
@@ -181,10 +181,10 @@ def g9_stock_catalog(spark, sf_dir):
     return rounded(universe.stock_catalog(domain.prices_m(spark, sf_dir), domain.universe(spark, sf_dir)))
 
 
-@R.query(S("""select symbol, max(date) as date, max(close) filter (n = 1) as latest, coalesce(max(close) filter (n = 2), max(close) filter (n = 1)) as previous, round(max(close) filter (n = 1) / coalesce(max(close) filter (n = 2), max(close) filter (n = 1)) - 1, 6) as day_change
+@R.query(S("""select symbol, max(date) as date, max(close) filter (n = 1) as latest, coalesce(max(close) filter (n = 2), max(close) filter (n = 1)) as previous, round(max(close) filter (n = 1) / coalesce(max(close) filter (n = 2), max(close) filter (n = 1)) - 1, 9) as day_change
   from (select *, row_number() over (partition by symbol order by date desc) as n from prices_d) where n <= 2 group by 1""", "prices_d"))
 def g10_latest_and_previous(spark, sf_dir):
-    return rounded(universe.latest_and_previous(domain.prices_d(spark, sf_dir)))
+    return rounded(universe.latest_and_previous(domain.prices_d(spark, sf_dir)), 9)
 
 
 @R.query(S("select symbol, ex_date, action_type, ratio, round(coalesce((select exp(sum(ln(b.ratio))) from actions b where b.symbol = a.symbol and b.ex_date > a.ex_date), 1.0), 4) as split_adj_factor from actions a", "actions"))
@@ -460,10 +460,10 @@ gd as (select strategy_id, entry, i * top * 1.5 / 100 as terminal from ow, (sele
 pf as (select strategy_id, terminal, sum(z * greatest(case when option_type = 'call' then terminal - strike else strike - terminal end, 0)) - any_value(entry) as pnl from gd join (select strategy_id, z, option_type, strike from zz) using (strategy_id) group by 1, 2)"""
 
 
-@R.query(S("select strategy_id, round(terminal, 4) as terminal, round(pnl, 3) as pnl from pf", "prices_m", more=PAYOFF))
+@R.query(S("select strategy_id, round(terminal, 9) as terminal, round(pnl, 3) as pnl from pf", "prices_m", more=PAYOFF))
 def j4_expiry_payoff(spark, sf_dir):
     p = options.expiry_payoff(options.price_contracts(_legs(spark, sf_dir)), 101)
-    return p.select("strategy_id", F.round("terminal", 4).alias("terminal"), F.round("pnl", 3).alias("pnl"))
+    return p.select("strategy_id", F.round("terminal", 9).alias("terminal"), F.round("pnl", 3).alias("pnl"))
 
 
 @R.query(S("""select strategy_id, case when slope <= 0 then round(best, 3) end as max_profit, case when slope >= 0 then round(worst, 3) end as max_loss from (select strategy_id, max(pnl) as best, min(pnl) as worst from pf group by 1)

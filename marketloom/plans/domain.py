@@ -18,7 +18,7 @@ def _prices(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     date = F.to_date(F.date_trunc(unit, "l_shipdate"))
-    return joined.groupBy(F.col("p_brand").alias("symbol"), date.alias("date")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"))
+    return joined.groupBy(F.col("p_brand").alias("symbol"), date.alias("date")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 9).alias("close"))
 
 
 def prices_m(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prices_sql(name: str, unit: str) -> str:
-    return f"""{name} as (select p_brand as symbol, date_trunc('{unit}', l_shipdate)::date as date, round(sum(l_extendedprice) / sum(l_quantity), 6) as close
+    return f"""{name} as (select p_brand as symbol, date_trunc('{unit}', l_shipdate)::date as date, round(sum(l_extendedprice) / sum(l_quantity), 9) as close
   from lineitem join part on l_partkey = p_partkey group by 1, 2)"""
 
 
@@ -123,7 +123,6 @@ tx as (select user_id as account_id, event_id, action, symbol, 'Stock' as instru
 statements as (select symbol, make_date(y, 3, 31) as period_end, 'annual' as freq, 'income' as statement, line_item, value from
   (select symbol, y, unnest(['Total Revenue', 'Net Income', 'Operating Cash Flow', 'Share Issued']) as line_item, unnest([a, b, c, d]) as value from st0))""",
 }
-NEEDS: dict[str, tuple[str, ...]] = {}
 
 
 def sql(query: str, *names: str, more: str = "") -> str:

@@ -81,9 +81,9 @@ def b9_top_by_volatility(spark, sf_dir):
     return rounded(panel.top_by_volatility(weekly(spark, sf_dir), 10))
 
 
-@R.query(S("select symbol, date, pos, close, round(r, 6) as r from r", "prices_w", more=RET))
+@R.query(S("select symbol, date, pos, close, round(r, 9) as r from r", "prices_w", more=RET))
 def c1_daily_returns(spark, sf_dir):
-    return rounded(features.daily_returns(weekly(spark, sf_dir)))
+    return rounded(features.daily_returns(weekly(spark, sf_dir)), 9)
 
 
 def _raw_sql(name: str) -> str:
@@ -431,7 +431,7 @@ def e13_concentration(spark, sf_dir):
     return rounded(equity.concentration(_run(spark, sf_dir)[2]))
 
 
-@R.query(S("""select pos, value from (select unnest([lo, hi]) as pos from (select arg_min(pos, row(value, pos)) as lo, arg_min(pos, row(-value, pos)) as hi from (select event_id as pos, value, (row_number() over (order by event_id) - 1) * 200 // count(*) over () as b from events) group by b)) join (select event_id as pos, value from events) using (pos) group by 1, 2"""))
+@R.query("""select pos, value from (select unnest([lo, hi]) as pos from (select arg_min(pos, row(value, pos)) as lo, arg_min(pos, row(-value, pos)) as hi from (select event_id as pos, value, (row_number() over (order by event_id) - 1) * 200 // count(*) over () as b from events) group by b)) join (select event_id as pos, value from events) using (pos) group by 1, 2""")
 def e14_downsample_extrema(spark, sf_dir):
     e = domain.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "value")
     return equity.downsample_extrema(e, 200, 0)
@@ -462,10 +462,11 @@ def k2_symbol_summary(spark, sf_dir):
 STATE = P + f", ts as (select * from (select symbol, close, {_sma(50)} as a, {_sma(200)} as b, row_number() over (partition by symbol order by pos desc) as n from p) where n = 1)"
 
 
-@R.query(S("""select symbol, close, round(a, 6) as sma_short, round(b, 6) as sma_long, case when b is not null then case when close >= b then 'above long average' else 'below long average' end
+@R.query(S("""select symbol, close, round(a, 8) as sma_short, round(b, 8) as sma_long, case when b is not null then case when close >= b then 'above long average' else 'below long average' end
   when a is not null then case when close >= a then 'above short average' else 'below short average' end else 'unknown' end as trend from ts""", "prices_w", more=STATE))
 def k3_trend_state(spark, sf_dir):
-    return rounded(research.trend_state(weekly(spark, sf_dir)))
+    s = research.trend_state(weekly(spark, sf_dir))
+    return s.withColumn("sma_short", F.round("sma_short", 8)).withColumn("sma_long", F.round("sma_long", 8))
 
 
 PEERS = ", pe as (select a.symbol, b.symbol as peer, row_number() over (partition by a.symbol order by b.symbol) as n from k a join k b on a.symbol <> b.symbol qualify n <= 5), pt as (select pe.symbol, quantile_cont(p0 / p126 - 1, 0.5) as peer_median, arg_max(peer, row(p0 / p126 - 1, peer)) as best_peer from pe join k on pe.peer = k.symbol group by 1)"

@@ -129,7 +129,7 @@ BOILERPLATE = ("economic times", "markets", "companies")
 def read_rss_xml(spark: SparkSession, path: str, feed: str) -> DataFrame:
     items = spark.read.format("xml").option("rowTag", "item").schema("title string, description string, link string, pubDate string").load(path)
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.col(c), "<[^>]+>", " "), r"\s+", " "))
-    published = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
+    published = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
     rows = items.select(F.lit(feed).alias("feed"), clean("title").alias("title"), clean("description").alias("summary"), canonical_url(F.trim("link")).alias("url"), published.alias("published"))
     return rows.where((F.col("title") != "") & (F.col("url") != "") & ~F.lower("title").isin(*BOILERPLATE))
 

@@ -17,7 +17,7 @@ def days(n, start=D(2024, 1, 1)):
 
 @pytest.fixture(scope="module")
 def shaped(spark):
-    rows = [(s, d, f(i)) for i, d in enumerate(days(320)) for s, f in (("AAA", lambda i: 100 + i * 0.25), ("BBB", lambda i: 100 - i * 0.03), ("CCC", lambda i: 100 + (i % 10)))]
+    rows = [(s, d, float(f(i))) for i, d in enumerate(days(320)) for s, f in (("AAA", lambda i: 100 + i * 0.25), ("BBB", lambda i: 100 - i * 0.03), ("CCC", lambda i: 100 + (i % 10)))]
     return panel.dense(spark.createDataFrame(rows, "symbol string, date date, close double"))
 
 
