@@ -19,6 +19,23 @@ def interval_values(targets: DataFrame, panel: DataFrame, rebalances: DataFrame)
     return risky.unionByName(cash)
 
 
+def liquidate_at_cutoff(values: DataFrame, eligible: DataFrame, cost_bps: float) -> DataFrame:
+    """Interval values with names sold at their last real row: from there on their value less the fee is cash.
+
+    eligible: (symbol, cutoff_pos), null where a symbol never ends. Adds the fee paid by each day as `fees`, 0 where none.
+    """
+    fee = cost_bps / 10_000
+    ends = values.join(F.broadcast(eligible.where("cutoff_pos is not null").select("symbol", "cutoff_pos")), "symbol", "left")
+    at = F.greatest(F.col("cutoff_pos"), F.col("pos") + 1)
+    sold = F.coalesce(F.col("day_pos") >= at, F.lit(False))
+    own = Window.partitionBy("run_id", "pos", "symbol")
+    proceeds = F.max(F.when(F.col("day_pos") == at, F.col("value"))).over(own)
+    rows = ends.withColumn("proceeds", proceeds).withColumn("sold", sold)
+    cash = rows.where("sold").select("run_id", "pos", "day_pos", F.lit("CASH").alias("symbol"), (F.col("proceeds") * (1 - fee)).alias("value"), (F.col("proceeds") * fee).alias("fees"))
+    kept = rows.where("not sold").select("run_id", "pos", "day_pos", "symbol", "value", F.lit(0.0).alias("fees"))
+    return kept.unionByName(cash).groupBy("run_id", "pos", "day_pos", "symbol").agg(F.sum("value").alias("value"), F.sum("fees").alias("fees"))
+
+
 def interval_growth(values: DataFrame) -> DataFrame:
     return values.groupBy("run_id", "pos", "day_pos").agg(F.sum("value").alias("growth"))
 

@@ -159,3 +159,35 @@ def forecast_evidence(records: DataFrame) -> DataFrame:
     total = total.withColumn("skill", skill)
     good = (F.col("blocks") >= 3) & (F.col("skill") > 0) & (F.col("win_rate") > 0.5) & (F.col("mean_ic") > 0)
     return total.withColumn("eligible", good).withColumn("confidence", F.when(good, F.least(F.greatest("skill", F.lit(0.0)), F.lit(1.0))).otherwise(0.0))
+
+
+def factor_covariance(returns: DataFrame, decision: int, n_factors: int = 10, window: int = YEAR) -> DataFrame:
+    """(symbol, loadings, specific, factor_var): a statistical factor model of the window before a decision.
+
+    The days' Gram matrix (window x window at most) is summed in Spark; its leading vectors give the factors, and the
+    loadings of each symbol are one more join on the day, so nothing grows with the square of the symbols.
+    """
+    import numpy as np
+
+    rows = returns.where((F.col("pos") < decision) & (F.col("pos") >= decision - window)).select("symbol", "pos", F.coalesce("r", F.lit(0.0)).alias("r"))
+    centred = rows.withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy("symbol"))).select("symbol", "pos", "x")
+    a, b = centred.select("symbol", F.col("pos").alias("s"), F.col("x").alias("xs")), centred.select("symbol", F.col("pos").alias("t"), F.col("x").alias("xt"))
+    cells = a.join(b, "symbol").where("s <= t").groupBy("s", "t").agg(F.sum(F.col("xs") * F.col("xt")).alias("g")).collect()
+    days = sorted({c["s"] for c in cells})
+    place = {d: i for i, d in enumerate(days)}
+    g = np.zeros((len(days), len(days)))
+    for c in cells:
+        g[place[c["s"]], place[c["t"]]] = g[place[c["t"]], place[c["s"]]] = c["g"]
+    n = returns.select("symbol").distinct().count()
+    k = max(1, min(n_factors, len(days) - 1, n))
+    values, vectors = np.linalg.eigh(g)
+    lead = np.argsort(values)[::-1][:k]
+    scale = np.sqrt(np.maximum(values[lead], 1e-18))
+    variance = [float(v) / (len(days) - 1) * YEAR for v in np.maximum(values[lead], 0)]
+    table = returns.sparkSession.createDataFrame([(int(d), [float(v) for v in vectors[i, lead]]) for i, d in enumerate(days)], "pos int, u array<double>")
+    joined = centred.join(F.broadcast(table), "pos")
+    # loading of factor j: the symbol's returns along its day vector, over the factor's length
+    loads = joined.groupBy("symbol").agg(F.array(*[F.sum(F.col("x") * F.col("u")[j]) / float(scale[j]) for j in range(k)]).alias("loadings"), F.sum(F.col("x") * F.col("x")).alias("whole"))
+    explained = F.aggregate(F.zip_with("loadings", F.array(*[F.lit(float(s * s)) for s in scale]), lambda l, s: l * l * s), F.lit(0.0), lambda acc, v: acc + v)
+    specific = (F.col("whole") - explained) / (len(days) - 1) * YEAR
+    return loads.select("symbol", "loadings", (F.greatest(F.coalesce(specific, F.lit(0.04)), F.lit(1e-6)) + 1e-6).alias("specific"), F.array(*map(F.lit, variance)).alias("factor_var"))

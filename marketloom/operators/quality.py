@@ -116,6 +116,14 @@ def check_price_basis(filing: DataFrame, panel: DataFrame, days: int = 6) -> Dat
     return _finding(g, "prices", "price_basis_mismatch", F.when(F.col("m") > 0.25, "ERROR").otherwise("WARN"), "filed and traded prices differ", F.round("m", 6))
 
 
+def check_actions(existing: DataFrame, derived: DataFrame, days: int = 400) -> DataFrame:
+    """Symbols with derived splits or bonuses that no known action is near to, with their years."""
+    known = existing.where(F.col("action_type").isin("split", "bonus")).select(F.col("symbol").alias("of"), F.col("ex_date").alias("known"))
+    left = derived.join(known, (F.col("symbol") == F.col("of")) & (F.abs(F.date_diff("ex_date", "known")) <= days), "left_anti")
+    g = left.groupBy("symbol").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.year("ex_date").cast("string"))), ",").alias("years"))
+    return _finding(g, "actions", "action_coverage", "WARN", F.col("years"), "n")
+
+
 def findings_report(findings: DataFrame) -> DataFrame:
     rank = F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARN", 1).otherwise(2)
     return findings.orderBy(rank, "dataset", "symbol", "check", "detail")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ledger, news, options, panel, quality, universe
+from ..operators import ledger, news, options, proposals, quality, universe
 from . import domain
 from .registry import Registry
 
@@ -110,6 +110,25 @@ def f10_reconcile_lots(spark, sf_dir):
     return ledger.reconcile_lots(ledger.open_lots(tx, ledger.fifo_match(tx)), stated)
 
 
+TRADES = FIFO + """, hd as (select account_id, symbol, sum(quantity) as quantity from lt group by 1, 2), lq as (select symbol, arg_max(price, event_id) as price from tx where price is not null group by 1),
+ac as (select distinct account_id from tx), tg as (select account_id, symbol, 0.3 as weight from ac, lq), bo as (select account_id, symbol, price, coalesce(quantity, 0) as quantity, coalesce(weight, 0) as weight from hd full join tg using (account_id, symbol) join lq using (symbol)),
+cp as (select account_id, sum(quantity * price) + 1000.0 as capital from bo group by 1), tr as (select *, floor(weight * capital * 0.999 / price + 1e-9) as tq from bo join cp using (account_id)),
+rc as (select account_id, 1000.0 - sum((tq - quantity) * price) - sum(abs(tq - quantity) * price * 0.001) as rest from tr group by 1)"""
+
+
+@R.query(S("""select account_id, symbol, case when tq > quantity then 'Buy' when tq < quantity then 'Sell' else 'Hold' end as side, round(quantity, 6) as quantity, round(tq, 6) as target_quantity, round(tq - quantity, 6) as delta, round(abs(tq - quantity) * price, 5) as notional,
+  round(abs(tq - quantity) * price * 0.001, 5) as fee, round(rest, 5) as remaining_cash, round(tq * price / capital, 6) as rounded_weight, rest >= -1e-7 as funded from tr join rc using (account_id)""", "tx", more=TRADES))
+def e17_proposal_trades(spark, sf_dir):
+    tx = domain.tx(spark, sf_dir)
+    holdings = ledger.open_lots(tx, ledger.fifo_match(tx)).groupBy("account_id", "symbol").agg(F.sum("quantity").alias("quantity"))
+    latest = _latest(tx).withColumn("instrument_type", F.lit("Stock"))
+    accounts = tx.select("account_id").distinct()
+    targets = accounts.crossJoin(F.broadcast(latest.select("symbol"))).withColumn("weight", F.lit(0.3))
+    out = proposals.proposal_trades(holdings, accounts.withColumn("cash", F.lit(1000.0)), targets, latest, 10.0)
+    money = ["notional", "fee", "remaining_cash"]
+    return rounded(out.withColumns({c: F.round(c, 5) for c in money}))
+
+
 # G: universe, funds, actions
 
 
@@ -306,6 +325,12 @@ FILED = """fl as (select symbol, last_day(date) as month_end, close * case right
 nr as (select fl.symbol, month_end, filed, close, row_number() over (partition by fl.symbol, month_end order by case when date >= month_end then date_diff('day', month_end, date) else 100 + date_diff('day', date, month_end) end) as n from fl join prices_d d on d.symbol = fl.symbol and date_diff('day', month_end, date) between -6 and 6)"""
 
 
+@R.query(S("""select 'actions' as dataset, symbol, 'action_coverage' as "check", 'WARN' as severity, string_agg(distinct year(ex_date)::varchar, ',' order by year(ex_date)::varchar) as detail, count(*)::double as value from da
+  where not exists (select 1 from actions a where year(a.ex_date) >= 1996 and a.symbol = da.symbol and abs(date_diff('day', a.ex_date, da.ex_date)) <= 400) group by symbol""", "statements", "actions", more=BALANCE))
+def h11_action_coverage(spark, sf_dir):
+    return quality.check_actions(domain.actions(spark, sf_dir).where(F.year("ex_date") >= 1996), _derived(spark, sf_dir))
+
+
 @R.query(S("""select 'prices' as dataset, symbol, 'price_basis_mismatch' as "check", case when m > 0.25 then 'ERROR' else 'WARN' end as severity, 'filed and traded prices differ' as detail, round(m, 6) as value from
   (select symbol, count(*) as k, quantile_cont(abs(close - filed) / filed, 0.5) as m from nr where n = 1 group by 1) where k >= 5 and m > 0.05""", "prices_m", "prices_d", more=FILED))
 def h13_price_basis_mismatch(spark, sf_dir):

@@ -179,6 +179,14 @@ def c11_shrinkage_covariance(spark, sf_dir):
     return rounded(features.shrinkage_covariance(returns, spark.createDataFrame([(300,), (340,)], "pos int")))
 
 
+@R.query()
+def c12_factor_covariance(spark, sf_dir):
+    """Variance of each symbol under the factor model; with all factors it is the sample's own."""
+    f = features.factor_covariance(features.daily_returns(weekly(spark, sf_dir)), 340)
+    common = F.aggregate(F.zip_with("loadings", "factor_var", lambda l, v: l * l * v), F.lit(0.0), lambda a, x: a + x)
+    return rounded(f.select("symbol", (common + F.col("specific")).alias("variance")))
+
+
 @R.query(S("""select date, pos, round(market_return, 6) as market_return, round(market_volatility, 6) as market_volatility, case when n < 63 then 'insufficient-history' when market_return < -0.08 and market_volatility > 0.22 then 'risk-off'
   when market_return > 0.08 and market_volatility < 0.24 then 'risk-on' when market_volatility > 0.28 then 'high-volatility' else 'neutral' end as regime from
   (select date, pos, count(m) over w as n, exp(sum(ln(1 + m)) over w) - 1 as market_return, stddev_samp(m) over w * sqrt(252.0) as market_volatility from (select date, pos, avg(r) as m from r where r is not null group by 1, 2) window w as (order by pos rows between 63 preceding and 1 preceding))""", "prices_w", more=RET))
@@ -507,3 +515,53 @@ def k10_random_placebo(spark, sf_dir):
 def k11_block_bootstrap_sharpe(spark, sf_dir):
     curve = _curve(spark, sf_dir)[6]
     return rounded(research.block_bootstrap_sharpe(curve.select("run_id", (F.col("day_pos") - START - 1).alias("i"), F.col("return").alias("r"))))
+
+
+CUT = RUNS + """, cf as (select symbol, min(pos) + 290 as cutoff from p where symbol < 'Brand#3' group by 1), lv as (select v.*, greatest(cutoff, pos + 1) as stop_pos, coalesce(day_pos >= greatest(cutoff, pos + 1), false) as sold from v left join cf using (symbol)),
+lp as (select *, max(case when day_pos = stop_pos then value end) over (partition by run_id, pos, symbol) as proceeds from lv)"""
+
+
+@R.query(S("""select run_id, pos, day_pos::int as day_pos, symbol, round(sum(value), 6) as value, round(sum(fees), 8) as fees from (select run_id, pos, day_pos, symbol, value, 0.0 as fees from lp where not sold
+  union all select run_id, pos, day_pos, 'CASH', proceeds * 0.999, proceeds * 0.001 from lp where sold) group by 1, 2, 3, 4""", "prices_w", more=CUT))
+def e5_liquidate_at_cutoff(spark, sf_dir):
+    w, _, _, values, *_ = _run(spark, sf_dir)
+    ends = w.where("symbol < 'Brand#3'").groupBy("symbol").agg((F.min("pos") + 290).alias("cutoff_pos"))
+    out = equity.liquidate_at_cutoff(values, ends, BPS)
+    return out.withColumn("value", F.round("value", 6)).withColumn("fees", F.round("fees", 8))
+
+
+LIMITS = {"max_weight": 0.19, "min_cash": 0.1, "max_volatility": 0.9, "max_turnover": 0.5, "max_sector": 0.4}
+CHECKS = COV + f""", w3 as (select symbol, 0.9 / count(*) over () as weight from (select symbol from p where pos = {START} order by symbol limit 5)), wt as (select symbol, weight from w3 union all select 'CASH', 0.1)"""
+
+
+@R.query(S("""select 'x' as run_id, "check", round(value, 6) as value, lim as "limit", passed from (
+  select 'weight sum' as "check", sum(weight) as value, 1.0 as lim, abs(sum(weight) - 1) <= 1e-6 as passed from wt union all select 'long only', min(weight), 0.0, min(weight) >= -1e-8 from w3
+  union all select 'largest position', max(weight), 0.19, max(weight) <= 0.19 + 1e-6 from w3 union all select 'cash reserve', 0.1, 0.1, true
+  union all select 'volatility', v, 0.9, v <= 0.9 + 1e-6 from (select sqrt(sum(a.weight * b.weight * (case when n < 20 then case when i = j then 0.04 else 0 end else s * 252 * (case when i = j then 1.0 else 0.75 end) + (case when i = j then 1e-6 else 0 end) end) * (case when i = j then 1 else 2 end))) as v
+    from cv join w3 a on a.symbol = i join w3 b on b.symbol = j where decision = 300)
+  union all select 'one-way turnover', 0.9, 0.5, false union all select 'sector exposure', max(s), 0.4, max(s) <= 0.4 + 1e-6 from (select right(symbol, 1) as k, sum(weight) as s from w3 group by 1))""", "prices_w", more=CHECKS))
+def e16_limit_checks(spark, sf_dir):
+    from ..operators import proposals
+
+    w = weekly(spark, sf_dir)
+    cov = features.shrinkage_covariance(features.daily_returns(w), spark.createDataFrame([(300,)], "pos int"))
+    five = w.where(F.col("pos") == START).orderBy("symbol").limit(5).select(F.lit("x").alias("run_id"), "symbol", F.lit(0.18).alias("weight"))
+    cash = spark.createDataFrame([("x", "CASH", 0.1)], "run_id string, symbol string, weight double")
+    now = spark.createDataFrame([("x", "CASH", 1.0)], "run_id string, symbol string, weight double")
+    sectors = w.select("symbol").distinct().withColumn("sector", F.right("symbol", F.lit(1)))
+    return rounded(proposals.limit_checks(five.unionByName(cash), cov, now, sectors, LIMITS))
+
+
+@R.query(_recursive(S("""select bps::int as cost_bps, round(final, 6) as final_equity from (select bps, exp(sum(ln(g) + ln(1 - c))) as final from
+  (select k.bps, k.pos, k.cost as c, e.growth as g from kc k join (select gr.pos, growth from gr join rb on gr.pos = rb.pos and day_pos = next_pos) e on e.pos = k.pos) group by 1)""", "prices_w", more=RUNS + """,
+kt as (select b.bps, c.pos, 0 as n, 0.0::double as cost from (select distinct pos from ch) c, (select unnest([10, 20, 30]) as bps) b union all select bps, pos, n + 1, (select bps / 10000.0 * sum(abs(weight * (1 - a.cost) - old)) from ch where ch.pos = a.pos and symbol <> 'CASH') from kt a where n < 12),
+kc as (select bps, pos, cost from kt where n = 12)""")))
+def k7_cost_stress(spark, sf_dir):
+    """The same targets at one, two and three times the costs; growth is computed once for all."""
+    w, rebalances, targets, values, growth, held, changed = _run(spark, sf_dir)
+    out = None
+    for times in (1, 2, 3):
+        curve = equity.equity_curve(growth, equity.self_financing_cost(changed, BPS * times), rebalances)
+        row = curve.groupBy(F.lit(int(BPS * times)).alias("cost_bps")).agg(F.max_by("equity", "day_pos").alias("final_equity"))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
