@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20  # text handled at once; one longer text makes a chunk of its own
+CHUNK_BYTES = 2 << 20  # text handled at once; one longer text makes a chunk of its own
 SHINGLE = 5
 
 _U = np.uint64

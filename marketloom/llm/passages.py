@@ -6,10 +6,13 @@ in at least `LEAST` tokens group the subsequences that share both minima; `PAIRS
 minima in two documents make the documents candidates, and the passages are then found and verified on the texts: runs
 of common shingles along one alignment, at least `LEAST` long, with a Jaccard similarity of `THRESHOLD` or more.
 
-A passage is reported for the later document (larger doc_id) with the earlier one that it repeats. In a group of equal
-minima no list of all pairs is made: every member meets the smallest doc_id; windows that this does not explain meet
-drawn earlier members, four times as many in each round, until they are explained or all earlier members have been
-met. Copies of a whole text are told by a digest first and reported against the smallest doc_id.
+A passage is reported for the later document (larger doc_id) with an earlier one that it repeats; of the passages of a
+document those inside another one are left out. In a group of equal minima no list of all pairs is made: every member
+meets the group's smallest doc_id. That one may hold the minima in another setting, so the documents that share any
+minima also form narrower groups, of windows whose `CONTEXT` shingles around, before or after the minimum are the same
+too, and meet the smallest doc_id of these. A passage is thus missed only if in none of its windows the first holder of
+the minima, nor of the minima in their setting, repeats it. Copies of a whole text are told by a digest first and
+reported against the smallest doc_id.
 
 Defined results: texts of fewer than `LEAST` + 4 words, null or empty, have no passage; repeated passages inside one
 document and rows that repeat a doc_id are not reported against themselves; rows with a null doc_id take no part; an
@@ -29,16 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packed import SHINGLE, Words, chunks, mix, shingles, sliding_min
-from .session import empty, settle
+from .packed import _BASE, _INV, SHINGLE, Words, chunks, mix, powers, shingles, sliding_min
+from .session import having, settle
 
 LEAST_WORDS = 50
 LEAST = LEAST_WORDS - SHINGLE + 1
 PAIRS = 2
 THRESHOLD = 0.8
+CONTEXT = 16
+SENT_ROWS = 200_000
 MISMATCH = 8  # common shingles that one foreign shingle outweighs; a share of 8/9 is a Jaccard of 0.8
 _U = np.uint64
 _LOW = _U(0xFFFF)
@@ -114,11 +120,50 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(words.bounds)
         keys, at = signatures(hashes, row, bounds) if len(hashes) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         of = row[at] if len(at) else at
+        of, keys = _once(of, keys)
         edges = pa.array(np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32))
         digests = [hashlib.md5(t.as_buffer() or b"", usedforsecurity=False).digest() for t in part.column(1)]
-        ids = part.column(0)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
-            pa.ListArray.from_arrays(edges, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(edges, pa.array((at - bounds[of]).astype(np.int32)))], ["doc_id", "digest", "words", "keys", "places"])
+        lists = pa.ListArray.from_arrays(edges, pa.array(keys.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "digest", "words", "keys"])
+
+
+def _pair(of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(np.ascontiguousarray(keys) + np.ascontiguousarray(of).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+def _once(of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key of a text once; sorted by text."""
+    order = np.lexsort((keys, of))
+    of, keys = of[order], keys[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+    return of[new], keys[new]
+
+
+def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each text's narrower groups, of windows whose minima are shared at all."""
+    for part in chunks(batches):
+        hashes, row, bounds = shingles(Words(part.column(1)))
+        n = len(hashes)
+        keys, at = signatures(hashes, row, bounds) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        lists = part.column(2)
+        sizes = np.asarray(pc.list_value_length(lists), np.int64)
+        pairs = np.stack([np.repeat(np.arange(part.num_rows), sizes), np.asarray(lists.flatten(), np.int64)], 1)
+        of = row[at] if len(at) else at
+        asked = np.isin(_pair(of, keys), _pair(pairs[:, 0], pairs[:, 1].view(np.uint64)))
+        keys, at, of = keys[asked], at[asked], of[asked]
+        found = []
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(_BASE, n), dtype=np.uint64)])
+            for k, (back, ahead) in enumerate(((CONTEXT // 2, CONTEXT // 2), (CONTEXT, 0), (0, CONTEXT))):
+                ok = np.flatnonzero((at - back >= bounds[of]) & (at + ahead < bounds[of + 1])) if n else at
+                lo = at[ok] - back
+                found.append((of[ok], mix(keys[ok] + mix((sums[at[ok] + ahead + 1] - sums[lo]) * powers(_INV, n + 1)[lo] + _U(k + 1)))))
+        of, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        of, keys = _once(of, keys)
+        edges = pa.array(np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edges, pa.array(keys.view(np.int64)))], ["id", "keys"])
 
 
 def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
@@ -173,15 +218,15 @@ def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST,
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "later", 1 << 20):
-        sides = []
-        for name in ("later", "earlier"):
-            hashes, _, bounds = shingles(Words(part.column(part.schema.get_field_index(name))))
-            sides.append((hashes, bounds))
+        later, _, later_at = shingles(Words(part.column(part.schema.get_field_index("later"))))
+        # the rows of one earlier document stand together; it is read once for all of them
+        _, first, which = np.unique(part.column(1).to_numpy(), return_index=True, return_inverse=True)
+        earlier, _, earlier_at = shingles(Words(part.column(part.schema.get_field_index("earlier")).take(pa.array(first))))
         rows = []
         ids, sources = part.column(0).to_pylist(), part.column(1).to_pylist()
         for i in range(part.num_rows):
-            (x, xb), (y, yb) = sides
-            for begin, end, s0, s1, similarity in common_passages(x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]):
+            w = which[i]
+            for begin, end, s0, s1, similarity in common_passages(later[later_at[i] : later_at[i + 1]], earlier[earlier_at[w] : earlier_at[w + 1]]):
                 rows.append((ids[i], begin, end + SHINGLE - 1, sources[i], s0, s1 + SHINGLE - 1, similarity))
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.float64() if j == 6 else pa.int64()) for j in range(7)], list(COLUMNS))
 
@@ -193,47 +238,35 @@ SCHEMA = ", ".join(f"{c} {'double' if c == 'similarity' else 'long'}" for c in C
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """COLUMNS for every passage of a document that an earlier document holds too; words count from 0."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    read = settle(rows.mapInArrow(_read, "doc_id long, digest binary, words long, keys array<long>, places array<int>"))
-    first = read.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    long_enough = read.where(F.col("words") >= LEAST_WORDS)
-    named = long_enough.join(first.where("copies > 1"), "digest", "left")
-    copies = named.where("id < doc_id").select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("words").alias("end_word"), F.col("id").alias("source_doc_id"),
-                                               F.lit(0).cast("long").alias("source_first_word"), F.col("words").alias("source_end_word"), F.lit(1.0).alias("similarity"))
-    kept = named.where("id is null or id = doc_id")
-    windows = kept.select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("keys", "places")).alias("w")).select("id", F.col("w.keys").alias("key"), F.col("w.places").alias("place"))
-    shared = windows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top"), F.count("*").alias("n")).where("lead < top").drop("top")
+    read = settle(rows.mapInArrow(_read, "doc_id long, digest binary, words long, keys array<long>"))
+    first = read.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top")).where("id < top").drop("top")
+    copied = settle(read.where(F.col("words") >= LEAST_WORDS).select("doc_id", "digest", "words").join(first, "digest").where("id < doc_id"))
+    whole = [F.lit(0).cast("long"), F.col("words"), F.lit(0).cast("long"), F.col("words"), F.lit(1.0)]
+    copies = copied.select("doc_id", whole[0].alias("first_word"), whole[1].alias("end_word"), F.col("id").alias("source_doc_id"), whole[2].alias("source_first_word"), whole[3].alias("source_end_word"), whole[4].alias("similarity"))
+    windows = having(read.select("doc_id", "keys"), copied, anti=True).select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    shared = windows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").drop("top")
     members = settle(windows.join(shared, "key"))
 
-    texts = rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        later = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("later"))
-        earlier = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("earlier"))
-        return pairs.join(later, "y").join(earlier, "x").select("y", "x", "later", "earlier").mapInArrow(_verify, SCHEMA)
-
-    asked = settle(members.where("lead < id").select(F.col("id").alias("y"), F.col("lead").alias("x")).distinct())
-    found = settle(verified(asked))
-    drawn = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
-    open_ = members.where("lead < id and n > 2")
-    done, now = 0.0, 2.0
-    while True:
-        spans = found.select(F.col("doc_id").alias("of"), "first_word", "end_word").distinct()
-        open_ = settle(open_.where(F.col("n") > done).join(spans, (F.col("id") == F.col("of")) & (F.col("place") >= F.col("first_word")) & (F.col("place") < F.col("end_word")), "left_anti"))
-        if empty(open_):
-            break
-        leads = members.join(open_.select("key").distinct(), "key").where((drawn >= done) & (drawn < now) & (F.col("id") > F.col("lead"))).select("key", F.col("id").alias("x"))
-        pairs = open_.select("key", F.col("id").alias("y")).join(leads, "key").where("x < y").select("y", "x").distinct()
-        pairs = settle(pairs.join(asked, ["y", "x"], "left_anti"))
-        asked = asked.unionByName(pairs)
-        found = settle(found.unionByName(verified(pairs)))
-        done, now = now, now * 4
+    texts = settle(having(rows, members.select(F.col("id").alias("doc_id"))))
+    own = members.groupBy("id").agg(F.collect_list("key").alias("shared"))
+    settings = texts.join(own, F.col("doc_id") == F.col("id")).select("doc_id", "text", "shared").mapInArrow(_settings, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    firsts = settings.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").drop("top")
+    pairs = members.select("id", "lead").unionByName(settings.join(firsts, "key").select("id", "lead")).where("lead < id").distinct()
+    later = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("later"))
+    earlier = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("earlier"))
+    asked = pairs.select(F.col("id").alias("y"), F.col("lead").alias("x")).join(later, "y").join(earlier, "x").select("y", "x", "later", "earlier")
+    found = asked.mapInArrow(_verify, SCHEMA)
+    before = Window.partitionBy("doc_id").orderBy("first_word", F.desc("end_word"), "source_doc_id", "source_first_word").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_reach", F.max("end_word").over(before)).where("_reach is null or end_word > _reach").drop("_reach")
     return found.unionByName(copies)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages cut from the later documents; a text of which nothing is left goes."""
     spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
+    spans = settle(spans)
+    few = spans.count() <= SENT_ROWS  # then texts need no shuffle
+    joined = docs.join(F.broadcast(spans) if few else spans, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
