@@ -45,6 +45,8 @@ PAIRS = 2
 THRESHOLD = 0.8
 CONTEXT = 16
 SENT_ROWS = 200_000
+DRIFT = 20  # shingles by which a passage's alignment may shift at a foreign stretch
+PIECE = 1 << 20
 MISMATCH = 8  # common shingles that one foreign shingle outweighs; a share of 8/9 is a Jaccard of 0.8
 _U = np.uint64
 _LOW = _U(0xFFFF)
@@ -166,16 +168,65 @@ def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edges, pa.array(keys.view(np.int64)))], ["id", "keys"])
 
 
-def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
-    """(begin, end, source begin, source end, similarity) in shingles: the stretches of `later` that `earlier` holds too."""
-    values, first = np.unique(earlier, return_index=True)
+def _alignments(later: np.ndarray, earlier: np.ndarray, enough: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in `later`, places in `earlier`) of common shingles, once for each alignment that can hold a passage.
+
+    A shingle that `earlier` holds once has one place on all alignments, any other the place nearest to the alignment.
+    Alignments are the diagonals around which all pairs of equal shingles are dense enough.
+    """
+    order = np.argsort(earlier, kind="stable")
+    values, first, times = np.unique(earlier[order], return_index=True, return_counts=True)
     if not len(values):
-        return []
+        return
     at = np.minimum(np.searchsorted(values, later), len(values) - 1)
     hit = np.flatnonzero(values[at] == later)
-    if len(hit) < 0.6 * least:
-        return []
-    source = first[at[hit]]
+    if len(hit) < enough:
+        return
+    at = at[hit]
+    yield hit, order[first[at]]
+    if times[at].max() == 1:
+        return
+    # pairs on each diagonal, counted in pieces: repeated lines make many
+    n = len(later)
+    dense = np.zeros(n + len(earlier) + 2 * DRIFT, np.int64)
+    total = np.cumsum(times[at])
+    lo = 0
+    while lo < len(hit):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PIECE, "right")))
+        t = times[at[lo:hi]]
+        inner = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        diagonal = order[np.repeat(first[at[lo:hi]], t) + inner] - np.repeat(hit[lo:hi], t) + n
+        dense += np.bincount(diagonal + DRIFT, minlength=len(dense))
+        lo = hi
+    sums = np.concatenate([[0], np.cumsum(dense)])
+    near = sums[2 * DRIFT + 1 :] - sums[: -2 * DRIFT - 1]  # of diagonal d - n all pairs within DRIFT
+    ranked = at * (2 * len(earlier) + 2 * n) + n
+    places = np.repeat(np.arange(len(values)), times) * (2 * len(earlier) + 2 * n) + n + order
+    held = np.flatnonzero(near >= enough)
+    while len(held):
+        band = held[held < held[0] + DRIFT]
+        shift = int(band[dense[band + DRIFT].argmax()]) - n
+        held = held[len(band) :]
+        aim = np.searchsorted(places, ranked + np.clip(hit + shift, 0, len(earlier) - 1))
+        above = np.minimum(aim, first[at] + times[at] - 1)
+        below = np.maximum(aim - 1, first[at])
+        a, b = order[above], order[below]
+        yield hit, np.where(np.abs(a - hit - shift) < np.abs(b - hit - shift), a, b)
+
+
+def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
+    """(begin, end, source begin, source end, similarity) in shingles: the stretches of `later` that `earlier` holds too."""
+    found = {x for hit, source in _alignments(later, earlier, 0.6 * least) for x in _along(later, earlier, hit, source, least, threshold)}
+    out, reach = [], -1
+    for x in sorted(found, key=lambda x: (x[0], -x[1], -x[4], x[2])):
+        if x[1] > reach:
+            out.append(x)
+            reach = x[1]
+    return out
+
+
+def _along(later: np.ndarray, earlier: np.ndarray, hit: np.ndarray, source: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
+    """The passages along one alignment."""
     # runs of common shingles along one alignment
     new = np.concatenate([[True], (np.diff(hit) > 1) | (np.abs(np.diff(source - hit)) > 2)])
     b = np.flatnonzero(new)
@@ -191,7 +242,7 @@ def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST,
         shift = int(source[e[k]] - hit[e[k]])
         # longer as long as what is common outweighs what is foreign
         while j < len(b):
-            if abs(int(source[b[j]] - hit[b[j]]) - shift) <= 20:
+            if abs(int(source[b[j]] - hit[b[j]]) - shift) <= DRIFT:
                 score += int(e[j] - b[j] + 1) - int(hit[b[j]] - last - 1) * MISMATCH
                 last = hit[e[j]]
                 if score <= 0:

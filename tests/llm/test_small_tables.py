@@ -259,6 +259,19 @@ def test_compact_windows():
     assert set(zip(centres.tolist(), left.tolist(), right.tolist())) == want
 
 
+def test_passages_behind_partial_copies():
+    rnd = np.random.default_rng(8)
+    text = lambda n: rnd.integers(1, 1 << 62, n, dtype=np.uint64)
+    p = text(56)
+    # a truncated copy stands before the whole passage
+    assert [x[:4] for x in passages.common_passages(p, np.concatenate([p[:26], text(50), p]))] == [(0, 56, 76, 132)]
+    # the passage holds a line that stands further up
+    q = np.concatenate([text(9), p, text(9)])
+    assert [x[:4] for x in passages.common_passages(q, np.concatenate([p[20:28], text(70), p[20:28], text(5), p]))] == [(9, 65, 91, 147)]
+    line = np.tile(text(8), 300)
+    assert [x[:2] for x in passages.common_passages(line, line)] == [(0, 2400)]
+
+
 def test_passages(spark, odd):
     shared = prose(77, 70)
     rows = [(100 + i, prose(i + 500, 90) + " " + shared + " " + prose(i + 800, 60), "a") for i in range(30)]
