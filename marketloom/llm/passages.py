@@ -7,12 +7,12 @@ minima in two documents make the documents candidates, and the passages are then
 of common shingles along one alignment, at least `LEAST` long, with a Jaccard similarity of `THRESHOLD` or more.
 
 A passage is reported for the later document (larger doc_id) with an earlier one that it repeats; of the passages of a
-document those inside another one are left out. In a group of equal minima no list of all pairs is made: every member
-meets the group's smallest doc_id. That one may hold the minima in another setting, so the documents that share any
-minima also form narrower groups, of windows whose `CONTEXT` shingles around, before or after the minimum are the same
-too, and meet the smallest doc_id of these. A passage is thus missed only if in none of its windows the first holder of
-the minima, nor of the minima in their setting, repeats it. Copies of a whole text are told by a digest first and
-reported against the smallest doc_id.
+document those inside another one are left out. In a group of equal minima, every member first meets the group's smallest
+doc_id. That one may hold the minima in another setting, so the documents that share any minima also form narrower
+groups, of windows whose `CONTEXT` shingles around, before or after the minimum are the same too, and meet the smallest
+doc_id of these. Windows that no passage found so far covers are then compared, on the shingles within `REACH` of their
+minimum, with all earlier members of their groups in bounded blocks, and what they share is found on the texts. Copies of
+a whole text are told by a digest first and reported against the smallest doc_id.
 
 Defined results: texts of fewer than `LEAST` + 4 words, null or empty, have no passage; repeated passages inside one
 document and rows that repeat a doc_id are not reported against themselves; rows with a null doc_id take no part; an
@@ -37,13 +37,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packed import _BASE, _INV, SHINGLE, Words, chunks, mix, powers, shingles, sliding_min
-from .session import having, settle
+from .session import empty, having, settle
 
 LEAST_WORDS = 50
 LEAST = LEAST_WORDS - SHINGLE + 1
 PAIRS = 2
 THRESHOLD = 0.8
 CONTEXT = 16
+REACH = 56  # a stretch as long as LEAST / THRESHOLD around a minimum reaches no further
+COMMON = 37  # distinct shingles that two stretches of LEAST share at THRESHOLD, at least
+BLOCK = 4096
 SENT_ROWS = 200_000
 DRIFT = 20  # shingles by which a passage's alignment may shift at a foreign stretch
 PIECE = 1 << 20
@@ -91,9 +94,9 @@ def compact_windows(place: np.ndarray, ranked: np.ndarray, row: np.ndarray, boun
     return centres, left, right
 
 
-def signatures(hashes: np.ndarray, row: np.ndarray, bounds: np.ndarray, least: int = LEAST, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, token): a key for each area of subsequences that share the minima of two hashes, and the token it stands at."""
-    keys, places = [], []
+def signatures(hashes: np.ndarray, row: np.ndarray, bounds: np.ndarray, least: int = LEAST, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, token, first, last): a key for each area of subsequences that share the minima of two hashes, the token it stands at, its ends."""
+    keys, places, firsts, lasts = [], [], [], []
     with np.errstate(over="ignore"):
         for p in range(pairs):
             found = []
@@ -105,13 +108,16 @@ def signatures(hashes: np.ndarray, row: np.ndarray, bounds: np.ndarray, least: i
             both = np.unique((pa_[ok] << 32) | pb[ok]) if len(ok) else ok
             a, b = both >> 32, both & 0xFFFFFFFF
             ia, ib = np.searchsorted(ca, a), np.searchsorted(cb, b)
-            wide = np.minimum(ra[ia], rb[ib]) - np.maximum(la[ia], lb[ib]) + 1 >= least
+            first, last = np.maximum(la[ia], lb[ib]), np.minimum(ra[ia], rb[ib])
+            wide = last - first + 1 >= least
             a, b = a[wide], b[wide]
             keys.append(mix(mix(hashes[a] + _U(p + 1)) * _U(0xD1342543DE82EF95) + hashes[b]))
             places.append(a)
-    keys, places = np.concatenate(keys), np.concatenate(places)
+            firsts.append(first[wide])
+            lasts.append(last[wide])
+    keys, places, firsts, lasts = (np.concatenate(x) for x in (keys, places, firsts, lasts))
     order = np.argsort(places, kind="stable")
-    return keys[order], places[order]
+    return keys[order], places[order], firsts[order], lasts[order]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +126,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(part.column(1))
         hashes, row, bounds = shingles(words)
         sizes = np.diff(words.bounds)
-        keys, at = signatures(hashes, row, bounds) if len(hashes) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        keys, at, first, last = signatures(hashes, row, bounds) if len(hashes) else (none.view(np.uint64), none, none, none)
         of = row[at] if len(at) else at
-        of, keys = _once(of, keys)
+        # place in the text and the reach of its area to both sides in one number
+        places = ((at - bounds[of]) << 12) | (np.minimum(at - first, REACH) << 6) | np.minimum(last - at, REACH)
         edges = pa.array(np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32))
         digests = [hashlib.md5(t.as_buffer() or b"", usedforsecurity=False).digest() for t in part.column(1)]
-        lists = pa.ListArray.from_arrays(edges, pa.array(keys.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "digest", "words", "keys"])
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (keys.view(np.int64), places)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "digest", "words", "keys", "places"])
 
 
 def _pair(of: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -148,7 +156,7 @@ def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches):
         hashes, row, bounds = shingles(Words(part.column(1)))
         n = len(hashes)
-        keys, at = signatures(hashes, row, bounds) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, at = signatures(hashes, row, bounds)[:2] if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         lists = part.column(2)
         sizes = np.asarray(pc.list_value_length(lists), np.int64)
         pairs = np.stack([np.repeat(np.arange(part.num_rows), sizes), np.asarray(lists.flatten(), np.int64)], 1)
@@ -168,7 +176,20 @@ def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edges, pa.array(keys.view(np.int64)))], ["id", "keys"])
 
 
-def _alignments(later: np.ndarray, earlier: np.ndarray, enough: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _held(common: np.ndarray, least: int) -> np.ndarray:
+    """The places of `common` (along its last axis) that a passage can hold: what is common outweighs what is foreign."""
+    n = common.shape[-1]
+    sums = np.zeros((*common.shape[:-1], n + 1), np.int64)
+    np.cumsum(np.where(common, 1, -MISMATCH), axis=-1, out=sums[..., 1:])
+    low = np.minimum.accumulate(sums, axis=-1)
+    if n < least:
+        return np.zeros(common.shape, bool)
+    some = (sums[..., least:] > low[..., : n + 1 - least]).any(-1)
+    high = np.maximum.accumulate(sums[..., ::-1], axis=-1)[..., ::-1]
+    return (high[..., 1:] > low[..., :-1]) & some[..., None]
+
+
+def _alignments(later: np.ndarray, earlier: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places in `later`, places in `earlier`) of common shingles, once for each alignment that can hold a passage.
 
     A shingle that `earlier` holds once has one place on all alignments, any other the place nearest to the alignment.
@@ -179,7 +200,9 @@ def _alignments(later: np.ndarray, earlier: np.ndarray, enough: float) -> Iterat
     if not len(values):
         return
     at = np.minimum(np.searchsorted(values, later), len(values) - 1)
-    hit = np.flatnonzero(values[at] == later)
+    common = values[at] == later
+    hit = np.flatnonzero(common & _held(common, least))
+    enough = 0.6 * least
     if len(hit) < enough:
         return
     at = at[hit]
@@ -216,7 +239,7 @@ def _alignments(later: np.ndarray, earlier: np.ndarray, enough: float) -> Iterat
 
 def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
     """(begin, end, source begin, source end, similarity) in shingles: the stretches of `later` that `earlier` holds too."""
-    found = {x for hit, source in _alignments(later, earlier, 0.6 * least) for x in _along(later, earlier, hit, source, least, threshold)}
+    found = {x for hit, source in _alignments(later, earlier, least) for x in _along(later, earlier, hit, source, least, threshold)}
     out, reach = [], -1
     for x in sorted(found, key=lambda x: (x[0], -x[1], -x[4], x[2])):
         if x[1] > reach:
@@ -282,6 +305,130 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.float64() if j == 6 else pa.int64()) for j in range(7)], list(COLUMNS))
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each asked window of a text the shingles within REACH of its minimum: 31 bits of each, and a last bit that a found passage covers it."""
+    for part in chunks(batches):
+        hashes, _, bounds = shingles(Words(part.column(1)))
+        covered = np.zeros(len(hashes) + 1, np.int64)
+        spans = part.column(3)
+        of = np.repeat(np.arange(part.num_rows), np.asarray(pc.fill_null(pc.list_value_length(spans), 0), np.int64))
+        ends = spans.flatten()
+        np.add.at(covered, bounds[of] + np.asarray(ends.field(0), np.int64), 1)
+        np.add.at(covered, bounds[of] + np.asarray(ends.field(1), np.int64) - SHINGLE + 1, -1)
+        marked = ((hashes >> _U(33)) << _U(1)).astype(np.int64) | (np.cumsum(covered)[:-1] > 0)
+        asked = part.column(2)
+        of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(asked), np.int64))
+        asked = asked.flatten()
+        at = bounds[of] + (np.asarray(asked.field(1), np.int64) >> 12)
+        lo, hi = np.maximum(at - REACH, bounds[of]), np.minimum(at + REACH + 1, bounds[of + 1])
+        for a in range(0, len(of), BLOCK):
+            b = min(a + BLOCK, len(of))
+            n = hi[a:b] - lo[a:b]
+            edges = np.concatenate([[0], np.cumsum(n)])
+            inner = np.arange(edges[-1]) - np.repeat(edges[:-1] - lo[a:b], n)
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(marked[inner].astype(np.uint32).view(np.int32)))
+            own = asked.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[a:b])), own.field(0), own.field(2), own.field(3), pa.array((lo - bounds[of])[a:b]), lists], ["id", "key", "open", "blocks", "start", "segment"])
+
+
+def _take(out: list, vain: set, later: np.ndarray, earlier: np.ndarray, open_: np.ndarray, at: tuple) -> None:
+    """Adds the passages that hold uncovered places, and covers them; equal segments without any are compared once."""
+    content = hashlib.blake2b(b"".join((later.tobytes(), b"|", open_.tobytes(), b"|", earlier.tobytes())), digest_size=16).digest()
+    if content in vain:
+        return
+    before = len(out)
+    for b, e, s0, s1, similarity in common_passages(later, earlier):
+        if open_[b:e].any():
+            open_[b:e] = False
+            out.append((at[0], b + at[1], e + at[1] + SHINGLE - 1, at[2], s0 + at[3], s1 + at[3] + SHINGLE - 1, similarity))
+    if len(out) == before:
+        vain.add(content)
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Passages that open segments hold in common with earlier ones of their groups; exact on the segments.
+
+    First segments go that share less than COMMON shingles with all others of their group together, until none is left
+    to go. Then each open one meets those that hold one of its rare or uncovered shingles, from the smallest doc_id on,
+    as long as they hold shingles that no passage covers.
+    """
+    table = table.combine_chunks()
+    keys, ids, side, start = (table[c].to_numpy() for c in ("key", "id", "side", "start"))
+    opens = np.asarray(table["open"].to_numpy(zero_copy_only=False), bool)
+    two = table["lo"][0].as_py() != table["hi"][0].as_py()
+    lists = table["segment"].chunk(0) if table["segment"].num_chunks else pa.array([], pa.list_(pa.int32()))
+    sizes = np.asarray(pc.list_value_length(lists), np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.asarray(lists.flatten()).view(np.uint32)
+    shingle, bare = (values >> 1).astype(np.uint64), (values & 1) == 0
+    n = len(keys)
+    owner = np.repeat(np.arange(n), sizes)
+    with np.errstate(over="ignore"):
+        token = mix(keys.view(np.uint64)[owner] * _U(0x9E3779B97F4A7C15) + shingle)
+    order = np.lexsort((~bare, token, owner))
+    owner, token, bare_token, plain = owner[order], token[order], bare[order], shingle[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+    owner, token, bare_token, plain = owner[new], token[new], bare_token[new], plain[new]
+    _, group = np.unique(keys, return_inverse=True)
+    need = np.full(group.max() + 1, COMMON)
+    np.minimum.at(need, group, np.maximum(COMMON - sizes + np.bincount(owner, minlength=n), 1))
+    need = need[group]
+    alive = n + 1
+    while True:
+        _, token, df = np.unique(token, return_inverse=True, return_counts=True)
+        keep = df[token] > 1
+        owner, token, bare_token, plain = owner[keep], token[keep], bare_token[keep], plain[keep]
+        stay = np.bincount(owner, minlength=n) >= need
+        asked = np.zeros(len(need), bool)
+        asked[group[stay & opens]] = True
+        stay &= asked[group]
+        if stay.sum() == alive:
+            break
+        alive = stay.sum()
+        keep = stay[owner]
+        owner, token, bare_token, plain = owner[keep], token[keep], bare_token[keep], plain[keep]
+    _, token, df = np.unique(token, return_inverse=True, return_counts=True)
+    posting = np.concatenate([[0], np.cumsum(df)])
+    holders = owner[np.argsort(token, kind="stable")]
+    edges = np.searchsorted(owner, np.arange(n + 1))
+    out, vain = [], set()
+    for y in np.flatnonzero(stay & opens):
+        own, free = token[edges[y] : edges[y + 1]], bare_token[edges[y] : edges[y + 1]]
+        rare = own[np.argsort(df[own], kind="stable")][: len(own) - need[y] + 1]
+        few = min(rare, own[free], key=lambda t: df[t].sum())
+        if not len(few):
+            continue
+        near = np.unique(np.concatenate([holders[posting[t] : posting[t + 1]] for t in few]))
+        near = near[ids[near] < ids[y]]
+        if two:
+            near = near[side[near] != side[y]]
+        if not len(near):
+            continue
+        later, open_ = shingle[bounds[y] : bounds[y + 1]], bare[bounds[y] : bounds[y + 1]].copy()
+        distinct, place = np.unique(later, return_inverse=True)
+        which = np.searchsorted(distinct, plain[edges[y] : edges[y + 1]])
+        near = near[np.argsort(ids[near], kind="stable")]
+        local = np.full(n, -1)
+        for lo in range(0, len(near), 1024):
+            # which shingles each of these holds, then where a passage with an uncovered one can be
+            some = near[lo : lo + 1024]
+            local[some] = np.arange(len(some))
+            holds = np.zeros((len(some), len(distinct)), bool)
+            who = [local[holders[posting[t] : posting[t + 1]]] for t in own]
+            column = np.repeat(which, [len(w) for w in who])
+            who = np.concatenate(who)
+            holds[who[who >= 0], column[who >= 0]] = True
+            local[some] = -1
+            fit = holds.sum(1) >= need[y]
+            some, room = some[fit], _held(holds[fit][:, place], LEAST)
+            for k, x in enumerate(some):
+                if not (room[k] & open_).any():
+                    continue
+                _take(out, vain, later, shingle[bounds[x] : bounds[x + 1]], open_, (ids[y], start[y], ids[x], start[x]))
+    return pa.table({c: pa.array([r[j] for r in out], pa.float64() if j == 6 else pa.int64()) for j, c in enumerate(COLUMNS)})
+
+
 COLUMNS = ("doc_id", "first_word", "end_word", "source_doc_id", "source_first_word", "source_end_word", "similarity")
 SCHEMA = ", ".join(f"{c} {'double' if c == 'similarity' else 'long'}" for c in COLUMNS)
 
@@ -289,29 +436,62 @@ SCHEMA = ", ".join(f"{c} {'double' if c == 'similarity' else 'long'}" for c in C
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """COLUMNS for every passage of a document that an earlier document holds too; words count from 0."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    read = settle(rows.mapInArrow(_read, "doc_id long, digest binary, words long, keys array<long>"))
+    read = settle(rows.mapInArrow(_read, "doc_id long, digest binary, words long, keys array<long>, places array<long>"))
     first = read.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top")).where("id < top").drop("top")
     copied = settle(read.where(F.col("words") >= LEAST_WORDS).select("doc_id", "digest", "words").join(first, "digest").where("id < doc_id"))
     whole = [F.lit(0).cast("long"), F.col("words"), F.lit(0).cast("long"), F.col("words"), F.lit(1.0)]
     copies = copied.select("doc_id", whole[0].alias("first_word"), whole[1].alias("end_word"), F.col("id").alias("source_doc_id"), whole[2].alias("source_first_word"), whole[3].alias("source_end_word"), whole[4].alias("similarity"))
-    windows = having(read.select("doc_id", "keys"), copied, anti=True).select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = windows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").drop("top")
+    windows = having(read.select("doc_id", "keys", "places"), copied, anti=True).select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("keys", "places")).alias("w")).select("id", F.col("w.keys").alias("key"), F.col("w.places").alias("at"))
+    shared = windows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top"), (F.count("*") > 2).alias("many")).where("lead < top").drop("top")
     members = settle(windows.join(shared, "key"))
 
     texts = settle(having(rows, members.select(F.col("id").alias("doc_id"))))
-    own = members.groupBy("id").agg(F.collect_list("key").alias("shared"))
+    own = members.groupBy("id").agg(F.collect_set("key").alias("shared"))
     settings = texts.join(own, F.col("doc_id") == F.col("id")).select("doc_id", "text", "shared").mapInArrow(_settings, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     firsts = settings.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").drop("top")
     pairs = members.select("id", "lead").unionByName(settings.join(firsts, "key").select("id", "lead")).where("lead < id").distinct()
-    later = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("later"))
-    earlier = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("earlier"))
-    asked = pairs.select(F.col("id").alias("y"), F.col("lead").alias("x")).join(later, "y").join(earlier, "x").select("y", "x", "later", "earlier")
-    found = asked.mapInArrow(_verify, SCHEMA)
+    pairs = settle(pairs.select(F.col("id").alias("y"), F.col("lead").alias("x")))
+
+    def verified(asked: DataFrame) -> DataFrame:
+        later = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("later"))
+        earlier = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("earlier"))
+        return asked.join(later, "y").join(earlier, "x").select("y", "x", "later", "earlier").mapInArrow(_verify, SCHEMA)
+
+    found = settle(verified(pairs))
+    more = settle(_remainder(members, texts, found))
+    left = settle(more.select(F.col("doc_id").alias("y"), F.col("source_doc_id").alias("x")).distinct().join(pairs, ["y", "x"], "left_anti"))
+    found = found.unionByName(more)
+    if not empty(left):
+        found = found.unionByName(verified(left))
     before = Window.partitionBy("doc_id").orderBy("first_word", F.desc("end_word"), "source_doc_id", "source_first_word").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("_reach", F.max("end_word").over(before)).where("_reach is null or end_word > _reach").drop("_reach")
     return found.unionByName(copies)
 
 
+def _remainder(members: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages around windows that `found` does not cover, with any earlier member of their groups."""
+    spans = settle(found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("spans")))
+    few = spans.count() <= SENT_ROWS
+    place, back, ahead = F.shiftright("at", 12), F.shiftright("at", 6).bitwiseAND(F.lit(63)), F.col("at").bitwiseAND(F.lit(63))
+    covers = F.exists("spans", lambda s: (s["first_word"] <= place - back) & (s["end_word"] >= place + ahead + SHINGLE))
+    several = members.where("many").join(F.broadcast(spans) if few else spans, F.col("id") == F.col("of"), "left")
+    several = several.select("id", "key", "at", (F.col("lead") < F.col("id")).alias("after"), F.coalesce(covers, F.lit(False)).alias("covered")).selectExpr("id", "key", "at", "after and not covered as open")
+    groups = several.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).where("last is not null")
+    groups = groups.select("key", "last", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    asked = settle(several.join(groups, "key").where("id <= last").select("id", "key", "at", "open", "blocks"))
+    buckets = -(-asked.count() // BLOCK) or 1
+    own = asked.groupBy("id").agg(F.collect_list(F.struct("key", "at", "open", "blocks")).alias("asked"))
+    known = having(texts, asked.select(F.col("id").alias("doc_id"))).join(own, F.col("doc_id") == F.col("id"))
+    known = known.join(F.broadcast(spans) if few else spans, F.col("id") == F.col("of"), "left").select("id", "text", "asked", "spans")
+    segments = known.mapInArrow(_segments, "id long, key long, open boolean, blocks int, start long, segment array<int>")
+    # a group beyond BLOCK members is compared block by block, smaller ones many at once
+    block = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
+    dealt = segments.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bucket = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(buckets)))
+    dealt = dealt.select(bucket.alias("bucket"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "key", "open", "start", "segment")
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(_meet, SCHEMA).distinct()
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages cut from the later documents; a text of which nothing is left goes."""
     spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans"))

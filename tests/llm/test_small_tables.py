@@ -272,6 +272,22 @@ def test_passages_behind_partial_copies():
     assert [x[:2] for x in passages.common_passages(line, line)] == [(0, 2400)]
 
 
+def test_passages_behind_a_first_holder_of_the_minima(spark, monkeypatch):
+    rows, want = [], set()
+    for k in range(10):
+        p = [f"p{k}.{i}" for i in range(50)]
+        junk = lambda n, k=k: [f"j{k}.{n}.{i}" for i in range(60)]
+        # the first document leads all groups of the passage, yet holds no 50 words of it
+        texts = [junk(0) + p[:38] + junk(1) + p[12:] + junk(2), junk(3) + p + junk(4), junk(5) + p + junk(6)]
+        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate(texts)]
+        want.add((3 * k + 2, 3 * k + 1, 60, 110))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: {(r["doc_id"], r["source_doc_id"], r["first_word"], r["end_word"]) for r in passages.repeated_passages(table).collect()}
+    assert got() == want
+    monkeypatch.setattr(passages, "BLOCK", 1)  # groups of three in blocks of one
+    assert got() == want
+
+
 def test_passages(spark, odd):
     shared = prose(77, 70)
     rows = [(100 + i, prose(i + 500, 90) + " " + shared + " " + prose(i + 800, 60), "a") for i in range(30)]
