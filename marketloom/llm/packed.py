@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # text handled at once; one longer text makes a chunk of its own
+CHUNK_BYTES = 1 << 18  # text handled at once; its arrays then stay in a core's cache. One longer text makes a chunk of its own
 SHINGLE = 5
 
 _U = np.uint64
@@ -28,7 +28,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; the last table is kept and grown."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        have = np.empty(max(n, CHUNK_BYTES // 4), np.uint64)
+        have = np.empty(max(n, 2 * CHUNK_BYTES), np.uint64)
         have[0], done = 1, 1
         step = base
         with np.errstate(over="ignore"):
@@ -48,11 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds at most `limit` bytes of text, or one row."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, other: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most `limit` bytes of text (in both columns together, if two are named), or one row."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+        ends = 0
+        for name in (text, *([other] if other else [])):
+            ends = ends + np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0), np.int64))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0

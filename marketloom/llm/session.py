@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +11,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context (tests)."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    own = context._jsc.sc().getCheckpointDir()
+    if own.isEmpty():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return own.get()
+
+
+#: rows of an Arrow batch while something is settled: whole texts stand in it, so it bounds a worker's memory
+ROWS_AT_ONCE = 2000
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """`df` computed once and kept in the shared folder, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    usual = spark.conf.get(_RECORDS)
+    spark.conf.set(_RECORDS, str(min(rows_at_once, int(usual)) if int(usual) > 0 else rows_at_once))
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_RECORDS, usual)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,3 +64,10 @@ def having(rows: DataFrame, ids: DataFrame, column: str = "doc_id", anti: bool =
 def held_out(doc_id) -> object:
     """True for the quarter of documents whose labels are not learned from."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have yet."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name

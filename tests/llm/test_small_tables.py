@@ -288,6 +288,54 @@ def test_passages_behind_a_first_holder_of_the_minima(spark, monkeypatch):
     assert got() == want
 
 
+def jaccard(p, q):
+    a, b = (set(zip(*(x[i:] for i in range(5)))) for x in (p, q))
+    return len(a & b) / len(a | b)
+
+
+def edited(rnd, words, least):
+    """Random edits of words as long as the five-word shingles keep that Jaccard."""
+    out = list(words)
+    while True:
+        q, at, kind = list(out), rnd.randrange(len(out)), rnd.randrange(3)
+        q[at : at + (kind < 2)] = [f"new{rnd.random()}"] * (kind != 1)
+        if jaccard(words, q) < least:
+            return out
+        out = q
+
+
+def test_passage_probes():
+    rnd = random.Random(12)
+    text = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    shingled = lambda w: packed.shingles(packed.Words(pa.array([" ".join(w)])))[0]
+    for k in range(30):
+        p = text(60)
+        # a piece of the passage further up, one word changed in the middle, one near the edge of 50
+        for p, q, before in ((p, p, p[: 10 + k % 21]), (p, [*p[:30], "new", *p[31:]], []), (p[:50], [*p[:3], "new", *p[4:50]], [])):
+            found = passages.common_passages(shingled(text(40) + q + text(40)), shingled(text(30) + before + text(20) + p + text(30)))
+            assert any(b <= 44 and e >= 40 + len(q) - 8 for b, e, *_ in found), (k, len(q))
+
+
+def test_passage_recall(spark):
+    rnd = random.Random(7)
+    text = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(160):
+        p = text(rnd.choice((50, 55, 60, 80)))
+        q = edited(rnd, p, 0.8)
+        rows += [(2 * k, " ".join(text(50) + p + text(40))), (2 * k + 1, " ".join(text(60) + q + text(30)))]
+        want[2 * k + 1] = (2 * k, 60, 60 + len(q))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(table).collect()
+    hit = {r["doc_id"] for r in found if want[r["doc_id"]][0] == r["source_doc_id"] and r["first_word"] < want[r["doc_id"]][2] and r["end_word"] > want[r["doc_id"]][1]}
+    assert len(hit) >= 0.9 * len(want)
+    # precision: what is reported is as similar as it says
+    words = {i: t.split() for i, t in rows}
+    for r in found:
+        p, q = words[r["doc_id"]][r["first_word"] : r["end_word"]], words[r["source_doc_id"]][r["source_first_word"] : r["source_end_word"]]
+        assert min(len(p), len(q)) >= 50 and jaccard(p, q) >= 0.8 - 1e-9
+
+
 def test_passages(spark, odd):
     shared = prose(77, 70)
     rows = [(100 + i, prose(i + 500, 90) + " " + shared + " " + prose(i + 800, 60), "a") for i in range(30)]
