@@ -226,6 +226,20 @@ def test_suffix_edges(spark):
     assert suffixdedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_hot_anchors(spark, monkeypatch):
+    """One line in many settings, with the windows around it dealt one by one."""
+    rnd = random.Random(16)
+    some = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    line, sides = some(40), [some(30) for _ in range(4)]
+    rows = [(i if i % 9 else 1, some(80) + rnd.choice(sides) + line + rnd.choice(sides) + (line if i % 5 == 0 else "") + some(60)) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (0, 10):
+        monkeypatch.setattr(suffixdedup, "HOT", hot)
+        monkeypatch.setattr(suffixdedup, "CHUNK_BYTES", 4000)
+        got = suffixdedup.digest(suffixdedup.remove_repeats(table)).collect()
+        assert sorted((str(r[0]), *r[1:]) for r in got) == brute_suffix(rows)
+
+
 def test_equal_windows():
     rnd = np.random.default_rng(2)
     text = rnd.integers(1, 3, 400).astype(np.uint16)
