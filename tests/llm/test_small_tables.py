@@ -428,5 +428,28 @@ def test_decontaminate(spark, odd):
 
 
 def test_nearest():
-    assert decontaminate.nearest("kitten", "a sitting b") == (2, 3, 7) or decontaminate.nearest("kitten", "a sitting b")[0] == 2
-    assert decontaminate.nearest("abc", "xxabcxx") == (0, 2, 5)
+    letters = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    assert decontaminate.nearest(letters("kitten"), letters("a sitting b"))[0] == 2
+    assert decontaminate.nearest(letters("abc"), letters("xxabcxx")) == (0, 2, 5)
+    assert decontaminate.nearest(letters("abc"), letters(""))[0] == 3
+
+
+def test_decontamination_recall_at_the_largest_distance():
+    """Items with as many random word edits as are allowed, against the exact distance to every stretch of every text."""
+    rnd = random.Random(3)
+    items, texts = [], []
+    for m in (8, 12, 20, 30, 45, 60, 100) * 20:
+        item = [f"i{rnd.randrange(3000)}" for _ in range(m)]
+        copy = list(item)
+        for _ in range(m // 5):
+            at, kind = rnd.randrange(len(copy)), rnd.randrange(3)
+            copy[at : at + (kind < 2)] = [f"n{rnd.random()}"] * (kind != 1)
+        items.append(" ".join(item))
+        texts.append(" ".join([f"i{rnd.randrange(3000)}" for _ in range(30)] + copy + [f"i{rnd.randrange(3000)}" for _ in range(30)]))
+    known = decontaminate.Items(list(range(len(items))), items)
+    words = packed.Words(pa.array(texts))
+    want = {(r, k) for r in range(len(texts)) for k in range(len(items)) if k == r or (k * 7 + r) % 23 == 0
+            if decontaminate.nearest(known.words[k], words.hash[words.bounds[r] : words.bounds[r + 1]])[0] <= known.edits[k]}
+    got = {(r, k): d for r, k, _, _, d, _ in known.matches(pa.array(texts))}
+    assert len(want) >= len(texts) and len(want & set(got)) >= decontaminate.RECALL * len(want)
+    assert set(got) <= want | {(r, k) for r, k in got if k != r and (k * 7 + r) % 23}
