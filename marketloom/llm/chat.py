@@ -10,6 +10,8 @@ and `unescape` gives the very text back.
 
 Defined results: null role or text is empty; turns that tie keep the order of role and text; repeated rows are turns of
 their own; an empty table gives an empty result; other columns are ignored. A node whose parent is missing is a root.
+Parents that lead back to their own child (a cycle, or a node that is its own parent) never reach a root: such nodes and all
+replies to them have no path and take no part; the other trees of the conversation are formatted.
 A conversation is one row of the result, so its own length bounds a task's memory.
 """
 
@@ -53,6 +55,7 @@ def paths(tree: DataFrame) -> DataFrame:
     inner = step.select(F.col("conv_id").alias("c"), F.col("high").alias("h")).distinct()
     found = nodes.join(inner, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("h")), "left_anti")
     found = settle(found.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    longest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     far = 1
     while True:
         more = found.alias("f").join(step.alias("s"), F.col("f.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("f.node") == F.col("s.low")))
@@ -63,6 +66,9 @@ def paths(tree: DataFrame) -> DataFrame:
         far *= 2
         if not step.limit(1).count():
             return found
+        if far > longest:  # who still has something so far above stands below a cycle, or in it
+            lost = step.select(F.col("conv_id").alias("c"), F.col("low").alias("l")).distinct()
+            return settle(found.join(lost, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("leaf") == F.col("l")), "left_anti"))
 
 
 def render(turns: Column) -> Column:

@@ -12,8 +12,9 @@ out by tag, role and class words. A header inside an article stays, since it hol
 Defined results: null html gives empty text; a null or odd url is a host of its own; broken markup (missing ends, cut
 pages, quotes left open) is read as far as it goes; repeated rows are extracted alike; other columns are ignored.
 
-Scale: votes are combined before the shuffle, so a hot host costs one row for each task and path. Page texts are never
-shuffled: winners are sent to all tasks while they are few (`SENT_ROWS`), and are joined by host beyond that.
+Scale: votes are combined before the shuffle, so a hot host costs one row for each task and path. Winners are sent to all
+tasks while they are few (`SENT_ROWS` hosts), and page texts are then not shuffled. Beyond that pages are joined by host,
+a hot host's being split over `SALTS` keys. Paths inside a page are numbered, so deep nesting costs no more than its tags.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SENT_ROWS = 100_000
+SALTS = 64
 WINNING_SHARE = 0.25
 DENSE = 0.7
 
@@ -39,13 +41,20 @@ _DROP = frozenset("head nav header footer aside form button menu dialog fieldset
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 # Class, id or role words that mark boilerplate, and those that mark an article.
 _BAD = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners cookie cookies consent gdpr notice notices popup modal overlay promo promotion sponsor sponsored sidebar aside rail comment comments commentlist disqus respond reply replies share sharing social related recommended recommendation breadcrumb breadcrumbs pagination pager menu nav navbar navigation navigations footer header masthead topbar newsletter subscribe subscription signup login widget widgets toolbar skip alert complementary contentinfo search searchform".split())
+# Of the boilerplate words those that also mark a single paragraph; other words may be about its subject.
+_BAD_BLOCK = frozenset("ad ads advert adverts advertisement advertising adsense cookie consent gdpr sponsor sponsored newsletter promo promotion".split())
 _GOOD = frozenset("article content main post entry story body text articlebody maincontent hentry".split())
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Further elements of the language; any other name in a tag that does not close is taken for text.
+_KNOWN = _VOID | _DROP | _INLINE | _HEADINGS | frozenset("html body main article section div p span ul ol li dl dt dd table thead tbody tfoot tr td th caption colgroup blockquote pre address figure figcaption details summary center hgroup search legend optgroup option output progress meter map picture font frame frameset noframes".split()) | frozenset(_RAW.split("|"))
+# quotes reach no further than this many characters, so open ones cost a bounded scan
+_QUOTED = r"\"[^\"]{0,65536}\"|'[^']{0,65536}'"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     rf"|<(?P<raw>{_RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)/?>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>|</?[a-zA-Z!][^<>]*\Z",
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>[^<>\"']*(?:(?:{_QUOTED})[^<>\"']*)*)/?>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>|<(?P<cut>/?[a-zA-Z!][a-zA-Z0-9:-]*)[^<>]*\Z",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -56,7 +65,10 @@ class Page:
     """Containers and text blocks of one page."""
 
     def __init__(self, html: str):
-        self.parent, self.path, self.good_name, self.dropped = [-1], [""], [False], [False]
+        self.parent, self.path, self.good_name, self.dropped = [-1], [0], [False], [False]
+        # paths by number: the number of the path above and the last name; the first is the page's own
+        self.names: list[tuple[int, str]] = [(-1, "")]
+        self.numbers: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(html)
 
@@ -69,10 +81,10 @@ class Page:
                     bad = True
                 elif key in ("class", "id", "role"):
                     words = set(_WORDS.findall(value))
-                    bad |= bool(words & _BAD)
+                    bad |= bool(words & (_BAD_BLOCK if tag == "p" else _BAD)) and tag not in _HEADINGS
                     good |= bool(words & _GOOD)
                     if key == "class" and words:
-                        name = f"{tag}.{re.sub(r'[0-9]+', '', value.split()[0])}"
+                        name = f"{tag}.{re.sub(r'[0-9>]+', '', value.split()[0])}"
         if tag == "header" and in_article:
             bad = False
         elif tag in _DROP or bad and tag not in ("html", "body", "article", "main"):
@@ -80,14 +92,35 @@ class Page:
         else:
             bad = False
         self.parent.append(above)
-        self.path.append(f"{self.path[above]}>{name}")
+        step = (self.path[above], name)
+        number = self.numbers.setdefault(step, len(self.names))
+        if number == len(self.names):
+            self.names.append(step)
+        self.path.append(number)
         self.good_name.append(good)
         self.dropped.append(self.dropped[above] or bad)
         return len(self.parent) - 1
 
+    def path_text(self, number: int) -> str:
+        names = []
+        while number > 0:
+            number, name = self.names[number]
+            names.append(name)
+        return ">".join(["", *names[::-1]])
+
+    def path_number(self, text: str) -> int:
+        """The number of a path, -1 if the page does not have it."""
+        number = 0
+        for name in text.split(">")[1:]:
+            number = self.numbers.get((number, name), -1)
+            if number < 0:
+                return -1
+        return number
+
     def _read(self, html: str) -> None:
         stack, parts, at, in_link, links = [("", 0)], [], 0, False, 0
         articles = 0
+        opened: dict[str, int] = {}  # how often each tag is on the stack
         skip, owner = -1, 0  # where the text of an inline element that is left out begins, and the container around it
 
         def flush() -> None:
@@ -102,7 +135,24 @@ class Page:
                 parts.clear()
             links, skip = 0, -1
 
-        for m in _TOKEN.finditer(html):
+        def push(tag: str, c: int) -> None:
+            stack.append((tag, c))
+            opened[tag] = opened.get(tag, 0) + 1
+
+        def cut(k: int) -> None:
+            nonlocal articles
+            for t, _ in stack[k:]:
+                opened[t] -= 1
+                articles -= t in ("article", "main")
+            del stack[k:]
+
+        pos = 0
+        while m := _TOKEN.search(html, pos):
+            name = m["tag2"] or (m["cut"] or "").lstrip("/")
+            if name and name[0] != "!" and name.lower() not in _KNOWN and "-" not in name and ":" not in name:
+                pos = m.start() + 1  # a sign in the text, not a tag
+                continue
+            pos = m.end()
             if m.start() > at:
                 parts.append(html[at : m.start()])
                 if in_link:
@@ -116,45 +166,47 @@ class Page:
                 in_link = not end
                 continue
             if tag in _VOID:
-                parts.append(" ")
+                if tag == "hr":
+                    flush()
+                elif tag == "br":
+                    parts.append(" ")
                 continue
             if tag in _INLINE and not (attrs and not end) and not any(t == tag for t, _ in stack[-3:]):
                 continue
             if end:
-                if tag == "p" and not any(t == "p" for t, _ in stack):
+                if not opened.get(tag):
+                    if tag == "p":
+                        flush()
+                    continue
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+                if tag not in _INLINE:
                     flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag not in _INLINE:
-                            flush()
-                        elif skip >= 0:
-                            del parts[skip:]
-                            skip = -1
-                        articles -= sum(t in ("article", "main") for t, _ in stack[k:])
-                        del stack[k:]
-                        break
+                elif skip >= 0:
+                    del parts[skip:]
+                    skip = -1
+                cut(k)
                 continue
             if tag in _INLINE:
                 if _ATTR.search(attrs):
                     c = self._open(tag, attrs, stack[-1][1], articles > 0)
                     if self.dropped[c] and not self.dropped[stack[-1][1]]:
                         skip, owner = len(parts), stack[-1][1]
-                        stack.append((tag, c))
+                        push(tag, c)
                 continue
             flush()
             if tag == "body":
-                del stack[2 if len(stack) > 1 and stack[1][0] == "html" else 1 :]
-            while len(stack) > 1 and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()  # these can't hold a block
+                cut(2 if len(stack) > 1 and stack[1][0] == "html" else 1)
+            while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS):
+                cut(len(stack) - 1)  # these can't hold a block
             if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == tag:
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in ("article", "main"):
                 articles += 1
-            if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and not attrs:
-                stack.append((tag, stack[-1][1]))  # its text belongs to the container around it
+            if (tag == "p" or tag in _HEADINGS) and not attrs:
+                push(tag, stack[-1][1])  # its text belongs to the container around it
             else:
-                stack.append((tag, self._open(tag, attrs, stack[-1][1], articles > 0)))
-        if at < len(html) and not html.startswith("<", at):
+                push(tag, self._open(tag, attrs, stack[-1][1], articles > 0))
+        if at < len(html):
             parts.append(html[at:])
         flush()
 
@@ -167,8 +219,11 @@ class Page:
             out[self.parent[c]] += out[c]
         return out
 
-    def candidate(self) -> tuple[str, float]:
-        """Path and weight of the densest container that keeps most of the text."""
+    def candidate(self) -> tuple[int, float]:
+        """Number of the path and weight of the densest container that keeps most of the text.
+
+        An article keeps all that is in it, so it is left only for a container with the very same text.
+        """
         weights = self.weights()
         children: dict[int, list[int]] = {}
         for c in range(1, len(weights)):
@@ -176,14 +231,19 @@ class Page:
         at = 0
         while own := children.get(at):
             best = max(own, key=lambda c: (weights[c] * (1.5 if self.good_name[c] else 1.0), -c))
-            share = 0.4 if self.good_name[best] and not self.good_name[at] else DENSE
-            tag = self.path[best].rpartition(">")[2].partition(".")[0]
-            if weights[best] <= 0 or weights[best] < share * weights[at] or tag in ("p", "li", "ul", "ol", "td", "tr", "blockquote", "pre"):
+            tag, above = (self.names[self.path[c]][1].partition(".")[0] for c in (best, at))
+            if not self.good_name[at]:
+                share = 0.4 if self.good_name[best] else DENSE
+            elif above != "article" and (tag in ("article", "main") or self.good_name[best]):
+                share = DENSE
+            else:
+                share = 1.0
+            if weights[best] <= 0 or weights[best] < share * weights[at] or tag == "p" or tag in _HEADINGS or tag in ("li", "ul", "ol", "td", "tr", "blockquote", "pre"):
                 break
             at = best
         return self.path[at], weights[at]
 
-    def text(self, path: str) -> str:
+    def text(self, path: int) -> str:
         """Blocks in containers on that path or below one, in page order."""
         inside = [p == path for p in self.path]
         for c in range(1, len(inside)):
@@ -191,12 +251,9 @@ class Page:
         return "\n\n".join(text for c, text, _ in self.blocks if inside[c])
 
     def extract(self, winners: list[str]) -> str:
-        known = set(self.path)
         own, weight = self.candidate()
-        if own in winners or weight <= 0:
-            return self.text(own)
-        found = [w for w in winners if w in known]
-        if not found:
+        found = sorted({n for w in winners if (n := self.path_number(w)) >= 0})
+        if weight <= 0 or not found or own in found:
             return self.text(own)
         weights, by = self.weights(), {}
         for c, p in enumerate(self.path):
@@ -217,7 +274,9 @@ def host_paths(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
         votes: dict[tuple[str, str], float] = {}
         for batch in batches:
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path, weight = Page(html).candidate()
+                page = Page(html)
+                number, weight = page.candidate()
+                path = page.path_text(number)
                 if weight > 0:
                     votes[name, path] = votes.get((name, path), 0.0) + math.log1p(weight)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.float64())], ["host", "path", "votes"])
@@ -237,8 +296,11 @@ def extract(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
     from .session import settle
 
     winners = settle(host_paths(pages, share))
-    small = winners.count() <= SENT_ROWS
-    winners = winners.withColumnRenamed("host", "of")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = rows.join(F.broadcast(winners) if small else winners, F.col("host") == F.col("of"), "left")
+    if winners.count() <= SENT_ROWS:
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = rows.join(winners, ["host", "salt"], "left")
     return joined.withColumn("text", F.pandas_udf(_extract, "string")("html", "paths")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -7,9 +7,9 @@ centroid by cosine names the language; a text farther from it than nearly all tr
 rejected.
 
 Document frequencies are counted over all training rows; clustering reads a bounded sample of `sample` rows for each
-language, taken by a digest. The model (languages x clusters x features) is the only thing sent to tasks.
+language, taken by a digest of doc_id and text, repeated rows once. The model (languages x clusters x features) is the only thing sent to tasks.
 
-Defined results: null text or text without a letter is `und` with score 0; with no training rows every text is `und`;
+Defined results: null text or text without a letter (Unicode category L, in any plane) is `und` with score 0; with no training rows every text is `und`;
 repeated rows are scored alike; other columns are ignored.
 """
 
@@ -33,15 +33,22 @@ SAMPLE = 1500
 CLUSTERS = 4
 REJECT_SHARE = 0.002
 UND = "und"
-_letters: np.ndarray | None = None
+_tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _table() -> np.ndarray:
-    """For each code point of the basic plane: 0 if no letter, else a small code of the letter."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((cp if unicodedata.category(chr(cp))[0] == "L" or 0x300 <= cp < 0x370 else 0 for cp in range(0x10000)), np.uint32, 0x10000)
-    return _letters
+def _codes() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its code in n-grams (0: none, marks on letters have one), and whether it is a letter.
+
+    Letters beyond the basic plane count as one class for each block of 256.
+    """
+    global _tables
+    if _tables is None:
+        letter = np.fromiter((unicodedata.category(chr(cp))[0] == "L" for cp in range(0x110000)), bool, 0x110000)
+        points = np.arange(0x110000, dtype=np.uint32)
+        code = np.where(letter, np.where(points < 0x10000, points, (points >> 8) | 0x10000), 0).astype(np.uint32)
+        code[0x300:0x370] = points[0x300:0x370]
+        _tables = code, letter
+    return _tables
 
 
 def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +59,9 @@ def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, n) + 1
     row = np.repeat(np.arange(n), sizes)
-    # letters beyond the basic plane count as one class for each block of 256
-    code = np.where(points < 0x10000, _table()[np.minimum(points, 0xFFFF)], (points >> 8) | 0x10000)
-    code = np.where((points >= 0x10000) & ((points < 0x10400) | (points >= 0x1F000) & (points < 0x20000)), 0, code).astype(np.uint64)
-    lettered = np.bincount(row, code > 0, n) > 0
+    codes, letters = _codes()
+    code = codes[points].astype(np.uint64)
+    lettered = np.bincount(row, letters[points], n) > 0
     counts = np.zeros((n, DIMENSIONS), np.float32)
     before, after = np.concatenate([[0], code[:-1]]).astype(np.uint64), np.concatenate([code[1:], [0]]).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -93,7 +99,7 @@ class Model:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, "text", 2 << 20):
+    for part in chunks(batches, "text", 1 << 20):
         for at in range(0, part.num_rows, 1024):
             yield part.slice(at, 1024)
 
@@ -135,9 +141,11 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
     share = F.lit(None)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
+    chosen = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * float(1 << 30)).dropDuplicates(["lang", "doc_id", "text"])
 
     def cluster(key: tuple, group: pa.Table) -> pa.Table:
+        # in a fixed order, so that reruns agree
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         x = np.concatenate([_normal(vectors(part.column(0))[0] * idf) for part in _blocks(iter(group.select(["text"]).combine_chunks().to_batches()))])
         c = _cluster(x, clusters).astype(np.float32)
         floor = float(np.quantile((x @ c.T).max(1), REJECT_SHARE)) * 0.9

@@ -13,7 +13,11 @@ from rare to frequent, only a text whose rarest fifth meets a text of another cl
 reach the threshold), and a link found joins their classes at once. So every two texts of a bucket are compared or
 already in one class, no link between different texts is lost, and what leaves a task is at most one link for each text.
 
-Defined results: copies of a text are one class whatever its length; a text without words, or null, is a class of its
+The threshold is that of exact five-word shingle sets: in a text of 200 words, five changed words far apart already take
+it below 0.8, and such texts are no near copies here.
+
+Defined results: copies of a text are one class whatever its length; a doc_id stands for one document, so rows that share
+it share a class, and a link of any of their texts counts; a text without words, or null, is a class of its
 own, and so is a row whose doc_id is null; texts of fewer than five words have one shingle of all their words; repeated
 rows share a class; an empty table gives an empty result; other columns are ignored.
 """
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import Words, chunks, mix, shingles
-from .session import empty, having, settle
+from .session import empty, having, settle, unused
 
 BANDS, ROWS = 16, 5
 THRESHOLD = 0.8
@@ -192,7 +196,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not empty(left):
         other = left.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         meetings = other.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "c")
-        sets = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
+        sets = texts.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>").distinct()
 
         def compare(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
@@ -211,9 +215,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with one row of each class, that of the smallest doc_id; rows without doc_id all stay."""
     from pyspark.sql import Window
 
-    stay = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct()
-    named = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stays"))
+    of, nth = unused(docs, "stays"), unused(docs, "nth")
+    stay = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(of)).distinct()
+    named = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col(of))
     # repeated rows: the join has already brought a doc_id's rows together
-    nth = F.row_number().over(Window.partitionBy("stays").orderBy(F.col("text").desc_nulls_last()))
-    named = named.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "stays")
+    first = F.row_number().over(Window.partitionBy(of).orderBy(F.col("text").desc_nulls_last()))
+    named = named.withColumn(nth, first).where(F.col(nth) == 1).drop(nth, of)
     return named.unionByName(docs.where("doc_id is null"))

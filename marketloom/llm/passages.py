@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packed import _BASE, _INV, SHINGLE, Words, chunks, mix, powers, shingles, sliding_min
-from .session import empty, having, settle
+from .session import empty, having, settle, unused
 
 LEAST_WORDS = 50
 LEAST = LEAST_WORDS - SHINGLE + 1
@@ -498,18 +498,19 @@ def _remainder(members: DataFrame, texts: DataFrame, found: DataFrame) -> DataFr
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages cut from the later documents; a text of which nothing is left goes."""
-    spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans"))
-    spans = settle(spans)
+    of, cuts = unused(docs, "of"), unused(docs, "cuts")
+    spans = settle(repeated_passages(docs).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("first_word", "end_word")).alias(cuts)))
     few = spans.count() <= SENT_ROWS  # then texts need no shuffle
-    joined = docs.join(F.broadcast(spans) if few else spans, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
+    joined = docs.join(F.broadcast(spans) if few else spans, F.col("doc_id").cast("long") == F.col(of), "left")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")(F.when(F.col("_spans").isNotNull(), F.col("text")), "_spans"))
-    out = joined.withColumn("text", changed).where(F.col("_spans").isNull() | (F.col("text") != ""))
+    none = F.col(cuts).isNull()
+    changed = F.when(none, F.col("text")).otherwise(F.pandas_udf(cut, "string")(F.when(~none, F.col("text")), cuts))
+    out = joined.withColumn("text", changed).where(none | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 

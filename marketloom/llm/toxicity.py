@@ -1,13 +1,14 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
 Folding: compatibility forms are unified (NFKC), case goes, letters of other scripts that look like Latin ones become
-those, and digits or signs that stand for letters inside a word become letters. The automaton holds word stems; a hit
-counts where a word begins. Hits inside an exception phrase don't count. The sum of weights is normalised by the
-length in words and squashed to 0..1.
+those, digits or signs that stand for letters inside a word become letters, and letters set apart one by one are joined.
+The automaton holds word stems; a hit counts where a word begins. Hits inside an exception phrase don't count. The sum of
+weights is normalised by the length in words and squashed to 0..1: beyond `length_from` words a hit loses weight with the
+logarithm of the length, down to `least_share`, at which one strong word still marks a text.
 
 The lexicon is learned: stems (beginnings of words) whose share of toxic documents is high get their smoothed
 log-odds as weight, the shortest stem that is still pure standing for its longer forms. Seed words keep a weight even
-where no labelled row holds them. Learning reads a bounded sample of labelled rows (`sample`, taken by a digest of
+where no labelled row holds them. A document with several labels counts as toxic if one of them says so. Learning reads a bounded sample of labelled rows (`sample`, taken by a digest of
 doc_id); scoring reads every whole text.
 
 Defined results: null and empty text score the base rate of a text without hits; repeated rows score alike; null labels
@@ -46,7 +47,9 @@ _SEEDS = tuple(np.array([x], np.uint64) for x in (0x9E3779B97F4A7C15, 0xD1342543
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _SWAP = str.maketrans(SUBSTITUTES)
 #: a word with at least one letter that also holds a sign or digit between or before letters
-_MASKED = re.compile(r"(?<![^\W_])[^\W\d_]*[0-9@$!|+]+[^\W\d_](?:[^\W\d_]|[0-9@$!|+](?=[^\W\d_]|[0-9@$!|+]*[^\W\d_]))*")
+_MASKED = re.compile(r"(?<![^\W_])[^\W\d_]*[0-9@$!|+]+[^\W\d_](?:[^\W\d_]|[0-9@$!|+](?=[^\W\d_]|[0-9@$!|+]*[^\W\d_]))*[@$]*|(?<![^\W_])[^\W\d_]{1,30}[@$]+(?![^\W_])")
+#: four letters or more, each on its own
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .*_-])[^\W\d_](?![^\W_])(?:\1[^\W\d_](?![^\W_])){2,})")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -55,7 +58,8 @@ def fold(text: str) -> str:
         text = unicodedata.normalize("NFKC", text).lower().translate(_GLYPHS)
     else:
         text = text.lower()
-    return _MASKED.sub(lambda m: m[0].translate(_SWAP), text)
+    text = _MASKED.sub(lambda m: m[0].translate(_SWAP), text)
+    return _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
 
 
 @dataclass
@@ -69,6 +73,8 @@ class Lexicon:
     base: float = 0.02
     #: words of a text beyond which further length dilutes its hits
     length_from: int = 400
+    #: what is left of a hit's weight in the longest texts
+    least_share: float = 0.6
 
     def automaton(self):
         import ahocorasick
@@ -105,8 +111,9 @@ class Lexicon:
                 total += weight
             if total <= 0:
                 return self.base
-            words = len(folded) / 6
-            total *= min(1.0, math.sqrt(self.length_from / words)) if words > self.length_from else 1.0
+            words = folded.count(" ") + 1
+            if words > self.length_from:
+                total *= max(self.least_share, 1 - 0.15 * math.log(words / self.length_from))
             return 1 / (1 + math.exp(-min(bias + total * 1.5, 30.0)))
 
         return score
@@ -134,21 +141,27 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, least_support: int = 4, lea
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *batch.columns], ["key", *batch.schema.names])
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    labelled = labelled.mapInArrow(once, f"key binary, doc_id {kind}, text string, toxic int").dropDuplicates(["key", "toxic"]).select("text", "toxic")
+    labelled = labelled.mapInArrow(once, f"key binary, doc_id {kind}, text string, toxic int").groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, totals = {}, [0, 0]
+
+        def told(totals: list) -> Iterator[pa.RecordBatch]:
+            names, both = ["", *counts], [totals, *counts.values()]
+            columns = [pa.array(names, pa.string()), pa.array([x[1] for x in both], pa.int64()), pa.array([x[0] for x in both], pa.int64())]
+            for at in range(0, len(names), 50_000):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], ["stem", "bad", "good"])
+            counts.clear()
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 totals[toxic == 1] += 1
                 words = set(_WORD.findall(fold(text)))
                 for w in words | {w[:k] for w in words for k in range(4, min(len(w), 9))}:
                     counts.setdefault(w, [0, 0])[toxic == 1] += 1
-        names = ["", *counts]
-        both = [totals, *counts.values()]
-        columns = [pa.array(names, pa.string()), pa.array([x[1] for x in both], pa.int64()), pa.array([x[0] for x in both], pa.int64())]
-        for at in range(0, len(names), 50_000):
-            yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], ["stem", "bad", "good"])
+                if len(counts) > 200_000:  # what is counted so far goes on its way
+                    yield from told([0, 0])
+        yield from told(totals)
 
     counts = labelled.mapInArrow(stems, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = counts.where(F.col("stem").isin("", *SEED_WORDS) | ((F.col("bad") >= least_support) & (F.col("bad") >= least_share * (F.col("bad") + F.col("good"))))).collect()
@@ -170,8 +183,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, least_support: int = 4, lea
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon, column: str = "text") -> DataFrame:
-    """`docs` with toxicity (0..1) added as `toxicity`; a column of that name is replaced."""
+def score(docs: DataFrame, lexicon: Lexicon, column: str = "text", name: str = "toxicity") -> DataFrame:
+    """`docs` with toxicity (0..1) added under `name`; a column of that name is replaced."""
 
     @F.pandas_udf("double")
     def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -179,12 +192,16 @@ def score(docs: DataFrame, lexicon: Lexicon, column: str = "text") -> DataFrame:
         for part in texts:
             yield pd.Series(np.fromiter(map(rate, part), float, len(part)))
 
-    return docs.withColumn("toxicity", toxicity(F.col(column)))
+    return docs.withColumn(name, toxicity(F.col(column)))
+
+
+def one_label(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the documents that may teach: toxic where any of a document's labels says so."""
+    return labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted); labels of held-out documents are never read."""
-    taught = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    lexicon = learn(docs.select("doc_id", "text").join(taught, "doc_id"))
+    lexicon = learn(docs.select("doc_id", "text").join(one_label(labels), "doc_id"))
     scored = score(docs.select("doc_id", "text"), lexicon)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -68,6 +69,41 @@ def test_html_page():
     assert page.extract([]) == "Title & co\n\nFirst para bold and link text. more\n\nSecond para end\n\ninner"
 
 
+def test_html_keeps_what_belongs_to_the_article():
+    page = lambda body: html.Page(f"<html><body>{body}</body></html>").extract([])
+    assert page('<article><p class="search">The search for truth goes on</p><h2 class="menu">Menu of the day</h2></article>') == "The search for truth goes on\n\nMenu of the day"
+    assert page("<p>x < y and y <z done</p>") == "x < y and y <z done"
+    assert page("<p>super<wbr>cali one<br>two") == "supercali one two"
+    assert page("<p>one</p>< two") == "one\n\n< two"
+    lead, rest = "lead " * 20, "body " * 80
+    assert page(f"<nav>m</nav><article><h1>Title</h1><div class='lead'>{lead}</div><div class='body'>{rest}</div></article>").startswith("Title\n\nlead")
+    assert page("<table><tr><td>a<td>b</table><hr>c&lt;d &#233;") == "a\n\nb\n\nc<d é"
+    # the document's own words come back from any nesting and any noise around them
+    rnd = random.Random(1)
+    for k in range(50):
+        blocks = [" ".join(rnd.choices(WORDS, k=rnd.randrange(3, 30))) for _ in range(rnd.randrange(1, 9))]
+        inner = "".join(rnd.choice(("<p>{}</p>", "<p>{}", "<div><p class=x{}>{}</p></div>".replace("{}", "1", 1), "<section><h3>{}</h3></section>", "<ul><li>{}</li></ul>")).format(b) for b in blocks)
+        noise = "<header>Site</header><nav><a href='/'>Home</a></nav>", "<aside>more</aside><div class='sidebar ads'>buy</div><footer>end</footer><script>1<2</script>"
+        assert page(f"{noise[0]}<article class='a{k}'>{inner}</article>{noise[1]}") == "\n\n".join(blocks)
+
+
+def test_html_large_pages():
+    import time
+
+    began = time.time()
+    deep = html.Page("<div>" * 20000 + "<p>found</p>")
+    assert deep.extract([]) == "found"
+    assert "y" in html.Page("<p>" + "<a href=\"x>y</a>" * 8000).extract([])
+    assert time.time() - began < 20
+
+
+def test_html_many_hosts(spark, monkeypatch):
+    monkeypatch.setattr(html, "SENT_ROWS", 1)
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<nav>m</nav><div class='s'><p>text of {i} and some more</p></div>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text of {i} and some more" for i in range(12)}
+
+
 def test_html_consensus(spark):
     body = "<html><body><nav>menu</nav><div class='story-1'><p>" + "long text here. " * 30 + "</p></div><div class='more'><p>{}</p></div></body></html>"
     rows = [(i, "http://h.example/a", body.replace("story-1", f"story-{i}").format("short")) for i in range(6)]
@@ -99,6 +135,25 @@ def test_language(spark):
     assert far["rejected"]
 
 
+def test_letters_of_all_planes():
+    texts = ["\U00010330\U00010331", "\u0301\u0302", "\U0001d165", "\U0001f3f4\U000e0067\U000e007f", "42", "é", None]
+    assert langid.vectors(pa.array(texts))[1].tolist() == [True, False, False, False, False, True, False]
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the given tables")
+def test_held_out_accuracy(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    language = langid.predictions(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(language) > 100 and sum(r["lang"] == r["lang_pred"] for r in language) >= 0.97 * len(language)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    toxic = toxicity.predictions(table, labels).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    hits = sum(r["toxic"] * r["predicted"] for r in toxic)
+    assert hits >= 0.85 * sum(r["toxic"] for r in toxic) and hits >= 0.85 * sum(r["predicted"] for r in toxic)
+
+
 # top k
 
 
@@ -142,6 +197,13 @@ def test_toxicity(spark):
 
 def test_fold():
     assert toxicity.fold("1D1OT Ideя p4th3tic 42 a1") == "idiot ideя pathetic 42 a1"
+    assert toxicity.fold("i d i o t, a$$ I.D.I.O.T a b c us 5$ wow!") == "idiot, ass idiot a b c us 5$ wow!"
+
+
+def test_long_toxic_text():
+    rate = toxicity.Lexicon({"idiot": toxicity.SEED_WEIGHT}).scorer()
+    assert all(rate(prose(n, n) + " you idiot " + prose(n + 1, 30)) >= toxicity.THRESHOLD for n in (10, 300, 3000, 100_000))
+    assert rate(prose(1, 3000)) < toxicity.THRESHOLD
 
 
 # mixing
@@ -192,6 +254,28 @@ def test_reply_trees(spark):
     assert got == [(1, 4, 6.0), (2, 2, 2.0)]
 
 
+def test_reply_trees_against_brute_force_and_with_cycles(spark):
+    rnd = random.Random(11)
+    rows, want = [], set()
+    for c in range(12):
+        parent = {n: rnd.choice([None, *range(n)][-6:]) for n in range(30)}
+        if c % 3 == 0:
+            parent |= {40: 41, 41: 42, 42: 40, 43: 42, 44: 43, 45: 45, 46: 45}  # a cycle, a node above itself, and replies
+        score = {n: rnd.randrange(9) / 2 for n in parent}
+        rows += [(c, n, p, "user" if n % 2 else "assistant", f"t{n}", score[n]) for n, p in parent.items()]
+        paths = []
+        for leaf in set(range(30)) - set(parent.values()):
+            way = [leaf]
+            while parent[way[-1]] is not None:
+                way.append(parent[way[-1]])
+            paths.append((-sum(score[n] for n in way), leaf, tuple(f"t{n}" for n in way[::-1])))
+        want |= {(c, leaf, rank + 1, way) for rank, (_, leaf, way) in enumerate(sorted(paths)[:3])}
+    tree = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
+    formatted = chat.format_trees(tree, 3)
+    got = formatted.select("conv_id", "leaf", "branch", chat.read_back(formatted["formatted"]).alias("t")).collect()
+    assert {(r["conv_id"], r["leaf"], r["branch"], tuple(t["text"] for t in r["t"])) for r in got} == want
+
+
 # suffixes
 
 
@@ -388,6 +472,16 @@ def test_near_duplicates(spark, odd):
                 assert got[a] == got[b]
     assert all(got[1000 + g * 10 + k] // 10 == 100 + g for g in range(6) for k in range(8))
     assert got[2] == 1 and got[8] == 1 and got[3] == 3 and got[4] == 4 and got[5] == 5 and got[9] == 9
+    # no class without links: every member reaches every other over pairs of 0.8 or more
+    for c in set(got.values()):
+        own = [i for i in sets if got[i] == c and i is not None]
+        reached, more = set(own[:1]), set(own[:1])
+        while more:
+            more = {b for a in more for b in own if b not in reached and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))}
+            reached |= more
+        assert reached == set(own)
+    two_texts = docs(spark, [(1, prose(1, 90), "a"), (1, prose(2, 90), "a"), (5, prose(2, 90) + " more", "a"), (6, prose(1, 90) + " and", "a")])
+    assert {r["class_id"] for r in neardup.classes(two_texts).collect()} == {1}
     one = neardup.one_of_each(table)
     assert one.columns == table.columns and one.where("doc_id = 6").count() == 1 and one.where("doc_id is null").count() == 1
     assert neardup.classes(table.limit(0)).count() == 0
