@@ -1,21 +1,28 @@
-"""A corpus pipeline of five stages over `documents`, each written as Parquet and read by the next."""
+"""A corpus pipeline of five stages over `documents`, each written as Parquet and read by the next.
+
+In every stage a null text counts as an empty one and stays, rows with a null doc_id stay, an empty table gives an empty
+one, and columns beyond those of `documents` are carried along whatever their names, until the last stage replaces all. Of
+rows that repeat a doc_id near-dedup keeps one. Stage outputs stand in a folder of their own below the shared one and are
+left there for whoever reads the result.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, mixing, neardup, passages, toxicity
-from marketloom.llm.session import held_out, shared_folder, table
+from marketloom.llm.session import shared_folder, table, unused
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the lexicon is learned from the labelled documents that arrive."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    labels = labels.where(~held_out(labels["doc_id"]))
+    labels = toxicity.one_label(table(spark, sf_dir, "labels"))
     lexicon = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return toxicity.score(docs, lexicon).where(f"toxicity < {toxicity.THRESHOLD}").select(docs.columns)
+    name = unused(docs, "toxicity")
+    return toxicity.score(docs, lexicon, name=name).where(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages.
 ORACLE_SQL = None
 
 
