@@ -12,8 +12,10 @@ def interval_values(targets: DataFrame, panel: DataFrame, rebalances: DataFrame)
     """(run_id, pos, day_pos, symbol, value): each target grown from its rebalance to every day of its interval."""
     spans = targets.join(F.broadcast(rebalances.select("pos", "next_pos")), "pos")
     start = panel.select("symbol", "pos", F.col("close").alias("p0"))
-    days = panel.select("symbol", F.col("pos").alias("day_pos"), "date", F.col("close").alias("p"))
-    risky = spans.where("symbol <> 'CASH'").join(start, ["symbol", "pos"]).join(days, "symbol").where("day_pos > pos and day_pos <= next_pos")
+    # each day belongs to one rebalance, so days meet targets by symbol and rebalance, not by symbol alone
+    own = rebalances.select("pos", F.explode(F.sequence(F.col("pos") + 1, F.col("next_pos"))).alias("day_pos"))
+    days = panel.select("symbol", F.col("pos").alias("day_pos"), F.col("close").alias("p")).join(F.broadcast(own), "day_pos")
+    risky = spans.where("symbol <> 'CASH'").join(start, ["symbol", "pos"]).join(days, ["symbol", "pos"])
     risky = risky.select("run_id", "pos", "day_pos", "symbol", (F.col("weight") * F.col("p") / F.col("p0")).alias("value"))
     cash = spans.where("symbol = 'CASH'").select("run_id", "pos", F.explode(F.sequence(F.col("pos") + 1, "next_pos")).alias("day_pos"), "symbol", F.col("weight").alias("value"))
     return risky.unionByName(cash)
@@ -25,7 +27,7 @@ def liquidate_at_cutoff(values: DataFrame, eligible: DataFrame, cost_bps: float)
     eligible: (symbol, cutoff_pos), null where a symbol never ends. Adds the fee paid by each day as `fees`, 0 where none.
     """
     fee = cost_bps / 10_000
-    ends = values.join(F.broadcast(eligible.where("cutoff_pos is not null").select("symbol", "cutoff_pos")), "symbol", "left")
+    ends = values.join(eligible.where("cutoff_pos is not null").select("symbol", "cutoff_pos"), "symbol", "left")
     at = F.greatest(F.col("cutoff_pos"), F.col("pos") + 1)
     sold = F.coalesce(F.col("day_pos") >= at, F.lit(False))
     own = Window.partitionBy("run_id", "pos", "symbol")
@@ -145,7 +147,11 @@ def weight_drift(current: DataFrame, reference: DataFrame) -> DataFrame:
 
 def downsample_extrema(series: DataFrame, buckets: int = 1000, limit: int = 2000) -> DataFrame:
     """(pos, value): lowest and highest point of each of `buckets` stretches when there are more than `limit` points."""
-    rows = series.select("pos", "value", (F.row_number().over(Window.orderBy("pos")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    # places are counted inside slices of the range of positions, whose few totals meet in one window
+    span = series.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n"))
+    sliced = series.select("pos", "value").crossJoin(F.broadcast(span)).withColumn("slice", F.floor((F.col("pos") - F.col("lo")) * 1024 / (F.col("hi") - F.col("lo") + 1)))
+    before = sliced.groupBy("slice").count().select("slice", (F.sum("count").over(Window.orderBy("slice")) - F.col("count")).alias("before"))
+    rows = sliced.join(before, "slice").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("slice").orderBy("pos")) - 1)
     cells = rows.withColumn("bucket", F.when(F.col("n") > limit, F.floor(F.col("i") * buckets / F.col("n"))).otherwise(F.col("i")))
     ends = cells.groupBy("bucket").agg(F.min_by("pos", F.struct("value", "pos")).alias("low"), F.min_by("pos", F.struct(-F.col("value"), "pos")).alias("high"))
     return series.join(ends.select(F.explode(F.array("low", "high")).alias("pos")).distinct(), "pos").select("pos", "value")

@@ -74,7 +74,7 @@ def ridge_daily_stats(features: DataFrame, target: DataFrame, columns: tuple[str
 
 
 def ridge_windows(stats: DataFrame, decisions: DataFrame, columns: tuple[str, ...] = FEATURES, train: int = 504, horizon: int = 21, alpha: float = 8.0, first: int = 126) -> DataFrame:
-    """(pos, n, base, mean, beta): ridge coefficients for each decision from labels that had matured by then."""
+    """(pos, n, days, base, mean, beta): ridge coefficients for each decision from the labels of so many days that had matured by then."""
     import numpy as np
     import pandas as pd
 
@@ -82,7 +82,7 @@ def ridge_windows(stats: DataFrame, decisions: DataFrame, columns: tuple[str, ..
     names = ["n", "s_y", *[f"s_{i}" for i in range(p)], *[f"xy_{i}" for i in range(p)], *[f"xx_{i}_{j}" for i in range(p) for j in range(i, p)]]
     d = decisions.select(F.col("pos").alias("decision"))
     inside = (F.col("pos") >= F.greatest(F.lit(first), F.col("decision") - train)) & (F.col("pos") <= F.col("decision") - 1 - horizon)
-    sums = d.join(stats, inside).groupBy("decision").agg(*[F.sum(x).alias(x) for x in names])
+    sums = d.join(stats, inside).groupBy("decision").agg(F.count("*").alias("days"), *[F.sum(x).alias(x) for x in names])
 
     def solve(parts):
         for part in parts:
@@ -90,7 +90,7 @@ def ridge_windows(stats: DataFrame, decisions: DataFrame, columns: tuple[str, ..
             for r in part.to_dict("records"):
                 n = r["n"]
                 if n < max(40, 4 * p):
-                    rows.append((r["decision"], int(n), 0.0, [0.0] * p, [0.0] * p))
+                    rows.append((r["decision"], int(n), int(r["days"]), 0.0, [0.0] * p, [0.0] * p))
                     continue
                 s, xy = (np.array([r[f"{k}_{i}"] for i in range(p)]) for k in ("s", "xy"))
                 xx = np.zeros((p, p))
@@ -102,16 +102,16 @@ def ridge_windows(stats: DataFrame, decisions: DataFrame, columns: tuple[str, ..
                 sd = np.sqrt(np.maximum(np.diag(c) / n, 0))
                 sd = np.where(sd < 1e-12, 1.0, sd)
                 beta = np.linalg.solve(c / np.outer(sd, sd) + alpha * np.eye(p), (xy - n * mean * base) / sd) / sd
-                rows.append((r["decision"], int(n), float(base), mean.tolist(), beta.tolist()))
-            yield pd.DataFrame(rows, columns=["pos", "n", "base", "mean", "beta"])
+                rows.append((r["decision"], int(n), int(r["days"]), float(base), mean.tolist(), beta.tolist()))
+            yield pd.DataFrame(rows, columns=["pos", "n", "days", "base", "mean", "beta"])
 
-    return sums.mapInPandas(solve, "pos long, n long, base double, mean array<double>, beta array<double>")
+    return sums.mapInPandas(solve, "pos long, n long, days long, base double, mean array<double>, beta array<double>")
 
 
 def ridge_scores(features: DataFrame, fits: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """(symbol, date, pos, prediction, baseline) at each decision."""
     terms = sum(((F.coalesce(F.col(c), F.lit(0.0)) - F.col("mean")[i]) * F.col("beta")[i] for i, c in enumerate(columns)), F.lit(0.0))
-    return features.join(F.broadcast(fits), "pos").select("symbol", "date", "pos", (F.col("base") + terms).alias("prediction"), F.col("base").alias("baseline"))
+    return features.join(fits, "pos").select("symbol", "date", "pos", (F.col("base") + terms).alias("prediction"), F.col("base").alias("baseline"))
 
 
 def shrinkage_covariance(returns: DataFrame, decisions: DataFrame, shrinkage: float = 0.25, window: int = YEAR) -> DataFrame:
@@ -141,26 +141,58 @@ def investable(eligible: DataFrame, decisions: DataFrame, min_history: int = YEA
     return eligible.crossJoin(F.broadcast(decisions.select("pos"))).where(F.col("listed_pos").isNull() | (F.col("listed_pos") + min_history <= F.col("pos"))).select("symbol", "pos")
 
 
-def forecast_evidence(records: DataFrame) -> DataFrame:
-    """One row on (date, symbol, prediction, actual, baseline): skill, win rate, rank correlation, hit rate, eligibility, confidence."""
-    day = Window.partitionBy("date")
+def validation_origins(decisions: DataFrame, train: int = 504, horizon: int = 21, first: int = 126, least_days: int = 40, blocks: int = 6) -> DataFrame:
+    """(decision, pos): the last `blocks` origins, a horizon apart, whose outcomes are known before each decision."""
+    d = F.col("pos")
+    begin = F.greatest(d - train + first, F.lit(first)) + least_days + horizon
+    line = F.when(begin <= d - horizon - 1, F.sequence(begin, d - horizon - 1, F.lit(horizon)))
+    return decisions.select(d.alias("decision"), F.explode(F.slice(line, F.greatest(F.size(line) - blocks + 1, F.lit(1)), blocks)).alias("pos"))
+
+
+def validation_blocks(features: DataFrame, target: DataFrame, decisions: DataFrame, columns: tuple[str, ...] = FEATURES, train: int = 504, horizon: int = 21, least_days: int = 40) -> DataFrame:
+    """(decision, date, pos, symbol, prediction, actual, baseline): what the fits of each decision's origins said and what came."""
+    origins = validation_origins(decisions, train, horizon, least_days=least_days)
+    fits = ridge_windows(ridge_daily_stats(features, target, columns), origins.select("pos").distinct(), columns, train, horizon)
+    said = ridge_scores(features, fits.where(F.col("days") >= least_days), columns)
+    rows = said.join(target.select("symbol", "pos", F.col("forward_return").alias("actual")), ["symbol", "pos"]).join(origins, "pos")
+    return rows.select("decision", "date", "pos", "symbol", "prediction", "actual", "baseline").dropna(subset=["prediction", "actual", "baseline"])
+
+
+def forecast_evidence(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each `by`) on (date, symbol, prediction, actual, baseline): skill, win rate, rank correlation, hit rate, eligibility, confidence."""
+    day = Window.partitionBy(*by, "date")
 
     def rank(c: str) -> Column:
-        return F.rank().over(day.orderBy(c)) + (F.count("*").over(Window.partitionBy("date", c)) - 1) / 2.0
+        return F.rank().over(day.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, "date", c)) - 1) / 2.0
 
     ranked = records.select("*", rank("prediction").alias("rp"), rank("actual").alias("ra"))
     error, naive = F.pow(F.col("prediction") - F.col("actual"), 2), F.pow(F.col("baseline") - F.col("actual"), 2)
-    blocks = ranked.groupBy("date").agg(F.sum(error).alias("e"), F.sum(naive).alias("b"), F.count("*").alias("n"), F.coalesce(F.corr("rp", "ra"), F.lit(0.0)).alias("ic"),
-                                        F.count_if(F.signum("prediction") == F.signum("actual")).alias("hits"), F.stddev_pop("rp").alias("sp"), F.stddev_pop("ra").alias("sa"))
+    blocks = ranked.groupBy(*by, "date").agg(F.sum(error).alias("e"), F.sum(naive).alias("b"), F.count("*").alias("n"), F.coalesce(F.corr("rp", "ra"), F.lit(0.0)).alias("ic"),
+                                             F.count_if(F.signum("prediction") == F.signum("actual")).alias("hits"), F.stddev_pop("rp").alias("sp"), F.stddev_pop("ra").alias("sa"))
     ic = F.when((F.col("sp") == 0) | (F.col("sa") == 0), 0.0).otherwise(F.col("ic"))
-    total = blocks.agg(F.sqrt(F.sum("e") / F.sum("n")).alias("rmse"), F.sqrt(F.sum("b") / F.sum("n")).alias("baseline_rmse"), F.avg(F.when(F.col("e") < F.col("b"), 1.0).otherwise(0.0)).alias("win_rate"),
-                       F.avg(ic).alias("mean_ic"), (F.sum("hits") / F.sum("n")).alias("hit_rate"), F.count("*").alias("blocks"))
-    skill = F.when(F.col("baseline_rmse") > 0, 1 - F.col("rmse") / F.col("baseline_rmse")).otherwise(0.0)
+    total = blocks.groupBy(*by).agg(F.sqrt(F.sum("e") / F.sum("n")).alias("rmse"), F.sqrt(F.sum("b") / F.sum("n")).alias("baseline_rmse"), F.avg(F.when(F.col("e") < F.col("b"), 1.0).otherwise(0.0)).alias("win_rate"),
+                                    F.avg(ic).alias("mean_ic"), (F.sum("hits") / F.sum("n")).alias("hit_rate"), F.count("*").alias("blocks"))
+    skill = F.when(F.col("baseline_rmse") > 1e-12, 1 - F.col("rmse") / F.col("baseline_rmse")).otherwise(0.0)
     total = total.withColumn("skill", skill)
     good = (F.col("blocks") >= 3) & (F.col("skill") > 0) & (F.col("win_rate") > 0.5) & (F.col("mean_ic") > 0)
     return total.withColumn("eligible", good).withColumn("confidence", F.when(good, F.least(F.greatest("skill", F.lit(0.0)), F.lit(1.0))).otherwise(0.0))
 
 
+def forecast_outcomes(scores: DataFrame, evidence: DataFrame, target: DataFrame, covariance: DataFrame, allowed: DataFrame, last: int, horizon: int = 21) -> DataFrame:
+    """(date, pos, symbol, expected_return, adjusted_return, actual_return, annualized_volatility, effective_method) of each decision.
+
+    Expected returns are null for symbols that are not `allowed` (symbol, pos) yet, adjusted ones are scaled by the evidence's
+    confidence; a decision without evidence falls back to equal weights. Outcomes after position `last` are not known.
+    """
+    own = allowed.select("symbol", "pos", F.lit(True).alias("ok"))
+    told = evidence.select(F.col("decision").alias("pos"), "confidence", "eligible")
+    deviation = covariance.where("i = j").select(F.col("decision").alias("pos"), F.col("i").alias("symbol"), F.sqrt("cov").alias("annualized_volatility"))
+    rows = scores.join(told, "pos", "left").join(own, ["symbol", "pos"], "left").join(target.select("symbol", "pos", "forward_return"), ["symbol", "pos"], "left").join(deviation, ["symbol", "pos"], "left")
+    expected = F.when(F.col("ok"), F.col("prediction"))
+    return rows.select("date", "pos", "symbol", expected.alias("expected_return"), (expected * F.coalesce("confidence", F.lit(0.0))).alias("adjusted_return"), F.when(F.col("pos") + horizon <= last, F.col("forward_return")).alias("actual_return"),
+                       F.when(F.col("ok"), F.col("annualized_volatility")).alias("annualized_volatility"), F.when(F.col("eligible"), "ML mean-variance").otherwise("Equal weight").alias("effective_method"))
+
+
 def factor_covariance(returns: DataFrame, decision: int, n_factors: int = 10, window: int = YEAR) -> DataFrame:
     """(symbol, loadings, specific, factor_var): a statistical factor model of the window before a decision.
 

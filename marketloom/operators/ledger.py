@@ -50,18 +50,22 @@ def cash_path(tx: DataFrame) -> DataFrame:
 def fifo_match(tx: DataFrame) -> DataFrame:
     """(account_id, symbol, buy_id, sell_id, buy_date, sell_date, quantity, cost, proceeds, gain, holding_days).
 
-    Buys and sells are intervals of running quantity; a match is where two overlap.
+    Buys and sells are intervals of running quantity. Between two neighbouring ends one buy and one sell are open: the
+    first whose end is not passed yet. Groups that sell more than they hold are left out; `oversells` names them.
     """
-    order = Window.partitionBy("account_id", "symbol").orderBy("date", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-
-    def side(action: str, p: str) -> DataFrame:
-        rows = tx.where(F.col("action") == action).withColumn("to", F.sum("quantity").over(order))
-        return rows.select("account_id", "symbol", F.col("event_id").alias(f"{p}_id"), F.col("date").alias(f"{p}_date"), F.col("price").alias(f"{p}_price"), (F.col("to") - F.col("quantity")).alias(f"{p}0"), F.col("to").alias(f"{p}1"))
-
-    joined = side("buy", "buy").join(side("sell", "sell"), ["account_id", "symbol"]).where("greatest(buy0, sell0) < least(buy1, sell1) - 1e-12")
-    q = F.least("buy1", "sell1") - F.greatest("buy0", "sell0")
-    return joined.select("account_id", "symbol", "buy_id", "sell_id", "buy_date", "sell_date", q.alias("quantity"), (q * F.col("buy_price")).alias("cost"), (q * F.col("sell_price")).alias("proceeds"),
-                         (q * (F.col("sell_price") - F.col("buy_price"))).alias("gain"), F.date_diff("sell_date", "buy_date").alias("holding_days"))
+    trades = tx.where(F.col("action").isin("buy", "sell")).join(oversells(tx).select("account_id", "symbol").distinct(), ["account_id", "symbol"], "left_anti")
+    order = Window.partitionBy("account_id", "symbol", "action").orderBy("date", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = trades.select("account_id", "symbol", "event_id", "action", "date", "price", F.sum("quantity").over(order).alias("to"))
+    # of equal ends the one of a buy first: what is between them is empty
+    line = Window.partitionBy("account_id", "symbol").orderBy("to", "action", "event_id")
+    ahead = line.rowsBetween(0, Window.unboundedFollowing)
+    row = F.struct(F.col("event_id").alias("id"), "date", "price")
+    pieces = ends.select("account_id", "symbol", (F.col("to") - F.coalesce(F.lag("to").over(line), F.lit(0.0))).alias("q"),
+                         F.first(F.when(F.col("action") == "buy", row), True).over(ahead).alias("b"), F.first(F.when(F.col("action") == "sell", row), True).over(ahead).alias("s"))
+    pieces = pieces.where("q > 1e-12 and b is not null and s is not null")
+    q, bp, sp = F.col("q"), F.col("b.price"), F.col("s.price")
+    return pieces.select("account_id", "symbol", F.col("b.id").alias("buy_id"), F.col("s.id").alias("sell_id"), F.col("b.date").alias("buy_date"), F.col("s.date").alias("sell_date"), q.alias("quantity"),
+                         (q * bp).alias("cost"), (q * sp).alias("proceeds"), (q * (sp - bp)).alias("gain"), F.date_diff(F.col("s.date"), F.col("b.date")).alias("holding_days"))
 
 
 def oversells(tx: DataFrame) -> DataFrame:
@@ -73,7 +77,8 @@ def oversells(tx: DataFrame) -> DataFrame:
 
 
 def open_lots(tx: DataFrame, matches: DataFrame) -> DataFrame:
-    """What is left of each buy."""
+    """What is left of each buy; groups that sell more than they hold are left out."""
+    tx = tx.join(oversells(tx).select("account_id", "symbol").distinct(), ["account_id", "symbol"], "left_anti")
     used = matches.groupBy(F.col("buy_id").alias("event_id")).agg(F.sum("quantity").alias("used"))
     left = tx.where("action = 'buy'").join(used, "event_id", "left").withColumn("quantity", F.col("quantity") - F.coalesce("used", F.lit(0.0)))
     return left.where("quantity > 1e-12").select("account_id", "symbol", "instrument_type", "event_id", F.col("date").alias("purchase_date"), "quantity", F.col("price").alias("purchase_price"))
@@ -85,7 +90,7 @@ def realized_gains(matches: DataFrame) -> DataFrame:
 
 def value_positions(lots: DataFrame, latest: DataFrame, as_of: str) -> DataFrame:
     """Per account and symbol: quantity, cost, value, gain, return, first and last purchase, average price; priced says whether a quote was there."""
-    rows = lots.join(F.broadcast(latest.select("symbol", F.col("price").alias("quote"))), "symbol", "left").withColumn("quote", F.when(F.col("quote") > 0, F.col("quote")))
+    rows = lots.join(latest.select("symbol", F.col("price").alias("quote")), "symbol", "left").withColumn("quote", F.when(F.col("quote") > 0, F.col("quote")))
     g = rows.groupBy("account_id", "symbol").agg(
         F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("purchase_price")).alias("cost"), F.sum(F.col("quantity") * F.col("quote")).alias("value"),
         F.min("purchase_date").alias("first_purchase"), F.max("purchase_date").alias("last_purchase"), F.count("*").alias("lots"), F.max(F.date_diff(F.to_date(F.lit(as_of)), "purchase_date")).alias("longest_days"))
@@ -97,6 +102,7 @@ def xirr(flows: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    # The grid of rates
     grid = np.concatenate([np.linspace(-0.99, 1, 4000), np.linspace(1, 10, 1801)[1:]])
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:

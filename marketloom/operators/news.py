@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, completeness, normalize_text, strip_html
@@ -35,10 +35,17 @@ def entity_match(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", text:
     is an equi-join. A hit counts unless a chosen hit before it covers its start.
     """
     longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
+    if not longest:
+        return docs.limit(0).select(F.col(key), F.lit("").alias("symbols"))
     words = docs.select(F.col(key).alias("_k"), F.split(normalize_text(F.col(text)), " ").alias("w"))
-    runs = words.select("_k", F.posexplode("w").alias("at", "first"), "w")
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at")))
-    grams = runs.where(F.lit(longest > 0)).select("_k", "at", F.explode(lengths).alias("n"), "w").select("_k", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("alias"))
+    def runs(n: int) -> Column:
+        """The runs of n words with their places, in one pass over the words."""
+        run = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda at: F.struct(at.alias("at"), F.array_join(F.slice("w", at + 1, n), " ").alias("alias")))
+        return F.when(F.size("w") >= n, run).otherwise(F.expr("cast(array() as array<struct<at:int,alias:string>>)"))
+
+    grams = F.concat(*[runs(n) for n in range(1, longest + 1)])
+    cells = words.select("_k", F.explode(grams).alias("g")).select("_k", F.col("g.at").alias("at"), F.col("g.alias").alias("alias"))
+    grams = cells.withColumn("n", F.size(F.split("alias", " ")))
     hits = grams.join(aliases.select("alias").distinct(), "alias").groupBy("_k", "at").agg(F.max(F.struct("n", "alias")).alias("m"))
     lists = hits.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("at", F.col("m.n").alias("n"), F.col("m.alias").alias("alias")))).alias("h"))
     start = F.struct(F.lit(0).alias("free"), F.expr("cast(array() as array<string>)").alias("out"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lake import settled
+from . import equity
+
 from .features import daily_returns
 
 WINDOWS = (21, 63, 126, 252)
@@ -42,9 +47,10 @@ def trend_state(panel: DataFrame, short: int = 50, long: int = 200) -> DataFrame
 
 
 def default_peers(panel: DataFrame, n: int = 5) -> DataFrame:
-    """The first n other symbols by name."""
+    """The first n other symbols by name: they are among the first n + 1 of all, so only these meet each symbol."""
     symbols = panel.select("symbol").distinct()
-    pairs = symbols.crossJoin(symbols.withColumnRenamed("symbol", "peer")).where("symbol <> peer")
+    first = symbols.orderBy("symbol").limit(n + 1).select(F.col("symbol").alias("peer"))
+    pairs = symbols.crossJoin(F.broadcast(first)).where("symbol <> peer")
     return pairs.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("peer"))).where(F.col("k") <= n).drop("k")
 
 
@@ -77,6 +83,70 @@ def scenario_range(panel: DataFrame, width: int = 252, least: int = 20) -> DataF
     return g.select("symbol", F.col("p")[0].alias("low"), F.col("p")[1].alias("middle"), F.col("p")[2].alias("high"), "n")
 
 
+#: runs of one sweep, at most
+MAX_SWEEP = 24
+
+
+def parameter_grid(spark, grid: dict[str, list]) -> DataFrame:
+    """(run_id, one column for each setting): every combination, named by its values."""
+    names = list(grid)
+    rows = [values for values in product(*grid.values())]
+    if not rows or not names:
+        raise ValueError("a sweep needs a setting and candidate values for each")
+    if len(rows) > MAX_SWEEP:
+        raise ValueError(f"a sweep has at most {MAX_SWEEP} runs, not {len(rows)}")
+    return spark.createDataFrame([("-".join(map(str, r)), *r) for r in rows], "run_id string, " + ", ".join(f"{n} int" for n in names))
+
+
+def momentum_runs(panel: DataFrame, rebalances: DataFrame, runs: DataFrame, cash: float = 0.1) -> DataFrame:
+    """(run_id, pos, symbol, weight): for each run the `top_n` highest gains over `lookback` rows known the day before, equally weighed."""
+    now = panel.select("symbol", F.col("pos").alias("known"), F.col("close").alias("p1")).join(rebalances.select("pos", (F.col("pos") - 1).alias("known")), "known")
+    asked = now.crossJoin(F.broadcast(runs)).withColumn("back", F.col("known") - F.col("lookback"))
+    past = panel.select("symbol", F.col("pos").alias("back"), F.col("close").alias("p0"))
+    rank = Window.partitionBy("run_id", "pos").orderBy(F.desc("gain"), "symbol")
+    chosen = asked.join(past, ["symbol", "back"]).withColumn("gain", F.col("p1") / F.col("p0") - 1).where("gain > 0").withColumn("k", F.row_number().over(rank)).where("k <= top_n")
+    names = chosen.withColumn("weight", F.lit(1 - cash) / F.count("*").over(Window.partitionBy("run_id", "pos"))).select("run_id", "pos", "symbol", "weight")
+    rest = names.groupBy("run_id", "pos").agg((1 - F.sum("weight")).alias("weight")).select("run_id", "pos", F.lit("CASH").alias("symbol"), "weight")
+    return names.unionByName(rest)
+
+
+def backtests(targets: DataFrame, panel: DataFrame, rebalances: DataFrame, calendar: DataFrame, cost_bps: float) -> DataFrame:
+    """Metrics of all runs of `targets` in one job."""
+    targets = settled(targets)
+    values = settled(equity.interval_values(targets, panel, rebalances))
+    changed = settled(equity.changes(targets, equity.drifted_holdings(values), rebalances))
+    costs = settled(equity.self_financing_cost(changed, cost_bps))
+    curve = settled(equity.equity_curve(equity.interval_growth(values), costs, rebalances))
+    return equity.performance_metrics(curve, equity.rebalance_log(targets, equity.turnover(changed), costs, curve), calendar)
+
+
+def parameter_sweep(panel: DataFrame, rebalances: DataFrame, grid: dict[str, list], selection_end: int, test_start: int, cost_bps: float = 10.0, metric: str = "sharpe") -> DataFrame:
+    """One row for each run of the grid (`lookback`, `top_n`) over the selection window, and one more for the best on the final test.
+
+    phase is "selection" or "test"; the runs that had no position in the selection window have an error. The test begins
+    after the selection has ended and sees the one chosen run only.
+    """
+    if test_start <= selection_end:
+        raise ValueError("the test must start after the selection has ended")
+    runs = parameter_grid(panel.sparkSession, grid)
+    calendar = panel.select("pos", "date").distinct()
+    first = settled(rebalances.where(F.col("next_pos") <= selection_end))
+    found = runs.join(backtests(momentum_runs(panel, first, runs), panel, first, calendar, cost_bps), "run_id", "left")
+    selection = found.withColumn("phase", F.lit("selection")).withColumn("error", F.when(F.col("final_equity").isNull(), "no position in the selection window"))
+    selection = settled(selection)
+    champion = selection.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), "run_id").limit(1).select(*runs.columns)
+    last = settled(rebalances.where(F.col("pos") >= test_start))
+    test = champion.join(backtests(momentum_runs(panel, last, champion), panel, last, calendar, cost_bps), "run_id", "left")
+    return selection.unionByName(test.withColumn("phase", F.lit("test")).withColumn("error", F.lit(None).cast("string")))
+
+
+def placebo_curves(panel: DataFrame, rebalances: DataFrame, drawn: DataFrame, calendar: DataFrame, cost_bps: float, cash: float = 0.1) -> DataFrame:
+    """Metrics of each trial of `random_placebo`, over the same costs as any other run; run_id is the trial."""
+    names = drawn.select(F.col("trial").cast("string").alias("run_id"), "pos", "symbol", (F.lit(1 - cash) / F.count("*").over(Window.partitionBy("trial", "pos"))).alias("weight"))
+    rest = names.groupBy("run_id", "pos").agg((1 - F.sum("weight")).alias("weight")).select("run_id", "pos", F.lit("CASH").alias("symbol"), "weight")
+    return backtests(names.unionByName(rest), panel, rebalances, calendar, cost_bps)
+
+
 def subperiods(start: int, end: int, n: int) -> list[tuple[int, int]]:
     """n equal stretches of positions."""
     edges = [start + int((end - start) * i / n) for i in range(n + 1)]

@@ -22,12 +22,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # F: ledger
 
 
-@R.query(S("select distinct account_id, substr(sha256(concat_ws('|', action, symbol, date::varchar, coalesce(quantity::decimal(18,1)::varchar, ''), coalesce(round(price, 2)::decimal(18,2)::varchar, ''), '')), 1, 16) as transaction_id from tx where event_id % 2 = 1 and action in ('buy', 'sell') and event_id >= 0", "tx"))
+@R.query(S("""select account_id, event_id from (select *, row_number() over (partition by account_id, action, symbol, date, quantity, price, amount order by event_id) as n from tx) t where n = 1
+  and not exists (select 1 from tx o where o.event_id % 2 = 0 and o.account_id is not distinct from t.account_id and o.action = t.action and o.symbol = t.symbol and o.date = t.date and o.quantity is not distinct from t.quantity and o.price is not distinct from t.price and o.amount is not distinct from t.amount)""", "tx"))
 def f1_append_transactions(spark, sf_dir):
-    tx = domain.tx(spark, sf_dir).where("action in ('buy', 'sell')")
-    key = F.concat_ws("|", "action", "symbol", F.col("date").cast("string"), F.coalesce(F.col("quantity").cast("decimal(18,1)").cast("string"), F.lit("")), F.coalesce(F.round("price", 2).cast("decimal(18,2)").cast("string"), F.lit("")), F.lit(""))
-    rows = tx.where("event_id % 2 = 1").withColumn("transaction_id", F.substring(F.sha2(key, 256), 1, 16))
-    return rows.select("account_id", "transaction_id").distinct()
+    """A batch of all rows against a ledger that has every other one already."""
+    tx = domain.tx(spark, sf_dir)
+    return ledger.append_transactions(tx.where("event_id % 2 = 0"), tx).select("account_id", "event_id")
 
 
 @R.query(S("""select account_id, event_id, case when date > date '2024-01-25' then 'bad date' when action in ('buy', 'sell') and not coalesce(quantity > 0 and price > 0, false) then 'quantity and price must be positive'
@@ -45,8 +45,10 @@ def f3_cash_path(spark, sf_dir):
     return rounded(ledger.cash_path(domain.tx(spark, sf_dir)), 4)
 
 
-FIFO = """b as (select *, sum(quantity) over w as b1 from tx where action = 'buy' window w as (partition by account_id, symbol order by date, event_id rows between unbounded preceding and current row)),
-s as (select *, sum(quantity) over w as s1 from tx where action = 'sell' window w as (partition by account_id, symbol order by date, event_id rows between unbounded preceding and current row)),
+FIFO = """ov as (select distinct account_id, symbol from (select *, sum(case when action = 'buy' then quantity else -quantity end) over (partition by account_id, symbol order by date, action, event_id rows between unbounded preceding and current row) as o
+  from tx where action in ('buy', 'sell')) where action = 'sell' and o < -1e-9), fx as (select * from tx anti join ov using (account_id, symbol)),
+b as (select *, sum(quantity) over w as b1 from fx where action = 'buy' window w as (partition by account_id, symbol order by date, event_id rows between unbounded preceding and current row)),
+s as (select *, sum(quantity) over w as s1 from fx where action = 'sell' window w as (partition by account_id, symbol order by date, event_id rows between unbounded preceding and current row)),
 mt as (select b.account_id, b.symbol, b.event_id as buy_id, s.event_id as sell_id, b.date as buy_date, s.date as sell_date, least(b1, s1) - greatest(b1 - b.quantity, s1 - s.quantity) as q, b.price as bp, s.price as sp
   from b join s on b.account_id = s.account_id and b.symbol = s.symbol and greatest(b1 - b.quantity, s1 - s.quantity) < least(b1, s1) - 1e-12),
 lt as (select b.account_id, b.symbol, b.instrument_type, b.event_id, b.date as purchase_date, b.quantity - coalesce(u.used, 0) as quantity, b.price as purchase_price from b left join (select buy_id, sum(q) as used from mt group by 1) u on u.buy_id = b.event_id where b.quantity - coalesce(u.used, 0) > 1e-12)"""
@@ -413,9 +415,9 @@ def i8_crawl_articles(spark, sf_dir):
     return news.crawl_articles(domain.table(spark, sf_dir, "pages"), _aliases(spark, sf_dir))
 
 
-@R.query(r"select s_suppkey, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(s_name || case s_suppkey % 3 when 0 then ' Corp. Ltd.' when 1 then ' Limited' else ' Corporation' end, '\s*Ltd\.\s*$', '')), '\s*Limited\s*$', '')), '\s*Corporation\s*$', '')), '\s*Corp\.\s*$', '')) as name from supplier")
+@R.query(r"select s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s_name || case s_suppkey % 5 when 0 then ' Corp. Ltd.' when 1 then ' Limited' when 2 then ' Ltd' when 3 then ' Limited Ltd' else ' Corporation' end, ' Ltd\.$', ''), ' Ltd$', ''), ' Limited$', ''), ' Corporation$', ''), ' Corp\.$', '')) as name from supplier")
 def i9_company_query_name(spark, sf_dir):
-    tail = F.when(F.col("s_suppkey") % 3 == 0, " Corp. Ltd.").when(F.col("s_suppkey") % 3 == 1, " Limited").otherwise(" Corporation")
+    tail = F.element_at(F.array(*map(F.lit, (" Corp. Ltd.", " Limited", " Ltd", " Limited Ltd", " Corporation"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
     return domain.table(spark, sf_dir, "supplier").select("s_suppkey", T.company_query_name(F.concat("s_name", tail)).alias("name"))
 
 
@@ -460,7 +462,11 @@ def j1_price_contracts(spark, sf_dir):
 
 _LEGS = ", ".join(f"('{t}', {i}, '{s}', '{o}', {k}, {q})" for t, legs in options.TEMPLATES.items() for i, (s, o, k, q) in enumerate(legs))
 LEGS = UNDER + f""", tp(template, leg_id, side, option_type, steps, quantity) as (values {_LEGS}), lg as (select symbol || '-' || template as strategy_id, leg_id, symbol, template, side, option_type, (round_even(spot / 50, 0) + steps) * 50.0 as strike, quantity, spot, vol, 45 as days, 0.06::double as rate, 0.0::double as dividend, 10 as lot_size from un, tp),
-""" + _priced("lg", "pl")
+lv as (select * from lg qualify min(strike) over (partition by strategy_id) > 0), """ + _priced("lv", "pl")
+
+
+def _valid_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return options.valid_strategies(_legs(spark, sf_dir))
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +478,7 @@ def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(S("""select strategy_id, round(sum(z * price), 4) as value, round(sum(z * delta), 4) as delta, round(sum(z * gamma), 4) as gamma, round(sum(z * theta), 4) as theta, round(sum(z * vega), 4) as vega, round(-sum(z * price), 4) as net_premium
   from (select *, case when side = 'buy' then 1.0 else -1.0 end * quantity * lot_size as z from pl) group by 1""", "prices_m", more=LEGS))
 def j2_position_greeks(spark, sf_dir):
-    return rounded(options.position_greeks(options.price_contracts(_legs(spark, sf_dir))), 4)
+    return rounded(options.position_greeks(options.price_contracts(_valid_legs(spark, sf_dir))), 4)
 
 
 @R.query(S("select strategy_id, leg_id, symbol, template, side, option_type, strike, quantity, spot from lg", "prices_m", more=LEGS))
@@ -481,21 +487,29 @@ def j3_template_legs(spark, sf_dir):
 
 
 PAYOFF = LEGS + """, zz as (select *, case when side = 'buy' then 1.0 else -1.0 end * quantity * lot_size as z from pl), ow as (select strategy_id, max(greatest(spot, strike)) as top, sum(z * price) as entry, any_value(spot) as spot from zz group by 1),
-gd as (select strategy_id, entry, i * top * 1.5 / 100 as terminal from ow, (select unnest(range(0, 101)) as i) union select strategy_id, entry, strike from zz join ow using (strategy_id) union select strategy_id, entry, spot from ow),
+gd as (select strategy_id, entry, i * top * 1.5 / 1000 as terminal from ow, (select unnest(range(0, 1001)) as i) union select strategy_id, entry, strike from zz join ow using (strategy_id) union select strategy_id, entry, spot from ow),
 pf as (select strategy_id, terminal, sum(z * greatest(case when option_type = 'call' then terminal - strike else strike - terminal end, 0)) - any_value(entry) as pnl from gd join (select strategy_id, z, option_type, strike from zz) using (strategy_id) group by 1, 2)"""
 
 
 @R.query(S("select strategy_id, round(terminal, 9) as terminal, round(pnl, 3) as pnl from pf", "prices_m", more=PAYOFF))
 def j4_expiry_payoff(spark, sf_dir):
-    p = options.expiry_payoff(options.price_contracts(_legs(spark, sf_dir)), 101)
+    p = options.expiry_payoff(options.price_contracts(_valid_legs(spark, sf_dir)))
     return p.select("strategy_id", F.round("terminal", 9).alias("terminal"), F.round("pnl", 3).alias("pnl"))
 
 
-@R.query(S("""select strategy_id, case when slope <= 0 then round(best, 3) end as max_profit, case when slope >= 0 then round(worst, 3) end as max_loss from (select strategy_id, max(pnl) as best, min(pnl) as worst from pf group by 1)
-  join (select strategy_id, sum(case when option_type = 'call' then case when side = 'buy' then 1 else -1 end * quantity else 0 end) as slope from lg group by 1) using (strategy_id)""", "prices_m", more=PAYOFF))
+ODDS = PAYOFF + """, nx as (select *, lead(terminal) over w as nt, lead(pnl) over w as np from pf window w as (partition by strategy_id order by terminal)),
+be as (select strategy_id, string_agg(x::decimal(18, 4)::varchar, ',' order by x) as breakevens from (select distinct strategy_id, round(case when abs(pnl) <= 1e-8 then terminal when pnl * np < 0 then terminal - pnl * (nt - terminal) / (np - pnl) end, 4) as x from nx) where x is not null group by 1),
+dist as (select strategy_id, any_value(ln(spot) + (rate - dividend - vol * vol / 2) * days / 365.0) as mu, any_value(vol * sqrt(days / 365.0)) as sd from lv group by 1),
+z1 as (select nx.*, case when nt is null then null else (ln((terminal + nt) / 2) - mu) / sd end as u from nx join dist using (strategy_id)), z2 as (select *, case when u is null then 1.0 else """ + _cdf("u") + """ end as below from z1),
+z3 as (select *, below - coalesce(lag(below) over (partition by strategy_id order by terminal), 0) as mass from z2), odds as (select strategy_id, sum(case when pnl > 0 then mass else 0 end) as pp, sum(mass * pnl) as ep from z3 group by 1)"""
+
+
+@R.query(S("""select strategy_id, case when slope <= 0 then round(best, 3) end as max_profit, case when slope >= 0 then round(worst, 3) end as max_loss, coalesce(breakevens, '') as breakevens, round(pp, 3) as profit_probability, round(ep, 3) as expected_pnl
+  from (select strategy_id, max(pnl) as best, min(pnl) as worst from pf group by 1)
+  join (select strategy_id, sum(case when option_type = 'call' then case when side = 'buy' then 1 else -1 end * quantity else 0 end) as slope from lg group by 1) using (strategy_id) join odds using (strategy_id) left join be using (strategy_id)""", "prices_m", more=ODDS))
 def j5_payoff_summary(spark, sf_dir):
-    legs = options.price_contracts(_legs(spark, sf_dir))
-    return rounded(options.payoff_summary(options.expiry_payoff(legs, 101), legs).drop("breakevens"), 3)
+    legs = options.price_contracts(_valid_legs(spark, sf_dir))
+    return rounded(options.payoff_summary(options.expiry_payoff(legs), legs), 3)
 
 
 SHOCK = LEGS + """, sh as (select pl.* exclude (price, delta, gamma, theta, vega, sign, spot, vol, days), price as entry, spot * (1 + a) as spot, greatest(vol + b, 1e-4) as vol, days * 0.5::double as days, a as spot_move, b as vol_move from pl, (select unnest([-0.10, -0.05, 0.0, 0.05, 0.10])::double as a), (select unnest([-0.05, 0.0, 0.05])::double as b)),
@@ -504,7 +518,7 @@ SHOCK = LEGS + """, sh as (select pl.* exclude (price, delta, gamma, theta, vega
 
 @R.query(S("select strategy_id, spot_move, vol_move, round(sum(case when side = 'buy' then 1.0 else -1.0 end * quantity * lot_size * (price - entry)), 3) as pnl from ps group by 1, 2, 3", "prices_m", more=SHOCK))
 def j6_scenario_matrix(spark, sf_dir):
-    return rounded(options.scenario_matrix(options.price_contracts(_legs(spark, sf_dir))), 3)
+    return rounded(options.scenario_matrix(options.price_contracts(_valid_legs(spark, sf_dir))), 3)
 
 
 @R.query(S("select strategy_id, leg_id, case when quantity = 2 then 'unknown side' when strike < 1000 then 'strike must be positive' end as reason from lg where reason is not null", "prices_m", more=LEGS))

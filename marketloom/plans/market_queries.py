@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import equity, features, panel, research, signals
+from ..sources.lake import settled
 from . import domain
 from .registry import Registry
 
@@ -162,8 +163,8 @@ def c9_ridge_daily_stats(spark, sf_dir):
 
 @R.query()
 def c10_ridge_windows(spark, sf_dir):
-    w = weekly(spark, sf_dir)
-    f = features.feature_panel(w)
+    w = settled(weekly(spark, sf_dir))
+    f = settled(features.feature_panel(w))
     decisions = panel.calendar(w).where("pos >= 200 and pos % 21 = 0")
     fits = features.ridge_windows(features.ridge_daily_stats(f, features.forward_return(w)), decisions)
     return rounded(features.ridge_scores(f, fits))
@@ -194,7 +195,7 @@ def c13_market_regime(spark, sf_dir):
     return rounded(features.market_regime(features.daily_returns(weekly(spark, sf_dir))))
 
 
-EVIDENCE = P + """, rec as (select symbol, date, pred as prediction, act as actual, base as baseline from (select symbol, date, pos, close / lag(close, 4) over o - 1 as pred, lead(close, 4) over o / close - 1 as act, 0.001::double as base from p window o as (partition by symbol order by pos)) where pos % 50 = 0 and pred is not null and act is not null),
+EVIDENCE = P + """, rec as (select symbol, date, pred as prediction, act as actual, base as baseline from (select symbol, date, pos, close / lag(close, 4) over o - 1 as pred, lead(close, 4) over o / close - 1 as act, 0.001::double as base from p window o as (partition by symbol order by pos)) where pred is not null and act is not null),
 rk as (select *, rank() over (partition by date order by prediction) + (count(*) over (partition by date, prediction) - 1) / 2.0 as rp, rank() over (partition by date order by actual) + (count(*) over (partition by date, actual) - 1) / 2.0 as ra from rec),
 bl as (select date, sum((prediction - actual) ** 2) as e, sum((baseline - actual) ** 2) as b, count(*) as n, coalesce(corr(rp, ra), 0) as ic, count(*) filter (sign(prediction) = sign(actual)) as hits from rk group by 1),
 ev as (select sqrt(sum(e) / sum(n)) as rmse, sqrt(sum(b) / sum(n)) as baseline_rmse, avg(case when e < b then 1.0 else 0.0 end) as win_rate, avg(ic) as mean_ic, sum(hits) / sum(n) as hit_rate, count(*) as blocks from bl)"""
@@ -206,7 +207,7 @@ def c15_forecast_evidence(spark, sf_dir):
 
     w = weekly(spark, sf_dir)
     pred, act = F.col("close") / F.lag("close", 4).over(panel.by_symbol()) - 1, F.lead("close", 4).over(panel.by_symbol()) / F.col("close") - 1
-    rows = w.select("symbol", "date", "pos", pred.alias("prediction"), act.alias("actual"), F.lit(0.001).alias("baseline")).where("pos % 50 = 0 and prediction is not null and actual is not null")
+    rows = w.select("symbol", "date", "pos", pred.alias("prediction"), act.alias("actual"), F.lit(0.001).alias("baseline")).where("prediction is not null and actual is not null")
     return rounded(features.forecast_evidence(rows))
 
 
@@ -337,15 +338,17 @@ ch as (select run_id, pos, symbol, coalesce(t.weight, 0) as weight, coalesce(o.o
 
 def _run(spark, sf_dir):
     """Targets, rebalances, values, growth, drifted holdings and changes of an equal-weight run."""
-    w = weekly(spark, sf_dir)
+    w = settled(weekly(spark, sf_dir))
     rebalances = _rebalances(w)
     from pyspark.sql import Window
 
     n = F.count("*").over(Window.partitionBy("pos"))
     targets = signals.with_cash(_selected(w).select("pos", "symbol", (F.lit(0.9) / n).alias("weight"))).withColumn("run_id", F.lit("equal"))
-    values = equity.interval_values(targets, w, rebalances)
+    # what several steps read is computed once
+    targets, rebalances = settled(targets), settled(rebalances)
+    values = settled(equity.interval_values(targets, w, rebalances))
     held = equity.drifted_holdings(values)
-    return w, rebalances, targets, values, equity.interval_growth(values), held, equity.changes(targets, held, rebalances)
+    return w, rebalances, targets, values, equity.interval_growth(values), held, settled(equity.changes(targets, held, rebalances))
 
 
 @R.query(S("select run_id, pos, day_pos::int as day_pos, round(growth, 6) as growth from gr", "prices_w", more=RUNS))
@@ -385,8 +388,8 @@ cu as (select *, equity / coalesce(lag(equity) over (partition by run_id order b
 
 def _curve(spark, sf_dir):
     w, rebalances, targets, values, growth, held, changed = _run(spark, sf_dir)
-    costs = equity.self_financing_cost(changed, BPS)
-    return w, rebalances, targets, held, changed, costs, equity.equity_curve(growth, costs, rebalances)
+    costs = settled(equity.self_financing_cost(changed, BPS))
+    return w, rebalances, targets, held, changed, costs, settled(equity.equity_curve(growth, costs, rebalances))
 
 
 @R.query(_recursive(S('select run_id, pos, day_pos, round(equity, 6) as equity, round(gross_equity, 6) as gross_equity, round(ret, 6) as "return" from cu', "prices_w", more=CURVE)))
@@ -439,10 +442,10 @@ def e13_concentration(spark, sf_dir):
     return rounded(equity.concentration(_run(spark, sf_dir)[2]))
 
 
-@R.query("""select pos, value from (select unnest([lo, hi]) as pos from (select arg_min(pos, row(value, pos)) as lo, arg_min(pos, row(-value, pos)) as hi from (select event_id as pos, value, (row_number() over (order by event_id) - 1) * 200 // count(*) over () as b from events) group by b)) join (select event_id as pos, value from events) using (pos) group by 1, 2""")
+@R.query("""select pos, value from (select unnest([lo, hi]) as pos from (select arg_min(pos, row(value, pos)) as lo, arg_min(pos, row(-value, pos)) as hi from (select event_id as pos, value, case when count(*) over () > 2000 then (row_number() over (order by event_id) - 1) * 1000 // count(*) over () else row_number() over (order by event_id) - 1 end as b from events) group by b)) join (select event_id as pos, value from events) using (pos) group by 1, 2""")
 def e14_downsample_extrema(spark, sf_dir):
     e = domain.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "value")
-    return equity.downsample_extrema(e, 200, 0)
+    return equity.downsample_extrema(e)
 
 
 @R.query(_recursive(S("select run_id, day_pos, round(equity / lag(equity, 63) over (partition by run_id order by day_pos) - 1, 6) as rolling_return from cu", "prices_w", more=CURVE)))
@@ -511,6 +514,46 @@ def k10_random_placebo(spark, sf_dir):
     return research.random_placebo(w.join(F.broadcast(_rebalances(w).select("pos")), "pos").select("pos", "symbol"), 5)
 
 
+@R.query()
+def k10_placebo_metrics(spark, sf_dir):
+    """The drawn names of every trial through the same cost path as any other run."""
+    w = settled(weekly(spark, sf_dir))
+    whole = w.where(F.col("pos").between(START, END)).groupBy("symbol").count().where(F.col("count") == END - START + 1).select("symbol")
+    rebalances = settled(_rebalances(w))
+    eligible = w.join(whole, "symbol", "left_semi").join(rebalances.select("pos"), "pos").select("pos", "symbol")
+    return rounded(research.placebo_curves(w, rebalances, research.random_placebo(eligible, 5), panel.calendar(w), BPS))
+
+
+@R.query()
+def k9_parameter_sweep(spark, sf_dir):
+    """Look-back by number of names: all runs over the first half, the best over the rest."""
+    w = settled(weekly(spark, sf_dir))
+    whole = w.where(F.col("pos").between(START, END)).groupBy("symbol").count().where(F.col("count") == END - START + 1).select("symbol")
+    return rounded(research.parameter_sweep(w.join(whole, "symbol", "left_semi"), _rebalances(w), {"lookback": [13, 26, 52], "top_n": [3, 5]}, 200, 220, BPS))
+
+
+def _forecasts(spark, sf_dir):
+    w = settled(weekly(spark, sf_dir))
+    f, y = settled(features.feature_panel(w)), features.forward_return(w)
+    return w, f, y, panel.calendar(w).where("pos >= 240 and pos % 21 = 0")
+
+
+@R.query()
+def c14_validation_blocks(spark, sf_dir):
+    w, f, y, decisions = _forecasts(spark, sf_dir)
+    return rounded(features.validation_blocks(f, y, decisions))
+
+
+@R.query()
+def c17_forecast_outcomes(spark, sf_dir):
+    w, f, y, decisions = _forecasts(spark, sf_dir)
+    evidence = features.forecast_evidence(features.validation_blocks(f, y, decisions), ("decision",))
+    scores = features.ridge_scores(f, features.ridge_windows(features.ridge_daily_stats(f, y), decisions))
+    covariance = features.shrinkage_covariance(features.daily_returns(w), decisions)
+    listed = w.groupBy("symbol").agg(F.min("pos").alias("p")).select("symbol", F.when(F.col("p") > 0, F.col("p")).alias("listed_pos"))
+    return rounded(features.forecast_outcomes(scores, evidence, y, covariance, features.investable(listed, decisions), END))
+
+
 @R.query()
 def k11_block_bootstrap_sharpe(spark, sf_dir):
     curve = _curve(spark, sf_dir)[6]

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from tempfile import mkdtemp
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the folder that driver and executors share (spark.checkpoint.dir); a local session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def merged(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Both, a new row taking the place of an existing one with its keys; of several new ones the last by all columns."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -27,12 +40,7 @@ def upsert_parquet(df: DataFrame, path: str, keys: list[str], partition_by: list
         if partition_by:
             existing = existing.join(df.select(*partition_by).distinct(), partition_by, "left_semi")
         # the files that are read are replaced below, so the merge is settled first
-        from tempfile import mkdtemp
-
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="merge-"))
-        out = merged(existing, df.select(existing.columns) if set(existing.columns) <= set(df.columns) else df, keys).checkpoint()
+        out = settled(merged(existing, df.select(existing.columns) if set(existing.columns) <= set(df.columns) else df, keys))
     else:
         out = merged(df.limit(0), df, keys)
     if partition_by:
@@ -46,13 +54,13 @@ def upsert_parquet(df: DataFrame, path: str, keys: list[str], partition_by: list
 
 
 def write_bars(df: DataFrame, path: str, interval: str, zone: str = "Asia/Kolkata") -> None:
-    """Daily bars by symbol, minute bars by symbol, local year and month; sorted by time inside."""
+    """Daily bars by symbol, minute bars by symbol, local year and month, merged by time into what is there; sorted by time inside."""
     parts = ["symbol"]
     if interval == "minute":
         local = F.from_utc_timestamp("ts_utc", zone)
         df = df.withColumn("year", F.year(local)).withColumn("month", F.month(local))
         parts += ["year", "month"]
-    df.repartition(*parts).sortWithinPartitions(*parts, "ts_utc").write.mode("overwrite").partitionBy(*parts).option("partitionOverwriteMode", "dynamic").parquet(path)
+    upsert_parquet(df, path, [*parts, "ts_utc"], parts, ["ts_utc"])
 
 
 def upsert_statement(table: str, stage: str, columns: list[str], keys: list[str]) -> str:

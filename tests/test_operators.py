@@ -155,3 +155,104 @@ def test_verdict(spark):
     assert {"fast": 2} not in research.perturb({"fast": 2}) and research.perturb({"fast": 10}) == [{"fast": 8}, {"fast": 12}]
     m = spark.createDataFrame([("done", "x"), ("failed", "x"), ("done", "y")], "status string, kind string")
     assert {(r["status"], r["kind"], r["n"]) for r in research.registry_counts(m).collect()} == {("done", None, 2), ("failed", None, 1), (None, "x", 2), (None, "y", 1)}
+
+
+def test_oversold_groups_are_left_out(spark):
+    rows = [("a", 1, "buy", "X", D(2024, 1, 1), 3.0, 10.0), ("a", 2, "sell", "X", D(2024, 1, 2), 2.0, 11.0), ("a", 3, "buy", "X", D(2024, 1, 2), 2.0, 12.0), ("a", 4, "sell", "X", D(2024, 1, 5), 2.0, 13.0),
+            ("b", 5, "sell", "X", D(2024, 1, 1), 1.0, 10.0), ("b", 6, "buy", "X", D(2024, 1, 3), 5.0, 10.0)]
+    tx = spark.createDataFrame(rows, "account_id string, event_id long, action string, symbol string, date date, quantity double, price double").withColumn("instrument_type", F.lit("Stock"))
+    got = [(r["buy_id"], r["sell_id"], r["quantity"], r["gain"], r["holding_days"]) for r in ledger.fifo_match(tx).orderBy("sell_id", "buy_id").collect()]
+    assert got == [(1, 2, 2.0, 2.0, 1), (1, 4, 1.0, 3.0, 4), (3, 4, 1.0, 1.0, 3)]
+    assert [(r["event_id"], r["quantity"]) for r in ledger.open_lots(tx, ledger.fifo_match(tx)).collect()] == [(3, 1.0)]
+    assert [(r["account_id"], r["short_by"]) for r in ledger.oversells(tx).collect()] == [("b", 1.0)]
+
+
+def test_lists_of_words_and_links(spark):
+    row = spark.range(1).select(text.normalize_text(F.lit("The Tata Holdings Group Inc, Ltd")).alias("a"), text.canonical_url(F.lit("http://x/y?ref=1&utm_name=2&_hsenc=3&gclsrc=4&id=5#z")).alias("b"),
+                                text.company_query_name(F.lit("Acme Corp. Ltd")).alias("c"), text.company_query_name(F.lit("Acme Ltd. Limited")).alias("d")).first()
+    assert tuple(row) == ("tata inc", "http://x/y?ref=1&id=5", "Acme", "Acme Ltd.")
+
+
+def test_contracts_without_a_price(spark):
+    rows = [("call", 100.0, k, 30, 0.2, 0.0, 0.0) for k in (0.0, -50.0, 100.0)]
+    got = options.price_contracts(spark.createDataFrame(rows, "option_type string, spot double, strike double, days int, vol double, rate double, dividend double")).collect()
+    assert [r["price"] is None for r in got] == [True, True, False] and 2.2 < got[2]["price"] < 2.4
+    legs = options.template_legs(spark.createDataFrame([("S", 20.0, 50.0), ("T", 500.0, 50.0)], "symbol string, spot double, spacing double"))
+    assert {r["symbol"] for r in options.valid_strategies(legs).select("symbol").distinct().collect()} == {"T"}
+
+
+def test_odds_of_a_payoff(spark):
+    leg = spark.createDataFrame([("s", 0, "buy", "call", 100.0, 1, 1, 100.0, 0.2, 0.0, 0.0, 365)], "strategy_id string, leg_id int, side string, option_type string, strike double, quantity int, lot_size int, spot double, vol double, rate double, dividend double, days int")
+    priced = options.price_contracts(leg)
+    out = options.payoff_summary(options.expiry_payoff(priced), priced).first()
+    # the expected value of a fairly priced call is its price; above 1.5 times the spot the grid ends
+    assert out["max_profit"] is None and abs(out["max_loss"] + 7.9656) < 1e-3 and out["breakevens"] == "107.9656"
+    assert abs(out["profit_probability"] - 0.3140) < 0.003 and abs(out["expected_pnl"]) < 0.4
+
+
+def test_placebo_and_sweep(spark, shaped):
+    rebalances = spark.createDataFrame([(p, min(p + 40, 310)) for p in range(100, 300, 40)], "pos int, next_pos int").withColumn("date", F.lit(None).cast("date"))
+    got = {(r["phase"], r["run_id"]): r for r in research.parameter_sweep(shaped, rebalances, {"lookback": [20, 60, 250], "top_n": [1, 2]}, 220, 230).collect()}
+    assert len([k for k in got if k[0] == "selection"]) == 6 and len(got) == 7
+    assert all((r["error"] is not None) == (r["lookback"] == 250) for (phase, _), r in got.items() if phase == "selection")
+    best = max((r["sharpe"], r["run_id"]) for (phase, _), r in got.items() if phase == "selection" and r["sharpe"] is not None)
+    assert got["test", next(k[1] for k in got if k[0] == "test")]["run_id"] in {r["run_id"] for r in got.values() if r["sharpe"] == best[0]}
+    with pytest.raises(ValueError):
+        research.parameter_sweep(shaped, rebalances, {"lookback": list(range(25)), "top_n": [1]}, 220, 230)
+    with pytest.raises(ValueError):
+        research.parameter_sweep(shaped, rebalances, {"lookback": [20], "top_n": [1]}, 220, 220)
+    drawn = research.random_placebo(shaped.join(rebalances.select("pos"), "pos").select("pos", "symbol"), 2, trials=3)
+    again = research.random_placebo(shaped.join(rebalances.select("pos"), "pos").select("pos", "symbol"), 2, trials=3)
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect())) and drawn.count() == 3 * 5 * 2
+    metrics = research.placebo_curves(shaped, rebalances, drawn, shaped.select("pos", "date").distinct(), 10.0).collect()
+    assert {r["run_id"] for r in metrics} == {"0", "1", "2"} and all(r["final_equity"] > 0.5 for r in metrics)
+
+
+def test_validation_origins(spark):
+    decisions = spark.createDataFrame([(252,), (600,), (100,)], "pos int")
+    got = {}
+    for r in features.validation_origins(decisions).collect():
+        got.setdefault(r["decision"], []).append(r["pos"])
+    want = {d: list(range(max(d - 504 + 126, 126) + 40 + 21, d - 21, 21))[-6:] for d in (252, 600, 100)}
+    assert got == {d: x for d, x in want.items() if x}
+
+
+def test_ridge_against_direct_solution(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    rows = [(f"s{i}", D(2020, 1, 1) + dt.timedelta(days=t), t, *map(float, rnd.normal(size=2))) for t in range(300) for i in range(5)]
+    f = spark.createDataFrame(rows, "symbol string, date date, pos int, a double, b double")
+    y = f.select("symbol", "date", "pos", (0.3 * F.col("a") - 0.2 * F.col("b") + 0.1).alias("forward_return"))
+    fit = features.ridge_windows(features.ridge_daily_stats(f, y, ("a", "b")), spark.createDataFrame([(290,)], "pos int"), ("a", "b")).first()
+    used = np.array([r[3:] for r in rows if 126 <= r[2] <= 290 - 1 - 21])
+    z = (used - used.mean(0)) / used.std(0)
+    out = used @ [0.3, -0.2] + 0.1
+    beta = np.linalg.solve(z.T @ z + 8.0 * np.eye(2), z.T @ (out - out.mean())) / used.std(0)
+    assert fit["days"] == 143 and np.allclose(fit["beta"], beta) and np.isclose(fit["base"], out.mean())
+    blocks = features.validation_blocks(f, y, spark.createDataFrame([(290,)], "pos int"), ("a", "b"))
+    evidence = features.forecast_evidence(blocks, ("decision",)).collect()
+    assert len(evidence) == 1 and evidence[0]["eligible"] and evidence[0]["confidence"] > 0.9
+
+
+def test_downsample(spark):
+    rows = [(i * 3, float((i * 37) % 101)) for i in range(500)]
+    got = {(r["pos"], r["value"]) for r in equity.downsample_extrema(spark.createDataFrame(rows, "pos long, value double"), 20, 100).collect()}
+    want = set()
+    for b in range(20):
+        own = [r for i, r in enumerate(rows) if i * 20 // 500 == b]
+        want |= {min(own, key=lambda r: (r[1], r[0])), min(own, key=lambda r: (-r[1], r[0]))}
+    assert got == want
+
+
+def test_entity_match_lengths(spark):
+    docs = spark.createDataFrame([(1, "Alpha Beta Gamma went to Delta"), (2, "alpha"), (3, ""), (4, None)], "doc_id long, text string")
+    aliases = spark.createDataFrame([("alpha beta", "AB"), ("beta gamma", "BG"), ("delta", "D"), ("alpha", "A")], "alias string, symbol string")
+    assert {r["doc_id"]: r["symbols"] for r in news.entity_match(docs, aliases).collect()} == {1: "AB,D", 2: "A"}
+    assert news.entity_match(docs, aliases.limit(0)).count() == 0
+
+
+def test_inverse_volatility(spark, shaped):
+    chosen = shaped.where("pos = 200 and symbol <> 'BBB'").select("pos", "symbol")
+    got = {r["symbol"]: r["weight"] for r in signals.inverse_vol_target(chosen, features.daily_returns(shaped), 0.1, 0.8, 26).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["AAA"] > got["CCC"]

@@ -116,3 +116,13 @@ def test_stream_positions(spark, tmp_path):
     q.awaitTermination()
     got = {r["event_id"]: (r["cash"], r["violation"]) for r in spark.table("positions").collect()}
     assert got == {1: (100.0, None), 2: (-50.0, "cash below 0"), 3: (5.0, "oversold")}
+
+
+def test_bars_are_merged(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    bars = lambda rows: spark.createDataFrame(rows, "symbol string, ts_utc timestamp, close double")
+    t = lambda day, minute: dt.datetime(2024, 1, day, 5, minute)
+    lake.write_bars(bars([("A", t(1, 0), 1.0), ("A", t(1, 1), 2.0), ("B", t(1, 0), 9.0)]), path, "minute")
+    lake.write_bars(bars([("A", t(1, 1), 3.0), ("A", t(2, 0), 4.0)]), path, "minute")
+    got = sorted((r["symbol"], r["ts_utc"].day, r["ts_utc"].minute, r["close"]) for r in spark.read.parquet(path).collect())
+    assert got == [("A", 1, 0, 1.0), ("A", 1, 1, 3.0), ("A", 2, 0, 4.0), ("B", 1, 0, 9.0)]
