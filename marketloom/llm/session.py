@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session gets one of its own."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    own = context._jsc.sc().getCheckpointDir()
-    if own.isEmpty():
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return own.get()
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 #: rows of an Arrow batch while something is settled: whole texts stand in it, so it bounds a worker's memory
