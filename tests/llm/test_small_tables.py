@@ -170,9 +170,14 @@ def test_top_k_brute_force(spark):
     for q in (i for i in v if i % 20 == 0):
         best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:20]
         want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
-    assert {tuple(r) for r in topk.top_k(table, block=64).collect()} == want
+    assert {tuple(r) for r in topk.top_k(table.where("vec_id <> 1100"), block=16).collect()} == want
     assert topk.top_k(table.limit(0)).count() == 0
     assert topk.top_k(table.where("vec_id < 3")).count() == 2
+    # shorter vectors count as filled up with zeros, very large components and scores stop at the limits
+    uneven = [(0, [1.0, 2.0], 0), (1, [], 0), (2, [3.0], 0), (3, [1e30, -1e30], 0), (4, [-1.0, 0.0, 5.0], 0), (2, [3.0], 0)]
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(uneven, "vec_id long, embedding array<double>, rank int")).orderBy("rank").collect()]
+    assert got == [(2, 64 * 192), (2, 64 * 192), (1, 0), (4, -64 * 64), (3, 64 * 2**62 - 128 * 2**62 if 64 * 2**62 < 2**63 else -(2**63) + 1)]
+    assert topk.top_k(spark.createDataFrame([(0, [], 0), (20, [], 0)], "vec_id long, embedding array<double>, rank int")).count() == 2
 
 
 # toxicity
