@@ -12,8 +12,9 @@ document those inside another one are left out. In a group of equal minima, ever
 doc_id. That one may hold the minima in another setting, so the documents that share any minima also form narrower
 groups, of windows whose `CONTEXT` shingles around, before or after the minimum are the same too, and meet the smallest
 doc_id of these. Windows that no passage found so far covers are then compared, on the shingles within `REACH` of their
-minimum, with all earlier members of their groups in bounded blocks, and what they share is found on the texts. Copies of
-a whole text are told by a digest first and reported against the smallest doc_id.
+minimum, with all earlier members of their groups in bounded blocks, and what they share is found on the texts; pairs go
+first that by the places of their common shingles can't share a passage with an uncovered place in it. Copies of a whole
+text are told by a digest first and reported against the smallest doc_id.
 
 One stretch of 50 words at a Jaccard of exactly 0.8 shares a joint minimum with probability 0.90; exact ones always do, and
 longer ones have several. The tests measure a recall above 0.9.
@@ -50,12 +51,12 @@ HASHES = 3  # all their pairs are used
 THRESHOLD = 0.8
 CONTEXT = 16
 REACH = 56  # a stretch as long as LEAST / THRESHOLD around a minimum reaches no further
-COMMON = 37  # distinct shingles that two stretches of LEAST share at THRESHOLD, at least
+COMMON = 41  # distinct shingles that two stretches of LEAST share at THRESHOLD, at least
 BLOCK = 4096
 SENT_ROWS = 200_000
 DRIFT = 20  # shingles by which a passage's alignment may shift at a foreign stretch
 PIECE = 1 << 20
-MISMATCH = 4  # common shingles that one foreign shingle outweighs: with a smaller share than 4/5 no Jaccard of 0.8 is possible
+HIT, MISS = 5, 4  # THRESHOLD as a fraction: in a passage of c common and f foreign shingles HIT * c - MISS * f is MISS * LEAST or more
 _U = np.uint64
 _LOW = _U(0xFFFF)
 
@@ -176,16 +177,55 @@ def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _held(common: np.ndarray, least: int) -> np.ndarray:
-    """The places of `common` (along its last axis) that a passage can hold: what is common outweighs what is foreign."""
+    """The places of `common` (along its last axis) that a passage can hold.
+
+    With c of its n shingles common a passage needs c >= THRESHOLD * (n + m - c), where its counterpart has m >= least, and
+    m >= c.
+    """
     n = common.shape[-1]
     if n < least:
         return np.zeros(common.shape, bool)
-    sums = np.zeros((*common.shape[:-1], n + 1), np.int32)
-    np.cumsum(np.where(common, 1, -MISMATCH), axis=-1, out=sums[..., 1:])
-    low = np.minimum.accumulate(sums, axis=-1)
-    some = (sums[..., least:] >= low[..., : n + 1 - least]).any(-1)
-    high = np.maximum.accumulate(sums[..., ::-1], axis=-1)[..., ::-1]
-    return (high[..., 1:] >= low[..., :-1]) & some[..., None]
+    held = np.ones(common.shape, bool)
+    for hit, miss, enough in ((HIT, MISS, MISS * least), (HIT - MISS, MISS, 0)):
+        sums = np.zeros((*common.shape[:-1], n + 1), np.int32)
+        np.cumsum(np.where(common, np.int8(hit), np.int8(-miss)), axis=-1, dtype=np.int32, out=sums[..., 1:])
+        low = np.minimum.accumulate(sums, axis=-1)
+        high = np.maximum.accumulate(sums[..., ::-1], axis=-1)[..., ::-1]
+        held &= high[..., 1:] - low[..., :-1] >= enough
+    return held
+
+
+def _aligned(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The places from a passage's first common shingle to its last that passages can hold whose counterparts reach as far.
+
+    `first` and `last`: where the other text has each common shingle. From the common shingle i on to j a passage is
+    j - i + 1 long and its counterpart first[j] - last[i] + 1 at least, and COMMON shingles lie in it.
+    """
+    apart = COMMON - 1
+    count = np.cumsum(common, axis=1, dtype=np.int32)
+    ranks = count[:, -1]
+    n = int(ranks.max(initial=0))
+    if n <= apart:
+        return np.zeros(common.shape, bool)
+    far = np.int32(1 << 30)
+    at = np.argsort(~common, axis=1, kind="stable")[:, :n].astype(np.int32)  # the common places of each row in front
+    rank = np.arange(n, dtype=np.int32)
+    there = rank < ranks[:, None]
+    begin = np.where(there, (HIT + MISS) * rank - MISS * (at + np.take_along_axis(last, at, 1)), far)
+    end = np.where(there, (HIT + MISS) * (rank + 1) - MISS * (at + np.take_along_axis(first, at, 1) + 2), -far)
+
+    def bests() -> tuple[np.ndarray, np.ndarray]:
+        return np.minimum.accumulate(begin, axis=1), np.maximum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
+
+    # begins with no end COMMON shingles further on that fits them go, and ends without a begin
+    low, high = bests()
+    begin[:, n - apart :] = far
+    begin[:, : n - apart][high[:, apart:] < begin[:, : n - apart]] = far
+    end[:, :apart] = -far
+    end[:, apart:][end[:, apart:] < low[:, : n - apart]] = -far
+    low, high = bests()
+    low, high = np.pad(low, ((0, 0), (1, 0)), constant_values=far), np.pad(high, ((0, 0), (0, 1)), constant_values=-far)
+    return np.take_along_axis(high, count - common, 1) >= np.take_along_axis(low, count, 1)
 
 
 def _alignments(later: np.ndarray, earlier: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -366,8 +406,11 @@ def _meet(table: pa.Table) -> pa.Table:
         token = mix(keys.view(np.uint64)[owner] * _U(0x9E3779B97F4A7C15) + shingle)
     order = np.lexsort((~bare, token, owner))
     owner, token, bare_token, plain = owner[order], token[order], bare[order], shingle[order]
+    places = (order - bounds[owner]).astype(np.int32)
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+    starts = np.flatnonzero(new)
+    first, last = (f.reduceat(places, starts) if len(starts) else places for f in (np.minimum, np.maximum))
     owner, token, bare_token, plain = owner[new], token[new], bare_token[new], plain[new]
     _, group = np.unique(keys, return_inverse=True)
     need = np.full(group.max() + 1, COMMON)
@@ -377,7 +420,7 @@ def _meet(table: pa.Table) -> pa.Table:
     while True:
         _, token, df = np.unique(token, return_inverse=True, return_counts=True)
         keep = df[token] > 1
-        owner, token, bare_token, plain = owner[keep], token[keep], bare_token[keep], plain[keep]
+        owner, token, bare_token, plain, first, last = owner[keep], token[keep], bare_token[keep], plain[keep], first[keep], last[keep]
         stay = np.bincount(owner, minlength=n) >= need
         asked = np.zeros(len(need), bool)
         asked[group[stay & opens]] = True
@@ -386,10 +429,11 @@ def _meet(table: pa.Table) -> pa.Table:
             break
         alive = stay.sum()
         keep = stay[owner]
-        owner, token, bare_token, plain = owner[keep], token[keep], bare_token[keep], plain[keep]
+        owner, token, bare_token, plain, first, last = owner[keep], token[keep], bare_token[keep], plain[keep], first[keep], last[keep]
     _, token, df = np.unique(token, return_inverse=True, return_counts=True)
     posting = np.concatenate([[0], np.cumsum(df)])
-    holders = owner[np.argsort(token, kind="stable")]
+    order = np.argsort(token, kind="stable")
+    holders, first, last = owner[order], first[order], last[order]
     edges = np.searchsorted(owner, np.arange(n + 1))
     out, vain = [], set()
     for y in np.flatnonzero(stay & opens):
@@ -408,20 +452,24 @@ def _meet(table: pa.Table) -> pa.Table:
         distinct, place = np.unique(later, return_inverse=True)
         which = np.searchsorted(distinct, plain[edges[y] : edges[y + 1]])
         near = near[np.argsort(ids[near], kind="stable")]
+        held = np.concatenate([np.arange(posting[t], posting[t + 1]) for t in own])
+        column = np.repeat(which, df[own])
         local = np.full(n, -1)
         for lo in range(0, len(near), 1024):
             # which shingles each of these holds, then where a passage with an uncovered one can be
             some = near[lo : lo + 1024]
             local[some] = np.arange(len(some))
-            holds = np.zeros((len(some), len(distinct)), bool)
-            who = [local[holders[posting[t] : posting[t + 1]]] for t in own]
-            column = np.repeat(which, [len(w) for w in who])
-            who = np.concatenate(who)
-            holds[who[who >= 0], column[who >= 0]] = True
+            who = local[holders[held]]
+            here = who >= 0
+            holds, begins, ends = (np.zeros((len(some), len(distinct)), kind) for kind in (bool, np.int32, np.int32))
+            at = who[here], column[here]
+            holds[at], begins[at], ends[at] = True, first[held[here]], last[held[here]]
             local[some] = -1
             fit = holds.sum(1) >= need[y]
             common = holds[fit][:, place]
-            some, room = some[fit], _held(common, LEAST) & common
+            fit = np.flatnonzero(fit)[(_held(common, LEAST) & open_).any(1)]
+            some, common = some[fit], holds[fit][:, place]
+            room = _aligned(common, begins[fit][:, place], ends[fit][:, place])
             for k in np.flatnonzero((room & open_).any(1)):
                 x = some[k]
                 if not (room[k] & open_).any():  # covered by now
