@@ -370,6 +370,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[a:b])), own.field(0), own.field(2), own.field(3), pa.array((lo - bounds[of])[a:b]), lists], ["id", "key", "open", "blocks", "start", "segment"])
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 def _take(out: list, vain: set, later: np.ndarray, earlier: np.ndarray, open_: np.ndarray, at: tuple) -> None:
     """Adds the passages that hold uncovered places, and covers them; equal segments without any are compared once."""
     content = hashlib.blake2b(b"".join((later.tobytes(), b"|", open_.tobytes(), b"|", earlier.tobytes())), digest_size=16).digest()
@@ -433,7 +437,7 @@ def _meet(table: pa.Table) -> pa.Table:
     _, token, df = np.unique(token, return_inverse=True, return_counts=True)
     posting = np.concatenate([[0], np.cumsum(df)])
     order = np.argsort(token, kind="stable")
-    holders, first, last = owner[order], first[order], last[order]
+    holders, spots = owner[order], (first << 7 | last)[order].astype(np.int16) + np.int16(1)  # segments have less than 128 shingles
     edges = np.searchsorted(owner, np.arange(n + 1))
     out, vain = [], set()
     for y in np.flatnonzero(stay & opens):
@@ -442,8 +446,8 @@ def _meet(table: pa.Table) -> pa.Table:
         few = min(rare, own[free], key=lambda t: df[t].sum())
         if not len(few):
             continue
-        near = np.unique(np.concatenate([holders[posting[t] : posting[t + 1]] for t in few]))
-        near = near[ids[near] < ids[y]]
+        near = holders[_ranges(posting[few], df[few])]
+        near = np.unique(near[ids[near] < ids[y]])
         if two:
             near = near[side[near] != side[y]]
         if not len(near):
@@ -452,24 +456,23 @@ def _meet(table: pa.Table) -> pa.Table:
         distinct, place = np.unique(later, return_inverse=True)
         which = np.searchsorted(distinct, plain[edges[y] : edges[y + 1]])
         near = near[np.argsort(ids[near], kind="stable")]
-        held = np.concatenate([np.arange(posting[t], posting[t + 1]) for t in own])
-        column = np.repeat(which, df[own])
+        held = _ranges(posting[own], df[own])
+        around, column = holders[held], np.repeat(which, df[own])
         local = np.full(n, -1)
         for lo in range(0, len(near), 1024):
             # which shingles each of these holds, then where a passage with an uncovered one can be
             some = near[lo : lo + 1024]
             local[some] = np.arange(len(some))
-            who = local[holders[held]]
-            here = who >= 0
-            holds, begins, ends = (np.zeros((len(some), len(distinct)), kind) for kind in (bool, np.int32, np.int32))
-            at = who[here], column[here]
-            holds[at], begins[at], ends[at] = True, first[held[here]], last[held[here]]
+            who = local[around]
+            here = np.flatnonzero(who >= 0)
+            spot = np.zeros((len(some), len(distinct)), np.int16)
+            spot[who[here], column[here]] = spots[held[here]]
             local[some] = -1
-            fit = holds.sum(1) >= need[y]
-            common = holds[fit][:, place]
-            fit = np.flatnonzero(fit)[(_held(common, LEAST) & open_).any(1)]
-            some, common = some[fit], holds[fit][:, place]
-            room = _aligned(common, begins[fit][:, place], ends[fit][:, place])
+            fit = np.flatnonzero(np.count_nonzero(spot, axis=1) >= need[y])
+            spot, some = spot[fit][:, place], some[fit]
+            fit = (_held(spot > 0, LEAST) & open_).any(1)
+            spot, some = spot[fit].astype(np.int32) - 1, some[fit]
+            room = _aligned(spot >= 0, spot >> 7, spot & 127)
             for k in np.flatnonzero((room & open_).any(1)):
                 x = some[k]
                 if not (room[k] & open_).any():  # covered by now
