@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, langid, mixing, neardup, passages, suffixdedup, topk, toxicity
+from . import chat, decontaminate, hardneg, html, langid, lexical, mixing, neardup, passages, suffixdedup, topk, toxicity, warc
 from .session import table
 
 
@@ -51,12 +51,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.digest(warc.read_records(warc.locate(archives), payloads=False))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(hardneg.shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_language_id, op3_exact_top_k, op4_substring_dedup, op5_suffix_dedup,
         op6_toxicity, op7_decontamination, op8_mixing, op9_chat_formatting, op10_minhash_near_dedup,
+        op11_warc, op12_hard_negatives, op13_lexical_search,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat_formatting": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat_formatting": chat.ORACLE,
+    "op11_warc": warc.ORACLE, "op12_hard_negatives": hardneg.ORACLE, "op13_lexical_search": lexical.ORACLE,
+}
