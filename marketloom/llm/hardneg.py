@@ -10,7 +10,7 @@ score above the windows, or too low. Scores are exact integers.
 
 The walks go on in rounds, each four times as long as the one before: an anchor asks for its next cells, questions of a cell are
 packed, and packs and blocks of a cell meet on a grid of at most `MEET` x `MEET` at once, so neither a hot cell nor a cell that all anchors ask for makes
-a large task. All rows are indexed; codewords are fitted on at most `SAMPLE` rows, which changes how many cells are
+a large task. All rows are indexed; codewords are fitted on about `SAMPLE` rows, at most twice as many, which changes how many cells are
 visited and never the result.
 
 Rows of one label with equal vectors have equal scores: only those of the least ids can be among the first, so of more
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import empty, partitions, settle
+from .session import empty, hash_share, partitions, settle
 from .topk import LARGEST, _best, _matrix, _products
 
 SAMPLE = 20_000
@@ -104,8 +104,8 @@ class Index:
         most = max(POSITIVES, NEGATIVES)
         rows = rows.withColumn("n", F.row_number().over(again)).where(F.col("n") <= most).withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= most + 1)
         rows = settle(rows.select("vec_id", "label", "v"))
-        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
         count = rows.count()
+        sample = hash_share(rows, SAMPLE, count, "vec_id", "v").select("v").collect() or rows.select("v").limit(1).collect()
         k = int(min(CODEWORDS, max(1, (count / CELL_ROWS) ** 0.5)))
         x = _vectors([bytes(r["v"]) for r in sample], d).astype(float)
         scale = max(np.abs(x).max(initial=0.0), 1.0)

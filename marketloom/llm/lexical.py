@@ -20,7 +20,7 @@ empty result; other columns are ignored.
 Scale: texts are read once, tokenised inside tasks and never shuffled; vectors over the items' terms are dealt by nearest
 pivot and length in ranges that split hot groups of copies, and cut into trees of at most `TREE_TERMS` components. Sent to all
 tasks are the items, their terms and weights, of at most `ITEM_BYTES` of text a time: a larger set of items is dealt over
-several searches of the same vectors. Pivots come from at most `SAMPLE` documents and only bring neighbours together.
+several searches of the same vectors. Pivots come from about `SAMPLE` documents, at most twice as many, and only bring neighbours together.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packed import buffer, chunks
-from .session import partitions, settle
+from .session import hash_share, partitions, settle
 
 K = 10
 PIVOTS = 32
@@ -241,7 +241,7 @@ def _flat(column: pa.Array) -> np.ndarray:
 
 def _pivots(vectors: DataFrame, n: int, total: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Documents of a sample, each far from those before it: (terms, components over its length)."""
-    sample = vectors.where("octet_length(terms) > 0").orderBy(F.xxhash64("doc_id", "n", "terms"), "doc_id").limit(SAMPLE).collect()
+    sample = hash_share(vectors, SAMPLE, n, "doc_id", "terms").where("octet_length(terms) > 0").collect()
     if not sample:
         return []
     parts = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["times"], np.int32).astype(np.int64), r["n"]) for r in sample]

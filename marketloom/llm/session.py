@@ -74,3 +74,11 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in (c.lower() for c in df.columns):
         name = f"_{name}"
     return name
+
+
+def hash_share(rows: DataFrame, at_most: int, count: int, *columns: str) -> DataFrame:
+    """About `at_most` of the `count` rows, at most twice as many, chosen by a hash of `columns`; each task sends its share only."""
+    steps = 1 << 40
+    if count <= at_most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*columns), F.lit(steps)) < int(steps * at_most / count)).limit(2 * at_most)
