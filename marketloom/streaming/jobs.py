@@ -1,10 +1,7 @@
-"""Incremental jobs: bars into the lake, news with tags, running cash and positions."""
+"""Incremental jobs: bars into the lake, news with tags."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,33 +39,3 @@ def stream_news(spark: SparkSession, source: str, path: str, checkpoint: str, ta
         tag(batch).write.mode("append").partitionBy("day").parquet(path)
 
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-TX_SCHEMA = "account_id long, event_id long, action string, symbol string, date date, quantity double, price double, amount double"
-POSITION_SCHEMA = "account_id long, event_id long, cash double, open_quantity double, violation string"
-
-
-def running_positions(tx: DataFrame) -> DataFrame:
-    """Cash and open quantity of each account after every transaction as it arrives, with what it violates.
-
-    The state of an account is its cash, whether it ever had a deposit, and its open quantity of each symbol.
-    """
-    import json
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cash, funded, held = (lambda x: (x[0], x[1], json.loads(x[2])))(state.get) if state.exists else (0.0, False, {})
-        out = []
-        for r in sorted((r for part in parts for r in part.to_dict("records")), key=lambda r: (str(r["date"]), r["action"], r["event_id"])):
-            traded = (r["quantity"] or 0.0) * (r["price"] or 0.0) if r["action"] in ("buy", "sell") else 0.0
-            cash += {"buy": -traded, "sell": traded, "deposit": r["amount"], "distribution": r["amount"]}.get(r["action"], -(r["amount"] or 0.0))
-            funded = funded or r["action"] == "deposit"
-            if r["action"] in ("buy", "sell"):
-                held[r["symbol"]] = held.get(r["symbol"], 0.0) + (r["quantity"] if r["action"] == "buy" else -r["quantity"])
-            wrong = "oversold" if r["action"] == "sell" and held[r["symbol"]] < -1e-9 else "cash below 0" if funded and cash < -1e-6 else None
-            out.append((key[0], r["event_id"], cash, held.get(r["symbol"], 0.0), wrong))
-        state.update((cash, funded, json.dumps(held)))
-        yield pd.DataFrame(out, columns=["account_id", "event_id", "cash", "open_quantity", "violation"])
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return tx.groupBy("account_id").applyInPandasWithState(step, POSITION_SCHEMA, "cash double, funded boolean, held string", "append", GroupStateTimeout.NoTimeout)

@@ -108,16 +108,6 @@ def test_stream_news(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
-def test_stream_positions(spark, tmp_path):
-    src = str(tmp_path / "in")
-    rows = [(1, 1, "deposit", None, D(2024, 1, 1), None, None, 100.0), (1, 2, "buy", "S", D(2024, 1, 2), 3.0, 50.0, None), (2, 3, "sell", "S", D(2024, 1, 2), 1.0, 5.0, None)]
-    spark.createDataFrame(rows, jobs.TX_SCHEMA).coalesce(1).write.parquet(src)
-    q = jobs.running_positions(spark.readStream.schema(jobs.TX_SCHEMA).parquet(src)).writeStream.format("memory").queryName("positions").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["event_id"]: (r["cash"], r["violation"]) for r in spark.table("positions").collect()}
-    assert got == {1: (100.0, None), 2: (-50.0, "cash below 0"), 3: (5.0, "oversold")}
-
-
 def test_bars_are_merged(spark, tmp_path):
     path = str(tmp_path / "bars")
     bars = lambda rows: spark.createDataFrame(rows, "symbol string, ts_utc timestamp, close double")
