@@ -19,38 +19,61 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def merged(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Both, a new row taking the place of an existing one with its keys; of several new ones the last by all columns."""
+def merged(existing: DataFrame, new: DataFrame, keys: list[str], newest: list[str] | None = None) -> DataFrame:
+    """Both, a new row taking the place of an existing one with its keys.
+
+    Of several new rows the last by `newest`, or by all other columns where the batch has no order.
+    """
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [F.col(c).desc_nulls_last() for c in new.columns if c not in keys]
+    rest = [F.col(c).desc_nulls_last() for c in [*(newest or []), *(c for c in new.columns if c not in keys and c not in (newest or []))]]
     pick = Window.partitionBy(*keys).orderBy(F.desc("_new"), *rest)
     return both.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n", "_new")
 
 
-def upsert_parquet(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None, order_by: list[str] | None = None) -> None:
-    """Merges `df` into the table at `path`. With partitions only those that `df` touches are read and rewritten."""
+def _there(df: DataFrame, path: str):
+    """The file system of `path`, and whether the table is there; one that was set aside by a job that died is put back."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    place, aside = hadoop.Path(path), hadoop.Path(f"{path}._old")
+    files = place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place) and files.exists(aside):
+        files.rename(aside, place)
+    return files, place, aside, files.exists(place)
+
+
+def upsert_parquet(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None, order_by: list[str] | None = None, newest: list[str] | None = None) -> None:
+    """Merges `df` into the table at `path`. With partitions only those that `df` touches are read and rewritten.
+
+    A table without partitions is written beside the old one, which is then set aside and removed last.
+    """
     spark = df.sparkSession
     if df.isEmpty():
         return
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    out = df
+    files, place, aside, there = _there(df, path)
     if there:
         existing = spark.read.parquet(path)
         if partition_by:
             existing = existing.join(df.select(*partition_by).distinct(), partition_by, "left_semi")
-        # the files that are read are replaced below, so the merge is settled first
-        out = settled(merged(existing, df.select(existing.columns) if set(existing.columns) <= set(df.columns) else df, keys))
+        out = merged(existing, df, keys, newest)
+        if set(existing.columns) <= set(df.columns):
+            out = out.select(existing.columns)
+        if partition_by:
+            out = settled(out)  # the files that are read are replaced below, so the merge is settled first
     else:
-        out = merged(df.limit(0), df, keys)
+        out = merged(df.limit(0), df, keys, newest)
     if partition_by:
         out = out.repartition(*partition_by)
     if order_by:
         out = out.sortWithinPartitions(*[*(partition_by or []), *order_by])
-    writer = out.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+        out.write.mode("overwrite").partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic").parquet(path)
+        return
+    beside = place.suffix("._new")
+    out.write.mode("overwrite").parquet(f"{path}._new")
+    if there:
+        files.delete(aside, True)
+        files.rename(place, aside)
+    files.rename(beside, place)
+    files.delete(aside, True)
 
 
 def write_bars(df: DataFrame, path: str, interval: str, zone: str = "Asia/Kolkata") -> None:

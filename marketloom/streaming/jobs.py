@@ -7,19 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import canonical_url
-from ..sources.lake import upsert_parquet
+from ..sources import runs
 from ..sources.payloads import BAR_SCHEMA
 
 
-def stream_bars(spark: SparkSession, source: str, path: str, checkpoint: str, late: str = "2 days") -> StreamingQuery:
-    """Bars from landed Parquet files; exact repeats go within the watermark, a newer bar replaces an older one in the lake."""
-    bars = spark.readStream.schema(BAR_SCHEMA).parquet(source).withWatermark("ts_utc", late)
-    fresh = bars.dropDuplicatesWithinWatermark(["symbol", "ts_utc", "close", "volume"])
+def stream_bars(spark: SparkSession, source: str, path: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
+    """Bars from landed Parquet files into sorted runs (`sources.runs`), one for each batch; the newest bar of a time wins.
+
+    Newer is what stands in a later file, or further down in one. A bar that comes again, however late, takes the place of
+    the older one, so no state is kept; `files` bounds a batch.
+    """
+    landed = spark.readStream.schema(BAR_SCHEMA)
+    bars = (landed.option("maxFilesPerTrigger", files) if files else landed).parquet(source)
+    # _metadata tells the arrival of each row
+    bars = bars.select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+    def land(batch: DataFrame, number: int) -> None:
+        runs.append(batch, path, number, ["symbol", "ts_utc"], ["_at", "_file", "_row"])
+
+    return bars.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def land(batch: DataFrame, _: int) -> None:
-        upsert_parquet(batch, path, ["symbol", "ts_utc"], ["symbol"], ["ts_utc"])
 
-    return fresh.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def streamed_bars(spark: SparkSession, path: str) -> DataFrame:
+    """The newest bar of each symbol and time of what `stream_bars` has landed."""
+    return runs.read(spark, path, ["symbol", "ts_utc"], BAR_SCHEMA)
 
 
 NEWS_SCHEMA = "title string, link string, published timestamp, feed string"

@@ -72,6 +72,14 @@ def test_upsert_and_worklist(spark, tmp_path):
     lake.upsert_parquet(rows(("A", t(1), 1.0), ("A", t(2), 2.0), ("B", t(1), 3.0)), path, ["symbol", "ts_utc"], ["symbol"], ["ts_utc"])
     lake.upsert_parquet(rows(("A", t(2), 9.0), ("A", t(3), 4.0)), path, ["symbol", "ts_utc"], ["symbol"], ["ts_utc"])
     lake.upsert_parquet(rows(), path, ["symbol", "ts_utc"], ["symbol"])
+    # without partitions: written beside, an interrupted swap is mended, an order tells what is newer
+    flat = str(tmp_path / "flat")
+    lake.upsert_parquet(rows(("A", t(1), 1.0), ("A", t(2), 2.0)), flat, ["symbol", "ts_utc"])
+    (tmp_path / "flat").rename(tmp_path / "flat._old")
+    both = rows(("A", t(2), 9.0), ("A", t(2), 4.0), ("C", t(1), 3.0)).withColumn("seen", F.expr("if(close = 4.0, 2, 1)"))
+    lake.upsert_parquet(both.select("symbol", "ts_utc", "close", "seen"), flat, ["symbol", "ts_utc"], newest=["seen"])
+    assert {(r["symbol"], r["ts_utc"].day, r["close"]) for r in spark.read.parquet(flat).collect()} == {("A", 1, 1.0), ("A", 2, 4.0), ("C", 1, 3.0)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["flat", "lake"]
     assert {(r["symbol"], r["ts_utc"].day, r["close"]) for r in spark.read.parquet(path).collect()} == {("A", 1, 1.0), ("A", 2, 9.0), ("A", 3, 4.0), ("B", 1, 3.0)}
     done = spark.createDataFrame([("A", D(2024, 1, 15), "done", "2024-03-01"), ("A", D(2024, 2, 1), "failed", "2024-03-01")], "symbol string, from_date date, status string, ts string")
     work = lake.backfill_worklist(spark.createDataFrame([("A",)], "symbol string"), "2024-01-15", "2024-03-10", done, 10, "2024-03-05").orderBy("from_date").collect()
@@ -90,17 +98,6 @@ def test_daily_close(spark, tmp_path):
     assert payloads.absent_symbols(spark.createDataFrame([("A",), ("Z",)], "symbol string"), spark.createDataFrame(got)).collect() == [("Z",)]
 
 
-def test_stream_bars(spark, tmp_path):
-    schema = jobs.BAR_SCHEMA
-    src, path = str(tmp_path / "in"), str(tmp_path / "out")
-    row = lambda d, c: ("A", dt.datetime(2024, 1, d), c, c, c, c, 1, 0)
-    spark.createDataFrame([row(1, 1.0), row(1, 1.0), row(2, 2.0)], schema).coalesce(1).write.parquet(src)
-    jobs.stream_bars(spark, src, path, str(tmp_path / "cp")).awaitTermination()
-    spark.createDataFrame([row(2, 5.0)], schema).coalesce(1).write.mode("append").parquet(src)
-    jobs.stream_bars(spark, src, path, str(tmp_path / "cp")).awaitTermination()
-    assert {(r["ts_utc"].day, r["close"]) for r in spark.read.parquet(path).collect()} == {(1, 1.0), (2, 5.0)}
-
-
 def test_stream_news(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in", "a.json", '{"title":"x","link":"http://a/b?utm_id=1","published":"2024-01-02T00:00:00","feed":"f"}\n{"title":"y","link":"http://a/b","published":"2024-01-02T01:00:00","feed":"g"}\n')

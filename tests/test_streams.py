@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import ledger
+from marketloom.sources import lake, runs
 from marketloom.streaming import jobs, positions
 
 D = dt.date
@@ -91,3 +92,38 @@ def test_rows_within_the_lateness_are_booked_in_order(spark, tmp_path):
     batches = [[buy(2, D(2024, 1, 3), 20.0), (1, 3, "sell", "S", D(2024, 1, 4), 1.0, 30.0, None)], [buy(1, D(2024, 1, 2), 10.0)]]
     told = fed(spark, tmp_path, batches, lambda tx: positions.running_lots(tx, "3 days"), "late")
     assert [(r["buy_id"], r["sell_id"]) for r in positions.matches_told(told).collect()] == [(1, 3)]
+
+
+def test_runs_read_like_an_upsert(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "FAN", 3)
+    rnd = random.Random(4)
+    path, table = str(tmp_path / "runs"), str(tmp_path / "table")
+    for number in range(10):
+        rows = [(rnd.choice("ABC"), dt.datetime(2024, 1, rnd.randrange(1, 20)), float(number), n) for n in range(12)]
+        batch = spark.createDataFrame(rows, "symbol string, ts_utc timestamp, close double, n int").coalesce(1)
+        before = {p.name for p in (tmp_path / "runs" / "runs").iterdir()} if number else set()
+        for _ in range(2 if number == 4 else 1):  # a batch that comes again changes nothing
+            runs.append(batch, path, number, ["symbol", "ts_utc"], ["n"])
+        lake.upsert_parquet(batch, table, ["symbol", "ts_utc"], newest=["n"])
+        assert {p.name for p in (tmp_path / "runs" / "runs").iterdir()} - before >= {f"{number}-{number}"}
+    assert runs.live_runs(spark, path) == [(0, 8), (9, 9)]
+    plain = lambda df: sorted(map(tuple, df.select("symbol", "ts_utc", "close").collect()))
+    want = plain(spark.read.parquet(table))
+    assert plain(runs.read(spark, path, ["symbol", "ts_utc"])) == want
+    # a run without its mark does not count; one that was removed too early would
+    (tmp_path / "runs" / "runs" / "0-26").mkdir()
+    assert runs.live_runs(spark, path) == [(0, 8), (9, 9)]
+    assert runs.vacuum(spark, path, 10**12, 0) == 0 and runs.vacuum(spark, path, -(10**15), 0) == 12
+    assert plain(runs.read(spark, path, ["symbol", "ts_utc"])) == want
+    assert runs.read(spark, str(tmp_path / "none"), ["a"], "a int").columns == ["a"]
+
+
+def test_stream_bars(spark, tmp_path):
+    src, path = str(tmp_path / "in"), str(tmp_path / "out")
+    row = lambda d, c: ("A", dt.datetime(2024, 1, d), c, c, c, c, 1, 0)
+    for some in ([row(1, 1.0), row(1, 1.0), row(2, 2.0)], [row(2, 5.0), row(2, 4.0)], [row(1, 3.0)], [row(1, 1.0)]):
+        spark.createDataFrame(some, jobs.BAR_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_bars(spark, src, path, str(tmp_path / "cp")).awaitTermination()
+    # the first value of day 1 comes back after a correction and is the newest again
+    assert {(r["ts_utc"].day, r["close"]) for r in jobs.streamed_bars(spark, path).collect()} == {(1, 1.0), (2, 4.0)}
+    assert jobs.streamed_bars(spark, path).columns == [c.split()[0] for c in jobs.BAR_SCHEMA.split(", ")]
