@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -376,16 +376,29 @@ def i3_article_dedup(spark, sf_dir):
     return news.dedup_counts(pages)
 
 
-ALIASES = f"""bw as (select unnest(string_split({_norm('text')}, ' ')) as w from benchmark), al as (select w as alias, 'S' || (row_number() over (order by n desc, w) % 5) as symbol from (select w, count(*) as n from bw where length(w) >= 6 group by 1 having count(*) >= 2 order by n desc, w limit 50))"""
+#: runs of one to three words of the benchmark that occur twice or more
+ALIASES = f"""bw as (select string_split({_norm('text')}, ' ') as w from benchmark where text is not null),
+bg as (select unnest(list_transform(range(1, len(w) + 2 - k), lambda i: array_to_string(w[i:i + k - 1], ' '))) as alias from bw, (values (1), (2), (3)) ks(k)),
+al as (select alias, 'S' || ((length(alias) * 31 + ascii(alias)) % 11) as symbol from bg where length(alias) >= 6 and regexp_matches(alias, '^[a-z0-9].*[a-z0-9]$') group by 1 having count(*) >= 2),
+rx as (select '\\b(' || string_agg(alias, '|' order by length(alias) desc, alias) || ')\\b' as pattern from al)"""
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = domain.table(spark, sf_dir, "benchmark").select(F.explode(F.split(T.normalize_text(F.col("text")), " ")).alias("alias"))
-    counts = words.where("length(alias) >= 6").groupBy("alias").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "alias").limit(50)
-    return counts.select("alias", F.concat(F.lit("S"), (F.row_number().over(Window.orderBy(F.desc("n"), "alias")) % 5).cast("string")).alias("symbol"))
+    w = domain.table(spark, sf_dir, "benchmark").where("text is not null").select(F.split(T.normalize_text(F.col("text")), " ").alias("w"))
 
+    def runs(k: int) -> Column:
+        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")))
 
-@R.query(f"with {ALIASES}, dw as (select doc_id, unnest(string_split({_norm('text')}, ' ')) as w from documents where text is not null) select doc_id, string_agg(distinct symbol, ',' order by symbol) as symbols from dw join al on w = alias group by 1")
+    counts = w.select(F.explode(F.flatten(F.array_compact(F.array(runs(1), runs(2), runs(3))))).alias("alias")).where("length(alias) >= 6 and alias rlike '^[a-z0-9].*[a-z0-9]$'").groupBy("alias").agg(F.count("*").alias("n")).where("n >= 2")
+    return counts.select("alias", F.concat(F.lit("S"), ((F.length("alias") * 31 + F.ascii("alias")) % 11).cast("string")).alias("symbol"))
+
+
+def _tagged(rows: str, key: str) -> str:
+    """(key, symbols) of the texts `blob` by the rule itself: leftmost, longest first, between bounds."""
+    return f"select {key}, string_agg(distinct symbol, ',' order by symbol) as symbols from (select {key}, unnest(regexp_extract_all({_norm('blob')}, pattern)) as alias from {rows}, rx) join al using (alias) group by 1"
+
+
+@R.query(f"with {ALIASES} {_tagged('(select doc_id, text as blob from documents where text is not null)', 'doc_id')}")
 def i4_entity_match(spark, sf_dir):
     return news.entity_match(domain.table(spark, sf_dir, "documents").select("doc_id", "text"), _aliases(spark, sf_dir))
 
@@ -396,9 +409,44 @@ def i5_byline_names(spark, sf_dir):
     return c.select("c_custkey", F.array_join(T.byline_names(F.concat("c_name", F.lit(" and Ann Lee, SECTIONS news,  Bo de la Cruz y Paz"))), ";").alias("names"))
 
 
-@R.query()
+def _dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose heads state a time and authors: as linked data, as meta tags, as a time tag, or not at all."""
+    day = F.date_format(F.date_add(F.lit("2021-03-01").cast("date"), (F.col("page_id") % 900).cast("int")), "yyyy-MM-dd")
+    linked = F.concat(F.lit('<script type="application/ld+json">{"@type":"NewsArticle","datePublished":"'), day, F.lit('T10:00:00Z","author":[{"name":"Ann Lee"},"Bo de la Cruz"]}</script>'))
+    meta = F.concat(F.lit('<meta content="'), day, F.lit('" property="article:published_time"><meta name="author" content="Cy Ng and SECTIONS All">'))
+    timed = F.concat(F.lit('<time class="x" datetime="'), day, F.lit('T00:00:00+02:00">then</time>'))
+    put = F.when(F.col("page_id") % 4 == 0, linked).when(F.col("page_id") % 4 == 1, meta).when(F.col("page_id") % 4 == 2, timed).otherwise("")
+    html = F.replace("html", F.lit("</head>"), F.concat(put, F.lit("</head>")))
+    return domain.table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+def _stripped(html: str) -> str:
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "nav", "footer", "header", "aside", "form"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+#: what the added heads say is stated here, not parsed
+PAGES = rf"""pg as (select page_id, url, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) as article, html from pages),
+pa as (select page_id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')) as title,
+  {_stripped("case when article <> '' then article else regexp_replace(html, '(?is)<title[^>]*>.*?</title>', ' ', 'g') end")} as body, regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) as language,
+  case page_id % 4 when 0 then 'Ann Lee, Bo de la Cruz' when 1 then 'Cy Ng' else '' end as authors, timestamp '2021-03-01' + to_days((page_id % 900)::int) as day from pg),
+px as (select page_id, url, title, body, language, authors, case page_id % 4 when 0 then day + interval 10 hour when 1 then day when 2 then day - interval 2 hour end as published from pa)"""
+
+
+@R.query(f"""with {PAGES} select page_id, left(sha1(url), 16) as article_id, title, md5(body) as body_md5, language, authors, epoch(published)::bigint as published, case when published is not null then 'page_meta' when page_id % 8 = 3 then 'sitemap_lastmod' end as date_source,
+  coalesce(epoch(published)::bigint, case when page_id % 8 = 3 then 1704067200 end) as dated, case when length(body) >= 300 then 'full' when body <> '' then 'partial' when title <> '' then 'headline_only' else 'failed' end as status,
+  case when body = '' and title = '' then 'no headline or body' end as failure_reason, (case when body = '' then 0 else len(string_split(body, ' ')) end)::int as words from px""")
 def i6_extract_article(spark, sf_dir):
-    return news.extract_article(domain.table(spark, sf_dir, "pages"))
+    pages = _dated_pages(spark, sf_dir)
+    lastmod = pages.where("page_id % 8 = 3").select("url", F.lit("2024-01-01").cast("timestamp").alias("lastmod")).distinct()
+    rows = news.extract_article(pages, lastmod)
+    own = F.when(F.col("date_source") == "page_meta", F.unix_seconds("published"))
+    return rows.select("page_id", "article_id", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"), "language", "authors", own.alias("published"), "date_source", F.unix_seconds("published").alias("dated"), "status", "failure_reason", "words")
 
 
 CAPTURES = f"cp as (select cn.url, timestamp '2020-01-01' + to_days((page_id * 7 % 1500)::int) as captured, page_id as capture_id from cn)"
@@ -410,9 +458,14 @@ def i7_crawl_worklist(spark, sf_dir):
     return news.crawl_worklist(captures, captures.where("capture_id % 5 = 0"), 2021)
 
 
-@R.query()
+@R.query(f"""with {ALIASES}, {PAGES}, ct as (select *, coalesce(published, timestamp '2020-01-01' + to_days((page_id * 7 % 1500)::int)) as dated, left(body, 8000) as text, left(body, 500) as excerpt from px where length(body) >= 120),
+ctag as ({_tagged("(select page_id, concat_ws(' ', title, excerpt, left(text, 1500)) as blob from ct)", 'page_id')})
+select page_id, title, md5(text) as text_md5, md5(excerpt) as excerpt_md5, authors, epoch(dated)::bigint as published, year(dated)::int as year, month(dated)::int as month, symbols from ct left join ctag using (page_id)""")
 def i8_crawl_articles(spark, sf_dir):
-    return news.crawl_articles(domain.table(spark, sf_dir, "pages"), _aliases(spark, sf_dir))
+    captured = F.timestamp_add("DAY", (F.col("page_id") * 7 % 1500).cast("int"), F.lit("2020-01-01").cast("timestamp"))
+    rows = news.crawl_articles(_dated_pages(spark, sf_dir).withColumn("captured", captured), _aliases(spark, sf_dir))
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(f"{c}_md5")
+    return rows.select("page_id", "title", digest("text"), digest("excerpt"), "authors", F.unix_seconds("published").alias("published"), "year", "month", "symbols")
 
 
 @R.query(r"select s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s_name || case s_suppkey % 5 when 0 then ' Corp. Ltd.' when 1 then ' Limited' when 2 then ' Ltd' when 3 then ' Limited Ltd' else ' Corporation' end, ' Ltd\.$', ''), ' Ltd$', ''), ' Limited$', ''), ' Corporation$', ''), ' Corp\.$', '')) as name from supplier")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url
@@ -126,14 +126,24 @@ def grid_to_long(cells: DataFrame, sections: dict[str, str]) -> DataFrame:
 BOILERPLATE = ("economic times", "markets", "companies")
 
 
-def read_rss_xml(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    items = spark.read.format("xml").option("rowTag", "item").schema("title string, description string, link string, pubDate string").load(path)
+FEED_ITEM = "title string, description string, link string, pubDate string"
+
+
+def feed_rows(items: DataFrame, feed: Column, seen: Column | None = None) -> DataFrame:
+    """(feed, title, summary, url, published) of feed items as they are in the XML; `seen` dates those that state no time.
+
+    Items without title or link and section names go.
+    """
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.col(c), "<[^>]+>", " "), r"\s+", " "))
-    published = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
-    rows = items.select(F.lit(feed).alias("feed"), clean("title").alias("title"), clean("description").alias("summary"), canonical_url(F.trim("link")).alias("url"), published.alias("published"))
+    published = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"), *([] if seen is None else [seen]))
+    rows = items.select(feed.alias("feed"), clean("title").alias("title"), clean("description").alias("summary"), canonical_url(F.trim("link")).alias("url"), published.alias("published"))
     return rows.where((F.col("title") != "") & (F.col("url") != "") & ~F.lower("title").isin(*BOILERPLATE))
 
 
+def read_rss_xml(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    return feed_rows(spark.read.format("xml").option("rowTag", "item").schema(FEED_ITEM).load(path), F.lit(feed))
+
+
 def read_sitemap_xml(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
     return rows.select(F.trim("loc").alias("url"), F.try_to_timestamp("lastmod").alias("lastmod")).where("url <> ''")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..functions.text import canonical_url
+from ..operators.news import entity_match
 from ..sources import runs
-from ..sources.payloads import BAR_SCHEMA
+from ..sources.payloads import BAR_SCHEMA, FEED_ITEM, feed_rows
 
 
 def stream_bars(spark: SparkSession, source: str, path: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
@@ -33,20 +35,61 @@ def streamed_bars(spark: SparkSession, path: str) -> DataFrame:
     return runs.read(spark, path, ["symbol", "ts_utc"], BAR_SCHEMA)
 
 
-NEWS_SCHEMA = "title string, link string, published timestamp, feed string"
+class NewsCounts(StreamingQueryListener):
+    """What became of the items of the `stream_news` runs that it is given to: arrived = written + repeats + late, in `totals`."""
+
+    def __init__(self) -> None:
+        self.totals = {"arrived": 0, "written": 0, "repeats": 0, "late": 0, "batches": 0}
+        self.name, self.listens = f"news-{uuid.uuid4().hex}", False
+
+    def onQueryStarted(self, event) -> None:
+        pass
 
+    def onQueryProgress(self, event) -> None:
+        told = event.progress
+        if told.name != self.name:
+            return
+        seen = told.observedMetrics
+        self.totals["batches"] += 1
+        self.totals["arrived"] += (seen["arrived"]["n"] or 0) if "arrived" in seen else 0
+        self.totals["written"] += (seen["written"]["n"] or 0) if "written" in seen else 0
+        for state in told.stateOperators:
+            self.totals["late"] += state.numRowsDroppedByWatermark
+            self.totals["repeats"] += int(state.customMetrics.get("numDroppedDuplicateRows", 0))
 
-def news_rows(items: DataFrame, late: str = "1 day") -> DataFrame:
-    """Feed items with canonical links, once each within the watermark."""
-    rows = items.select("title", canonical_url(F.col("link")).alias("url"), "published", "feed").withWatermark("published", late)
-    return rows.dropDuplicatesWithinWatermark(["url"]).withColumn("day", F.to_date("published"))
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        pass
 
-def stream_news(spark: SparkSession, source: str, path: str, checkpoint: str, tag) -> StreamingQuery:
-    """Items from landed JSON files into day partitions; `tag(batch)` adds entities to each batch."""
-    rows = news_rows(spark.readStream.schema(NEWS_SCHEMA).json(source))
 
-    def land(batch: DataFrame, _: int) -> None:
-        tag(batch).write.mode("append").partitionBy("day").parquet(path)
+def stream_news(spark: SparkSession, source: str, path: str, checkpoint: str, aliases: DataFrame, late: str = "3 days", files: int | None = None, counts: NewsCounts | None = None) -> StreamingQuery:
+    """Items of landed feed files (`source`/<feed>/*.xml) into day partitions, once for each link, with the symbols they name.
 
-    return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Each batch is matched with the alias table as it stands then. Items that come later than `late` behind the newest are
+    dropped; `counts`, a listener, says how many arrived, were written, repeated a link or came too late. Items without
+    a time take that of their file. A batch has partitions of its own below a day, so one that runs again after a failure replaces
+    its rows; untagged batches stay beside the table, in `path`-arrived.
+    """
+    landed = spark.readStream.format("xml").option("rowTag", "item").schema(FEED_ITEM).option("recursiveFileLookup", True)
+    items = (landed.option("maxFilesPerTrigger", files) if files else landed).load(source).select("*", "_metadata")
+    feed = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    rows = feed_rows(items, feed, F.col("_metadata.file_modification_time")).observe("arrived", F.count("*").alias("n"))
+    once = rows.withWatermark("published", late).dropDuplicatesWithinWatermark(["url"]).observe("written", F.count("*").alias("n"))
+
+    def land(batch: DataFrame, number: int) -> None:
+        # the batch is read twice below, its state and its counts must see it once
+        batch.write.mode("overwrite").parquet(f"{path}-arrived/{number}")
+        batch = spark.read.parquet(f"{path}-arrived/{number}")
+        blob = batch.select("url", F.concat_ws(" ", "title", "summary").alias("blob"))
+        tagged = batch.join(entity_match(blob, aliases, "url", "blob"), "url", "left").withColumn("day", F.to_date("published")).withColumn("batch", F.lit(number))
+        tagged.write.mode("overwrite").partitionBy("day", "batch").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    writer = once.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if counts is not None:
+        if not counts.listens:
+            spark.streams.addListener(counts)
+            counts.listens = True
+        writer = writer.queryName(counts.name)
+    return writer.start()

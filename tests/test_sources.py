@@ -98,13 +98,6 @@ def test_daily_close(spark, tmp_path):
     assert payloads.absent_symbols(spark.createDataFrame([("A",), ("Z",)], "symbol string"), spark.createDataFrame(got)).collect() == [("Z",)]
 
 
-def test_stream_news(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    put(tmp_path / "in", "a.json", '{"title":"x","link":"http://a/b?utm_id=1","published":"2024-01-02T00:00:00","feed":"f"}\n{"title":"y","link":"http://a/b","published":"2024-01-02T01:00:00","feed":"g"}\n')
-    jobs.stream_news(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.withColumn("symbols", F.array())).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
-
-
 def test_bars_are_merged(spark, tmp_path):
     path = str(tmp_path / "bars")
     bars = lambda rows: spark.createDataFrame(rows, "symbol string, ts_utc timestamp, close double")

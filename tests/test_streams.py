@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,35 @@ def test_stream_bars(spark, tmp_path):
     # the first value of day 1 comes back after a correction and is the newest again
     assert {(r["ts_utc"].day, r["close"]) for r in jobs.streamed_bars(spark, path).collect()} == {(1, 1.0), (2, 4.0)}
     assert jobs.streamed_bars(spark, path).columns == [c.split()[0] for c in jobs.BAR_SCHEMA.split(", ")]
+
+
+def feed_file(folder, name, items):
+    folder.mkdir(parents=True, exist_ok=True)
+    body = "".join(f"<item><title>{t}</title><link>{u}</link><description>&lt;p&gt;{d}&lt;/p&gt;</description>{f'<pubDate>{p}</pubDate>' if p else ''}</item>" for t, u, d, p in items)
+    (folder / name).write_text(f"<?xml version='1.0'?><rss><channel>{body}</channel></rss>")
+
+
+def test_stream_news(spark, tmp_path):
+    when = lambda d, h=0: f"Mon, {d:02d} Jan 2024 {h:02d}:00:00 +0000"
+    aliases = spark.createDataFrame([("tata", "T"), ("tata steel", "TS")], "alias string, symbol string")
+    source, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    steps = [
+        ("a", "1.xml", [("Tata Steel up", "http://x/1?utm_id=3", "", when(10)), ("Again", "http://x/1#top", "", when(10, 2)), ("Markets", "http://x/9", "", when(10)), ("", "http://x/8", "", when(10))]),
+        ("b", "2.xml", [("Other feed", "http://x/1", "", when(11)), ("Tata", "http://x/2", "l&amp;t", when(20))]),
+        ("b", "3.xml", [("Too late", "http://x/3", "", when(2)), ("In time", "http://x/4", "on tata&amp;sons", when(19))]),
+        ("a", "4.xml", [("No time", "http://x/5", "", None)]),
+    ]
+    counts = jobs.NewsCounts()
+    for feed, name, items in steps:
+        feed_file(source / feed, name, items)
+        query = jobs.stream_news(spark, str(source), out, cp, aliases, counts=counts)
+        query.awaitTermination()
+    rows = {r["url"]: r for r in spark.read.parquet(out).collect()}
+    assert {u: (r["feed"], r["symbols"]) for u, r in rows.items()} == {"http://x/1": ("a", "TS"), "http://x/2": ("b", "T"), "http://x/4": ("b", "T"), "http://x/5": ("a", None)}
+    assert rows["http://x/2"]["day"] == D(2024, 1, 20)
+    for _ in range(100):  # events reach the listener a little later
+        if counts.totals["arrived"] == 7 and counts.totals["written"] + counts.totals["repeats"] + counts.totals["late"] == 7:
+            break
+        time.sleep(0.1)
+    assert {k: v for k, v in counts.totals.items() if k != "batches"} == {"arrived": 7, "written": 4, "repeats": 2, "late": 1}
+    spark.streams.removeListener(counts)
