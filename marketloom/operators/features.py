@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lake import settled
 from .panel import by_symbol
 
 YEAR = 252
@@ -73,24 +77,49 @@ def ridge_daily_stats(features: DataFrame, target: DataFrame, columns: tuple[str
     return both.groupBy("date", "pos").agg(F.count("*").alias("n"), F.sum("y").alias("s_y"), *sums)
 
 
+#: positions of a block of running sums
+SUM_BLOCK = 1024
+
+
+def window_sums(stats: DataFrame, spans: DataFrame, names: list[str]) -> DataFrame:
+    """(decision, sums): a map of the sums of `names`, and of `days`, the rows, over lo <= pos <= hi of each span (decision, lo, hi).
+
+    A sum over a window is the difference of two prefix sums. Ends of windows stand among the rows as marks; each name's sums
+    run inside blocks of `SUM_BLOCK` positions, and one number for each block is carried on. Spans without rows are left out.
+    """
+    end = F.struct(F.col("hi").alias("pos"), F.lit(1).alias("sign"))
+    begin = F.struct((F.col("lo") - 1).alias("pos"), F.lit(-1).alias("sign"))
+    marks = spans.where("lo <= hi").select("decision", F.inline(F.array(begin, end))).select("pos", F.explode(F.array(*map(F.lit, ["days", *names]))).alias("name"), F.lit(0.0).alias("value"), "decision", "sign")
+    facts = stats.select(F.col("pos").cast("long").alias("pos"), F.lit(1.0).alias("days"), *[F.col(c).cast("double").alias(c) for c in names]).unpivot("pos", ["days", *names], "name", "value")
+    rows = facts.select("*", F.lit(None).cast("long").alias("decision"), F.lit(0).alias("sign")).unionByName(marks).withColumn("block", F.floor(F.col("pos") / SUM_BLOCK)).repartition("name", "block")  # read twice below
+    # a mark stands after the row of its position
+    inside = Window.partitionBy("name", "block").orderBy("pos", F.abs("sign"), "decision").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.select("name", "block", "decision", "sign", F.sum("value").over(inside).alias("value")).where("sign <> 0")
+    before = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("name", "block").agg(F.sum("value").alias("v")).select("name", "block", F.coalesce(F.sum("v").over(before), F.lit(0.0)).alias("before"))
+    sums = running.join(blocks, ["name", "block"]).groupBy("decision", "name").agg(F.sum(F.col("sign") * (F.col("value") + F.col("before"))).alias("value"))
+    return sums.groupBy("decision").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("sums")).where("sums['days'] > 0")
+
+
+def ridge_spans(decisions: DataFrame, train: int = 504, horizon: int = 21, first: int = 126) -> DataFrame:
+    """(decision, lo, hi): the days whose labels a fit at each decision may use."""
+    d = F.col("pos").cast("long")
+    return decisions.select(d.alias("decision"), F.greatest(F.lit(first), d - train).alias("lo"), (d - 1 - horizon).alias("hi")).distinct()
+
+
 def ridge_windows(stats: DataFrame, decisions: DataFrame, columns: tuple[str, ...] = FEATURES, train: int = 504, horizon: int = 21, alpha: float = 8.0, first: int = 126) -> DataFrame:
     """(pos, n, days, base, mean, beta): ridge coefficients for each decision from the labels of so many days that had matured by then."""
-    import numpy as np
-    import pandas as pd
-
     p = len(columns)
     names = ["n", "s_y", *[f"s_{i}" for i in range(p)], *[f"xy_{i}" for i in range(p)], *[f"xx_{i}_{j}" for i in range(p) for j in range(i, p)]]
-    d = decisions.select(F.col("pos").alias("decision"))
-    inside = (F.col("pos") >= F.greatest(F.lit(first), F.col("decision") - train)) & (F.col("pos") <= F.col("decision") - 1 - horizon)
-    sums = d.join(stats, inside).groupBy("decision").agg(F.count("*").alias("days"), *[F.sum(x).alias(x) for x in names])
+    sums = window_sums(stats, ridge_spans(decisions, train, horizon, first), names)
 
     def solve(parts):
         for part in parts:
             rows = []
-            for r in part.to_dict("records"):
-                n = r["n"]
+            for decision, r in zip(part["decision"], map(dict, part["sums"]), strict=True):
+                n, days = round(r["n"]), round(r["days"])
                 if n < max(40, 4 * p):
-                    rows.append((r["decision"], int(n), int(r["days"]), 0.0, [0.0] * p, [0.0] * p))
+                    rows.append((decision, n, days, 0.0, [0.0] * p, [0.0] * p))
                     continue
                 s, xy = (np.array([r[f"{k}_{i}"] for i in range(p)]) for k in ("s", "xy"))
                 xx = np.zeros((p, p))
@@ -102,7 +131,7 @@ def ridge_windows(stats: DataFrame, decisions: DataFrame, columns: tuple[str, ..
                 sd = np.sqrt(np.maximum(np.diag(c) / n, 0))
                 sd = np.where(sd < 1e-12, 1.0, sd)
                 beta = np.linalg.solve(c / np.outer(sd, sd) + alpha * np.eye(p), (xy - n * mean * base) / sd) / sd
-                rows.append((r["decision"], int(n), int(r["days"]), float(base), mean.tolist(), beta.tolist()))
+                rows.append((decision, n, days, float(base), mean.tolist(), beta.tolist()))
             yield pd.DataFrame(rows, columns=["pos", "n", "days", "base", "mean", "beta"])
 
     return sums.mapInPandas(solve, "pos long, n long, days long, base double, mean array<double>, beta array<double>")
@@ -114,16 +143,63 @@ def ridge_scores(features: DataFrame, fits: DataFrame, columns: tuple[str, ...]
     return features.join(fits, "pos").select("symbol", "date", "pos", (F.col("base") + terms).alias("prediction"), F.col("base").alias("baseline"))
 
 
-def shrinkage_covariance(returns: DataFrame, decisions: DataFrame, shrinkage: float = 0.25, window: int = YEAR) -> DataFrame:
-    """(decision, i, j, cov) for i <= j: annual covariance shrunk to its diagonal, with a small ridge on it."""
-    d = decisions.select(F.col("pos").alias("decision"))
-    r = returns.select("symbol", "pos", F.coalesce("r", F.lit(0.0)).alias("r")).join(F.broadcast(d), (F.col("pos") < F.col("decision")) & (F.col("pos") >= F.col("decision") - window))
-    a = r.select("decision", "pos", F.col("symbol").alias("i"), F.col("r").alias("x"))
-    b = r.select("decision", "pos", F.col("symbol").alias("j"), F.col("r").alias("y"))
-    pairs = a.join(b, ["decision", "pos"]).where("i <= j").groupBy("decision", "i", "j").agg(F.covar_samp("x", "y").alias("s"), F.count("*").alias("n"))
+#: symbols of a block of returns
+SYMBOL_BLOCK = 128
+
+
+def return_blocks(returns: DataFrame, decisions: DataFrame, window: int = YEAR, size: int = SYMBOL_BLOCK) -> DataFrame:
+    """(decision, block, blocks, days, symbols, pos, x): the returns of the `window` days before each decision by blocks of symbols.
+
+    x holds `symbols` by `pos` as bytes of doubles, NaN where a symbol has no row; a null return is 0. A block has about
+    `size` symbols, which a hash deals.
+    """
+    blocks = max(1, -(-returns.select("symbol").distinct().count() // size))
+    days = decisions.select(F.col("pos").cast("long").alias("decision")).distinct().select("decision", F.explode(F.sequence(F.col("decision") - window, F.col("decision") - 1)).alias("pos"))
+    rows = returns.select("symbol", F.col("pos").cast("long").alias("pos"), F.coalesce("r", F.lit(0.0)).alias("r")).join(days, "pos").withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        symbols, i = np.unique(table["symbol"].to_numpy(zero_copy_only=False), return_inverse=True)
+        pos, j = np.unique(table["pos"].to_numpy(), return_inverse=True)
+        x = np.full((len(symbols), len(pos)), np.nan)
+        x[i, j] = table["r"].to_numpy()
+        return pa.table({"decision": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "blocks": pa.array([blocks], pa.int32()), "symbols": [symbols.tolist()], "pos": [pos.tolist()], "x": [x.tobytes()]})
+
+    return rows.select("decision", "block", "symbol", "pos", "r").groupBy("decision", "block").applyInArrow(pack, "decision long, block int, blocks int, symbols array<string>, pos array<bigint>, x binary")
+
+
+def shrinkage_covariance(returns: DataFrame, decisions: DataFrame, shrinkage: float = 0.25, window: int = YEAR, size: int = SYMBOL_BLOCK) -> DataFrame:
+    """(decision, i, j, cov) for i <= j: annual covariance shrunk to its diagonal, with a small ridge on it.
+
+    Blocks of symbols meet in pairs, each pair of a decision in a place of its own; their sums over common days are matrix products.
+    """
+    packed = settled(return_blocks(returns, decisions, window, size))
+    side = lambda p, other: packed.select("decision", *[F.col(c).alias(f"{p}_{c}") for c in ("block", "symbols", "pos", "x")], other)
+    left = side("a", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b_block"))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a_block"))
+
+    def products(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                days, ai, bi = np.intersect1d(r["a_pos"], r["b_pos"], return_indices=True)
+                a, b = (np.frombuffer(r[f"{p}_x"]).reshape(len(r[f"{p}_symbols"]), -1)[:, at] for p, at in (("a", ai), ("b", bi)))
+                ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+                a, b = np.nan_to_num(a), np.nan_to_num(b)
+                n, sa, sb = ma @ mb.T, a @ mb.T, ma @ b.T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = (a @ b.T - sa * sb / n) / (n - 1)
+                i, j = (np.array(r[f"{p}_symbols"], object) for p in ("a", "b"))
+                first = i[:, None] <= j[None, :]
+                # two blocks hold each pair once, in either order; a block with itself holds it twice
+                keep = (n > 0) & (first if r["a_block"] == r["b_block"] else True)
+                p, q = np.nonzero(keep)
+                low, high = np.where(first[p, q], i[p], j[q]), np.where(first[p, q], j[q], i[p])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), r["decision"])), pa.array(low, pa.string()), pa.array(high, pa.string()), pa.array(s[p, q]), pa.array(n[p, q].astype(np.int64))], ["decision", "i", "j", "s", "n"])
+
+    pairs = left.join(right, ["decision", "a_block", "b_block"]).mapInArrow(products, "decision long, i string, j string, s double, n long")
     same = F.col("i") == F.col("j")
     cov = F.when(F.col("n") < 20, F.when(same, 0.04).otherwise(0.0)).otherwise(F.col("s") * YEAR * F.when(same, 1.0).otherwise(1 - shrinkage) + F.when(same, 1e-6).otherwise(0.0))
-    return pairs.select("decision", "i", "j", cov.alias("cov"))
+    kind = decisions.schema["pos"].dataType
+    return pairs.select(F.col("decision").cast(kind).alias("decision"), "i", "j", cov.alias("cov"))
 
 
 def market_regime(returns: DataFrame, window: int = 63) -> DataFrame:
@@ -193,33 +269,58 @@ def forecast_outcomes(scores: DataFrame, evidence: DataFrame, target: DataFrame,
                        F.when(F.col("ok"), F.col("annualized_volatility")).alias("annualized_volatility"), F.when(F.col("eligible"), "ML mean-variance").otherwise("Equal weight").alias("effective_method"))
 
 
-def factor_covariance(returns: DataFrame, decision: int, n_factors: int = 10, window: int = YEAR) -> DataFrame:
-    """(symbol, loadings, specific, factor_var): a statistical factor model of the window before a decision.
+def factor_covariance(returns: DataFrame, decisions: DataFrame, n_factors: int = 10, window: int = YEAR, size: int = SYMBOL_BLOCK) -> DataFrame:
+    """(decision, symbol, loadings, specific, factor_var): a statistical factor model of the window before each decision.
 
-    The days' Gram matrix (window x window at most) is summed in Spark; its leading vectors give the factors, and the
-    loadings of each symbol are one more join on the day, so nothing grows with the square of the symbols.
+    Each block of symbols gives its part of the days' Gram matrix (window x window), parts are added up in two steps, and the
+    leading vectors are the factors of a decision. Loadings are one product of a block with them. Symbols need not have a
+    row on each day; a missing one counts as the symbol's mean.
     """
-    import numpy as np
-
-    rows = returns.where((F.col("pos") < decision) & (F.col("pos") >= decision - window)).select("symbol", "pos", F.coalesce("r", F.lit(0.0)).alias("r"))
-    centred = rows.withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy("symbol"))).select("symbol", "pos", "x")
-    a, b = centred.select("symbol", F.col("pos").alias("s"), F.col("x").alias("xs")), centred.select("symbol", F.col("pos").alias("t"), F.col("x").alias("xt"))
-    cells = a.join(b, "symbol").where("s <= t").groupBy("s", "t").agg(F.sum(F.col("xs") * F.col("xt")).alias("g")).collect()
-    days = sorted({c["s"] for c in cells})
-    place = {d: i for i, d in enumerate(days)}
-    g = np.zeros((len(days), len(days)))
-    for c in cells:
-        g[place[c["s"]], place[c["t"]]] = g[place[c["t"]], place[c["s"]]] = c["g"]
-    n = returns.select("symbol").distinct().count()
-    k = max(1, min(n_factors, len(days) - 1, n))
-    values, vectors = np.linalg.eigh(g)
-    lead = np.argsort(values)[::-1][:k]
-    scale = np.sqrt(np.maximum(values[lead], 1e-18))
-    variance = [float(v) / (len(days) - 1) * YEAR for v in np.maximum(values[lead], 0)]
-    table = returns.sparkSession.createDataFrame([(int(d), [float(v) for v in vectors[i, lead]]) for i, d in enumerate(days)], "pos int, u array<double>")
-    joined = centred.join(F.broadcast(table), "pos")
-    # loading of factor j: the symbol's returns along its day vector, over the factor's length
-    loads = joined.groupBy("symbol").agg(F.array(*[F.sum(F.col("x") * F.col("u")[j]) / float(scale[j]) for j in range(k)]).alias("loadings"), F.sum(F.col("x") * F.col("x")).alias("whole"))
-    explained = F.aggregate(F.zip_with("loadings", F.array(*[F.lit(float(s * s)) for s in scale]), lambda l, s: l * l * s), F.lit(0.0), lambda acc, v: acc + v)
-    specific = (F.col("whole") - explained) / (len(days) - 1) * YEAR
-    return loads.select("symbol", "loadings", (F.greatest(F.coalesce(specific, F.lit(0.04)), F.lit(1e-6)) + 1e-6).alias("specific"), F.array(*map(F.lit, variance)).alias("factor_var"))
+    packed = settled(return_blocks(returns, decisions, window, size))
+    symbols = returns.select("symbol").distinct().count()
+
+    def centred(r: dict) -> np.ndarray:
+        x = np.frombuffer(r["x"]).reshape(len(r["symbols"]), -1)
+        return np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True))
+
+    def gram(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = centred(r)
+                yield pa.RecordBatch.from_arrays([pa.array([r["decision"]]), pa.array([r["block"] % 32], pa.int32()), pa.array([r["pos"]], pa.list_(pa.int64())), pa.array([(x.T @ x).tobytes()], pa.binary())], ["decision", "part", "pos", "g"])
+
+    def total(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        days = np.unique(np.concatenate(table["pos"].to_pylist()))
+        g = np.zeros((len(days), len(days)))
+        for pos, cell in zip(table["pos"].to_pylist(), table["g"].to_pylist(), strict=True):
+            at = np.searchsorted(days, pos)
+            g[np.ix_(at, at)] += np.frombuffer(cell).reshape(len(at), -1)
+        return days, g
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        days, g = total(table)
+        return pa.table({"decision": [key[0].as_py()], "pos": pa.array([days.tolist()], pa.list_(pa.int64())), "g": [g.tobytes()]})
+
+    def factors(key: tuple, table: pa.Table) -> pa.Table:
+        days, g = total(table)
+        k = max(1, min(n_factors, len(days) - 1, symbols))
+        values, vectors = np.linalg.eigh(g)
+        lead = np.argsort(values)[::-1][:k]
+        scale = np.sqrt(np.maximum(values[lead], 1e-18))
+        variance = np.maximum(values[lead], 0) / max(len(days) - 1, 1) * YEAR
+        return pa.table({"decision": [key[0].as_py()], "f_pos": pa.array([days.tolist()], pa.list_(pa.int64())), "scale": [scale.tolist()], "factor_var": [variance.tolist()], "u": [np.ascontiguousarray(vectors[:, lead]).tobytes()]})
+
+    parts = packed.mapInArrow(gram, "decision long, part int, pos array<bigint>, g binary").groupBy("decision", "part").applyInArrow(add, "decision long, pos array<bigint>, g binary")
+    found = parts.groupBy("decision").applyInArrow(factors, "decision long, f_pos array<bigint>, scale array<double>, factor_var array<double>, u binary")
+
+    def loads(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, scale = centred(r), np.array(r["scale"])
+                u = np.frombuffer(r["u"]).reshape(-1, len(scale))[np.searchsorted(r["f_pos"], r["pos"])]
+                loadings = x @ u / scale
+                specific = ((x * x).sum(1) - (loadings**2 * scale**2).sum(1)) / max(len(r["f_pos"]) - 1, 1) * YEAR
+                n = len(x)
+                yield pa.RecordBatch.from_arrays([pa.array([r["decision"]] * n), pa.array(r["symbols"]), pa.array(loadings.tolist(), pa.list_(pa.float64())), pa.array(np.maximum(specific, 1e-6) + 1e-6), pa.array([r["factor_var"]] * n, pa.list_(pa.float64()))], ["decision", "symbol", "loadings", "specific", "factor_var"])
+
+    return packed.join(found, "decision").select("decision", "symbols", "pos", "x", "f_pos", "scale", "factor_var", "u").mapInArrow(loads, "decision long, symbol string, loadings array<double>, specific double, factor_var array<double>")

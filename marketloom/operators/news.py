@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byline_names, canonical_url, completeness, normalize_text, strip_html
-from ..sources.lake import upsert_parquet
+from ..sources.lake import settled, upsert_parquet
 
 
 def article_dedup(articles: DataFrame) -> DataFrame:
@@ -43,25 +43,38 @@ def alias_index(aliases: DataFrame) -> DataFrame:
     return opened.groupBy(F.ltrim(F.col("t")[0]).alias("first")).agg(F.sort_array(F.collect_set(F.size("t"))).alias("lengths"))
 
 
+#: an alias table of no more rows is sent to all tasks
+SENT_ALIASES = 200_000
+
+
 def alias_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
     """(_k, at, n, alias): the longest alias that stands at each token of a text, `n` tokens long.
 
     An alias stands between signs, blanks or ends of the text, never inside a run of letters and digits. Only tokens that
-    open an alias are followed further; a dictionary of any size stays an equi-join.
+    open an alias are followed further; a dictionary of any size is an equi-join, and up to `SENT_ALIASES` rows of it the texts
+    stay where they are.
     """
-    index = alias_index(aliases)
-    longest = index.agg(F.max(F.array_max("lengths"))).first()[0] or 0
+    names = aliases.select("alias").distinct()
+    index = settled(alias_index(names))
+    longest, count = index.agg(F.max(F.array_max("lengths")), F.count("*")).first()
+    longest = longest or 0
+    if count <= SENT_ALIASES and names.count() <= SENT_ALIASES:
+        index, names = F.broadcast(index), F.broadcast(names)
     w = docs.select(F.col(key).alias("_k"), _tokens(normalize_text(F.col(text))).alias("w")).where(F.size("w") > 0)
-    places = w.select("_k", F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda at: F.struct(
-        at.alias("at"), F.ltrim(F.get("w", at)).alias("first"),
-        # a sign opens an alias only where no letter or digit stands right before it
-        ((F.ltrim(F.get("w", at)) != "&") | (F.get("w", at) != "&") | F.coalesce(F.ltrim(F.get("w", at - 1)) == "&", F.lit(True))).alias("free"),
-        F.slice("w", at + 1, longest + 1).alias("run")))))
-    found = places.where("free").join(index, "first").select("_k", "at", "run", F.explode("lengths").alias("n")).where("size(run) >= n")
-    last, after = F.get("run", F.col("n") - 1), F.get("run", F.col("n"))
-    ends = (F.ltrim(last) != "&") | F.coalesce(F.startswith(after, F.lit(" ")) | (after == "&"), F.lit(True))
-    runs = found.where(ends).select("_k", "at", "n", F.ltrim(F.array_join(F.slice("run", 1, F.col("n")), "")).alias("alias"))
-    return runs.join(aliases.select("alias").distinct(), "alias").groupBy("_k", "at").agg(F.max(F.struct("n", "alias")).alias("m")).select("_k", "at", "m.n", "m.alias")
+    # each token with the one before it and those that the longest alias and the bound behind it need
+    shifted = [F.slice("w", i + 1, F.size("w")).alias(f"t{i}") for i in range(longest + 1)]
+    row = w.select("_k", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.size("w") - 1)).alias("before"), *shifted)).alias("at", "t"))
+    t = [F.col(f"t.t{i}") for i in range(longest + 1)]
+    # a sign opens an alias only where no letter or digit stands right before it
+    free = (t[0] != "&") | F.coalesce(F.ltrim("t.before") == "&", F.lit(True))
+    found = row.where(free).withColumn("first", F.ltrim(t[0])).join(index, "first").select("_k", "at", "t", F.explode("lengths").alias("n"))
+    run, fits = F.lit(None).cast("string"), F.lit(False)
+    for n in range(1, longest + 1):
+        last, after = t[n - 1], t[n]
+        ends = last.isNotNull() & ((F.ltrim(last) != "&") | F.coalesce(F.startswith(after, F.lit(" ")) | (after == "&"), F.lit(True)))
+        run, fits = F.when(F.col("n") == n, F.ltrim(F.concat(*t[:n]))).otherwise(run), F.when(F.col("n") == n, ends).otherwise(fits)
+    runs = found.where(fits).select("_k", "at", "n", run.alias("alias")).join(names, "alias")
+    return runs.groupBy("_k", "at").agg(F.max(F.struct("n", "alias")).alias("m")).select("_k", "at", "m.n", "m.alias")
 
 
 def entity_match(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,6 +82,7 @@ def entity_match(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", text:
 
     A hit counts unless a chosen hit before it covers its start. Texts without a hit have no row.
     """
+    aliases = settled(aliases.select("alias", "symbol").distinct())
     hits = alias_hits(docs, aliases, key, text)
     lists = hits.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("at", "n", "alias"))).alias("h"))
     start = F.struct(F.lit(0).alias("free"), F.expr("cast(array() as array<string>)").alias("out"))

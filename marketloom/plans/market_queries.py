@@ -170,22 +170,38 @@ def c10_ridge_windows(spark, sf_dir):
     return rounded(features.ridge_scores(f, fits))
 
 
-COV = RET + """, d as (select unnest([300, 340]) as decision), w as (select decision, symbol, pos, coalesce(r, 0.0) as r from r, d where pos < decision and pos >= decision - 252),
+@R.query(S("""select d.pos, count(*)::bigint as days, round(sum(s.n), 5) as n, round(sum(s_y), 5) as s_y, round(sum(s_0), 5) as s_0, round(sum(xy_1), 5) as xy_1, round(sum(xx_0_1), 5) as xx_0_1 from
+  (select distinct pos from p where pos >= 150 and pos % 7 = 0) d join (select pos, count(*)::double as n, sum(forward_return) as s_y, sum(momentum_21d) as s_0, sum(trend_21d * forward_return) as xy_1, sum(momentum_21d * trend_21d) as xx_0_1
+  from fp join (select symbol, date, forward_return from y) y using (symbol, date) where forward_return is not null group by 1) s on s.pos between greatest(126, d.pos - 504) and d.pos - 22 group by 1""", "prices_w", more=PANEL + TARGET))
+def c10_ridge_sums(spark, sf_dir):
+    """What each fit is made of: the sums over the days that it may use."""
+    w = settled(weekly(spark, sf_dir))
+    stats = features.ridge_daily_stats(features.feature_panel(w), features.forward_return(w), TWO)
+    sums = features.window_sums(stats, features.ridge_spans(panel.calendar(w).where("pos >= 150 and pos % 7 = 0")), ["n", "s_y", "s_0", "xy_1", "xx_0_1"])
+    return rounded(sums.select(F.col("decision").cast("int").alias("pos"), F.round("sums.days").cast("long").alias("days"), *[(F.col("sums")[c] + 0.0).alias(c) for c in ("n", "s_y", "s_0", "xy_1", "xx_0_1")]), 5)
+
+
+COV = RET + """, d as (select distinct pos as decision from p where pos >= 21 and pos % 21 = 0), w as (select decision, symbol, pos, coalesce(r, 0.0) as r from r, d where pos < decision and pos >= decision - 252),
 cv as (select a.decision, a.symbol as i, b.symbol as j, covar_samp(a.r, b.r) as s, count(*) as n from w a join w b on a.decision = b.decision and a.pos = b.pos and a.symbol <= b.symbol group by 1, 2, 3)"""
 
 
+def _monthly_decisions(w: DataFrame) -> DataFrame:
+    return panel.calendar(w).where("pos >= 21 and pos % 21 = 0")
+
+
 @R.query(S("select decision, i, j, round(case when n < 20 then case when i = j then 0.04 else 0.0 end else s * 252 * (case when i = j then 1.0 else 0.75 end) + (case when i = j then 1e-6 else 0.0 end) end, 6) as cov from cv", "prices_w", more=COV))
 def c11_shrinkage_covariance(spark, sf_dir):
-    returns = features.daily_returns(weekly(spark, sf_dir))
-    return rounded(features.shrinkage_covariance(returns, spark.createDataFrame([(300,), (340,)], "pos int")))
+    w = settled(weekly(spark, sf_dir))
+    return rounded(features.shrinkage_covariance(features.daily_returns(w), _monthly_decisions(w)))
 
 
-@R.query()
+@R.query(S("""select decision::bigint as decision, symbol, round(var_pop(r) * count(*) / (any_value(days) - 1) * 252 + 1e-6, 6) as variance from w join (select decision, count(distinct pos) as days from w group by 1) using (decision) group by 1, 2""", "prices_w", more=COV))
 def c12_factor_covariance(spark, sf_dir):
-    """Variance of each symbol under the factor model; with all factors it is the sample's own."""
-    f = features.factor_covariance(features.daily_returns(weekly(spark, sf_dir)), 340)
+    """Variance of each symbol under the factor model of each decision; common and specific parts make up the sample's own."""
+    w = settled(weekly(spark, sf_dir))
+    f = features.factor_covariance(features.daily_returns(w), _monthly_decisions(w))
     common = F.aggregate(F.zip_with("loadings", "factor_var", lambda l, v: l * l * v), F.lit(0.0), lambda a, x: a + x)
-    return rounded(f.select("symbol", (common + F.col("specific")).alias("variance")))
+    return rounded(f.select("decision", "symbol", (common + F.col("specific")).alias("variance")))
 
 
 @R.query(S("""select date, pos, round(market_return, 6) as market_return, round(market_volatility, 6) as market_volatility, case when n < 63 then 'insufficient-history' when market_return < -0.08 and market_volatility > 0.22 then 'risk-off'
@@ -211,10 +227,11 @@ def c15_forecast_evidence(spark, sf_dir):
     return rounded(features.forecast_evidence(rows))
 
 
-@R.query(S("select symbol, pos from (select symbol, case when min(pos) > 0 then min(pos) end as listed_pos from p group by 1), (select unnest([60, 260, 340])::int as pos) where listed_pos is null or listed_pos + 252 <= pos", "prices_w", more=P))
+@R.query(S("select symbol, pos from (select symbol, case when min(pos) > 0 then min(pos) end as listed_pos from p group by 1), (select distinct pos from p where pos % 20 = 0) where listed_pos is null or listed_pos + 252 <= pos", "prices_w", more=P))
 def c16_investable(spark, sf_dir):
-    listed = weekly(spark, sf_dir).groupBy("symbol").agg(F.min("pos").alias("p")).select("symbol", F.when(F.col("p") > 0, F.col("p")).alias("listed_pos"))
-    return features.investable(listed, spark.createDataFrame([(60,), (260,), (340,)], "pos int"))
+    w = settled(weekly(spark, sf_dir))
+    listed = w.groupBy("symbol").agg(F.min("pos").alias("p")).select("symbol", F.when(F.col("p") > 0, F.col("p")).alias("listed_pos"))
+    return features.investable(listed, panel.calendar(w).where("pos % 20 = 0"))
 
 
 def _sma(n: int) -> str:
