@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: smallest tradable step of each instrument type
@@ -45,11 +45,17 @@ def proposal_trades(holdings: DataFrame, cash: DataFrame, targets: DataFrame, la
     """Trades that take each account to its target weights in tradable steps.
 
     holdings: (account_id, symbol, quantity); cash: (account_id, cash); targets: (account_id, symbol, weight);
-    latest: (symbol, price, instrument_type). Every row also says what cash is left and whether it funds the trades.
+    latest: (symbol, price, instrument_type). Every row also says what cash is left and whether it funds the trades. An account
+    that holds something without a price above 0 has no known capital: its rows carry an error and no trades. A
+    target without a price is an error row of its own.
     """
     fee = cost_bps / 10_000
     both = holdings.select("account_id", "symbol", "quantity").join(targets.select("account_id", "symbol", "weight"), ["account_id", "symbol"], "full")
-    rows = both.join(F.broadcast(latest), "symbol").select("account_id", "symbol", "instrument_type", "price", F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    whole = both.join(latest, "symbol", "left").select("account_id", "symbol", "instrument_type", F.when(F.col("price") > 0, F.col("price")).alias("price"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    unpriced = F.max(F.col("price").isNull() & (F.col("quantity") != 0)).over(Window.partitionBy("account_id"))
+    error = F.when(F.col("price").isNull(), F.when(F.col("quantity") != 0, "held without a price").otherwise("target without a price")).when(unpriced, "the account holds something without a price")
+    whole = whole.withColumn("error", error)
+    rows, failed = whole.where("error is null").drop("error"), whole.where("error is not null")
     held = rows.groupBy("account_id").agg(F.sum(F.col("quantity") * F.col("price")).alias("held"))
     capital = held.join(cash, "account_id", "full").select("account_id", F.coalesce("cash", F.lit(0.0)).alias("cash"), (F.coalesce("held", F.lit(0.0)) + F.coalesce("cash", F.lit(0.0))).alias("capital"))
     step = F.coalesce(*[F.when(F.col("instrument_type") == k, F.lit(s)) for k, s in STEPS.items()], F.lit(1.0))
@@ -57,8 +63,9 @@ def proposal_trades(holdings: DataFrame, cash: DataFrame, targets: DataFrame, la
     t = t.withColumn("delta", F.col("target_quantity") - F.col("quantity")).withColumn("notional", F.abs("delta") * F.col("price")).withColumn("fee", F.col("notional") * fee)
     left = t.groupBy("account_id").agg((F.first("cash") - F.sum(F.col("delta") * F.col("price")) - F.sum("fee")).alias("remaining_cash"))
     side = F.when(F.col("delta") > 0, "Buy").when(F.col("delta") < 0, "Sell").otherwise("Hold")
-    return t.join(left, "account_id").select("account_id", "symbol", side.alias("side"), "quantity", "target_quantity", "delta", "notional", "fee", "remaining_cash",
-                                             (F.col("target_quantity") * F.col("price") / F.nullif(F.col("capital"), F.lit(0.0))).alias("rounded_weight"), (F.col("remaining_cash") >= -1e-7).alias("funded"))
+    trades = t.join(left, "account_id").select("account_id", "symbol", side.alias("side"), "quantity", "target_quantity", "delta", "notional", "fee", "remaining_cash",
+                                               (F.col("target_quantity") * F.col("price") / F.nullif(F.col("capital"), F.lit(0.0))).alias("rounded_weight"), (F.col("remaining_cash") >= -1e-7).alias("funded"), F.lit(None).cast("string").alias("error"))
+    return trades.unionByName(failed.select("account_id", "symbol", "quantity", F.lit(False).alias("funded"), "error"), allowMissingColumns=True)
 
 
 def mark_proposals(proposals: DataFrame, latest: DataFrame, history: DataFrame, as_of: str) -> DataFrame:
@@ -66,7 +73,7 @@ def mark_proposals(proposals: DataFrame, latest: DataFrame, history: DataFrame,
 
     proposals: (proposal_id, symbol, quantity, reference_date, reference_price, cash); history: (symbol, date, close).
     """
-    rows = proposals.join(F.broadcast(latest.select("symbol", "price")), "symbol", "left")
+    rows = proposals.join(latest.select("symbol", "price"), "symbol", "left")
     rows = rows.join(history.select("symbol", F.col("date").alias("reference_date"), F.col("close").alias("then")), ["symbol", "reference_date"], "left")
     g = rows.groupBy("proposal_id").agg(
         F.bool_and(F.col("price").isNotNull()).alias("known"), F.bool_or(F.col("reference_date") > F.to_date(F.lit(as_of))).alias("ahead"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.lake import settled
-from . import equity
+from . import equity, signals
 
 from .features import daily_returns
 
@@ -87,24 +87,74 @@ def scenario_range(panel: DataFrame, width: int = 252, least: int = 20) -> DataF
 MAX_SWEEP = 24
 
 
-def parameter_grid(spark, grid: dict[str, list]) -> DataFrame:
-    """(run_id, one column for each setting): every combination, named by its values."""
-    names = list(grid)
-    rows = [values for values in product(*grid.values())]
-    if not rows or not names:
-        raise ValueError("a sweep needs a setting and candidate values for each")
-    if len(rows) > MAX_SWEEP:
-        raise ValueError(f"a sweep has at most {MAX_SWEEP} runs, not {len(rows)}")
-    return spark.createDataFrame([("-".join(map(str, r)), *r) for r in rows], "run_id string, " + ", ".join(f"{n} int" for n in names))
-
-
-def momentum_runs(panel: DataFrame, rebalances: DataFrame, runs: DataFrame, cash: float = 0.1) -> DataFrame:
-    """(run_id, pos, symbol, weight): for each run the `top_n` highest gains over `lookback` rows known the day before, equally weighed."""
-    now = panel.select("symbol", F.col("pos").alias("known"), F.col("close").alias("p1")).join(rebalances.select("pos", (F.col("pos") - 1).alias("known")), "known")
-    asked = now.crossJoin(F.broadcast(runs)).withColumn("back", F.col("known") - F.col("lookback"))
-    past = panel.select("symbol", F.col("pos").alias("back"), F.col("close").alias("p0"))
-    rank = Window.partitionBy("run_id", "pos").orderBy(F.desc("gain"), "symbol")
-    chosen = asked.join(past, ["symbol", "back"]).withColumn("gain", F.col("p1") / F.col("p0") - 1).where("gain > 0").withColumn("k", F.row_number().over(rank)).where("k <= top_n")
+#: the settings that each rule reads
+RULES = {"momentum": ("lookback",), "sma_trend": ("fast", "slow"), "sma_cross": ("fast", "slow", "hold"), "rsi": ("period", "threshold")}
+SETTINGS = "lookback int, fast int, slow int, hold int, period int, threshold double, top_n int"
+
+
+def settings_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """(run_id, rule, the settings, error): one row for each run; what a rule lacks or can't use is an error row."""
+    names = [c.split()[0] for c in SETTINGS.split(", ")]
+    kinds = {c.split()[0]: float if c.endswith("double") else int for c in SETTINGS.split(", ")}
+    plain = [(r.get("run_id") or "-".join(str(r[c]) for c in ("rule", *names) if r.get(c) is not None), r["rule"], *[None if r.get(c) is None else kinds[c](r[c]) for c in names]) for r in rows]
+    table = spark.createDataFrame(plain, f"run_id string, rule string, {SETTINGS}")
+    missing = F.lit(None).cast("string")
+    for rule, needs in RULES.items():
+        missing = F.when((F.col("rule") == rule) & F.array_contains(F.array(*[F.col(c).isNull() for c in (*needs, "top_n")]), True), f"{rule} needs {', '.join(needs)} and top_n").otherwise(missing)
+    short = F.exists(F.array("lookback", "fast", "slow", "hold", "period", "top_n"), lambda x: x < 1)
+    error = F.when(~F.col("rule").isin(*RULES), "unknown rule").when(missing.isNotNull(), missing).when(short, "windows must be 1 or more")
+    return table.withColumn("error", error.when(F.col("rule").startswith("sma") & (F.col("fast") >= F.col("slow")), "fast must be shorter than slow"))
+
+
+def warmup() -> Column:
+    """Rows that a run's rule needs before its first score."""
+    return F.when(F.col("rule") == "momentum", F.col("lookback")).when(F.col("rule") == "sma_trend", F.col("slow") - 1).when(F.col("rule") == "sma_cross", F.col("slow")).otherwise(F.col("period"))
+
+
+def rule_scores(panel: DataFrame, decisions: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, pos, symbol, score) at each decision, of the row before it, for runs of all rules with windows of any width in one job.
+
+    Averages are differences of prefix sums: a run asks for the few rows where its windows begin and end, which is an
+    equi-join, however long the windows are. RSI is one scan of a symbol for all periods.
+    """
+    by = Window.partitionBy("symbol").orderBy("pos")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    sums = settled(panel.select("symbol", "pos", (F.row_number().over(by)).alias("k"), "close", F.coalesce(F.sum("close").over(upto), F.lit(0.0)).alias("total"), F.count("close").over(upto).alias("n")))
+    known = sums.withColumn("pos", F.col("pos") + 1).join(decisions.select("pos").distinct(), "pos").select("symbol", "pos", "k")
+    asked = known.join(runs.where("error is null and rule <> 'rsi'").select("run_id", "rule", "lookback", "fast", "slow", "hold"))
+    # step 0 is the row before the decision; a crossing looks back over `hold` rows and the one before them
+    steps = F.when(F.col("rule") == "sma_cross", F.sequence(F.lit(0), F.col("hold"))).otherwise(F.array(F.lit(0)))
+    point = lambda name, back: F.struct(F.lit(name).alias("point"), (F.col("k") - F.col("step") - back).alias("at"))
+    points = F.when(F.col("rule") == "momentum", F.array(point("now", F.lit(0)), point("back", F.col("lookback")))).otherwise(F.array(point("now", F.lit(0)), point("fast", F.col("fast")), point("slow", F.col("slow"))))
+    rows = asked.withColumn("step", F.explode(steps)).select("run_id", "rule", "symbol", "pos", "step", "fast", "slow", F.inline(points))
+    met = rows.join(sums.select("symbol", F.col("k").alias("at"), "close", "total", "n"), ["symbol", "at"], "left")
+    # before the first row nothing has been summed
+    met = met.withColumn("total", F.when(F.col("at") == 0, 0.0).otherwise(F.col("total"))).withColumn("n", F.when(F.col("at") == 0, 0).otherwise(F.col("n")))
+    of = lambda name, c: F.max(F.when(F.col("point") == name, F.col(c)))
+    wide = met.groupBy("run_id", "rule", "symbol", "pos", "step", "fast", "slow").agg(*[of(p, c).alias(f"{c}_{p}") for p in ("now", "back", "fast", "slow") for c in ("close", "total", "n")])
+    mean = lambda p: F.when(F.col("n_now") - F.col(f"n_{p}") == F.col(p), (F.col("total_now") - F.col(f"total_{p}")) / F.col(p))
+    wide = wide.select("run_id", "rule", "symbol", "pos", "step", mean("fast").alias("a"), mean("slow").alias("b"), F.when(F.col("close_back") != 0, F.col("close_now") / F.col("close_back") - 1).alias("gain"))
+    # a sum's difference can miss equal averages by rounding alone
+    gap = F.when(F.abs(F.col("a") - F.col("b")) > 1e-9 * F.abs("b"), F.col("a") - F.col("b")).when(F.col("a").isNotNull() & F.col("b").isNotNull(), 0.0)
+    wide = wide.withColumn("gap", gap)
+    older = Window.partitionBy("run_id", "symbol", "pos").orderBy("step")
+    wide = wide.withColumn("up", (F.col("gap") > 0) & (F.lead("gap").over(older) <= 0))
+    now = F.max(F.when((F.col("step") == 0) & (F.col("gap") > 0), F.col("a") / F.col("b") - 1))
+    one = wide.groupBy("run_id", "rule", "symbol", "pos").agg(now.alias("trend"), F.max("gain").alias("gain"), F.max("up").alias("crossed"))
+    score = F.when(F.col("rule") == "momentum", F.when(F.col("gain") > 0, F.col("gain"))).when(F.col("rule") == "sma_trend", F.col("trend")).when(F.col("crossed"), F.col("trend"))
+    scores = one.select("run_id", "pos", "symbol", score.alias("score")).where("score is not null")
+    periods = [r[0] for r in runs.where("error is null and rule = 'rsi'").select("period").distinct().collect()]  # as many as a grid has
+    for period in periods:
+        index = signals.rsi_wilder(panel, period).select("symbol", (F.col("pos") + 1).alias("pos"), "rsi").join(decisions.select("pos").distinct(), "pos")
+        own = index.join(runs.where((F.col("rule") == "rsi") & F.col("error").isNull() & (F.col("period") == period)).select("run_id", "threshold"))
+        scores = scores.unionByName(own.where("rsi < threshold").select("run_id", "pos", "symbol", (100 - F.col("rsi")).alias("score")))
+    return scores
+
+
+def rule_runs(panel: DataFrame, rebalances: DataFrame, runs: DataFrame, cash: float = 0.1) -> DataFrame:
+    """(run_id, pos, symbol, weight): for each run the `top_n` highest scores known the day before, equally weighed."""
+    rank = Window.partitionBy("run_id", "pos").orderBy(F.desc("score"), "symbol")
+    chosen = rule_scores(panel, rebalances, runs).join(runs.select("run_id", "top_n"), "run_id").withColumn("k", F.row_number().over(rank)).where("k <= top_n")
     names = chosen.withColumn("weight", F.lit(1 - cash) / F.count("*").over(Window.partitionBy("run_id", "pos"))).select("run_id", "pos", "symbol", "weight")
     rest = names.groupBy("run_id", "pos").agg((1 - F.sum("weight")).alias("weight")).select("run_id", "pos", F.lit("CASH").alias("symbol"), "weight")
     return names.unionByName(rest)
@@ -120,24 +170,64 @@ def backtests(targets: DataFrame, panel: DataFrame, rebalances: DataFrame, calen
     return equity.performance_metrics(curve, equity.rebalance_log(targets, equity.turnover(changed), costs, curve), calendar)
 
 
-def parameter_sweep(panel: DataFrame, rebalances: DataFrame, grid: dict[str, list], selection_end: int, test_start: int, cost_bps: float = 10.0, metric: str = "sharpe") -> DataFrame:
-    """One row for each run of the grid (`lookback`, `top_n`) over the selection window, and one more for the best on the final test.
+def parameter_sweep(panel: DataFrame, rebalances: DataFrame, grid: dict[str, list], selection_end: int, test_start: int, cost_bps: float = 10.0, metric: str = "sharpe", rule: str = "momentum", fixed: dict | None = None) -> DataFrame:
+    """One row for each run of the grid over the selection window, and one more for the best on the final test.
 
-    phase is "selection" or "test"; the runs that had no position in the selection window have an error. The test begins
-    after the selection has ended and sees the one chosen run only.
+    Any setting of `rule` can be swept, `fixed` has the others. phase is "selection" or "test"; runs with settings that the
+    rule can't use, whose windows are longer than what stands before the first decision, or that had no position, have an
+    error. The test begins after the selection has ended and sees the one chosen run only.
     """
     if test_start <= selection_end:
         raise ValueError("the test must start after the selection has ended")
-    runs = parameter_grid(panel.sparkSession, grid)
+    names = list(grid)
+    values = list(product(*grid.values()))
+    if not names or not values:
+        raise ValueError("a sweep needs a setting and candidate values for each")
+    if len(values) > MAX_SWEEP:
+        raise ValueError(f"a sweep has at most {MAX_SWEEP} runs, not {len(values)}")
+    runs = settings_table(panel.sparkSession, [{"run_id": "-".join(map(str, v)), "rule": rule, **(fixed or {}), **dict(zip(names, v, strict=True))} for v in values])
     calendar = panel.select("pos", "date").distinct()
     first = settled(rebalances.where(F.col("next_pos") <= selection_end))
-    found = runs.join(backtests(momentum_runs(panel, first, runs), panel, first, calendar, cost_bps), "run_id", "left")
-    selection = found.withColumn("phase", F.lit("selection")).withColumn("error", F.when(F.col("final_equity").isNull(), "no position in the selection window"))
-    selection = settled(selection)
-    champion = selection.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), "run_id").limit(1).select(*runs.columns)
+    begin, least = panel.agg(F.min("pos")).first()[0], first.agg(F.min("pos")).first()[0]
+    runs = settled(runs.withColumn("error", F.coalesce("error", F.when(warmup() >= F.lit((least or 0) - (begin or 0)), "not enough history"))))
+    found = runs.join(backtests(rule_runs(panel, first, runs), panel, first, calendar, cost_bps), "run_id", "left")
+    selection = settled(found.withColumn("phase", F.lit("selection")).withColumn("error", F.coalesce("error", F.when(F.col("final_equity").isNull(), "no position in the selection window"))))
+    champion = selection.where(F.col("error").isNull() & F.col(metric).isNotNull()).orderBy(F.desc(metric), "run_id").limit(1).select(*runs.columns)
     last = settled(rebalances.where(F.col("pos") >= test_start))
-    test = champion.join(backtests(momentum_runs(panel, last, champion), panel, last, calendar, cost_bps), "run_id", "left")
-    return selection.unionByName(test.withColumn("phase", F.lit("test")).withColumn("error", F.lit(None).cast("string")))
+    test = champion.join(backtests(rule_runs(panel, last, champion), panel, last, calendar, cost_bps), "run_id", "left")
+    unused = [c.split()[0] for c in SETTINGS.split(", ") if c.split()[0] not in (*RULES[rule], "top_n")]
+    return selection.unionByName(test.withColumn("phase", F.lit("test"))).drop(*unused)
+
+
+def common_period(curves: DataFrame) -> DataFrame:
+    """`curves` (run_id, pos, equity, ...) of runs with calendars of their own, on the positions that all of them have, each begun anew at 1.
+
+    What is common is an intersection: positions are counted over the runs, so no run is compared with another.
+    """
+    runs = curves.agg(F.countDistinct("run_id").alias("runs"))
+    days = curves.groupBy("day_pos").agg(F.countDistinct("run_id").alias("n")).join(F.broadcast(runs), F.col("n") == F.col("runs"), "left_semi").select("day_pos")
+    line = Window.partitionBy("run_id").orderBy("day_pos")
+    rows = curves.join(days, "day_pos").select("run_id", "day_pos", "equity", "gross_equity")
+    first = lambda c: F.first(c).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("first", first("equity")).withColumn("gross_first", first("gross_equity")).withColumn("return", F.col("equity") / F.lag("equity").over(line) - 1)
+    return rows.select("run_id", "day_pos", (F.col("equity") / F.col("first")).alias("equity"), (F.col("gross_equity") / F.col("gross_first")).alias("gross_equity"), "return")
+
+
+def strategy_comparison(targets: DataFrame, panel: DataFrame, rebalances: DataFrame, calendar: DataFrame, cost_bps: float) -> DataFrame:
+    """Metrics of all runs of `targets` on the period that they have in common, dearest Sharpe ratio first, with its first and last position."""
+    targets = settled(targets)
+    values = settled(equity.interval_values(targets, panel, rebalances))
+    changed = settled(equity.changes(targets, equity.drifted_holdings(values), rebalances))
+    costs = settled(equity.self_financing_cost(changed, cost_bps))
+    whole = settled(equity.equity_curve(equity.interval_growth(values), costs, rebalances))
+    shared = settled(common_period(whole))
+    ends = shared.agg(F.min("day_pos").alias("first_pos"), F.max("day_pos").alias("last_pos"))
+    log = equity.rebalance_log(targets, equity.turnover(changed), costs, whole)
+    inside = log.join(F.broadcast(ends), (F.col("pos") >= F.col("first_pos")) & (F.col("pos") < F.col("last_pos")), "left_semi")
+    # costs in units of what each run had when the common period began
+    base = whole.join(ends, F.col("day_pos") == F.col("first_pos"), "left_semi").select("run_id", F.col("equity").alias("base"))
+    inside = inside.join(base, "run_id").withColumn("cost_value", F.col("cost_value") / F.col("base"))
+    return equity.performance_metrics(shared, inside, calendar).join(F.broadcast(ends)).orderBy(F.desc_nulls_last("sharpe"), "run_id")
 
 
 def placebo_curves(panel: DataFrame, rebalances: DataFrame, drawn: DataFrame, calendar: DataFrame, cost_bps: float, cash: float = 0.1) -> DataFrame:
@@ -153,6 +243,23 @@ def subperiods(start: int, end: int, n: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
+def subperiod_metrics(targets: DataFrame, panel: DataFrame, rebalances: DataFrame, calendar: DataFrame, cost_bps: float, n: int = 4, least: int = 63) -> DataFrame:
+    """(run_id, period, start, end, error, metrics): each run of `targets` over n equal stretches, all in one job.
+
+    Rebalances belong to the stretch that they begin in and end with it at the latest; a stretch of fewer than `least`
+    positions is an error row.
+    """
+    if n < 2:
+        raise ValueError("at least two periods")
+    start, end = rebalances.agg(F.min("pos"), F.max("next_pos")).first()
+    spans = panel.sparkSession.createDataFrame([(i + 1, a, b, None if b - a >= least else "too short after splitting") for i, (a, b) in enumerate(subperiods(start, end, n))], "period int, start int, end int, error string")
+    own = rebalances.join(F.broadcast(spans.where("error is null")), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).withColumn("next_pos", F.least("next_pos", "end")).where("pos < next_pos")
+    parts = targets.join(own.select("pos", "period"), "pos").withColumn("run_id", F.concat_ws("@", "run_id", F.col("period").cast("string"))).drop("period")
+    found = backtests(parts, panel, settled(own.select(*rebalances.columns)), calendar, cost_bps).withColumn("period", F.element_at(F.split("run_id", "@"), -1).cast("int")).withColumn("run_id", F.regexp_replace("run_id", "@[0-9]+$", ""))
+    every = targets.select("run_id").distinct().join(F.broadcast(spans))
+    return every.join(found, ["run_id", "period"], "left").withColumn("error", F.coalesce("error", F.when(F.col("final_equity").isNull(), "no position in the period")))
+
+
 def perturb(settings: dict[str, float], share: float = 0.2) -> list[dict[str, float]]:
     """Each numeric setting moved down and up; windows are whole and at least 2, a threshold stays within 1 to 99."""
     out = []
@@ -164,6 +271,15 @@ def perturb(settings: dict[str, float], share: float = 0.2) -> list[dict[str, fl
     return out
 
 
+def perturbed_settings(spark: SparkSession, rule: str, settings: dict[str, float], top_n: int, share: float = 0.2) -> DataFrame:
+    """The settings of a rule and those around them as runs of one job: `baseline`, and field and direction of what was moved."""
+    rows = [{"run_id": "baseline", "rule": rule, "top_n": top_n, **settings}]
+    for moved in perturb({k: settings[k] for k in RULES[rule] if k in settings}, share):
+        field = next(k for k in moved if moved[k] != settings[k])
+        rows.append({**settings, **moved, "run_id": f"{field}{'-' if moved[field] < settings[field] else '+'}", "rule": rule, "top_n": top_n})
+    return settings_table(spark, rows)
+
+
 def random_placebo(eligible: DataFrame, names: int, trials: int = 20, seed: int = 7) -> DataFrame:
     """(trial, pos, symbol): names drawn alike for every eligible symbol by a hash, for each trial and rebalance."""
     drawn = eligible.crossJoin(F.broadcast(eligible.sparkSession.range(trials).withColumnRenamed("id", "trial"))).withColumn("h", F.xxhash64(F.lit(seed), "trial", "pos", "symbol"))

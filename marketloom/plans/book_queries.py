@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ledger, news, options, proposals, quality, universe
+from ..operators import asof, ledger, news, options, proposals, quality, universe
 from . import domain
 from .registry import Registry
 
@@ -119,7 +119,7 @@ rc as (select account_id, 1000.0 - sum((tq - quantity) * price) - sum(abs(tq - q
 
 
 @R.query(S("""select account_id, symbol, case when tq > quantity then 'Buy' when tq < quantity then 'Sell' else 'Hold' end as side, round(quantity, 6) as quantity, round(tq, 6) as target_quantity, round(tq - quantity, 6) as delta, round(abs(tq - quantity) * price, 5) as notional,
-  round(abs(tq - quantity) * price * 0.001, 5) as fee, round(rest, 5) as remaining_cash, round(tq * price / capital, 6) as rounded_weight, rest >= -1e-7 as funded from tr join rc using (account_id)""", "tx", more=TRADES))
+  round(abs(tq - quantity) * price * 0.001, 5) as fee, round(rest, 5) as remaining_cash, round(tq * price / capital, 6) as rounded_weight, rest >= -1e-7 as funded, null::varchar as error from tr join rc using (account_id)""", "tx", more=TRADES))
 def e17_proposal_trades(spark, sf_dir):
     tx = domain.tx(spark, sf_dir)
     holdings = ledger.open_lots(tx, ledger.fifo_match(tx)).groupBy("account_id", "symbol").agg(F.sum("quantity").alias("quantity"))
@@ -474,6 +474,25 @@ def i9_company_query_name(spark, sf_dir):
     return domain.table(spark, sf_dir, "supplier").select("s_suppkey", T.company_query_name(F.concat("s_name", tail)).alias("name"))
 
 
+RATES = "(values " + ", ".join(f"(date '{d}', {r:.2f}::double)" for d, r in asof.REPO_RATES) + ") as rt(since, rate)"
+
+
+@R.query(f"select o_orderkey, day, rate from (select o_orderkey, (o_orderdate::date + interval 9000 day)::date as day from orders) o asof left join (select * from {RATES}) r on o.day >= r.since")
+def a6_policy_rates(spark, sf_dir):
+    """The policy rate on the day of each order, 9,000 days later than it stands in the table."""
+    days = domain.table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 9000).alias("day"))
+    return asof.asof_join(days, asof.policy_rate_table(spark).select(F.col("date").alias("day"), F.col("value").alias("rate")), "day", ["rate"])
+
+
+@R.query(r"""with l as (select l_orderkey, l_linenumber, l_partkey % 100 as part, l_shipdate::date as day, l_extendedprice from lineitem), f as (select part, day, max(l_extendedprice) as price from l where l_linenumber = 1 group by 1, 2)
+select l.l_orderkey, l.l_linenumber, l.l_extendedprice, f.price from l asof left join f on l.part = f.part and l.day >= f.day""")
+def a6_asof_by_key(spark, sf_dir):
+    """Each line beside the dearest first line of its part's group on the newest day at or before its own."""
+    rows = domain.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 100).alias("part"), F.col("l_shipdate").cast("date").alias("day"), "l_extendedprice")
+    facts = rows.where("l_linenumber = 1").select("part", "day", F.col("l_extendedprice").alias("price"))
+    return asof.asof_join(rows, facts, "day", ["price"], ["part"]).select("l_orderkey", "l_linenumber", "l_extendedprice", "price")
+
+
 # J: options
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import equity, features, panel, research, signals
@@ -434,6 +436,24 @@ def e8_performance_metrics(spark, sf_dir):
     return rounded(equity.performance_metrics(curve, log, panel.calendar(w)))
 
 
+COMPARED = LOG.replace("tg as (", "tg1 as (", 1).replace("v as (select t.run_id", f"""tg as (select * from tg1 union all select 'late', pos, symbol, 0.9 / count(*) over (partition by pos) from top where k <= 3 and pos >= {START + 2 * STEP} union all select distinct 'late', pos, 'CASH', 0.1 from top where pos >= {START + 2 * STEP}),
+v as (select t.run_id""", 1) + """, sd as (select day_pos from cu group by 1 having count(distinct run_id) = 2), se as (select min(day_pos) as a, max(day_pos) as b from sd),
+cc as (select run_id, day_pos, equity / first_value(equity) over w as equity, gross_equity / first_value(gross_equity) over w as gross_equity, equity / lag(equity) over w - 1 as ret, first_value(equity) over w as base from cu join sd using (day_pos) window w as (partition by run_id order by day_pos))"""
+
+
+@R.query(_recursive(S("""select run_id, round(pow(final, 365.25 / days) - 1, 6) as cagr, round(sd * sqrt(252.0), 6) as volatility, round(mean * 252 / (sd * sqrt(252.0)), 6) as sharpe, round(max_drawdown, 6) as max_drawdown, round(average_turnover, 6) as average_turnover, round(gross - final, 6) as cost_drag, round(fees, 6) as fees, round(final, 6) as final_equity, first_pos, last_pos from
+  (select run_id, arg_max(equity, day_pos) as final, arg_max(gross_equity, day_pos) as gross, stddev_samp(ret) as sd, avg(ret) as mean, min(fall) as max_drawdown, date_diff('day', min(date), max(date)) as days, min(day_pos) as first_pos, max(day_pos) as last_pos, any_value(base) as base from
+    (select cc.*, dd.date, equity / greatest(max(equity) over (partition by run_id order by day_pos), 1) - 1 as fall from cc join (select distinct pos as day_pos, date from p) dd using (day_pos)) group by 1)
+  join (select run_id, avg(turnover) as average_turnover, sum(e0 * cost / bs.base) as fees from lg join tu using (run_id, pos) join co using (run_id, pos) join (select run_id, any_value(base) as base from cc group by 1) bs using (run_id), se where pos >= a and pos < b group by 1) using (run_id)""", "prices_w", more=COMPARED)))
+def e10_strategy_comparison(spark, sf_dir):
+    """Five names from the start on and three names that begin later, on the days that both have."""
+    w = settled(weekly(spark, sf_dir))
+    chosen, weight = settled(_selected(w)), F.lit(0.9) / F.count("*").over(Window.partitionBy("pos"))
+    runs = [("equal", chosen), ("late", chosen.where((F.col("rank") <= 3) & (F.col("pos") >= START + 2 * STEP)))]
+    targets = reduce(DataFrame.unionByName, [signals.with_cash(rows.select("pos", "symbol", weight.alias("weight"))).withColumn("run_id", F.lit(name)) for name, rows in runs])
+    return rounded(research.strategy_comparison(targets, w, settled(_rebalances(w)), panel.calendar(w), BPS))
+
+
 @R.query(S(f"select date, pos, round(avg(close / p0), 6) as benchmark from p join (select symbol, close as p0 from p where pos = {START}) using (symbol) where pos between {START} and {END} group by 1, 2", "prices_w", more=P))
 def e9_equal_weight_benchmark(spark, sf_dir):
     return rounded(equity.equal_weight_benchmark(weekly(spark, sf_dir), START, END))
@@ -541,6 +561,40 @@ def k10_placebo_metrics(spark, sf_dir):
     return rounded(research.placebo_curves(w, rebalances, research.random_placebo(eligible, 5), panel.calendar(w), BPS))
 
 
+@R.query()
+def k8_subperiods(spark, sf_dir):
+    """Five names over four stretches of the backtest, each a backtest of its own in one job."""
+    w = settled(weekly(spark, sf_dir))
+    targets = signals.with_cash(_selected(w).select("pos", "symbol", (F.lit(0.9) / F.count("*").over(Window.partitionBy("pos"))).alias("weight"))).withColumn("run_id", F.lit("equal"))
+    return rounded(research.subperiod_metrics(targets, w, settled(_rebalances(w)), panel.calendar(w), BPS, 4, 60))
+
+
+@R.query()
+def k8_perturbed_settings(spark, sf_dir):
+    """A crossing rule and the settings around it."""
+    w = settled(weekly(spark, sf_dir))
+    whole = w.where(F.col("pos").between(START, END)).groupBy("symbol").count().where(F.col("count") == END - START + 1).select("symbol")
+    own, rebalances = settled(w.join(whole, "symbol", "left_semi")), settled(_rebalances(w))
+    runs = settled(research.perturbed_settings(spark, "sma_cross", {"fast": 5, "slow": 20, "hold": 20}, 5))
+    return rounded(runs.select("run_id", "fast", "slow", "hold", "error").join(research.backtests(research.rule_runs(own, rebalances, runs), own, rebalances, panel.calendar(w), BPS), "run_id", "left"))
+
+
+# scores of all rules, each by its own windows over the whole panel
+RULED = SMA + f""", {REB}, kn as (select s.symbol, rb.pos, s.a, s.b from s join (select symbol, pos, lead(pos) over (partition by symbol order by pos) as np from p) n using (symbol, pos) join rb on rb.pos = s.pos + 1),
+ru as (select 'trend' as run_id, pos, symbol, case when a - b > 0 then a / b - 1 end as score from kn union all
+  select 'momentum', rb.pos, m.symbol, case when m.g > 0 then m.g end from (select symbol, pos, close / lag(close, 26) over (partition by symbol order by pos) - 1 as g from p) m join rb on rb.pos = m.pos + 1 union all
+  select 'cross', rb.pos, c.symbol, case when a - b > 0 and up = 1 then a / b - 1 end from (select symbol, pos, a, b, max(u) over (partition by symbol order by pos rows between 9 preceding and current row) as up from
+    (select *, case when a - b > 0 and lag(a - b) over (partition by symbol order by pos) <= 0 then 1 else 0 end as u from s)) c join rb on rb.pos = c.pos + 1)"""
+
+
+@R.query(S("select run_id, pos, symbol, round(score, 6) as score from ru where score is not null", "prices_w", more=RULED))
+def k9_rule_scores(spark, sf_dir):
+    """Three rules with windows of their own, scored at every rebalance in one job."""
+    w = settled(weekly(spark, sf_dir))
+    runs = research.settings_table(spark, [{"run_id": "trend", "rule": "sma_trend", "fast": 10, "slow": 30, "top_n": 5}, {"run_id": "cross", "rule": "sma_cross", "fast": 10, "slow": 30, "hold": 10, "top_n": 5}, {"run_id": "momentum", "rule": "momentum", "lookback": 26, "top_n": 5}])
+    return rounded(research.rule_scores(w, _rebalances(w), settled(runs)))
+
+
 @R.query()
 def k9_parameter_sweep(spark, sf_dir):
     """Look-back by number of names: all runs over the first half, the best over the rest."""

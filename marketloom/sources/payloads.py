@@ -79,13 +79,6 @@ def read_worldbank_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.inline("r")).where("value is not null").select(F.col("indicator.id").alias("series_id"), F.col("countryiso3code").alias("country"), F.make_date(F.expr("try_cast(date as int)"), F.lit(12), F.lit(31)).alias("date"), "value")
 
 
-def policy_rate_asof(steps: DataFrame, days: DataFrame) -> DataFrame:
-    """(date, rate): for each day the last step (date, rate) on or before it."""
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    both = steps.groupBy("date").agg(F.max("rate").alias("rate")).join(days.select("date", F.lit(True).alias("asked")).distinct(), "date", "full")
-    return both.select("date", F.last("rate", ignorenulls=True).over(w).alias("rate"), "asked").where("asked").drop("asked")
-
-
 def read_shareholding_json(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("symbol string, date string, pr_and_prgrp string, public_val string, employeeTrusts string").option("multiLine", True).json(path)
     number = lambda c: F.expr(f"try_cast({c} as double)")

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from marketloom.operators import asof
 from marketloom.sources import lake, payloads
 from marketloom.streaming import jobs
 
@@ -62,7 +63,7 @@ def test_melt_and_stats(spark):
     assert {(r["key"], r["value_num"]) for r in stats.collect()} == {("beta", 1.2), ("name", None)}
     steps = spark.createDataFrame([(D(2020, 1, 1), 5.0), (D(2021, 1, 1), 4.0)], "date date, rate double")
     asked = spark.createDataFrame([(D(2019, 1, 1),), (D(2020, 6, 1),), (D(2021, 1, 1),)], "date date")
-    assert [r["rate"] for r in payloads.policy_rate_asof(steps, asked).orderBy("date").collect()] == [None, 5.0, 4.0]
+    assert [r["rate"] for r in asof.policy_rate_asof(steps, asked).orderBy("date").collect()] == [None, 5.0, 4.0]
 
 
 def test_upsert_and_worklist(spark, tmp_path):
