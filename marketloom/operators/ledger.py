@@ -12,6 +12,8 @@ TYPES = ("Stock", "Mutual fund")
 def transaction_id(tx: DataFrame) -> DataFrame:
     """A content id per row."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("action", "symbol", "date", "quantity", "price", "amount", "notes")]
+    # a sign in a text can't be taken for the one between the parts
+    parts = [F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for p in parts]
     return tx.withColumn("transaction_id", F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
 
 
@@ -47,6 +49,32 @@ def cash_path(tx: DataFrame) -> DataFrame:
     return path.withColumn("violation", F.col("funded") & (F.col("cash") < -1e-6))
 
 
+def balances(tx: DataFrame) -> DataFrame:
+    """(account_id, cash, funded, until): what a later batch needs to know of all before it."""
+    return tx.groupBy("account_id").agg(F.sum(cash_flow()).alias("cash"), (F.max(F.when(F.col("action") == "deposit", 1).otherwise(0)) == 1).alias("funded"), F.max("date").alias("until"))
+
+
+def cash_path_of_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """`cash_path` of the rows of a batch from the balances before it; the history is not read again.
+
+    A row that is dated on or before the last day of its account's history would have to be booked among rows that are
+    gone: it is `late`, without cash, and so are the later rows of its account.
+    """
+    order = Window.partitionBy("account_id").orderBy("date", "action", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    opened = batch.join(snapshot.select("account_id", F.col("cash").alias("opening"), F.col("funded").alias("was"), "until"), "account_id", "left")
+    funded = F.coalesce("was", F.lit(False)) | (F.max(F.when(F.col("action") == "deposit", 1).otherwise(0)).over(Window.partitionBy("account_id")) == 1)
+    late = F.max(F.coalesce(F.col("date") <= F.col("until"), F.lit(False))).over(order)
+    rows = opened.select("account_id", "event_id", "date", "action", (F.coalesce("opening", F.lit(0.0)) + F.sum(cash_flow()).over(order)).alias("cash"), funded.alias("funded"), late.alias("late"))
+    rows = rows.withColumn("cash", F.when(~F.col("late"), F.col("cash")))
+    return rows.withColumn("violation", F.col("funded") & (F.col("cash") < -1e-6))
+
+
+def add_balances(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """The balances after a batch."""
+    both = snapshot.unionByName(balances(batch))
+    return both.groupBy("account_id").agg(F.sum("cash").alias("cash"), F.max("funded").alias("funded"), F.max("until").alias("until"))
+
+
 def fifo_match(tx: DataFrame) -> DataFrame:
     """(account_id, symbol, buy_id, sell_id, buy_date, sell_date, quantity, cost, proceeds, gain, holding_days).
 

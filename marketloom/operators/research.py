@@ -282,7 +282,7 @@ def perturbed_settings(spark: SparkSession, rule: str, settings: dict[str, float
 
 def random_placebo(eligible: DataFrame, names: int, trials: int = 20, seed: int = 7) -> DataFrame:
     """(trial, pos, symbol): names drawn alike for every eligible symbol by a hash, for each trial and rebalance."""
-    drawn = eligible.crossJoin(F.broadcast(eligible.sparkSession.range(trials).withColumnRenamed("id", "trial"))).withColumn("h", F.xxhash64(F.lit(seed), "trial", "pos", "symbol"))
+    drawn = eligible.crossJoin(F.broadcast(eligible.sparkSession.range(trials).withColumnRenamed("id", "trial"))).withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("pos").cast("string"), "symbol").cast("binary")))
     pick = Window.partitionBy("trial", "pos").orderBy("h", "symbol")
     return drawn.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= names).select("trial", "pos", "symbol")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,23 @@ def search_catalog(df: DataFrame, query: str, columns: list[str], order_by: str,
     return df.where(found).orderBy(F.desc_nulls_last(order_by), columns[0]).offset(page * size).limit(size)
 
 
+def rank_funds(catalog: DataFrame, query: str = "", page: int = 0, size: int = 20, days: int = 45) -> DataFrame:
+    """One page of the curated funds by one-year return, dearest first and unknown last, with their place and how many there are.
+
+    `query` narrows them to names, houses or categories that hold it; without a query all curated funds are ranked.
+    """
+    columns = [c for c in ("name", "house", "category") if c in catalog.columns]
+    rows = curated_funds(catalog, days=days)
+    if query.strip():
+        hit = reduce(lambda a, b: a | b, [F.contains(F.upper(F.coalesce(F.col(c), F.lit(""))), F.lit(query.strip().upper())) for c in columns])
+        rows = rows.where(hit)
+    order = [F.desc_nulls_last("return_1y"), F.col("scheme_code")]
+    # only the rows up to the page's end are numbered
+    last = (page + 1) * size
+    top = rows.orderBy(*order).limit(last).withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") > page * size)
+    return top.join(F.broadcast(rows.agg(F.count("*").alias("funds"))))
+
+
 def stock_catalog(panel: DataFrame, universe: DataFrame) -> DataFrame:
     g = panel.where("close is not null").groupBy("symbol").agg(F.max_by("close", "date").alias("last"), F.min_by("close", "date").alias("first"))
     rows = g.join(universe, "symbol", "left")

@@ -45,6 +45,15 @@ def f3_cash_path(spark, sf_dir):
     return rounded(ledger.cash_path(domain.tx(spark, sf_dir)), 4)
 
 
+@R.query(S(f"""select account_id, event_id, date, action, round(cash, 4) as cash, funded, false as late, funded and cash < -1e-6 as violation from (select *, sum({FLOW}) over (partition by account_id order by date, action, event_id rows between unbounded preceding and current row) as cash,
+  max(case when action = 'deposit' then 1 else 0 end) over (partition by account_id) = 1 as funded from tx) where date > date '2024-01-20'""", "tx"))
+def f3_cash_path_of_batch(spark, sf_dir):
+    """The last third of the month from the balances of two batches before it; equal to the whole scan on its rows."""
+    tx = domain.tx(spark, sf_dir)
+    first, second, last = tx.where("date <= '2024-01-10'"), tx.where("date > '2024-01-10' and date <= '2024-01-20'"), tx.where("date > '2024-01-20'")
+    return rounded(ledger.cash_path_of_batch(ledger.add_balances(ledger.balances(first), second), last), 4)
+
+
 FIFO = """ov as (select distinct account_id, symbol from (select *, sum(case when action = 'buy' then quantity else -quantity end) over (partition by account_id, symbol order by date, action, event_id rows between unbounded preceding and current row) as o
   from tx where action in ('buy', 'sell')) where action = 'sell' and o < -1e-9), fx as (select * from tx anti join ov using (account_id, symbol)),
 b as (select *, sum(quantity) over w as b1 from fx where action = 'buy' window w as (partition by account_id, symbol order by date, event_id rows between unbounded preceding and current row)),
@@ -197,6 +206,13 @@ def g8_search_catalog(spark, sf_dir):
     return rounded(universe.search_catalog(c, "BUILD", ["name", "house"], "return_1y", 1, 5).select("scheme_code", "name", "house", "return_1y"))
 
 
+@R.query(S("""select scheme_code, name, house, round(return_1y, 6) as return_1y, place::int as place, funds from (select *, row_number() over (order by return_1y desc nulls last, scheme_code) as place, count(*) over () as funds from
+  (select scheme_code, replace(name, 'Customer', 'Direct Growth') as name, house, case when return_1y between -0.75 and 3.0 then return_1y end as return_1y from fc where date_diff('day', latest_date, (select max(latest_date) from fc)) <= 45)) where place between 21 and 40""", "nav", "schemes", more=FUNDS))
+def g8_rank_funds(spark, sf_dir):
+    c = universe.fund_catalog(domain.nav(spark, sf_dir), domain.schemes(spark, sf_dir).withColumn("name", F.replace("name", F.lit("Customer"), F.lit("Direct Growth"))))
+    return rounded(universe.rank_funds(c, page=1).select("scheme_code", "name", "house", "return_1y", "place", "funds"))
+
+
 @R.query(S("select p.symbol, coalesce(isin, '') as isin, coalesce(industry, '') as industry, round(l, 6) as last, round(l / f - 1, 6) as window_return from (select symbol, arg_max(close, date) as l, arg_min(close, date) as f from prices_m group by 1) p left join universe u on u.symbol = p.symbol", "prices_m", "universe"))
 def g9_stock_catalog(spark, sf_dir):
     return rounded(universe.stock_catalog(domain.prices_m(spark, sf_dir), domain.universe(spark, sf_dir)))

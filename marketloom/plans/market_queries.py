@@ -74,7 +74,7 @@ def b7_load_report(spark, sf_dir):
     return panel.load_report(domain.prices_d(spark, sf_dir), domain.universe(spark, sf_dir), "2000-01-01")
 
 
-@R.query()
+@R.query(S("select bit_xor(('0x' || left(md5(symbol || '|' || date::date || '|' || floor(close * 10000 + 0.37)::bigint), 15))::bigint) as hash, count(*) as n, round(sum(close), 2) as total from prices_d", "prices_d"))
 def b8_panel_fingerprint(spark, sf_dir):
     return panel.fingerprint(domain.prices_d(spark, sf_dir))
 
@@ -545,7 +545,7 @@ def k6_scenario_range(spark, sf_dir):
     return rounded(research.scenario_range(weekly(spark, sf_dir), 52))
 
 
-@R.query()
+@R.query(S("select trial, pos, symbol from (select trial, p.pos, symbol, row_number() over (partition by trial, p.pos order by md5('7|' || trial || '|' || p.pos || '|' || symbol), symbol) as k from p join rb on p.pos = rb.pos, (select unnest(range(20)) as trial)) where k <= 5", "prices_w", more=P + ", " + REB))
 def k10_random_placebo(spark, sf_dir):
     w = weekly(spark, sf_dir)
     return research.random_placebo(w.join(F.broadcast(_rebalances(w).select("pos")), "pos").select("pos", "symbol"), 5)

@@ -86,19 +86,63 @@ def write_bars(df: DataFrame, path: str, interval: str, zone: str = "Asia/Kolkat
     upsert_parquet(df, path, [*parts, "ts_utc"], parts, ["ts_utc"])
 
 
-def upsert_statement(table: str, stage: str, columns: list[str], keys: list[str]) -> str:
-    """The statement that moves staged rows into a table."""
-    quote = lambda c: '"' + c.replace('"', '""') + '"'
-    rest = [c for c in columns if c not in keys]
-    change = "update set " + ", ".join(f"{quote(c)} = excluded.{quote(c)}" for c in rest) if rest else "nothing"
-    names = ", ".join(map(quote, columns))
-    return f"insert into {quote(table)} ({names}) select {names} from {quote(stage)} on conflict ({', '.join(map(quote, keys))}) do {change}"
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
-def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], properties: dict[str, str], run) -> None:
-    """Stages rows beside the table, then lets `run(statement)` merge them there."""
-    df.write.jdbc(url, f"{table}_stage", mode="overwrite", properties=properties)
-    run(upsert_statement(table, f"{table}_stage", df.columns, keys))
+def upsert_statement(table: str, stage: str, columns: list[str], keys: list[str], merge: bool = False) -> str:
+    """The statement that moves staged rows into a table: `insert .. on conflict`, or the standard's `merge`."""
+    rest = [c for c in columns if c not in keys]
+    names = ", ".join(map(_quoted, columns))
+    if merge:
+        same = " and ".join(f"t.{_quoted(c)} = s.{_quoted(c)}" for c in keys)
+        change = f" when matched then update set {', '.join(f'{_quoted(c)} = s.{_quoted(c)}' for c in rest)}" if rest else ""
+        return f"merge into {_quoted(table)} t using {_quoted(stage)} s on {same}{change} when not matched then insert ({names}) values ({', '.join(f's.{_quoted(c)}' for c in columns)})"
+    change = "update set " + ", ".join(f"{_quoted(c)} = excluded.{_quoted(c)}" for c in rest) if rest else "nothing"
+    return f"insert into {_quoted(table)} ({names}) select {names} from {_quoted(stage)} on conflict ({', '.join(map(_quoted, keys))}) do {change}"
+
+
+def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], properties: dict[str, str], batch: str, merge: bool = False, newest: list[str] | None = None, key_length: int = 512) -> bool:
+    """Merges `df` into a database table, each batch once; False if `batch` has been merged before.
+
+    Tasks stage the rows beside the table under the name of the batch, so a batch that starts again replaces its own rows only.
+    One transaction then merges them and notes the batch in `<table>_batches`, whose key is the batch: of two runs
+    of one batch the second changes nothing. Of several rows with one key the last by `newest` counts. Rows with a null key are
+    left out, as a key can't be null.
+    """
+    stage, done = f"{table}_stage_{batch}", f"{table}_batches"
+    jvm = df.sparkSession.sparkContext._jvm
+    settings = jvm.java.util.Properties()
+    for k, v in properties.items():
+        settings.setProperty(k, v)
+    if "driver" in properties:
+        jvm.java.lang.Class.forName(properties["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        if not connection.getMetaData().getTables(None, None, done, None).next():
+            connection.createStatement().execute(f'create table {_quoted(done)} ("batch" varchar(200) not null primary key)')
+        ask = connection.prepareStatement(f'select 1 from {_quoted(done)} where "batch" = ?')
+        ask.setString(1, batch)
+        if ask.executeQuery().next():
+            return False
+        rows = merged(df.limit(0), df.dropna(subset=keys), keys, newest)
+        # texts that are keys need a type that can be compared
+        texts = ", ".join(f"`{c}` VARCHAR({key_length})" for c in keys if rows.schema[c].dataType.simpleString() == "string")
+        writer = rows.write.option("createTableColumnTypes", texts) if texts else rows.write
+        writer.jdbc(url, _quoted(stage), mode="overwrite", properties=properties)
+        connection.setAutoCommit(False)
+        note = connection.prepareStatement(f'insert into {_quoted(done)} values (?)')
+        note.setString(1, batch)
+        note.execute()
+        connection.createStatement().execute(upsert_statement(table, stage, df.columns, keys, merge))
+        connection.commit()
+        connection.setAutoCommit(True)
+        connection.createStatement().execute(f"drop table {_quoted(stage)}")
+        return True
+    finally:
+        if not connection.getAutoCommit():
+            connection.rollback()
+        connection.close()
 
 
 def backfill_worklist(symbols: DataFrame, start: str, end: str, done: DataFrame, max_age_days: int, now: str) -> DataFrame:
