@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import asof, ledger, news, options, proposals, quality, universe
+from ..sources import runs
+from ..sources.lake import settled, shared_folder
 from . import domain
 from .registry import Registry
 
@@ -80,6 +84,21 @@ def f5_open_lots(spark, sf_dir):
     return rounded(ledger.open_lots(tx, ledger.fifo_match(tx)))
 
 
+PROPOSED = """fs as (select symbol, min(date) as date, arg_min(close, date) as close, arg_max(close, date) as price, row_number() over (order by symbol) as k from prices_m group by 1),
+pr as (select 'P' || k % 9 as proposal_id, case when k % 11 = 0 then 'GONE' else symbol end as symbol, k::double as quantity, date as reference_date, case when k % 5 = 0 then close + 1 else close end as reference_price from fs)"""
+
+
+@R.query(S("""select proposal_id, status, case when status = 'comparable' then round(value, 5) end as value from (select proposal_id, case when bool_or(fs.price is null) then 'symbol missing' when bool_and(coalesce(abs(h.close - reference_price) <= 1e-8, false)) then 'comparable' else 'prices were revised' end as status,
+  sum(quantity * fs.price) + 100.0 as value from pr left join fs on fs.symbol = pr.symbol left join prices_m h on h.symbol = pr.symbol and h.date = pr.reference_date group by 1)""", "prices_m", more=PROPOSED))
+def e18_mark_proposals(spark, sf_dir):
+    """Saved proposals at the newest prices: some of a symbol that is gone, some whose prices were revised since."""
+    prices = settled(domain.prices_m(spark, sf_dir))
+    first = prices.groupBy("symbol").agg(F.min("date").alias("date"), F.min_by("close", "date").alias("close"), F.max_by("close", "date").alias("price")).withColumn("k", F.row_number().over(Window.orderBy("symbol")))
+    saved = first.select(F.concat(F.lit("P"), (F.col("k") % 9).cast("string")).alias("proposal_id"), F.when(F.col("k") % 11 == 0, "GONE").otherwise(F.col("symbol")).alias("symbol"), F.col("k").cast("double").alias("quantity"), F.col("date").alias("reference_date"),
+                         F.when(F.col("k") % 5 == 0, F.col("close") + 1).otherwise(F.col("close")).alias("reference_price"), F.lit(100.0).alias("cash"))
+    return rounded(proposals.mark_proposals(saved, first.select("symbol", "price"), prices, AS_OF), 5)
+
+
 @R.query(S("select account_id, symbol, round(sum(q * (sp - bp)), 4) as gain, round(sum(q), 6) as quantity, count(*) as matches from mt group by 1, 2", "tx", more=FIFO))
 def f6_realized_gains(spark, sf_dir):
     return rounded(ledger.realized_gains(ledger.fifo_match(domain.tx(spark, sf_dir))), 4)
@@ -490,6 +509,19 @@ def i9_company_query_name(spark, sf_dir):
     return domain.table(spark, sf_dir, "supplier").select("s_suppkey", T.company_query_name(F.concat("s_name", tail)).alias("name"))
 
 
+@R.query(S("""select symbol, epoch(ts_utc)::bigint as at, round(case when hour(ts_utc) % 5 = 0 then close + 2 when hour(ts_utc) % 3 = 0 then close + 1 else close end, 6) as close, volume from bars_h""", "bars_h"))
+def l1_bar_runs(spark, sf_dir):
+    """Hourly bars landed in twelve batches, the first eight of which are merged: each event type's first and second half of the month, then corrections of every third and every fifth hour."""
+    path, bars = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}", settled(domain.bars_h(spark, sf_dir))
+    hour, types = F.hour("ts_utc"), sorted(r[0] for r in bars.select("symbol").distinct().collect())
+    late = F.col("ts_utc") >= "2024-01-16"
+    landed = [bars.where((F.col("symbol") == t) & half) for half in (~late, late) for t in types]
+    landed += [bars.where(hour % 3 == 0).withColumn("close", F.col("close") + 1), bars.where(hour % 5 == 0).withColumn("close", F.col("close") + 2)]
+    for number, batch in enumerate(landed):
+        runs.append(batch.withColumn("_seen", F.lit(number)), path, number, ["symbol", "ts_utc"], ["_seen"])
+    return rounded(runs.read(spark, path, ["symbol", "ts_utc"]).select("symbol", F.unix_seconds("ts_utc").alias("at"), "close", "volume"))
+
+
 RATES = "(values " + ", ".join(f"(date '{d}', {r:.2f}::double)" for d, r in asof.REPO_RATES) + ") as rt(since, rate)"
 
 
