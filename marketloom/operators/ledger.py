@@ -126,7 +126,11 @@ def value_positions(lots: DataFrame, latest: DataFrame, as_of: str) -> DataFrame
 
 
 def xirr(flows: DataFrame) -> DataFrame:
-    """(account_id, rate, note) from dated flows: the first sign change of the net present value on a grid, then bisection."""
+    """(account_id, rate, note) from dated flows: the first sign change of the net present value on a grid, then bisection.
+
+    Flows are summed by day before they are shuffled to their account, so an account is as many numbers as it has days.
+    Null amounts take no part.
+    """
     import numpy as np
     import pandas as pd
 
@@ -135,25 +139,32 @@ def xirr(flows: DataFrame) -> DataFrame:
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         account = g["account_id"].iloc[0]
-        x = g["amount"].to_numpy(float)
-        years = (pd.to_datetime(g["date"]) - pd.to_datetime(g["date"]).min()).dt.days.to_numpy() / 365.0
-        if not (x > 0).any() or not (x < 0).any():
-            return pd.DataFrame([(account, None, "flows have one sign")], columns=["account_id", "rate", "note"])
-        npv = lambda r: (x / np.power(1 + r, years)).sum()
-        values = np.array([npv(r) for r in grid])
+        row = lambda rate, note: pd.DataFrame([(account, rate, note)], columns=["account_id", "rate", "note"])
+        if not g["up"].any() or not g["down"].any():
+            return row(None, "flows have one sign")
+        x, days = g["amount"].to_numpy(float), pd.to_datetime(g["date"])
+        years = (days - days.min()).dt.days.to_numpy() / 365.0
+
+        def npv(rates) -> np.ndarray:
+            return np.power(1 + np.asarray(rates, float)[:, None], -years) @ x
+
+        step = max(1, 4_000_000 // len(x))  # cells of a product at a time
+        values = np.concatenate([npv(grid[i : i + step]) for i in range(0, len(grid), step)])
         turns = np.flatnonzero(np.sign(values[:-1]) * np.sign(values[1:]) < 0)
         zero = np.flatnonzero(values == 0)
         if len(zero) and (not len(turns) or zero[0] <= turns[0]):
-            return pd.DataFrame([(account, float(grid[zero[0]]), None)], columns=["account_id", "rate", "note"])
+            return row(float(grid[zero[0]]), None)
         if not len(turns):
-            return pd.DataFrame([(account, None, "no root in range")], columns=["account_id", "rate", "note"])
+            return row(None, "no root in range")
         lo, hi = grid[turns[0]], grid[turns[0] + 1]
         for _ in range(80):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.sign(npv(mid)) == np.sign(npv(lo)) else (lo, mid)
-        return pd.DataFrame([(account, float((lo + hi) / 2), "several roots" if len(turns) > 1 else None)], columns=["account_id", "rate", "note"])
+            at = np.sign(npv([lo, mid]))
+            lo, hi = (mid, hi) if at[0] == at[1] else (lo, mid)
+        return row(float((lo + hi) / 2), "several roots" if len(turns) > 1 else None)
 
-    return flows.groupBy("account_id").applyInPandas(solve, "account_id long, rate double, note string")
+    daily = flows.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"), F.max(F.coalesce(F.col("amount") > 0, F.lit(False))).alias("up"), F.max(F.coalesce(F.col("amount") < 0, F.lit(False))).alias("down"))
+    return daily.withColumn("amount", F.coalesce("amount", F.lit(0.0))).groupBy("account_id").applyInPandas(solve, "account_id long, rate double, note string")
 
 
 def modified_dietz(flows: DataFrame, spans: DataFrame) -> DataFrame:

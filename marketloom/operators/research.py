@@ -251,7 +251,7 @@ def subperiod_metrics(targets: DataFrame, panel: DataFrame, rebalances: DataFram
     """
     if n < 2:
         raise ValueError("at least two periods")
-    start, end = rebalances.agg(F.min("pos"), F.max("next_pos")).first()
+    start, end = (v or 0 for v in rebalances.agg(F.min("pos"), F.max("next_pos")).first())
     spans = panel.sparkSession.createDataFrame([(i + 1, a, b, None if b - a >= least else "too short after splitting") for i, (a, b) in enumerate(subperiods(start, end, n))], "period int, start int, end int, error string")
     own = rebalances.join(F.broadcast(spans.where("error is null")), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).withColumn("next_pos", F.least("next_pos", "end")).where("pos < next_pos")
     parts = targets.join(own.select("pos", "period"), "pos").withColumn("run_id", F.concat_ws("@", "run_id", F.col("period").cast("string"))).drop("period")
@@ -298,6 +298,40 @@ def block_bootstrap_sharpe(returns: DataFrame, trials: int = 500, block: int = 2
     return sharpe.groupBy("run_id").agg(F.percentile("s", F.lit(0.05)).alias("low"), F.percentile("s", F.lit(0.95)).alias("high"), F.avg("s").alias("mean"), F.avg(F.when(F.col("s") > 0, 1.0).otherwise(0.0)).alias("positive"))
 
 
+def run_evidence(targets: DataFrame, panel: DataFrame, rebalances: DataFrame, calendar: DataFrame, cost_bps: float, names: int, periods: int = 4, least: int = 63, trials: int = 20, seed: int = 7) -> DataFrame:
+    """(run_id, baseline, at_max_cost, subperiods_positive, placebo_percentile, ci_low) of each run of `targets`, which `verdict` weighs.
+
+    baseline is the Sharpe ratio at `cost_bps`, at_max_cost that at three times the costs, subperiods_positive the share of
+    the usable stretches with a positive one, placebo_percentile the share of random draws of `names` symbols of the panel
+    that the run is not below, ci_low the lower end of the block bootstrap. What can't be computed is null.
+    """
+    targets, rebalances = settled(targets), settled(rebalances)
+    values = settled(equity.interval_values(targets, panel, rebalances))
+    growth = settled(equity.interval_growth(values))
+    changed = settled(equity.changes(targets, equity.drifted_holdings(values), rebalances))
+    turned = equity.turnover(changed)
+
+    def measured(bps: float) -> tuple[DataFrame, DataFrame]:
+        costs = settled(equity.self_financing_cost(changed, bps))
+        curve = settled(equity.equity_curve(growth, costs, rebalances))
+        return curve, equity.performance_metrics(curve, equity.rebalance_log(targets, turned, costs, curve), calendar)
+
+    curve, once = measured(cost_bps)
+    _, thrice = measured(3 * cost_bps)
+    parts = subperiod_metrics(targets, panel, rebalances, calendar, cost_bps, periods, least).where("sharpe is not null")
+    share = parts.groupBy("run_id").agg(F.avg(F.when(F.col("sharpe") > 0, 1.0).otherwise(0.0)).alias("subperiods_positive"))
+    drawn = random_placebo(panel.join(rebalances.select("pos"), "pos").select("pos", "symbol"), names, trials, seed)
+    random = placebo_curves(panel, rebalances, drawn, calendar, cost_bps).where("sharpe is not null").select(F.col("sharpe").alias("random"))
+    base = settled(once.select("run_id", F.col("sharpe").alias("baseline")))
+    # as many rows as there are trials
+    beaten = base.join(F.broadcast(random)).groupBy("run_id").agg(F.avg(F.when(F.col("random") <= F.col("baseline"), 1.0).otherwise(0.0)).alias("placebo_percentile"))
+    line = Window.partitionBy("run_id").orderBy("day_pos")
+    returns = curve.where("return is not null").select("run_id", (F.row_number().over(line) - 1).alias("i"), F.col("return").alias("r"))
+    low = block_bootstrap_sharpe(returns, seed=seed).select("run_id", F.col("low").alias("ci_low"))
+    found = base.join(thrice.select("run_id", F.col("sharpe").alias("at_max_cost")), "run_id", "left")
+    return found.join(share, "run_id", "left").join(beaten, "run_id", "left").join(low, "run_id", "left")
+
+
 def verdict(evidence: DataFrame) -> DataFrame:
     """supported, inconclusive or falsified from (run_id, baseline, at_max_cost, subperiods_positive, placebo_percentile, ci_low)."""
     checks = [F.col("baseline") > 0, F.col("at_max_cost") > 0, F.col("subperiods_positive") > 0.5, F.col("placebo_percentile") >= 0.9, F.col("ci_low") > 0]

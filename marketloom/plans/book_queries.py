@@ -116,7 +116,20 @@ def f7_value_positions(spark, sf_dir):
     return rounded(ledger.value_positions(ledger.open_lots(tx, ledger.fifo_match(tx)), _latest(tx), AS_OF), 8)
 
 
-@R.query()
+#: the value at a rate of the flows of an account, as lists of amounts and years
+NPV = "list_sum(list_transform(x, lambda f: f.amount / pow(1 + {r}, f.years)))"
+XIRR = FIFO + f""", fl as (select account_id, date, -amount as amount from tx where action = 'deposit' union all select account_id, date '{AS_OF}', sum(quantity * price) from lt left join
+  (select symbol, case when arg_max(price, event_id) > 0 then arg_max(price, event_id) end as price from tx where price is not null group by 1) q on q.symbol = lt.symbol group by 1),
+xl as (select account_id, coalesce(bool_or(amount > 0) and bool_or(amount < 0), false) as mixed, list({{'amount': amount, 'years': date_diff('day', d0, date) / 365.0}}) filter (amount is not null) as x from (select *, min(date) over (partition by account_id) as d0 from fl) group by 1),
+rt as (select i, case when i < 4000 then -0.99 + i * 1.99 / 3999 else 1 + (i - 3999) * 9.0 / 1800 end as r from (select unnest(range(5800)) as i)),
+nv as (select account_id, i, r, {NPV.format(r='r')} as v from xl, rt where mixed), tn as (select *, sign(v) * sign(lead(v) over w) < 0 as turn, lead(r) over w as r1 from nv window w as (partition by account_id order by i)),
+br as (select account_id, arg_min(r, i) as lo, arg_min(r1, i) as hi, count(*) as turns from tn where turn group by 1),
+bi as (select account_id, x, lo, hi, 0 as k from br join xl using (account_id) union all select account_id, x, case when same then mid else lo end, case when same then hi else mid end, k + 1 from
+  (select *, sign({NPV.format(r='mid')}) = sign({NPV.format(r='lo')}) as same from (select *, (lo + hi) / 2 as mid from bi where k < 60)))"""
+
+
+@R.query(S("""select xl.account_id, round((bb.lo + bb.hi) / 2, 6) as rate, case when not mixed then 'flows have one sign' when turns is null then 'no root in range' when turns > 1 then 'several roots' end as note
+  from xl left join br using (account_id) left join (select account_id, lo, hi from bi where k = 60) bb using (account_id)""", "tx", more=XIRR).replace("with ", "with recursive ", 1))
 def f8_xirr(spark, sf_dir):
     tx = domain.tx(spark, sf_dir)
     lots = ledger.value_positions(ledger.open_lots(tx, ledger.fifo_match(tx)), _latest(tx), AS_OF)
@@ -276,12 +289,16 @@ def g13_merge_actions(spark, sf_dir):
 # H: quality
 
 
-@R.query(S("""select dataset, symbol, 'coverage' as "check", severity, 'no rows' as detail, null::double as value from (select 'prices' as dataset, 'ERROR' as severity, symbol from universe where symbol not in (select symbol from prices_m where date < date '1992-02-01')
-  union all select 'actions', 'INFO', symbol from universe where symbol not in (select symbol from actions where year(ex_date) = 1995))""", "universe", "prices_m", "actions"))
+COVERED = """select 'orders' as dataset, 'ERROR' as severity, c_name as symbol from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)
+  union all select 'events', 'INFO', c_name from customer where c_custkey not in (select user_id from events where user_id is not null)"""
+
+
+@R.query(f"""select dataset, symbol, 'coverage' as "check", severity, 'no rows' as detail, null::double as value from ({COVERED})""")
 def h1_coverage(spark, sf_dir):
-    early = domain.prices_m(spark, sf_dir).where("date < '1992-02-01'")
-    acts = domain.actions(spark, sf_dir).where("year(ex_date) = 1995")
-    return quality.check_coverage(domain.universe(spark, sf_dir), {"prices": (early, "ERROR"), "actions": (acts, "INFO")})
+    """Customers as the universe: who has no orders and who has no events."""
+    names = domain.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("symbol"))
+    of = lambda name, key: domain.table(spark, sf_dir, name).select(F.col(key).alias("c_custkey")).distinct().join(names, "c_custkey")
+    return quality.check_coverage(names, {"orders": (of("orders", "o_custkey"), "ERROR"), "events": (of("events", "user_id"), "INFO")})
 
 
 @R.query(S("""select 'bars' as dataset, symbol, "check", 'ERROR' as severity, detail, n::double as value from (
@@ -376,8 +393,7 @@ def h13_price_basis_mismatch(spark, sf_dir):
     return quality.check_price_basis(filing, domain.prices_d(spark, sf_dir))
 
 
-@R.query(S("""select severity, dataset, "check", count(*) as n from (select 'prices' as dataset, 'ERROR' as severity, 'coverage' as "check" from universe where symbol not in (select symbol from prices_m where date < date '1992-02-01')
-  union all select 'actions', 'INFO', 'coverage' from universe where symbol not in (select symbol from actions where year(ex_date) = 1995)) group by 1, 2, 3""", "universe", "prices_m", "actions"))
+@R.query(f"""select severity, dataset, 'coverage' as "check", count(*) as n from ({COVERED}) group by 1, 2, 3""")
 def h14_findings_by_check(spark, sf_dir):
     return quality.findings_by_check(quality.findings_report(h1_coverage(spark, sf_dir)))
 

@@ -291,38 +291,53 @@ def d6_mask_scores(spark, sf_dir):
     return rounded(signals.mask_scores(scores, _cut(spark, sf_dir), 30))
 
 
-START, END, STEP = 60, 340, 20
-REB = f"rb as (select pos, least(pos + {STEP}, {END})::int as next_pos, date from (select distinct pos, date from p) where pos >= {START} and pos < {END} and (pos - {START}) % {STEP} = 0)"
+START, STEP = 60, 20
+#: where a backtest ends: the last day on which as many symbols have a price as on the fullest one
+ENDS = "ends as (select pos as last from (select pos, count(*) as n from p group by 1) order by n desc, pos desc limit 1)"
+END = "(select last from ends)"
+REB = ENDS + f""", rb as (select pos, least(pos + {STEP}, {END})::int as next_pos, date from (select distinct pos, date from p)
+  where pos >= {START} and pos < {END} and (pos - {START}) % {STEP} = 0)"""
+
+
+def _end(w: DataFrame) -> int:
+    """The last day on which as many symbols have a price as on the fullest one."""
+    fullest = w.groupBy("pos").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "pos")).alias("at")).first()["at"]
+    return fullest["pos"] if fullest else START
 
 
 def _rebalances(w: DataFrame) -> DataFrame:
-    return signals.rebalance_dates(panel.calendar(w), START, END, STEP)
+    return signals.rebalance_dates(panel.calendar(w), START, _end(w), STEP)
+
+
+def _whole(w: DataFrame) -> DataFrame:
+    """Symbols with a price on every day of the backtest."""
+    end = _end(w)
+    return w.where(F.col("pos").between(START, end)).groupBy("symbol").count().where(F.col("count") == end - START + 1).select("symbol")
 
 
 @R.query(S("select pos, date, next_pos from rb", "prices_w", more=P + ", " + REB))
 def d8_rebalance_dates(spark, sf_dir):
-    return _rebalances(weekly(spark, sf_dir))
+    return _rebalances(settled(weekly(spark, sf_dir)))
 
 
 # names are chosen among those with a price on every day of the backtest
-FULL = f"full_ as (select symbol from p where pos between {START} and {END} group by 1 having count(*) = {END - START + 1})"
+FULL = f"full_ as (select symbol from p where pos between {START} and {END} group by 1 having count(*) = {END} - {START} + 1)"
 TOP = MOM + ", " + REB + ", " + FULL + """, top as (select m1.pos, m1.symbol, score, row_number() over (partition by m1.pos order by score desc, m1.symbol) as k from m1 join rb on m1.pos = rb.pos join full_ using (symbol) where score is not null qualify k <= 5)"""
 
 
 def _selected(w: DataFrame) -> DataFrame:
-    whole = w.where(F.col("pos").between(START, END)).groupBy("symbol").count().where(F.col("count") == END - START + 1).select("symbol")
-    scores = signals.lagged_score(signals.momentum_score(w, 26)).join(whole, "symbol", "left_semi")
+    scores = signals.lagged_score(signals.momentum_score(w, 26)).join(_whole(w), "symbol", "left_semi")
     return signals.select_top_n(scores, _rebalances(w), 5)
 
 
 @R.query(S("select pos, symbol, round(score, 6) as score, k as rank from top", "prices_w", more=TOP))
 def d7_select_top_n(spark, sf_dir):
-    return rounded(_selected(weekly(spark, sf_dir)).select("pos", "symbol", "score", "rank"))
+    return rounded(_selected(settled(weekly(spark, sf_dir))).select("pos", "symbol", "score", "rank"))
 
 
 @R.query(S("select pos, symbol, round(w, 6) as weight from (select pos, symbol, least(0.25, least(0.9, count(*) over (partition by pos) * 0.25) / count(*) over (partition by pos)) as w from top union all select pos, 'CASH', 1 - least(0.9, count(*) * 0.25) from top group by 1)", "prices_w", more=TOP))
 def d10_equal_weight_target(spark, sf_dir):
-    return rounded(signals.equal_weight_target(_selected(weekly(spark, sf_dir)), 0.1, 0.25))
+    return rounded(signals.equal_weight_target(_selected(settled(weekly(spark, sf_dir))), 0.1, 0.25))
 
 
 CAP = TOP + """, n1 as (select pos, symbol, score as raw, count(*) over (partition by pos) as n from top), n2 as (select *, least(0.9, n * 0.25) as total from n1),
@@ -333,16 +348,22 @@ n6 as (select *, max(case when k = pk then tail end) over (partition by pos) as
 
 @R.query(S("select pos, symbol, round(case when pk is null or k < pk then least(0.25, total) else least(0.25, greatest(total - pk * 0.25, 0) * raw / pt) end, 6) as weight from n6", "prices_w", more=CAP))
 def d9_capped_weights(spark, sf_dir):
-    chosen = _selected(weekly(spark, sf_dir)).withColumnRenamed("score", "raw")
+    chosen = _selected(settled(weekly(spark, sf_dir))).withColumnRenamed("score", "raw")
     from pyspark.sql import Window
 
     chosen = chosen.withColumn("n", F.count("*").over(Window.partitionBy("pos")))
     return rounded(signals.capped_weights(chosen, F.least(F.lit(0.9), F.col("n") * 0.25), F.lit(0.25)))
 
 
-@R.query()
+INVERSE = CAP.replace("n1 as (select pos, symbol, score as raw, count(*) over (partition by pos) as n from top)", """rr as (select *, close / nullif(lag(close) over (partition by symbol order by pos), 0) - 1 as r from p),
+sv as (select symbol, pos, stddev_samp(r) over (partition by symbol order by pos rows between 26 preceding and 1 preceding) as sd from rr),
+n1 as (select pos, symbol, case when sd > 0 then 1 / sd else 0.0 end as raw, count(*) over (partition by pos) as n from top join sv using (symbol, pos))""")
+
+
+@R.query(S("""select pos, symbol, round(weight, 6) as weight from (select pos, symbol, weight from iw union all select pos, 'CASH', 1 - sum(weight) from iw group by 1)""", "prices_w",
+           more=INVERSE + ", iw as (select pos, symbol, case when pk is null or k < pk then least(0.25, total) else least(0.25, greatest(total - pk * 0.25, 0) * raw / pt) end as weight from n6)"))
 def d10_inverse_vol_target(spark, sf_dir):
-    w = weekly(spark, sf_dir)
+    w = settled(weekly(spark, sf_dir))
     return rounded(signals.inverse_vol_target(_selected(w), features.daily_returns(w), 0.1, 0.25, 26))
 
 
@@ -454,9 +475,10 @@ def e10_strategy_comparison(spark, sf_dir):
     return rounded(research.strategy_comparison(targets, w, settled(_rebalances(w)), panel.calendar(w), BPS))
 
 
-@R.query(S(f"select date, pos, round(avg(close / p0), 6) as benchmark from p join (select symbol, close as p0 from p where pos = {START}) using (symbol) where pos between {START} and {END} group by 1, 2", "prices_w", more=P))
+@R.query(S(f"select date, pos, round(avg(close / p0), 6) as benchmark from p join (select symbol, close as p0 from p where pos = {START}) using (symbol) where pos between {START} and {END} group by 1, 2", "prices_w", more=P + ", " + ENDS))
 def e9_equal_weight_benchmark(spark, sf_dir):
-    return rounded(equity.equal_weight_benchmark(weekly(spark, sf_dir), START, END))
+    w = settled(weekly(spark, sf_dir))
+    return rounded(equity.equal_weight_benchmark(w, START, _end(w)))
 
 
 @R.query(_recursive(S("select run_id, day_pos, round(equity / greatest(max(equity) over (partition by run_id order by day_pos), 1) - 1, 6) as drawdown from cu", "prices_w", more=CURVE)))
@@ -547,7 +569,7 @@ def k6_scenario_range(spark, sf_dir):
 
 @R.query(S("select trial, pos, symbol from (select trial, p.pos, symbol, row_number() over (partition by trial, p.pos order by md5('7|' || trial || '|' || p.pos || '|' || symbol), symbol) as k from p join rb on p.pos = rb.pos, (select unnest(range(20)) as trial)) where k <= 5", "prices_w", more=P + ", " + REB))
 def k10_random_placebo(spark, sf_dir):
-    w = weekly(spark, sf_dir)
+    w = settled(weekly(spark, sf_dir))
     return research.random_placebo(w.join(F.broadcast(_rebalances(w).select("pos")), "pos").select("pos", "symbol"), 5)
 
 
@@ -555,9 +577,8 @@ def k10_random_placebo(spark, sf_dir):
 def k10_placebo_metrics(spark, sf_dir):
     """The drawn names of every trial through the same cost path as any other run."""
     w = settled(weekly(spark, sf_dir))
-    whole = w.where(F.col("pos").between(START, END)).groupBy("symbol").count().where(F.col("count") == END - START + 1).select("symbol")
     rebalances = settled(_rebalances(w))
-    eligible = w.join(whole, "symbol", "left_semi").join(rebalances.select("pos"), "pos").select("pos", "symbol")
+    eligible = w.join(_whole(w), "symbol", "left_semi").join(rebalances.select("pos"), "pos").select("pos", "symbol")
     return rounded(research.placebo_curves(w, rebalances, research.random_placebo(eligible, 5), panel.calendar(w), BPS))
 
 
@@ -573,8 +594,7 @@ def k8_subperiods(spark, sf_dir):
 def k8_perturbed_settings(spark, sf_dir):
     """A crossing rule and the settings around it."""
     w = settled(weekly(spark, sf_dir))
-    whole = w.where(F.col("pos").between(START, END)).groupBy("symbol").count().where(F.col("count") == END - START + 1).select("symbol")
-    own, rebalances = settled(w.join(whole, "symbol", "left_semi")), settled(_rebalances(w))
+    own, rebalances = settled(w.join(_whole(w), "symbol", "left_semi")), settled(_rebalances(w))
     runs = settled(research.perturbed_settings(spark, "sma_cross", {"fast": 5, "slow": 20, "hold": 20}, 5))
     return rounded(runs.select("run_id", "fast", "slow", "hold", "error").join(research.backtests(research.rule_runs(own, rebalances, runs), own, rebalances, panel.calendar(w), BPS), "run_id", "left"))
 
@@ -599,8 +619,25 @@ def k9_rule_scores(spark, sf_dir):
 def k9_parameter_sweep(spark, sf_dir):
     """Look-back by number of names: all runs over the first half, the best over the rest."""
     w = settled(weekly(spark, sf_dir))
-    whole = w.where(F.col("pos").between(START, END)).groupBy("symbol").count().where(F.col("count") == END - START + 1).select("symbol")
-    return rounded(research.parameter_sweep(w.join(whole, "symbol", "left_semi"), _rebalances(w), {"lookback": [13, 26, 52], "top_n": [3, 5]}, 200, 220, BPS))
+    middle = START + (_end(w) - START) // 2 // STEP * STEP
+    return rounded(research.parameter_sweep(w.join(_whole(w), "symbol", "left_semi"), _rebalances(w), {"lookback": [13, 26, 52], "top_n": [3, 5]}, middle, middle + STEP, BPS))
+
+
+@R.query()
+def k12_verdict(spark, sf_dir):
+    """The run of five names by momentum under all five checks, and what they say together."""
+    w = settled(weekly(spark, sf_dir))
+    targets = signals.with_cash(_selected(w).select("pos", "symbol", (F.lit(0.9) / F.count("*").over(Window.partitionBy("pos"))).alias("weight"))).withColumn("run_id", F.lit("equal"))
+    own = settled(w.join(_whole(w), "symbol", "left_semi"))
+    evidence = settled(research.run_evidence(targets, own, settled(_rebalances(w)), panel.calendar(w), BPS, 5, least=60))
+    return rounded(evidence.join(research.verdict(evidence), "run_id"))
+
+
+@R.query("""select o_orderstatus as status, null as kind, count(*) as n from orders group by 1 union all select null, o_orderpriority, count(*) from orders group by 2""")
+def k12_registry_counts(spark, sf_dir):
+    """Orders as a registry of manifests: their states, and their priorities as kinds."""
+    orders = domain.table(spark, sf_dir, "orders")
+    return research.registry_counts(orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind")))
 
 
 def _forecasts(spark, sf_dir):
@@ -622,7 +659,7 @@ def c17_forecast_outcomes(spark, sf_dir):
     scores = features.ridge_scores(f, features.ridge_windows(features.ridge_daily_stats(f, y), decisions))
     covariance = features.shrinkage_covariance(features.daily_returns(w), decisions)
     listed = w.groupBy("symbol").agg(F.min("pos").alias("p")).select("symbol", F.when(F.col("p") > 0, F.col("p")).alias("listed_pos"))
-    return rounded(features.forecast_outcomes(scores, evidence, y, covariance, features.investable(listed, decisions), END))
+    return rounded(features.forecast_outcomes(scores, evidence, y, covariance, features.investable(listed, decisions), _end(w)))
 
 
 @R.query()
@@ -645,25 +682,26 @@ def e5_liquidate_at_cutoff(spark, sf_dir):
 
 
 LIMITS = {"max_weight": 0.19, "min_cash": 0.1, "max_volatility": 0.9, "max_turnover": 0.5, "max_sector": 0.4}
-CHECKS = COV + f""", w3 as (select symbol, 0.9 / count(*) over () as weight from (select symbol from p where pos = {START} order by symbol limit 5)), wt as (select symbol, weight from w3 union all select 'CASH', 0.1)"""
+CHECKS = COV.replace("d as (select distinct pos as decision from p where pos >= 21 and pos % 21 = 0)", f"{ENDS}, d as (select last as decision from ends)") + f""", w3 as (select symbol, 0.9 / count(*) over () as weight from p where pos = {END}), wt as (select symbol, weight from w3 union all select 'CASH', 0.1)"""
 
 
-@R.query(S("""select 'x' as run_id, "check", round(value, 6) as value, lim as "limit", passed from (
+@R.query(S("""select 'x' as run_id, "check", round(value, 6) as value, lim::double as "limit", passed from (
   select 'weight sum' as "check", sum(weight) as value, 1.0 as lim, abs(sum(weight) - 1) <= 1e-6 as passed from wt union all select 'long only', min(weight), 0.0, min(weight) >= -1e-8 from w3
   union all select 'largest position', max(weight), 0.19, max(weight) <= 0.19 + 1e-6 from w3 union all select 'cash reserve', 0.1, 0.1, true
   union all select 'volatility', v, 0.9, v <= 0.9 + 1e-6 from (select sqrt(sum(a.weight * b.weight * (case when n < 20 then case when i = j then 0.04 else 0 end else s * 252 * (case when i = j then 1.0 else 0.75 end) + (case when i = j then 1e-6 else 0 end) end) * (case when i = j then 1 else 2 end))) as v
-    from cv join w3 a on a.symbol = i join w3 b on b.symbol = j where decision = 300)
+    from cv join w3 a on a.symbol = i join w3 b on b.symbol = j)
   union all select 'one-way turnover', 0.9, 0.5, false union all select 'sector exposure', max(s), 0.4, max(s) <= 0.4 + 1e-6 from (select right(symbol, 1) as k, sum(weight) as s from w3 group by 1))""", "prices_w", more=CHECKS))
 def e16_limit_checks(spark, sf_dir):
     from ..operators import proposals
 
-    w = weekly(spark, sf_dir)
-    cov = features.shrinkage_covariance(features.daily_returns(w), spark.createDataFrame([(300,)], "pos int"))
-    five = w.where(F.col("pos") == START).orderBy("symbol").limit(5).select(F.lit("x").alias("run_id"), "symbol", F.lit(0.18).alias("weight"))
+    w = settled(weekly(spark, sf_dir))
+    end = _end(w)
+    cov = features.shrinkage_covariance(features.daily_returns(w), spark.createDataFrame([(end,)], "pos int"))
+    names = w.where(F.col("pos") == end).select(F.lit("x").alias("run_id"), "symbol", (F.lit(0.9) / F.count("*").over(Window.partitionBy("pos"))).alias("weight"))
     cash = spark.createDataFrame([("x", "CASH", 0.1)], "run_id string, symbol string, weight double")
     now = spark.createDataFrame([("x", "CASH", 1.0)], "run_id string, symbol string, weight double")
     sectors = w.select("symbol").distinct().withColumn("sector", F.right("symbol", F.lit(1)))
-    return rounded(proposals.limit_checks(five.unionByName(cash), cov, now, sectors, LIMITS))
+    return rounded(proposals.limit_checks(names.unionByName(cash), cov, now, sectors, LIMITS))
 
 
 @R.query(_recursive(S("""select bps::int as cost_bps, round(final, 6) as final_equity from (select bps, exp(sum(ln(g) + ln(1 - c))) as final from

@@ -149,3 +149,46 @@ def test_ranked_funds(spark):
     assert got == [(7, 1, 7), (6, 2, 7), (5, 3, 7), (4, 4, 7)]
     assert [r["scheme_code"] for r in universe.rank_funds(catalog, page=1, size=4).orderBy("place").collect()] == [2, 1, 3]
     assert [r["scheme_code"] for r in universe.rank_funds(catalog, "fund 5").collect()] == [5]
+
+
+def test_rates_of_summed_days(spark):
+    """Flows of a day count as one; an account with most rows is as long as its days; the signs are those of the flows."""
+    day = lambda i: D(2020, 1, 1) + dt.timedelta(days=i)
+    rows = [(1, day(i % 40), -1.0) for i in range(4000)] + [(1, day(400), 4400.0)]
+    rows += [(2, day(0), -100.0), (2, day(365), 110.0), (3, day(0), -5.0), (3, day(9), None), (4, day(0), 7.0), (4, day(0), -7.0), (4, day(365), 3.0)]
+    got = {r["account_id"]: (r["rate"], r["note"]) for r in ledger.xirr(spark.createDataFrame(rows, "account_id int, date date, amount double")).collect()}
+    value = sum(a / (1 + got[1][0]) ** ((d - day(0)).days / 365) for k, d, a in rows if k == 1)
+    assert abs(value) < 1e-6 and got[1][1] is None
+    assert abs(got[2][0] - 0.1) < 1e-9
+    assert got[3] == (None, "flows have one sign") and got[4] == (None, "no root in range")
+
+
+def test_verdict_of_runs(spark):
+    """Evidence of two runs from prices that only rise in one of them: a winner beats the draws, a loser doesn't."""
+    rnd, days = random.Random(3), 190
+    rows = []
+    for k in range(8):
+        close = 50.0
+        for i in range(days):
+            rows.append((f"S{k}", D(2023, 1, 1) + dt.timedelta(days=i), i, close))
+            close *= 1 + (0.004 if k == 0 else -0.004 if k == 1 else 0.0) + rnd.gauss(0, 0.004)
+    prices = spark.createDataFrame(rows, "symbol string, date date, pos int, close double")
+    calendar = prices.select("pos", "date").distinct()
+    rebalances = signals.rebalance_dates(calendar, 10, 180, 10)
+    targets = rebalances.select("pos").crossJoin(spark.createDataFrame([("up", "S0", 0.9), ("up", "CASH", 0.1), ("down", "S1", 0.9), ("down", "CASH", 0.1)], "run_id string, symbol string, weight double")).select("run_id", "pos", "symbol", "weight")
+    evidence = research.run_evidence(targets, prices, rebalances, calendar, 10.0, 1, least=30).cache()
+    got = {r["run_id"]: r for r in evidence.collect()}
+    assert got["up"]["baseline"] > got["up"]["at_max_cost"] > 0 and got["up"]["subperiods_positive"] == 1.0 and got["up"]["ci_low"] > 0
+    assert got["down"]["baseline"] < 0 and got["down"]["subperiods_positive"] == 0.0 and got["down"]["placebo_percentile"] == 0.0
+    assert got["up"]["placebo_percentile"] >= 0.9
+    words = {r["run_id"]: (r["passed"], r["verdict"]) for r in research.verdict(evidence).collect()}
+    assert words == {"up": (5, "supported"), "down": (0, "falsified")}
+    assert research.run_evidence(targets.limit(0), prices, rebalances, calendar, 10.0, 1, least=30).count() == 0
+
+
+def test_no_rebalances_have_no_stretches(spark, prices):
+    calendar = prices.select("pos", "date").distinct()
+    none = signals.rebalance_dates(calendar, 900, 900, 20)
+    targets = spark.createDataFrame([("a", 1, "CASH", 1.0)], "run_id string, pos int, symbol string, weight double")
+    got = research.subperiod_metrics(targets, prices, none, calendar, 10.0).collect()
+    assert len(got) == 4 and all(r["error"] == "too short after splitting" for r in got)
