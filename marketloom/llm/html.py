@@ -48,8 +48,8 @@ _GOOD = frozenset("article content main post entry story body text articlebody m
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Further elements of the language; any other name in a tag that does not close is taken for text.
 _KNOWN = _VOID | _DROP | _INLINE | _HEADINGS | frozenset("html body main article section div p span ul ol li dl dt dd table thead tbody tfoot tr td th caption colgroup blockquote pre address figure figcaption details summary center hgroup search legend optgroup option output progress meter map picture font frame frameset noframes".split()) | frozenset(_RAW.split("|"))
-# quotes reach no further than this many characters, so open ones cost a bounded scan
-_QUOTED = r"\"[^\"]{0,65536}\"|'[^']{0,65536}'"
+# a quote reaches to its partner, however far that is; nothing of it is given back
+_QUOTED = r"\"[^\"]*+\"|'[^']*+'"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     rf"|<(?P<raw>{_RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
@@ -58,6 +58,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -77,7 +78,7 @@ class Page:
         if attrs:
             for key, value in _ATTR.findall(attrs):
                 key, value = key.lower(), value.strip("\"'").lower()
-                if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+                if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
                     bad = True
                 elif key in ("class", "id", "role"):
                     words = set(_WORDS.findall(value))

@@ -47,7 +47,7 @@ _SEEDS = tuple(np.array([x], np.uint64) for x in (0x9E3779B97F4A7C15, 0xD1342543
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _SWAP = str.maketrans(SUBSTITUTES)
 #: a word with at least one letter that also holds a sign or digit between or before letters
-_MASKED = re.compile(r"(?<![^\W_])[^\W\d_]*[0-9@$!|+]+[^\W\d_](?:[^\W\d_]|[0-9@$!|+](?=[^\W\d_]|[0-9@$!|+]*[^\W\d_]))*[@$]*|(?<![^\W_])[^\W\d_]{1,30}[@$]+(?![^\W_])")
+_MASKED = re.compile(r"(?<![^\W_])[^\W\d_]*[0-9@$!|+]+[^\W\d_](?:[^\W\d_]|[0-9@$!|+](?=[^\W\d_]|[0-9@$!|+]*[^\W\d_]))*[@$]*|(?<![^\W_])[^\W\d_]++[@$]+(?![^\W_])")
 #: four letters or more, each on its own
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .*_-])[^\W\d_](?![^\W_])(?:\1[^\W\d_](?![^\W_])){2,})")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,6 +119,13 @@ class Lexicon:
         return score
 
 
+def sampled(labelled: DataFrame, sample: int, total: int) -> DataFrame:
+    """About `sample` of the `total` rows by a digest of doc_id; all of them if there are no more."""
+    if total <= sample:
+        return labelled
+    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < F.lit(sample / total * (1 << 53)))
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE, least_support: int = 4, least_share: float = 0.9, least_rate: float = 0.01) -> Lexicon:
     """The lexicon that (doc_id, text, toxic) rows teach. At most about `sample` rows are read, chosen by a digest."""
     labelled = labelled.where("toxic is not null and text is not null").select("doc_id", "text", "toxic")
@@ -127,8 +134,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, least_support: int = 4, lea
     lexicon = Lexicon({w: SEED_WEIGHT for w in SEED_WORDS}, frozenset(SEED_WORDS))
     if not total:
         return lexicon
-    if total > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    labelled = sampled(labelled, sample, total)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # copies and near copies would make chance words look frequent; they share least word hashes

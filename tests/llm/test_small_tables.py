@@ -87,6 +87,25 @@ def test_html_keeps_what_belongs_to_the_article():
         assert page(f"{noise[0]}<article class='a{k}'>{inner}</article>{noise[1]}") == "\n\n".join(blocks)
 
 
+def test_html_long_quotes_and_hidden_parts():
+    page = lambda body: html.Page(f"<html><body>{body}</body></html>").extract([])
+    long = "x > y " * 20_000
+    for quote in ("'", '"'):
+        assert page(f"<article><p>before <img alt={quote}{long}leak{quote} src={quote}q{quote}>after</p></article>") == "before after"
+    assert page("<article><p>seen</p><div style='visibility: hidden'>gone</div><div style='display :none'>gone</div></article>") == "seen"
+
+
+def test_html_odd_table(spark):
+    """Null pages and urls, repeated rows, columns with names of the result, no rows."""
+    body = "<nav>m</nav><article><p>one two three</p><p>four</p></article>"
+    rows = [(1, "http://a.example/1", body, "own", 7), (1, "http://a.example/1", body, "own", 7), (2, None, body, None, None), (3, "http://a.example/3", None, "own", 7), (4, None, "", "own", 7), (None, "http://a.example/5", body, "own", 7)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = sorted(((r["page_id"], r["url"], r["text"]) for r in html.extract(table).select("page_id", "url", "text").collect()), key=str)
+    found = "one two three\n\nfour"
+    assert got == sorted([(1, "http://a.example/1", found)] * 2 + [(2, None, found), (3, "http://a.example/3", ""), (4, None, ""), (None, "http://a.example/5", found)], key=str)
+    assert html.extract(table.limit(0)).count() == 0
+
+
 def test_html_large_pages():
     import time
 
@@ -205,6 +224,19 @@ def test_fold():
     assert toxicity.fold("i d i o t, a$$ I.D.I.O.T a b c us 5$ wow!") == "idiot, ass idiot a b c us 5$ wow!"
 
 
+def test_fold_has_no_longest_word():
+    for n in (5, 30, 31, 5000):
+        assert toxicity.fold("b" * n + "$ @") == "b" * n + "s @"
+
+
+def test_toxicity_samples_any_share(spark):
+    """A sample below a millionth of the labelled rows is a share of hashes, not nothing at all."""
+    many = 20_000_000
+    rows = spark.range(many).withColumnRenamed("id", "doc_id")
+    assert 3 <= toxicity.sampled(rows, 10, many).count() <= 30
+    assert toxicity.sampled(rows.where("doc_id < 50"), 100, 50).count() == 50
+
+
 def test_long_toxic_text():
     rate = toxicity.Lexicon({"idiot": toxicity.SEED_WEIGHT}).scorer()
     assert all(rate(prose(n, n) + " you idiot " + prose(n + 1, 30)) >= toxicity.THRESHOLD for n in (10, 300, 3000, 100_000))
