@@ -52,6 +52,8 @@ THRESHOLD = 0.8
 CONTEXT = 16
 REACH = 56  # a stretch as long as LEAST / THRESHOLD around a minimum reaches no further
 COMMON = 41  # distinct shingles that two stretches of LEAST share at THRESHOLD, at least
+FILL = LEAST - COMMON  # foreign shingles by which a shorter stretch is filled up, at most
+FOREIGN = (2 * REACH + 1) // 5  # foreign shingles of a passage inside a segment, at most
 BLOCK = 4096
 SENT_ROWS = 200_000
 DRIFT = 20  # shingles by which a passage's alignment may shift at a foreign stretch
@@ -228,6 +230,15 @@ def _aligned(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return np.take_along_axis(high, count - common, 1) >= np.take_along_axis(low, count, 1)
 
 
+def _near(marked: np.ndarray, reach: int, low: np.ndarray | int = 0, high: np.ndarray | int | None = None) -> np.ndarray:
+    """The places (along the last axis) with a marked one at most `reach` away, looking from `low` up to `high` only."""
+    n = marked.shape[-1]
+    sums = np.zeros((*marked.shape[:-1], n + 1), np.int32)
+    np.cumsum(marked, axis=-1, dtype=np.int32, out=sums[..., 1:])
+    at = np.arange(n)
+    return sums[..., np.minimum(at + reach + 1, n if high is None else high)] > sums[..., np.maximum(at - reach, low)]
+
+
 def _alignments(later: np.ndarray, earlier: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places in `later`, places in `earlier`) of common shingles, once for each alignment that can hold a passage.
 
@@ -392,8 +403,8 @@ def _meet(table: pa.Table) -> pa.Table:
     """Passages that open segments hold in common with earlier ones of their groups; exact on the segments.
 
     First segments go that share less than COMMON shingles with all others of their group together, until none is left
-    to go. Then each open one meets those that hold one of its rare or uncovered shingles, from the smallest doc_id on,
-    as long as they hold shingles that no passage covers.
+    to go. Then each open one meets those that hold one of its rare shingles or one near an uncovered place, from the
+    smallest doc_id on, as long as a passage in them can hold a place that none covers, be it one of its fill.
     """
     table = table.combine_chunks()
     keys, ids, side, start = (table[c].to_numpy() for c in ("key", "id", "side", "start"))
@@ -408,8 +419,10 @@ def _meet(table: pa.Table) -> pa.Table:
     owner = np.repeat(np.arange(n), sizes)
     with np.errstate(over="ignore"):
         token = mix(keys.view(np.uint64)[owner] * _U(0x9E3779B97F4A7C15) + shingle)
-    order = np.lexsort((~bare, token, owner))
-    owner, token, bare_token, plain = owner[order], token[order], bare[order], shingle[order]
+    # what a passage newly covers may be foreign to the other text: then a common shingle of it stands close by
+    near_bare = _near(bare, FOREIGN, bounds[owner], bounds[owner + 1])
+    order = np.lexsort((~near_bare, token, owner))
+    owner, token, bare_token, plain = owner[order], token[order], near_bare[order], shingle[order]
     places = (order - bounds[owner]).astype(np.int32)
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
@@ -472,7 +485,7 @@ def _meet(table: pa.Table) -> pa.Table:
             spot, some = spot[fit][:, place], some[fit]
             fit = (_held(spot > 0, LEAST) & open_).any(1)
             spot, some = spot[fit].astype(np.int32) - 1, some[fit]
-            room = _aligned(spot >= 0, spot >> 7, spot & 127)
+            room = _near(_aligned(spot >= 0, spot >> 7, spot & 127), FILL)
             for k in np.flatnonzero((room & open_).any(1)):
                 x = some[k]
                 if not (room[k] & open_).any():  # covered by now

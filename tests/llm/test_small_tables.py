@@ -409,7 +409,7 @@ def test_passages_behind_partial_copies():
 
 def test_bound_of_places_loses_no_passage():
     rng = np.random.default_rng(7)
-    seen = 0
+    seen = filled = 0
     for _ in range(3000):
         x = rng.integers(0, 40 if rng.random() < 0.2 else 10**6, 113)
         y = x.copy()
@@ -420,12 +420,51 @@ def test_bound_of_places_loses_no_passage():
         first = np.array([np.flatnonzero(x == v)[0] if v in x else 0 for v in y])
         last = np.array([np.flatnonzero(x == v)[-1] if v in x else 0 for v in y])
         common = np.isin(y, x)
-        room = (passages._held(common[None], passages.LEAST) & passages._aligned(common[None], first[None], last[None]))[0]
+        room = (passages._held(common[None], passages.LEAST) & passages._near(passages._aligned(common[None], first[None], last[None]), passages.FILL))[0]
         for b, e, *_ in passages.common_passages(y, x):
-            if e - b > passages.LEAST:  # shorter ones are filled up with foreign shingles
-                seen += 1
-                assert room[b:e].all()
-    assert seen > 500
+            assert e - b >= passages.LEAST
+            seen += 1
+            filled += e - b == passages.LEAST and not common[b:e].all()
+            assert room[b:e].all()
+            # each place of it has a common shingle near by, so that asking for those loses none
+            assert passages._near(common, passages.FOREIGN)[b:e].all()
+    assert seen > 500 and filled > 20
+
+
+def test_near():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        bounds = np.concatenate([[0], np.cumsum(rng.integers(1, 9, 5))])
+        marked, reach = rng.random(bounds[-1]) < 0.2, int(rng.integers(0, 5))
+        row = np.repeat(np.arange(5), np.diff(bounds))
+        want = [any(marked[j] and row[j] == row[i] and abs(i - j) <= reach for j in range(len(row))) for i in range(len(row))]
+        assert passages._near(marked, reach, bounds[row], bounds[row + 1]).tolist() == want
+
+
+def test_exact_passages_against_brute_force(spark):
+    """Every word of every 50-word string that an earlier document holds too lies in a reported passage."""
+    rnd = random.Random(11)
+    pool = [[f"p{k}.{i}" for i in range(rnd.randrange(40, 130))] for k in range(12)]
+    texts = []
+    for d in range(60):
+        words = []
+        for _ in range(rnd.randrange(1, 5)):
+            p = rnd.choice(pool)
+            b = rnd.randrange(0, 40)
+            words += [f"j{d}.{len(words)}.{i}" for i in range(rnd.randrange(0, 30))] + p[b : b + rnd.randrange(30, 130)]
+        texts.append(words)
+    earlier, want = set(), set()
+    for d, words in enumerate(texts):
+        own = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        want |= {(d, i + j) for i, w in enumerate(own) if w in earlier for j in range(50)}
+        earlier.update(own)
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    rows = passages.repeated_passages(table).collect()
+    got = {(r["doc_id"], i) for r in rows for i in range(r["first_word"], r["end_word"])}
+    assert len(want) > 2000 and want <= got
+    # and what is reported is similar to what it is said to repeat
+    for r in rows:
+        assert jaccard(texts[r["doc_id"]][r["first_word"] : r["end_word"]], texts[r["source_doc_id"]][r["source_first_word"] : r["source_end_word"]]) >= 0.8 - 1e-9
 
 
 def test_passages_behind_a_first_holder_of_the_minima(spark, monkeypatch):
