@@ -12,7 +12,9 @@ Defined results: null text or text of white space has size 0 and is never taken;
 the last; repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored.
 
 Scale: order and running word counts are taken within (source, digest prefix), so a hot source is spread over 65,536
-groups; only per-source rows (one for each source) meet in a single window.
+groups; only per-source rows (one for each source) meet in a single window. Rows with one doc_id (or none) and one size
+are one row with a count until their places are known, and are then dealt out in pieces of `PIECE`, so that such a group
+costs its window one row for each size.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ LEAST_BLOCKS = 256
 #: golden ratio fraction in steps of 2**-31
 PERIOD, STEP = 2147483648, 1327217885
 SLOTS_IN_CHUNK = 65536
+PIECE = 65536
 
 
 def word_count(text: Column) -> Column:
@@ -37,8 +40,8 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
                    block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per source: k (its place), source_size, target, block (tokens of a block), blocks, slots."""
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """One row per source of (source, size, copies): k (its place), source_size, target, block (tokens of a block), blocks, slots."""
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
     order = Window.orderBy(F.asc_nulls_last("source"))
     sources = sources.withColumn("k", F.row_number().over(order) - 1).withColumn("w", w).withColumn("cap", F.col("source_size") * float(max_repeats))
@@ -72,19 +75,28 @@ def schedule(targets: DataFrame) -> DataFrame:
 
 
 def shuffled(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Documents with k, block, and first: the words of the source that stand before, in its shuffled order."""
+    """Documents of (doc_id, source, size, copies), each copy a row, with k, block, and first: the words of the source that stand before, in its shuffled order."""
     tagged = sized.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("digest", 1, 4))
     tagged = tagged.join(targets.select(F.col("source").alias("of"), "k", "source_size", "target", "block"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
-    cells = tagged.groupBy("k", "cell").agg(F.sum("size").alias("here"))
-    cells = cells.select("k", "cell", (F.sum("here").over(Window.partitionBy("k").orderBy("cell")) - F.col("here")).alias("base"))
+    tagged = tagged.withColumn("words", F.col("size") * F.col("copies"))
+    cells = tagged.groupBy("k", "cell").agg(F.sum("words").alias("here")).withColumn("part", F.substring("cell", 1, 2))
+    parts = cells.groupBy("k", "part").agg(F.sum("here").alias("inside"))
+    parts = parts.select("k", "part", (F.sum("inside").over(Window.partitionBy("k").orderBy("part")) - F.col("inside")).alias("below"))
+    cells = cells.withColumn("base", F.sum("here").over(Window.partitionBy("k", "part").orderBy("cell")) - F.col("here"))
+    cells = cells.join(parts, ["k", "part"]).select("k", "cell", (F.col("base") + F.col("below")).alias("base"))
     order = Window.partitionBy("k", "cell").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = tagged.withColumn("to", F.sum("size").over(order)).join(cells, ["k", "cell"])
-    return placed.select("doc_id", "size", "k", "source_size", "target", "block", (F.col("to") + F.col("base") - F.col("size")).alias("first"))
+    placed = tagged.withColumn("to", F.sum("words").over(order)).join(cells, ["k", "cell"])
+    placed = placed.withColumn("start", F.col("to") + F.col("base") - F.col("words"))
+    placed = placed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PIECE)))).repartition("k", "doc_id", "size", "piece")
+    copy = F.explode(F.sequence(F.col("piece") * PIECE, F.least("copies", (F.col("piece") + 1) * PIECE) - 1))
+    placed = placed.withColumn("copy", copy)
+    return placed.select("doc_id", "size", "k", "source_size", "target", "block", (F.col("start") + F.col("copy") * F.col("size")).alias("first"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every document; see the module's text."""
-    sized = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = settle(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")))
     targets = settle(source_targets(sized, weights, max_repeats, block_tokens))
     used = schedule(targets).groupBy("k", "block_id").agg(F.count("*").alias("uses"))
     placed = shuffled(sized, targets)

@@ -269,6 +269,24 @@ def test_mixing_targets(spark):
     assert math.isclose(sum(sizes.values()), sum(sizes), rel_tol=1e-9)
 
 
+def test_mixing_of_repeated_and_missing_ids(spark, monkeypatch):
+    """A third of all rows without a doc_id and one doc_id with many rows, against the SQL."""
+    import duckdb
+
+    monkeypatch.setattr(mixing, "PIECE", 3)
+    rnd = random.Random(9)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(rnd.choices(WORDS, k=rnd.randrange(0, 12))) if i % 11 else None, rnd.choice(["a", "b", None])) for i in range(900)]
+    table = docs(spark, rows)
+    got = sorted(map(tuple, mixing.mix(table).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
+    con = duckdb.connect()
+    con.register("documents", table.select("doc_id", "source", "text").toArrow())
+    want = sorted(con.sql(mixing.ORACLE).select("doc_id, size, source_size, target, taken").fetchall(), key=str)
+    # the SQL shows empty rows of one doc_id once
+    assert [r for r in got if r[1]] == [r for r in want if r[1]]
+    empty = sorted((r["doc_id"] or -1 for r in table.collect() if not (r["text"] or "").split()))
+    assert sorted(r[0] or -1 for r in got if not r[1]) == empty and {r for r in got if not r[1]} == {r for r in want if not r[1]}
+
+
 # chat
 
 
