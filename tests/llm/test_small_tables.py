@@ -379,6 +379,40 @@ def test_suffix_hot_anchors(spark, monkeypatch):
         assert sorted((str(r[0]), *r[1:]) for r in got) == brute_suffix(rows)
 
 
+def test_suffix_crowded_anchors(spark, monkeypatch):
+    """Anchors found crowded before their segments are gathered: none, the line's own, and all of them."""
+    rnd = random.Random(17)
+    some = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    line = some(40)
+    shared = some(400)
+    rows = [(i if i % 9 else 1, some(80) + line + some(60) + (shared[k : k + 90] if (k := 3 * (i % 40)) % 2 else "")) for i in range(240)]
+    rows += [(None, line * 3), (500, None), (501, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, found = brute_suffix(rows), []
+    monkeypatch.setattr(suffixdedup, "EVERY", 1)
+    monkeypatch.setattr(suffixdedup, "CHUNK_BYTES", 4096)
+    usual = suffixdedup.crowded
+    monkeypatch.setattr(suffixdedup, "crowded", lambda *a: found.append(usual(*a)) or found[-1])
+    for crowd in (1 << 20, 200, 0):
+        monkeypatch.setattr(suffixdedup, "CROWD", crowd)
+        got = suffixdedup.digest(suffixdedup.remove_repeats(table)).collect()
+        assert sorted((str(r[0]), *r[1:]) for r in got) == want
+    none, line_only, every = map(len, found)
+    assert none == 0 and 1 <= line_only < 40 and every > 1000
+
+
+def test_stretches_keep_the_ends_of_texts():
+    rng = np.random.default_rng(4)
+    offsets = np.concatenate([[0], np.cumsum(rng.integers(0, 3000, 200))])
+    data = rng.integers(0, 256, offsets[-1]).astype(np.uint8)
+    whole, ends = suffixdedup._stretches(data, offsets, 5, 1)
+    assert (whole == data).all() and set(offsets) <= set(ends)
+    parts = [suffixdedup._stretches(data, offsets, chunk, 8) for chunk in range(40)]
+    assert 0.8 < 8 * sum(len(p[0]) for p in parts) / (40 * len(data)) < 1.2
+    assert all(p[1][-1] == len(p[0]) for p in parts)
+    assert len(suffixdedup._stretches(data[:0], np.zeros(1, np.int64), 0, 1)[0]) == 0
+
+
 def test_equal_windows():
     rnd = np.random.default_rng(2)
     text = rnd.integers(1, 3, 400).astype(np.uint16)
