@@ -55,6 +55,8 @@ COMMON = 41  # distinct shingles that two stretches of LEAST share at THRESHOLD,
 FILL = LEAST - COMMON  # foreign shingles by which a shorter stretch is filled up, at most
 FOREIGN = (2 * REACH + 1) // 5  # foreign shingles of a passage inside a segment, at most
 BLOCK = 4096
+WIDE = 2 * REACH + 1  # shingles of a segment, at most
+PAIRS = 1024  # pairs of segments compared at once
 SENT_ROWS = 200_000
 DRIFT = 20  # shingles by which a passage's alignment may shift at a foreign stretch
 PIECE = 1 << 20
@@ -197,11 +199,24 @@ def _held(common: np.ndarray, least: int) -> np.ndarray:
     return held
 
 
+def _runs(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of common shingles can begin and where they can end.
+
+    A run goes on for sure where both texts go on by one shingle, and the other text holds these once.
+    """
+    goes_on = common[:, 1:] & common[:, :-1] & (first[:, 1:] == last[:, 1:]) & (first[:, :-1] == last[:, :-1]) & (first[:, 1:] == first[:, :-1] + 1)
+    begin, end = common.copy(), common.copy()
+    begin[:, 1:] &= ~goes_on
+    end[:, :-1] &= ~goes_on
+    return begin, end
+
+
 def _aligned(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The places from a passage's first common shingle to its last that passages can hold whose counterparts reach as far.
 
     `first` and `last`: where the other text has each common shingle. From the common shingle i on to j a passage is
-    j - i + 1 long and its counterpart first[j] - last[i] + 1 at least, and COMMON shingles lie in it.
+    j - i + 1 long and its counterpart first[j] - last[i] + 1 at least, and COMMON shingles lie in it; i begins a run and j
+    ends one.
     """
     apart = COMMON - 1
     count = np.cumsum(common, axis=1, dtype=np.int32)
@@ -213,8 +228,9 @@ def _aligned(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     at = np.argsort(~common, axis=1, kind="stable")[:, :n].astype(np.int32)  # the common places of each row in front
     rank = np.arange(n, dtype=np.int32)
     there = rank < ranks[:, None]
-    begin = np.where(there, (HIT + MISS) * rank - MISS * (at + np.take_along_axis(last, at, 1)), far)
-    end = np.where(there, (HIT + MISS) * (rank + 1) - MISS * (at + np.take_along_axis(first, at, 1) + 2), -far)
+    begins, ends = (there & np.take_along_axis(x, at, 1) for x in _runs(common, first, last))
+    begin = np.where(begins, (HIT + MISS) * rank - MISS * (at + np.take_along_axis(last, at, 1)), far)
+    end = np.where(ends, (HIT + MISS) * (rank + 1) - MISS * (at + np.take_along_axis(first, at, 1) + 2), -far)
 
     def bests() -> tuple[np.ndarray, np.ndarray]:
         return np.minimum.accumulate(begin, axis=1), np.maximum.accumulate(end[:, ::-1], axis=1)[:, ::-1]
@@ -239,6 +255,23 @@ def _near(marked: np.ndarray, reach: int, low: np.ndarray | int = 0, high: np.nd
     return sums[..., np.minimum(at + reach + 1, n if high is None else high)] > sums[..., np.maximum(at - reach, low)]
 
 
+def _fillable(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The places that the fill of a stretch shorter than LEAST can cover.
+
+    Such a stretch goes from the begin of a run of common shingles to the end of one and holds COMMON of them.
+    """
+    n = common.shape[1]
+    begin, end = _runs(common, first, last)
+    count = np.zeros((len(common), n + 1), np.int32)
+    np.cumsum(common, axis=1, dtype=np.int32, out=count[:, 1:])
+    marked = np.zeros(common.shape, bool)
+    for d in range(COMMON - 1, min(LEAST - 1, n)):
+        short = begin[:, : n - d] & end[:, d:] & (count[:, d + 1 :] - count[:, : n - d] >= COMMON)
+        marked[:, d:] |= short
+        marked[:, : n - d] |= short
+    return _near(marked, FILL) if marked.any() else marked
+
+
 def _alignments(later: np.ndarray, earlier: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places in `later`, places in `earlier`) of common shingles, once for each alignment that can hold a passage.
 
@@ -406,38 +439,44 @@ def _meet(table: pa.Table) -> pa.Table:
     to go. Then each open one meets those that hold one of its rare shingles or one near an uncovered place, from the
     smallest doc_id on, as long as a passage in them can hold a place that none covers, be it one of its fill.
     """
-    table = table.combine_chunks()
+    table = table.combine_chunks().sort_by([("key", "ascending"), ("id", "ascending")])
     keys, ids, side, start = (table[c].to_numpy() for c in ("key", "id", "side", "start"))
     opens = np.asarray(table["open"].to_numpy(zero_copy_only=False), bool)
     two = table["lo"][0].as_py() != table["hi"][0].as_py()
-    lists = table["segment"].chunk(0) if table["segment"].num_chunks else pa.array([], pa.list_(pa.int32()))
+    lists = table["segment"].combine_chunks()
     sizes = np.asarray(pc.list_value_length(lists), np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     values = np.asarray(lists.flatten()).view(np.uint32)
     shingle, bare = (values >> 1).astype(np.uint64), (values & 1) == 0
     n = len(keys)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     with np.errstate(over="ignore"):
         token = mix(keys.view(np.uint64)[owner] * _U(0x9E3779B97F4A7C15) + shingle)
     # what a passage newly covers may be foreign to the other text: then a common shingle of it stands close by
     near_bare = _near(bare, FOREIGN, bounds[owner], bounds[owner + 1])
     order = np.lexsort((~near_bare, token, owner))
-    owner, token, bare_token, plain = owner[order], token[order], near_bare[order], shingle[order]
+    owner, token, bare_token = owner[order], token[order], near_bare[order]
     places = (order - bounds[owner]).astype(np.int32)
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
     starts = np.flatnonzero(new)
     first, last = (f.reduceat(places, starts) if len(starts) else places for f in (np.minimum, np.maximum))
-    owner, token, bare_token, plain = owner[new], token[new], bare_token[new], plain[new]
-    _, group = np.unique(keys, return_inverse=True)
-    need = np.full(group.max() + 1, COMMON)
+    entry = np.empty(len(owner), np.int32)  # of each place the row of its shingle below
+    entry[order] = np.cumsum(new) - 1
+    owner, token, bare_token = owner[new], token[new], bare_token[new]
+    lone = np.bincount(owner, minlength=n) == sizes  # segments in which no shingle repeats
+    kept = np.arange(len(owner), dtype=np.int32)
+    del order, places, new, starts, near_bare, values
+    _, begins, group = np.unique(keys, return_index=True, return_inverse=True)
+    need = np.full(len(begins), COMMON)
     np.minimum.at(need, group, np.maximum(COMMON - sizes + np.bincount(owner, minlength=n), 1))
     need = need[group]
     alive = n + 1
     while True:
         _, token, df = np.unique(token, return_inverse=True, return_counts=True)
+        token = token.astype(np.int32)
         keep = df[token] > 1
-        owner, token, bare_token, plain, first, last = owner[keep], token[keep], bare_token[keep], plain[keep], first[keep], last[keep]
+        owner, token, kept = owner[keep], token[keep], kept[keep]
         stay = np.bincount(owner, minlength=n) >= need
         asked = np.zeros(len(need), bool)
         asked[group[stay & opens]] = True
@@ -446,51 +485,86 @@ def _meet(table: pa.Table) -> pa.Table:
             break
         alive = stay.sum()
         keep = stay[owner]
-        owner, token, bare_token, plain, first, last = owner[keep], token[keep], bare_token[keep], plain[keep], first[keep], last[keep]
+        owner, token, kept = owner[keep], token[keep], kept[keep]
     _, token, df = np.unique(token, return_inverse=True, return_counts=True)
     posting = np.concatenate([[0], np.cumsum(df)])
     order = np.argsort(token, kind="stable")
-    holders, spots = owner[order], (first << 7 | last)[order].astype(np.int16) + np.int16(1)  # segments have less than 128 shingles
+    holders, spots = owner[order], (first << 7 | last).astype(np.int16)[kept[order]] + np.int16(1)  # segments have less than 128 shingles
+    bare_token = bare_token[kept]
     edges = np.searchsorted(owner, np.arange(n + 1))
-    out, vain = [], set()
+    back = np.full(len(first), -1, np.int32)
+    back[kept] = np.arange(len(kept))
+    entry = back[entry]
+    del first, last, back, order, kept
+    marks = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 128)
+    local = np.full(n, -1)
+    out, vain, waiting = [], set(), []
+
+    def compare() -> None:
+        """Of the pairs that wait those where a passage with an uncovered place can be; y by y, from the smallest doc_id on."""
+        count = [len(some) for _, some, _, _ in waiting]
+        spot, free = np.zeros((sum(count), WIDE), np.int16), np.zeros((len(waiting), WIDE), bool)
+        for k, (at, (_, _, rows, open_)) in enumerate(zip(np.cumsum(count).tolist(), waiting, strict=True)):
+            spot[at - len(rows) : at, : rows.shape[1]] = rows
+            free[k, : len(open_)] = open_
+        of, x = np.repeat(np.arange(len(waiting)), count), np.concatenate([some for _, some, _, _ in waiting])
+        fit = (_held(spot > 0, LEAST) & free[of]).any(1)
+        spot, of, x = spot[fit].astype(np.int32) - 1, of[fit], x[fit]
+        common, there = spot >= 0, (spot >> 7, spot & 127)
+        room = _aligned(common, *there) | _fillable(common, *there)
+        for k in np.flatnonzero((room & free[of]).any(1)):
+            y, _, _, open_ = waiting[of[k]]
+            if (room[k, : len(open_)] & open_).any():  # not covered by now
+                later, earlier = (shingle[bounds[i] : bounds[i + 1]] for i in (y, x[k]))
+                _take(out, vain, later, earlier, open_, (ids[y], start[y], ids[x[k]], start[x[k]]))
+        waiting.clear()
+
+    pairs = 0
     for y in np.flatnonzero(stay & opens):
         own, free = token[edges[y] : edges[y + 1]], bare_token[edges[y] : edges[y + 1]]
-        rare = own[np.argsort(df[own], kind="stable")][: len(own) - need[y] + 1]
+        times = df[own]
+        rare = own[np.argsort(times, kind="stable")][: len(own) - need[y] + 1]
         few = min(rare, own[free], key=lambda t: df[t].sum())
         if not len(few):
             continue
-        near = holders[_ranges(posting[few], df[few])]
-        near = np.unique(near[ids[near] < ids[y]])
+        # the members of a group stand together, by doc_id
+        low = begins[group[y]]
+        high = low + np.searchsorted(ids[low:y], ids[y])
+        near = np.zeros(y + 1 - low, bool)
+        held = holders[_ranges(posting[few], df[few])]
+        near[held[held <= y] - low] = True
+        near = np.flatnonzero(near[: high - low]) + low
         if two:
             near = near[side[near] != side[y]]
         if not len(near):
             continue
-        later, open_ = shingle[bounds[y] : bounds[y + 1]], bare[bounds[y] : bounds[y + 1]].copy()
-        distinct, place = np.unique(later, return_inverse=True)
-        which = np.searchsorted(distinct, plain[edges[y] : edges[y + 1]])
-        near = near[np.argsort(ids[near], kind="stable")]
-        held = _ranges(posting[own], df[own])
-        around, column = holders[held], np.repeat(which, df[own])
-        local = np.full(n, -1)
-        for lo in range(0, len(near), 1024):
-            # which shingles each of these holds, then where a passage with an uncovered one can be
-            some = near[lo : lo + 1024]
+        open_ = bare[bounds[y] : bounds[y + 1]].copy()
+        place = entry[bounds[y] : bounds[y + 1]]
+        place = np.where(place < 0, len(own), place - edges[y])
+        held = _ranges(posting[own], times)
+        around, column = holders[held], np.repeat(np.arange(len(own), dtype=np.int16), times)
+        for lo in range(0, len(near), PAIRS):
+            # which shingles each of these holds, and where
+            some = near[lo : lo + PAIRS]
             local[some] = np.arange(len(some))
             who = local[around]
             here = np.flatnonzero(who >= 0)
-            spot = np.zeros((len(some), len(distinct)), np.int16)
+            spot = np.zeros((len(some), len(own) + 1), np.int16)
             spot[who[here], column[here]] = spots[held[here]]
             local[some] = -1
             fit = np.flatnonzero(np.count_nonzero(spot, axis=1) >= need[y])
-            spot, some = spot[fit][:, place], some[fit]
-            fit = (_held(spot > 0, LEAST) & open_).any(1)
-            spot, some = spot[fit].astype(np.int32) - 1, some[fit]
-            room = _near(_aligned(spot >= 0, spot >> 7, spot & 127), FILL)
-            for k in np.flatnonzero((room & open_).any(1)):
-                x = some[k]
-                if not (room[k] & open_).any():  # covered by now
-                    continue
-                _take(out, vain, later, shingle[bounds[x] : bounds[x + 1]], open_, (ids[y], start[y], ids[x], start[x]))
+            if len(fit) > 4:
+                # segments alike in what they share, and in all else that counts, say the same: the first of them is asked
+                alike = np.where(lone[some[fit]], spot[fit] @ marks[: spot.shape[1]] + sizes[some[fit]] * marks[-1], some[fit])
+                fit = fit[np.sort(np.unique(alike, return_index=True)[1])]
+            if len(fit):
+                waiting.append((y, some[fit], spot[fit][:, place], open_))
+                pairs += len(fit)
+            if pairs >= PAIRS:
+                compare()
+                pairs = 0
+    if waiting:
+        compare()
     return pa.table({c: pa.array([r[j] for r in out], pa.float64() if j == 6 else pa.int64()) for j, c in enumerate(COLUMNS)})
 
 
@@ -508,21 +582,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copies = copied.select("doc_id", whole[0].alias("first_word"), whole[1].alias("end_word"), F.col("id").alias("source_doc_id"), whole[2].alias("source_first_word"), whole[3].alias("source_end_word"), whole[4].alias("similarity"))
     windows = having(read.select("doc_id", "keys", "places"), copied, anti=True).select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("keys", "places")).alias("w")).select("id", F.col("w.keys").alias("key"), F.col("w.places").alias("at"))
     shared = windows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top"), (F.count("*") > 2).alias("many")).where("lead < top").drop("top")
-    members = settle(windows.join(shared, "key"))
+    members = settle(windows.join(shared, "key"), tidy=True)
 
-    texts = settle(having(rows, members.select(F.col("id").alias("doc_id"))))
+    texts = settle(having(rows, members.select(F.col("id").alias("doc_id"))), tidy=True)
     own = members.groupBy("id").agg(F.collect_list(F.struct("key", "at")).alias("shared"))
     settings = texts.join(own, F.col("doc_id") == F.col("id")).select("doc_id", "text", "shared").mapInArrow(_settings, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     firsts = settings.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").drop("top")
     pairs = members.select("id", "lead").unionByName(settings.join(firsts, "key").select("id", "lead")).where("lead < id").distinct()
-    pairs = settle(pairs.select(F.col("id").alias("y"), F.col("lead").alias("x")))
+    pairs = settle(pairs.select(F.col("id").alias("y"), F.col("lead").alias("x")), tidy=True)
 
     def verified(asked: DataFrame) -> DataFrame:
         later = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("later"))
         earlier = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("earlier"))
         return asked.join(later, "y").join(earlier, "x").select("y", "x", "later", "earlier").mapInArrow(_verify, SCHEMA)
 
-    found = settle(verified(pairs), 250)
+    found = settle(verified(pairs), 250, tidy=True)
     more = settle(_remainder(members, texts, found))
     left = settle(more.select(F.col("doc_id").alias("y"), F.col("source_doc_id").alias("x")).distinct().join(pairs, ["y", "x"], "left_anti"))
     found = found.unionByName(more)
@@ -546,7 +620,7 @@ def _remainder(members: DataFrame, texts: DataFrame, found: DataFrame) -> DataFr
     several = several.select("id", "key", "at", (~F.coalesce(covers, F.lit(False))).alias("open"))
     groups = several.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).where("last > low")
     groups = groups.select("key", "last", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    asked = settle(several.join(groups, "key").where("id <= last").select("id", "key", "at", "open", "blocks"))
+    asked = settle(several.join(groups, "key").where("id <= last").select("id", "key", "at", "open", "blocks"), tidy=True)
     buckets = -(-asked.count() // BLOCK) or 1
     own = asked.groupBy("id").agg(F.collect_list(F.struct("key", "at", "open", "blocks")).alias("asked"))
     known = having(texts, asked.select(F.col("id").alias("doc_id"))).join(own, F.col("doc_id") == F.col("id"))

@@ -483,6 +483,30 @@ def test_bound_of_places_loses_no_passage():
     assert seen > 500 and filled > 20
 
 
+def test_bound_of_runs_and_fill_loses_no_passage():
+    rng = np.random.default_rng(17)
+    seen = filled = 0
+    for k in range(3000):
+        x = rng.integers(0, 40 if rng.random() < 0.2 else 10**6, 113)
+        y = x.copy()
+        if k % 2:  # short stretches in foreign text
+            a, n = int(rng.integers(0, 60)), int(rng.integers(41, 50))
+            y[:a], y[a + n :] = rng.integers(10**6, 10**7, a), rng.integers(10**6, 10**7, 113 - a - n)
+        for _ in range(rng.integers(0, 4)):
+            at, n = rng.integers(0, len(y)), int(rng.integers(1, 4))
+            y = np.concatenate([y[:at], rng.integers(10**6, 10**7, n), y[at + (n if rng.random() < 0.6 else 0) :]])
+        y = y[: int(rng.integers(60, 114))]
+        common = np.isin(y, x)
+        first = np.array([np.flatnonzero(x == v)[0] if v in x else 0 for v in y])
+        last = np.array([np.flatnonzero(x == v)[-1] if v in x else 0 for v in y])
+        room = (passages._aligned(common[None], first[None], last[None]) | passages._fillable(common[None], first[None], last[None]))[0]
+        for b, e, *_ in passages.common_passages(y, x):
+            seen += 1
+            filled += e - b == passages.LEAST and not common[b:e].all()
+            assert room[b:e].all()
+    assert seen > 500 and filled > 200
+
+
 def test_near():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -493,6 +517,60 @@ def test_near():
         assert passages._near(marked, reach, bounds[row], bounds[row + 1]).tolist() == want
 
 
+def met(segments, covered, opens=None, key=7):
+    """The input of `_meet` for one group of segments: 31 bits of each shingle and one that a passage covers it."""
+    n = len(segments)
+    marked = [((x.astype(np.uint32) << np.uint32(1)) | c.astype(np.uint32)).view(np.int32) for x, c in zip(segments, covered)]
+    columns = {c: pa.array(np.zeros(n, np.int64)) for c in ("bucket", "lo", "hi", "side")}
+    columns |= {"id": pa.array(range(n)), "key": pa.array([key] * n), "open": pa.array([True] * n if opens is None else opens), "start": pa.array([0] * n)}
+    return pa.table(columns | {"segment": pa.array([m.tolist() for m in marked], pa.list_(pa.int32()))})
+
+
+def test_segments_that_can_add_nothing_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(5)
+    foreign = lambda n: rng.integers(1 << 20, 1 << 31, n)
+    p = rng.integers(0, 1 << 20, 64)
+    # the passage is covered in all, what stands around it is foreign: no fill reaches it, as the passage is not short
+    segments = [np.concatenate([foreign(15 + k % 9), p, foreign(20 - k % 7)]) for k in range(80)]
+    covered = [np.isin(x, p) for x in segments]
+    calls = []
+    monkeypatch.setattr(passages, "common_passages", lambda *a, f=passages.common_passages: calls.append(a) or f(*a))
+    assert passages._meet(met(segments, covered)).num_rows == 0 and not calls
+    # a group of copies in which none is covered: each is compared until it is covered, alike ones once
+    assert passages._meet(met(segments, [np.zeros(len(x), bool) for x in segments])).num_rows == 79
+    assert len(calls) == 79
+
+
+def test_groups_against_all_pairs():
+    rng = np.random.default_rng(9)
+    found = 0
+    for _ in range(25):
+        p = rng.integers(0, 60 if rng.random() < 0.2 else 1 << 20, 113)
+        segments = []
+        for _ in range(14):
+            y = p[int(rng.integers(0, 30)) :]
+            for _ in range(rng.integers(0, 6)):
+                at, n = rng.integers(0, len(y)), int(rng.integers(1, 9))
+                y = np.concatenate([y[:at], rng.integers(1 << 20, 1 << 31, n), y[at + (n if rng.random() < 0.6 else 0) :]])
+            segments.append(y[:113] if rng.random() < 0.7 or not segments else segments[rng.integers(0, len(segments))])
+        covered = [rng.random(len(x)) < 2 for x in segments]
+        for c in covered:
+            c[: rng.integers(0, len(c))] = rng.random() < 0.5
+            c[rng.integers(0, len(c)) :] = rng.random() < 0.5
+        want = []
+        for i, (y, c) in enumerate(zip(segments, covered)):
+            free = ~c
+            for j, x in enumerate(segments[:i]):
+                for b, e, s0, s1, similarity in passages.common_passages(y.astype(np.uint64), x.astype(np.uint64)):
+                    if free[b:e].any():
+                        free[b:e] = False
+                        want.append((i, b, e + 4, j, s0, s1 + 4, similarity))
+        got = passages._meet(met(segments, covered))
+        assert sorted(zip(*(got[c].to_pylist() for c in got.column_names))) == sorted(want)
+        found += len(want)
+    assert found > 100
+
+
 def test_exact_passages_against_brute_force(spark):
     """Every word of every 50-word string that an earlier document holds too lies in a reported passage."""
     rnd = random.Random(11)
