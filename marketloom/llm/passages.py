@@ -75,33 +75,30 @@ def minima(hashes: np.ndarray, row: np.ndarray, bounds: np.ndarray, least: int)
     return np.where(at + least <= bounds[row[: len(low)] + 1], place, -1), ranked
 
 
+def _next_smaller(value: np.ndarray) -> np.ndarray:
+    """For each value the place of the next one that is not larger; their number where none is."""
+    n = len(value)
+    lows = [np.append(value, np.inf)]  # of each place the smallest of the next 1, 2, 4, ...
+    while 1 << len(lows) <= n:
+        step, low = 1 << len(lows) - 1, lows[-1]
+        lows.append(np.minimum(low, np.concatenate([low[step:], np.full(step, np.inf)])))
+    at = np.arange(1, n + 1)
+    for k in range(len(lows) - 1, -1, -1):
+        at = np.minimum(at + (lows[k][at] > value) * (1 << k), n)
+    return at
+
+
 def compact_windows(place: np.ndarray, ranked: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centre, first and last token of each compact window.
 
     The next smaller token on either side of a centre is itself a centre or the text's end, so the Cartesian tree is
-    found among centres alone, all texts at once: a link to a larger centre is replaced by that centre's own link.
+    found among centres alone, all texts at once. Equal tokens close to each other are equal as doubles and end each other's
+    windows: what holds its smallest token twice is so left to its other hashes.
     """
     centres = np.unique(place[place >= 0])
-    value, of = ranked[centres], row[centres]
-    sides = []
-    for way in (-1, 1):
-        n = len(centres)
-        link = np.arange(n) + way
-        ends = (link < 0) | (link >= n)
-        link[ends] = n  # n: none
-        link[~ends] = np.where(of[link[~ends]] == of[~ends], link[~ends], n)
-        v, chain = np.append(value, 0), np.append(link, n)
-        while True:
-            big = np.flatnonzero(v[chain[:n]] > value)
-            if not len(big):
-                break
-            chain[big] = chain[chain[big]]
-        sides.append(chain[:n])
-    text_first, text_last = bounds[of], bounds[of + 1] - 1
-    none = len(centres)
-    left = np.where(sides[0] == none, text_first, np.append(centres, 0)[sides[0]] + 1)
-    right = np.where(sides[1] == none, text_last, np.append(centres, 0)[sides[1]] - 1)
-    return centres, left, right
+    value, of = ranked[centres].astype(np.float64), row[centres]
+    before, after = np.append(centres, -1)[len(centres) - 1 - _next_smaller(value[::-1])[::-1]], np.append(centres, len(ranked))[_next_smaller(value)]
+    return centres, np.maximum(before + 1, bounds[of]), np.minimum(after - 1, bounds[of + 1] - 1)
 
 
 def signatures(hashes: np.ndarray, row: np.ndarray, bounds: np.ndarray, least: int = LEAST, drawn: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,16 +275,16 @@ def _alignments(later: np.ndarray, earlier: np.ndarray, least: int) -> Iterator[
     Alignments are the diagonals around which all pairs of equal shingles are dense enough. Of a shingle that `earlier`
     holds several times the place nearest to the alignment counts.
     """
-    order = np.argsort(earlier, kind="stable")
+    order = earlier.argsort(kind="stable")
     ordered = earlier[order]
-    first = np.searchsorted(ordered, later)
+    first = ordered.searchsorted(later)
     common = ordered[np.minimum(first, len(ordered) - 1)] == later
-    hit = np.flatnonzero(common & _held(common, least))
+    hit = (common & _held(common, least)).nonzero()[0]
     enough = THRESHOLD * least * 0.9
     if len(hit) < enough:
         return
     first = first[hit]
-    times = np.searchsorted(ordered, later[hit], "right") - first
+    times = ordered.searchsorted(later[hit], "right") - first
     # pairs on each diagonal, counted in pieces: repeated lines make many
     n = len(later)
     dense = np.zeros(n + len(earlier) + 2 * DRIFT, np.int64)
@@ -302,7 +299,7 @@ def _alignments(later: np.ndarray, earlier: np.ndarray, least: int) -> Iterator[
         lo = hi
     sums = np.concatenate([[0], np.cumsum(dense)])
     near = sums[2 * DRIFT + 1 :] - sums[: -2 * DRIFT - 1]  # of diagonal d - n all pairs within DRIFT
-    held = np.flatnonzero(near >= enough)
+    held = (near >= enough).nonzero()[0]
     single = order[first]
     several = bool(times.max() > 1)
     if several:
@@ -311,25 +308,30 @@ def _alignments(later: np.ndarray, earlier: np.ndarray, least: int) -> Iterator[
         places = value * wide + n + order  # of each value its places, ascending, all in one line
         ranked = value[first] * wide + n
     while len(held):
-        band = held[: np.searchsorted(held, held[0] + DRIFT, "right")]
+        band = held[: held.searchsorted(held[0] + DRIFT, "right")]
         peak = int(band[dense[band + DRIFT].argmax()])
         shift = peak - n
-        held = held[np.searchsorted(held, peak + DRIFT, "right") :]
-        source = single
+        held = held[held.searchsorted(peak + DRIFT, "right") :]
+        source, goal = single, hit + shift
         if several:
-            aim = np.searchsorted(places, ranked + np.minimum(np.maximum(hit + shift, 0), len(earlier) - 1))
+            aim = places.searchsorted(ranked + np.minimum(np.maximum(goal, 0), len(earlier) - 1))
             a, b = order[np.minimum(aim, first + times - 1)], order[np.maximum(aim - 1, first)]
-            source = np.where(np.abs(a - hit - shift) < np.abs(b - hit - shift), a, b)
-        own = np.abs(source - hit - shift) <= DRIFT
-        if own.sum() >= enough:
+            source = np.where(np.abs(a - goal) < np.abs(b - goal), a, b)
+        own = np.abs(source - goal) <= DRIFT
+        if np.count_nonzero(own) >= enough:
             yield hit[own], source[own]
 
 
-def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
-    """(begin, end, source begin, source end, similarity) in shingles: the stretches of `later` that `earlier` holds too."""
+def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST, threshold: float = THRESHOLD, free: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+    """(begin, end, source begin, source end, similarity) in shingles: the stretches of `later` that `earlier` holds too.
+
+    `free`: only those that hold one of these places need be there; alignments that have none are passed over.
+    """
     if min(len(later), len(earlier)) < least:
         return []
-    found = {x for hit, source in _alignments(later, earlier, least) for x in _along(later, earlier, hit, source, least, threshold)}
+    if free is not None:
+        free = np.concatenate([[0], free.cumsum()])
+    found = {x for hit, source in _alignments(later, earlier, least) for x in _along(later, earlier, hit, source, least, threshold, free)}
     out, reach = [], -1
     for x in sorted(found, key=lambda x: (x[0], -x[1], -x[4], x[2])):
         if x[1] > reach:
@@ -338,32 +340,48 @@ def common_passages(later: np.ndarray, earlier: np.ndarray, least: int = LEAST,
     return out
 
 
-def _along(later: np.ndarray, earlier: np.ndarray, hit: np.ndarray, source: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
-    """The passages along one alignment: from each run of common shingles on to the last run with which the stretch is similar enough."""
-    new = np.concatenate([[True], (np.diff(hit) > 1) | (np.abs(np.diff(source - hit)) > 2)])
-    b = np.flatnonzero(new)
-    e = np.append(b[1:], len(hit)) - 1
-    low, high = np.minimum.reduceat(source, b), np.maximum.reduceat(source, b)
-    begins, ends = hit[b], hit[e]
+def _along(later: np.ndarray, earlier: np.ndarray, hit: np.ndarray, source: np.ndarray, least: int, threshold: float, free: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+    """The passages along one alignment: from each run of common shingles on to the last run with which the stretch is similar enough.
+
+    `free`: running counts of places; if no passage can hold one of them there is none.
+    """
     enough = math.ceil(2 * least * threshold / (1 + threshold) - 1e-9)  # common shingles of two stretches of `least`
+    step, shift = hit[1:] - hit[:-1], source - hit
+    b = np.concatenate([[0], ((step > 1) | (np.abs(shift[1:] - shift[:-1]) > 2)).nonzero()[0] + 1])
+    e = np.concatenate([b[1:], [len(hit)]])
+    low, high = np.minimum.reduceat(source, b), np.maximum.reduceat(source, b) + 1
+    begins, ends = hit[b], hit[e - 1] + 1
+    # from where the first run begins to where the last ends a stretch and its counterpart reach for sure
+    begin, end = (1 + threshold) * b - threshold * (begins + low) - 1e-6, (1 + threshold) * e - threshold * (ends + high)
+    best = np.maximum.accumulate(end[::-1])[::-1]
+    far = e.searchsorted(b + enough)  # the first run with which there are common shingles enough
+    can = far.searchsorted(len(b))
+    can = (best[far[:can]] >= begin[:can]).nonzero()[0]
+    if not len(can):
+        return []
+    if free is not None:
+        reach = int(ends[(end >= begin[can].min()).nonzero()[0][-1]])
+        if free[min(max(reach, int(begins[can[-1]]) + least), len(later))] == free[max(min(int(begins[can[0]]), len(later) - least), 0)]:
+            return []
     out = []
-    k = 0
-    while k < len(b) and e[-1] + 1 - b[k] >= enough:
+    after = 0
+    for k in can.tolist():
+        if k < after:
+            continue
         # stretches from this run to each later one, shorter ones filled up with foreign shingles
-        common = e[k:] + 1 - b[k]
+        common = e[k:] - b[k]
         first, last = np.minimum.accumulate(low[k:]), np.maximum.accumulate(high[k:])
-        own, other = np.maximum(ends[k:] - begins[k] + 1, least), np.maximum(last - first + 1, least)
-        for j in np.flatnonzero(common >= threshold * (own + other - common))[::-1]:
-            begin, end = _filled(int(begins[k]), int(ends[k + j]) + 1, len(later), least)
-            s0, s1 = _filled(int(first[j]), int(last[j]) + 1, len(earlier), least)
-            x, y = np.unique(later[begin:end]), np.unique(earlier[s0:s1])
-            both = len(np.intersect1d(x, y, assume_unique=True))
+        own, other = np.maximum(ends[k:] - begins[k], least), np.maximum(last - first, least)
+        for j in (common >= threshold * (own + other - common)).nonzero()[0][::-1].tolist():
+            x0, x1 = _filled(int(begins[k]), int(ends[k + j]), len(later), least)
+            s0, s1 = _filled(int(first[j]), int(last[j]), len(earlier), least)
+            x, y = set(later[x0:x1].tolist()), set(earlier[s0:s1].tolist())
+            both = len(x & y)
             similarity = both / (len(x) + len(y) - both)
             if similarity >= threshold:
-                out.append((begin, end, s0, s1, similarity))
-                k += int(j)
+                out.append((x0, x1, s0, s1, similarity))
+                after = k + j + 1
                 break
-        k += 1
     return out
 
 
@@ -424,7 +442,7 @@ def _take(out: list, vain: set, later: np.ndarray, earlier: np.ndarray, open_: n
     if content in vain:
         return
     before = len(out)
-    for b, e, s0, s1, similarity in common_passages(later, earlier):
+    for b, e, s0, s1, similarity in common_passages(later, earlier, free=open_):
         if open_[b:e].any():
             open_[b:e] = False
             out.append((at[0], b + at[1], e + at[1] + SHINGLE - 1, at[2], s0 + at[3], s1 + at[3] + SHINGLE - 1, similarity))
@@ -468,6 +486,10 @@ def _meet(table: pa.Table) -> pa.Table:
     kept = np.arange(len(owner), dtype=np.int32)
     del order, places, new, starts, near_bare, values
     _, begins, group = np.unique(keys, return_index=True, return_inverse=True)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle + _U(1)) * powers(_BASE, len(shingle)), dtype=np.uint64)])
+        content = mix((sums[bounds[1:]] - sums[bounds[:-1]]) * powers(_INV, len(shingle) + 1)[bounds[:-1]] + sizes.view(np.uint64)).view(np.int64)
+    del sums
     need = np.full(len(begins), COMMON)
     np.minimum.at(need, group, np.maximum(COMMON - sizes + np.bincount(owner, minlength=n), 1))
     need = need[group]
@@ -555,7 +577,7 @@ def _meet(table: pa.Table) -> pa.Table:
             fit = np.flatnonzero(np.count_nonzero(spot, axis=1) >= need[y])
             if len(fit) > 4:
                 # segments alike in what they share, and in all else that counts, say the same: the first of them is asked
-                alike = np.where(lone[some[fit]], spot[fit] @ marks[: spot.shape[1]] + sizes[some[fit]] * marks[-1], some[fit])
+                alike = np.where(lone[some[fit]], spot[fit] @ marks[: spot.shape[1]] + sizes[some[fit]] * marks[-1], content[some[fit]])
                 fit = fit[np.sort(np.unique(alike, return_index=True)[1])]
             if len(fit):
                 waiting.append((y, some[fit], spot[fit][:, place], open_))
