@@ -137,8 +137,9 @@ def extract_article(pages: DataFrame, lastmod: DataFrame | None = None) -> DataF
     """One row for each page: id, title, body, language, publication, authors, and how complete it is.
 
     Time and authors come from JSON-LD, then `meta` tags, then a `time` tag and an element that is named as byline or author.
-    `lastmod` (url, lastmod) of a site map dates pages that don't state a time; date_source says which it was. A page that gives
-    neither title nor body is a `failed` row with its reason.
+    `lastmod` (url, lastmod) of a site map dates pages that don't state a time; date_source says which it was. With (page_id, lastmod)
+    only the pages that are named are dated, not others of the same link. A page that gives neither title nor body is a `failed`
+    row with its reason.
     """
     html = F.col("html")
     title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\r\n]+", " "))
@@ -157,7 +158,8 @@ def extract_article(pages: DataFrame, lastmod: DataFrame | None = None) -> DataF
     if lastmod is None:
         rows = rows.withColumn("lastmod", F.lit(None).cast("timestamp"))
     else:
-        rows = rows.join(lastmod.groupBy("url").agg(F.max("lastmod").alias("lastmod")), "url", "left")
+        key = "page_id" if "page_id" in lastmod.columns else "url"
+        rows = rows.join(lastmod.groupBy(key).agg(F.max("lastmod").alias("lastmod")), key, "left")
     status = completeness(F.col("body"), F.col("title"))
     reason = F.when(F.col("missing"), "no page").when(status == "failed", "no headline or body")
     source = F.when(F.col("stated").isNotNull(), "page_meta").when(F.col("lastmod").isNotNull(), "sitemap_lastmod")

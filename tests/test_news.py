@@ -30,6 +30,15 @@ def test_articles(spark):
     assert got[2]["title"] == "Two" and got[3]["words"] >= 90 and got[1]["language"] == "en"
 
 
+def test_pages_that_share_a_link_are_dated_by_their_own_entry(spark, tmp_path):
+    from marketloom.plans.book_queries import i6_extract_article
+
+    rows = [(i, "http://x/same", f"<html lang='en'><head><title>T{i}</title></head><article>a</article></html>") for i in (3, 7, 11, 15)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["date_source"], r["dated"]) for r in i6_extract_article(spark, str(tmp_path)).collect()}
+    assert got == {3: ("sitemap_lastmod", 1704067200), 7: (None, None), 11: ("sitemap_lastmod", 1704067200), 15: (None, None)}
+
+
 def test_crawled_articles_by_month(spark, tmp_path):
     long = "<p>" + "tata steel rises " * 20 + "</p>"
     rows = [(1, "u1", '<title>A</title><meta name="date" content="2024-02-03">' + long, dt.datetime(2024, 3, 1)), (2, "u2", "<title>B</title>" + long, dt.datetime(2024, 3, 1)), (3, "u3", "<title>short</title>", dt.datetime(2024, 3, 1))]
