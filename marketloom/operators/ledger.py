@@ -117,12 +117,17 @@ def realized_gains(matches: DataFrame) -> DataFrame:
 
 
 def value_positions(lots: DataFrame, latest: DataFrame, as_of: str) -> DataFrame:
-    """Per account and symbol: quantity, cost, value, gain, return, first and last purchase, average price; priced says whether a quote was there."""
+    """Per account and symbol: quantity, cost, value, gain, return, first and last purchase, average price; priced says whether a quote was there.
+
+    What cost nothing has an infinite return, and none (not a number) where it is worth nothing too.
+    """
     rows = lots.join(latest.select("symbol", F.col("price").alias("quote")), "symbol", "left").withColumn("quote", F.when(F.col("quote") > 0, F.col("quote")))
     g = rows.groupBy("account_id", "symbol").agg(
         F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("purchase_price")).alias("cost"), F.sum(F.col("quantity") * F.col("quote")).alias("value"),
         F.min("purchase_date").alias("first_purchase"), F.max("purchase_date").alias("last_purchase"), F.count("*").alias("lots"), F.max(F.date_diff(F.to_date(F.lit(as_of)), "purchase_date")).alias("longest_days"))
-    return g.select("*", (F.col("cost") / F.col("quantity")).alias("average_price"), (F.col("value") - F.col("cost")).alias("gain"), (F.col("value") / F.col("cost") - 1).alias("return"), F.col("value").isNotNull().alias("priced"))
+    free = F.when(F.col("value") > 0, float("inf")).when(F.col("value") < 0, float("-inf")).when(F.col("value") == 0, float("nan"))
+    gained = F.when(F.col("cost") == 0, free).otherwise(F.col("value") / F.nullif(F.col("cost"), F.lit(0.0)) - 1)
+    return g.select("*", (F.col("cost") / F.col("quantity")).alias("average_price"), (F.col("value") - F.col("cost")).alias("gain"), gained.alias("return"), F.col("value").isNotNull().alias("priced"))
 
 
 def xirr(flows: DataFrame) -> DataFrame:

@@ -80,6 +80,21 @@ def test_concentration(spark):
 TX = "account_id long, event_id long, action string, symbol string, instrument_type string, date date, quantity double, price double, amount double, notes string"
 
 
+def test_positions_that_cost_nothing(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from marketloom.plans import book_queries
+
+    at = dt.datetime(2024, 1, 2)
+    rows = [(3, at, 1, "purchase", 0.0), (6, at, 2, "purchase", 4.0), (9, at, 2, "purchase", 8.0), (4, at, 3, "purchase", 0.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = book_queries.f7_value_positions(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = {(r[0], r[1]): r[2:] for r in con.execute(f'select account_id, symbol, cost, value, "return" from ({book_queries.R.oracle["f7_value_positions"]})').fetchall()}
+    assert {(r["account_id"], r["symbol"]): (r["cost"], r["value"], r["return"]) for r in got.collect()} == want
+    assert want[1, "S0"] == (0.0, 24.0, float("inf")) and want[3, "S1"] == (0.0, None, None)
+
+
 def test_fifo(spark):
     tx = spark.createDataFrame([(1, 1, "buy", "S", "Stock", D(2020, 1, 1), 10.0, 80.0, None, None), (1, 2, "buy", "S", "Stock", D(2020, 2, 1), 20.0, 110.0, None, None), (1, 3, "sell", "S", "Stock", D(2020, 3, 1), 15.0, 130.0, None, None),
                                 (2, 4, "buy", "S", "Stock", D(2020, 3, 1), 1.0, 1.0, None, None), (2, 5, "sell", "S", "Stock", D(2020, 3, 1), 2.0, 1.0, None, None)], TX)
