@@ -42,6 +42,8 @@ CODEWORDS = 256  # at most, for each half
 CELL_ROWS = 256  # rows of a cell in the mean, until there are CODEWORDS
 BLOCK = 2048
 MEET = 8
+MEETINGS = 16  # packs and blocks that meet in one Arrow batch: each holds up to BLOCK vectors twice
+ASKED = 4096  # questions of one Arrow batch
 FIRST_ROUND = 16
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
@@ -205,6 +207,10 @@ def search(index: Index, asking: DataFrame, goals: int, k: int, same: bool) -> D
     asked_schema = "cell int, anchor_id long, label long, v binary, windows binary"
     best, seen, step = None, 0, FIRST_ROUND
 
+    def questions_of(rows: list) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["cell", "anchor_id", "label", "v", "windows"])
+
     def ask(seen: int, step: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -228,9 +234,13 @@ def search(index: Index, asking: DataFrame, goals: int, k: int, same: bool) -> D
                         if place >= seen and upper >= need and lower <= top:
                             asks.append(cell)
                     # a row without a cell: the walk isn't certified yet, although nothing is asked in this round
-                    out += [(c, ids[i], labels[i], vectors[i].tobytes(), windows) for c in (asks if asks or done else [-1])]
-                columns = zip(*out, strict=True) if out else ([],) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["cell", "anchor_id", "label", "v", "windows"])
+                    vector = vectors[i].tobytes()
+                    out += [(c, ids[i], labels[i], vector, windows) for c in (asks if asks or done else [-1])]
+                    while len(out) >= ASKED:
+                        yield questions_of(out[:ASKED])
+                        del out[:ASKED]
+                if out:
+                    yield questions_of(out)
 
         return run
 
@@ -242,7 +252,8 @@ def search(index: Index, asking: DataFrame, goals: int, k: int, same: bool) -> D
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for at in range(b.num_rows):  # one at a time, as each may hold megabytes
+                r = b.slice(at, 1).to_pylist()[0]
                 a_ids, a_labels, ids, labels = (np.frombuffer(r[x], np.int64) for x in ("a_ids", "a_labels", "ids", "labels"))
                 a, c = (np.frombuffer(r[x], np.int64).reshape(-1, d) for x in ("a_vectors", "vectors"))
                 windows = np.frombuffer(r["windows"], np.int64).reshape(-1, 2, goals)
@@ -274,7 +285,7 @@ def search(index: Index, asking: DataFrame, goals: int, k: int, same: bool) -> D
         questions = packs.join(grid, "cell").select("cell", "a_ids", "a_labels", "a_vectors", "windows", F.pmod(F.xxhash64("pack"), "wide").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("y"))
         hits = questions.join(rows, ["cell", "x", "y"]).select("a_ids", "a_labels", "a_vectors", "windows", "ids", "labels", "vectors").mapInArrow(meet, "anchor_id long, goal int, score long, vec_id long")
         hits = hits if best is None else hits.unionByName(best.drop("rank"))
-        best = settle(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        best = settle(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), MEETINGS)
         seen, step = seen + step, step * 4
     return best if best is not None else spark.createDataFrame([], "anchor_id long, goal int, score long, vec_id long, rank int")
 

@@ -187,6 +187,19 @@ def test_hard_negatives_edges(spark):
     assert Counter(tuple(r) for r in hardneg.mine(spark.createDataFrame(rows, schema)).collect()) == negatives(rows)
 
 
+def test_hard_negatives_meet_in_small_batches(spark, monkeypatch):
+    """Packs and blocks of up to 2,048 vectors each don't stand in an Arrow batch by the thousand; questions leave a task in parts."""
+    bounds, usual = [], hardneg.settle
+    monkeypatch.setattr(hardneg, "settle", lambda df, *a: bounds.append(a) or usual(df, *a) if "rank" in df.columns else usual(df, *a))
+    monkeypatch.setattr(hardneg, "ASKED", 3, raising=False)
+    monkeypatch.setattr(hardneg, "CELL_ROWS", 3)
+    rnd = np.random.default_rng(1)
+    rows = [(i * 5, rnd.normal(size=6).tolist(), int(i % 3)) for i in range(120)]
+    got = Counter(tuple(r) for r in hardneg.mine(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == negatives(rows) and got
+    assert bounds and all(a and a[0] * 2 * hardneg.BLOCK * 64 * 8 <= 1 << 26 for a in bounds)
+
+
 def test_walks_go_by_falling_bound_and_bounds_hold(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, rnd.normal(size=6).tolist(), 0) for i in range(700)]
