@@ -442,7 +442,7 @@ def _take(out: list, vain: set, later: np.ndarray, earlier: np.ndarray, open_: n
     if content in vain:
         return
     before = len(out)
-    for b, e, s0, s1, similarity in common_passages(later, earlier, free=open_):
+    for b, e, s0, s1, similarity in common_passages(later, earlier, LEAST, THRESHOLD, open_):
         if open_[b:e].any():
             open_[b:e] = False
             out.append((at[0], b + at[1], e + at[1] + SHINGLE - 1, at[2], s0 + at[3], s1 + at[3] + SHINGLE - 1, similarity))
